@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from . import neardup
+from . import htmltext, mixing, neardup, quality, tokens, topk, urlrules
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.op1_quality,
+        "op2_token_counts": tokens.op2_token_counts,
+        "op4_source_mix": mixing.op4_source_mix,
         "op5_minhash_near_dedup": neardup.op5_minhash_near_dedup,
+        "op8_url_filters": urlrules.op8_url_filters,
+        "op9_exact_topk": topk.op9_exact_topk,
+        "op10_html_text": htmltext.op10_html_text,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op4_source_mix": mixing.ORACLE,
+        "op8_url_filters": urlrules.oracle(),
+        "op9_exact_topk": topk.ORACLE,
+    }
