@@ -7,8 +7,9 @@ each signature is indexed under every chunk with each one of its values left out
 share an index key are candidates; candidates are confirmed by the Jaccard similarity of the full sets.
 
 No group is expanded into pairs. Equal sets collapse to one representative first. In each key group
-all members are compared with the smallest id; only members that are still in different components
-after that are compared with each other, inside blocks, by their signatures.
+all members are compared with the one that meets most others; only members that are still in different components
+after that are compared with each other, inside blocks, by their signatures and then their full sets; of these
+comparisons only links that join two components leave the task.
 
 Defined results: null or word-less texts have an empty set and link with nothing; rows with a null
 id keep a null component and are kept; rows that share an id are one document; repeated rows and
@@ -33,6 +34,8 @@ MOST_ERRORS = 17
 MOST_DIGEST_ERRORS = 15
 #: Members of a key group that are compared in one block.
 BLOCK = 4096
+#: The same where their texts are held.
+TEXT_BLOCK = 512
 
 U64 = np.uint64
 SKETCH = "id long, n_shingles long, h1 long, h2 long, digest long, sig binary"
@@ -115,7 +118,7 @@ def sketcher(k: int):
 
 
 def index_keys(batches):
-    """(key, id, n, digest): each chunk of the signature with each one of its values left out."""
+    """(key, slot, id, n, digest): each chunk of the signature with each one of its values left out."""
     salt = seeded(PARTS * WIDTH, 41)
     for batch in batches:
         n = batch.num_rows
@@ -130,7 +133,8 @@ def index_keys(batches):
                     for j in range(WIDTH):
                         if j != out:
                             key = mix64(key * U64(0x9E3779B97F4A7C15) + chunk[:, j])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0), batch.column(1), batch.column(2)], names=["key", "id", "n", "digest"])
+                slot = pa.array(np.full(n, c * WIDTH + out, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), slot, batch.column(0), batch.column(1), batch.column(2)], names=["key", "slot", "id", "n", "digest"])
 
 
 def confirm(k: int, percent: int):
@@ -160,33 +164,98 @@ def confirm(k: int, percent: int):
     return check
 
 
-def leftover_pairs(percent: int):
-    """Candidate pairs of one block pair of a key group: near in size and signature, in different components."""
+def partners(group: pa.Table, percent: int):
+    """For each row of a block pair of a key group, the rows that it has to be compared with: near in size and
+    signature, in another component, and meeting in this key first. Rows are sorted by size of the set."""
+    ids, comp, n, side = (group.column(c).to_numpy() for c in ("id", "comp", "n", "side"))
+    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(len(ids), VALUES)
+    slot = group.column("slot")[0].as_py()
+    for i in np.flatnonzero(side <= 1).tolist():
+        j1 = int(np.searchsorted(n, n[i] * 100 / percent, side="right"))
+        j0 = int(np.searchsorted(n, n[i] * percent / 100, side="left")) if side[i] == 1 else i + 1
+        if j1 <= j0:
+            continue
+        far = comp[j0:j1] != comp[i]
+        if side[i] == 1:
+            far &= side[j0:j1] == 2
+        near = np.flatnonzero(far) + j0
+        wrong = sig[near] != sig[i]
+        good = wrong.sum(axis=1) <= MOST_ERRORS
+        near, wrong = near[good], wrong[good].reshape(-1, PARTS, WIDTH)
+        if not len(near):
+            continue
+        # a pair belongs to the first key that it shares: the first chunk with one error at most
+        errors = wrong.sum(axis=2)
+        part = (errors <= 1).argmax(axis=1)
+        at = np.arange(len(near))
+        place = np.where(errors[at, part] == 0, 0, wrong[at, part].argmax(axis=1))
+        near = near[part * WIDTH + place == slot]
+        if len(near):
+            yield i, near
+
+
+def with_partners(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("n")
+        taking = np.zeros(group.num_rows, bool)
+        for i, near in partners(group, percent):
+            taking[i] = True
+            taking[near] = True
+        return group.filter(pa.array(taking)).select(["key", "id"])
+
+    return run
+
+
+def leftover_links(k: int, percent: int):
+    """Links between components of a block pair of a key group, confirmed on full sets; one for each two
+    components that it joins, however many pairs there are."""
 
-    def pairs(group: pa.Table) -> pa.Table:
+    def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("n")
-        ids, comp, n = (group.column(c).to_numpy() for c in ("id", "comp", "n"))
-        side = group.column("side").to_numpy()
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(len(ids), VALUES)
+        ids = group.column("id").to_numpy()
+        sets, bounds = shingle_sets(WordHasher(), group.column("text"), k)
+        rows = [sets[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        comp = group.column("comp").to_pylist()
         us, vs = [], []
-        left = np.flatnonzero(side <= 1)
-        for i in left.tolist():
-            j1 = int(np.searchsorted(n, n[i] * 100 / percent, side="right"))
-            j0 = int(np.searchsorted(n, n[i] * percent / 100, side="left")) if side[i] == 1 else i + 1
-            if j1 <= j0:
-                continue
-            far = comp[j0:j1] != comp[i]
-            if side[i] == 1:
-                far &= side[j0:j1] == 2
-            near = np.flatnonzero(far) + j0
-            near = near[(sig[near] != sig[i]).sum(axis=1) <= MOST_ERRORS]
-            us.append(np.minimum(ids[near], ids[i]))
-            vs.append(np.maximum(ids[near], ids[i]))
-        u = np.concatenate(us) if us else np.zeros(0, np.int64)
-        v = np.concatenate(vs) if vs else np.zeros(0, np.int64)
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    return pairs
+        for i, near in partners(group, percent):
+            x = rows[i]
+            for j in near.tolist():
+                a, b = find(comp[i]), find(comp[j])
+                y = rows[j]
+                if a == b or not len(x) or not len(y):
+                    continue
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    root[max(a, b)] = min(a, b)
+                    us.append(min(ids[i], ids[j]))
+                    vs.append(max(ids[i], ids[j]))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return run
+
+
+def block_pairs(rows: DataFrame, block: int) -> DataFrame:
+    """Deals each key group into blocks of about ``block`` rows and copies each row to every pair of blocks that its own is in:
+    (x, y), x <= y; side is 0 if both ends are one block, 1 or 2 for the two blocks of a pair."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spread = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda o: F.struct(
+            F.least(F.col("block"), o).alias("x"),
+            F.greatest(F.col("block"), o).alias("y"),
+            F.when(o == F.col("block"), 0).when(o > F.col("block"), 1).otherwise(2).alias("side"),
+        ),
+    )
+    return dealt.select(*rows.columns, F.explode(spread).alias("p")).select(*rows.columns, "p.x", "p.y", "p.side")
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -229,40 +298,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows.where("n_shingles > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n"), F.min("digest").alias("digest"), F.min("sig").alias("sig")),
         "representatives",
     )
-    keys = reps.select("rep", F.col("n").cast("int").alias("n"), "digest", "sig").mapInArrow(index_keys, "key long, id long, n int, digest long")
-    heads = keys.groupBy("key").agg(F.min(F.struct("id", "n", "digest")).alias("head"), F.count("*").alias("members")).where("members > 1")
-    members = materialize(keys.join(heads, "key").select("key", "members", "id", "n", "digest", "head"), "members")
+    keys = reps.select("rep", F.col("n").cast("int").alias("n"), "digest", "sig").mapInArrow(index_keys, "key long, slot int, id long, n int, digest long")
+    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = materialize(keys.join(shared, "key").select("key", "slot", "members", "id", "n", "digest"), "shared")
+    # the head of a key group is the member that meets most others over all its keys: of copies with edits, the original
+    degree = shared.groupBy("id").agg(F.sum("members").alias("degree"))
+    heads = shared.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), "id", "n", "digest")).alias("head"))
+    members = shared.join(heads, "key").select("key", "slot", "members", "id", "n", "digest", "head")
 
     x = F.col("digest").bitwiseXOR(F.col("head.digest"))
     differ = F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(0x5555555555555555)))
     alike = (F.least("n", "head.n") * 100 >= F.greatest("n", "head.n") * percent) & (differ <= MOST_DIGEST_ERRORS)
-    stars = members.where((F.col("id") != F.col("head.id")) & alike).select(F.col("head.id").alias("u"), F.col("id").alias("v")).distinct()
+    stars = members.where((F.col("id") != F.col("head.id")) & alike).select(F.least("head.id", "id").alias("u"), F.greatest("head.id", "id").alias("v")).distinct()
     edges = materialize(verified(stars, texts, shingle_words, percent), "links")
     comps = materialize(components(edges), "components")
 
     # what the stars leave open: members other than the head that are in different components
-    rest = members.where("members > 2").where(F.col("id") != F.col("head.id")).select("key", "id", "n").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    rest = members.where("members > 2").where(F.col("id") != F.col("head.id")).select("key", "slot", "id", "n").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     open_keys = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     rest = materialize(rest.join(open_keys, "key", "left_semi"), "open")
-    sizes = rest.groupBy("key").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).drop("size")
-    dealt = rest.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     sigs = reps.groupBy(F.col("rep").alias("id")).agg(F.min("sig").alias("sig"))
-    # block pair (x, y), x <= y; side 0: both ends in one block, 1 and 2: the two blocks of a pair
-    spread = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda o: F.struct(
-            F.least(F.col("block"), o).alias("x"),
-            F.greatest(F.col("block"), o).alias("y"),
-            F.when(o == F.col("block"), 0).when(o > F.col("block"), 1).otherwise(2).alias("side"),
-        ),
-    )
-    dealt = dealt.join(sigs, "id").select("key", "id", "comp", "n", "sig", F.explode(spread).alias("p")).select("key", "id", "comp", "n", "sig", "p.x", "p.y", "p.side")
-    more = dealt.groupBy("key", "x", "y").applyInArrow(leftover_pairs(percent), "u long, v long").distinct()
-    checked = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = materialize(more.join(checked, ["u", "v"], "left_anti"), "leftover")
-    if not more.isEmpty():
-        late = verified(more, texts, shingle_words, percent)
-        comps = materialize(components(edges.unionByName(late)), "components")
+    rest = rest.join(sigs, "id")
+    taking = block_pairs(rest, BLOCK).groupBy("key", "x", "y").applyInArrow(with_partners(percent), "key long, id long").distinct()
+    taking = materialize(taking, "taking")
+    if not taking.isEmpty():
+        mine = texts.join(taking.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+        full = rest.join(taking, ["key", "id"], "left_semi").join(mine, "id")
+        late = block_pairs(full, TEXT_BLOCK).groupBy("key", "x", "y").applyInArrow(leftover_links(shingle_words, percent), "u long, v long")
+        comps = materialize(components(edges.unionByName(late.distinct())), "components")
 
     found = rows.join(
         reps.join(comps.withColumnRenamed("id", "rep"), "rep", "left").groupBy("h1", "h2").agg(F.min(F.coalesce("comp", "rep")).alias("comp")),
