@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import htmltext, mixing, neardup, quality, tokens, topk, urlrules
+from . import decontam, htmltext, langid, mixing, neardup, pii, quality, tokens, topk, urlrules
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
         "op2_token_counts": tokens.op2_token_counts,
+        "op3_language_id": langid.op3_language_id,
         "op4_source_mix": mixing.op4_source_mix,
         "op5_minhash_near_dedup": neardup.op5_minhash_near_dedup,
+        "op6_pii": pii.op6_pii,
+        "op7_decontamination": decontam.op7_decontamination,
         "op8_url_filters": urlrules.op8_url_filters,
         "op9_exact_topk": topk.op9_exact_topk,
         "op10_html_text": htmltext.op10_html_text,
