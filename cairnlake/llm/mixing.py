@@ -28,68 +28,113 @@ WEIGHTS = (5, 2, 1)
 CELLS = 4096
 
 
-def mix_sql(docs: str, size: str, bits: str, uniform: str, most: int = 3) -> str:
-    """The whole operator in SQL that Spark and DuckDB share; the arguments are the parts that they spell differently."""
+def mix_steps(docs: str, size: str, bits: str, uniform: str, most: int = 3) -> list[tuple[str, str]]:
+    """The operator as named SQL steps that Spark and DuckDB share; the arguments are the parts that they spell differently."""
     cycle = f"CASE {' '.join(f'WHEN (nth - 1) % {len(WEIGHTS)} = {k} THEN {w}' for k, w in enumerate(WEIGHTS))} END"
-    return f"""
-WITH sized AS (
-  SELECT doc_id, source, coalesce(source, '') AS skey, source IS NULL AS snull, CAST({size} AS BIGINT) AS size FROM {docs}
-), graded AS (
-  SELECT *, {bits} AS bits, {uniform} AS u FROM sized
-), classes AS (
-  SELECT skey, snull, bits, CAST(sum(size) AS BIGINT) AS words FROM graded GROUP BY skey, snull, bits
-), sources AS (
-  SELECT skey, snull, CAST(sum(words) AS BIGINT) AS source_size FROM classes GROUP BY skey, snull
-), numbered AS (
-  SELECT *, row_number() OVER (ORDER BY snull, skey) AS nth FROM sources
-), weighed AS (
-  SELECT *, {cycle} AS weight FROM numbered
-), filling AS (
-  SELECT *,
+    return [
+        (
+            "sized",
+            f"""SELECT doc_id, source, coalesce(source, '') AS skey, source IS NULL AS snull, CAST({size} AS BIGINT) AS size FROM {docs}""",
+        ),
+        (
+            "graded",
+            f"""SELECT *, {bits} AS bits, {uniform} AS u FROM sized""",
+        ),
+        (
+            "classes",
+            f"""SELECT skey, snull, bits, CAST(sum(size) AS BIGINT) AS words FROM graded GROUP BY skey, snull, bits""",
+        ),
+        (
+            "sources",
+            f"""SELECT skey, snull, CAST(sum(words) AS BIGINT) AS source_size FROM classes GROUP BY skey, snull""",
+        ),
+        (
+            "numbered",
+            f"""SELECT *, row_number() OVER (ORDER BY snull, skey) AS nth FROM sources""",
+        ),
+        (
+            "weighed",
+            f"""SELECT *, {cycle} AS weight FROM numbered""",
+        ),
+        (
+            "filling",
+            f"""SELECT *,
     CAST(sum(source_size) OVER () AS BIGINT) AS whole,
     coalesce(CAST(sum({most} * source_size) OVER (ORDER BY CAST(source_size AS DOUBLE) / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS stopped,
     CAST(sum(weight) OVER (ORDER BY CAST(source_size AS DOUBLE) / weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS open_weight
-  FROM weighed
-), leveled AS (
-  SELECT *, CAST(whole - stopped AS DOUBLE) / open_weight AS level FROM filling
-), level AS (
-  SELECT max(CASE WHEN level * weight <= {most} * source_size THEN level END) AS level FROM leveled
-), targets AS (
-  SELECT skey, snull, source_size, least(CAST({most} * source_size AS DOUBLE), (SELECT level FROM level) * weight) AS target FROM leveled
-), ratios AS (
-  SELECT c.skey, c.snull, c.bits, c.words, t.target,
+  FROM weighed""",
+        ),
+        (
+            "leveled",
+            f"""SELECT *, CAST(whole - stopped AS DOUBLE) / open_weight AS level FROM filling""",
+        ),
+        (
+            "level",
+            f"""SELECT max(CASE WHEN level * weight <= {most} * source_size THEN level END) AS level FROM leveled""",
+        ),
+        (
+            "targets",
+            f"""SELECT skey, snull, source_size, least(CAST({most} * source_size AS DOUBLE), (SELECT level FROM level) * weight) AS target FROM leveled""",
+        ),
+        (
+            "ratios",
+            f"""SELECT c.skey, c.snull, c.bits, c.words, t.target,
     coalesce(CAST(sum(c.words) OVER (PARTITION BY c.skey, c.snull ORDER BY c.bits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS above,
     CAST(sum(c.words * (8 + c.bits)) OVER (PARTITION BY c.skey, c.snull ORDER BY c.bits DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS pull
-  FROM classes c JOIN targets t ON c.skey = t.skey AND c.snull = t.snull WHERE c.words > 0
-), scaled AS (
-  SELECT skey, snull, max(CASE WHEN (target - {most} * above) / pull * (8 + bits) <= {most} THEN (target - {most} * above) / pull END) AS scale FROM ratios GROUP BY skey, snull
-), copied AS (
-  SELECT c.skey, c.snull, c.bits, least(CAST({most} AS DOUBLE), coalesce(s.scale * (8 + c.bits), CAST({most} AS DOUBLE))) AS copies, c.words
-  FROM classes c JOIN scaled s ON c.skey = s.skey AND c.snull = s.snull WHERE c.words > 0
-), rates AS (
-  SELECT skey, snull, bits, CAST(floor(copies + 1e-9) AS BIGINT) AS certain, greatest(copies - floor(copies + 1e-9), 0) AS chance, words FROM copied
-), rests AS (
-  SELECT r.skey, r.snull, max(t.target) - CAST(sum(r.certain * r.words) AS BIGINT) AS rest
-  FROM rates r JOIN targets t ON r.skey = t.skey AND r.snull = t.snull GROUP BY r.skey, r.snull
-), plans AS (
-  SELECT r.skey, r.snull, r.bits, r.certain, r.chance, q.rest FROM rates r JOIN rests q ON r.skey = q.skey AND r.snull = q.snull
-), ranked AS (
-  SELECT g.doc_id, g.skey, g.snull, g.size, g.u, p.certain, p.chance, p.rest,
+  FROM classes c JOIN targets t ON c.skey = t.skey AND c.snull = t.snull WHERE c.words > 0""",
+        ),
+        (
+            "scaled",
+            f"""SELECT skey, snull, max(CASE WHEN (target - {most} * above) / pull * (8 + bits) <= {most} THEN (target - {most} * above) / pull END) AS scale FROM ratios GROUP BY skey, snull""",
+        ),
+        (
+            "copied",
+            f"""SELECT c.skey, c.snull, c.bits, least(CAST({most} AS DOUBLE), coalesce(s.scale * (8 + c.bits), CAST({most} AS DOUBLE))) AS copies, c.words
+  FROM classes c JOIN scaled s ON c.skey = s.skey AND c.snull = s.snull WHERE c.words > 0""",
+        ),
+        (
+            "rates",
+            f"""SELECT skey, snull, bits, CAST(floor(copies + 1e-9) AS BIGINT) AS certain, greatest(copies - floor(copies + 1e-9), 0) AS chance, words FROM copied""",
+        ),
+        (
+            "rests",
+            f"""SELECT r.skey, r.snull, max(t.target) - CAST(sum(r.certain * r.words) AS BIGINT) AS rest
+  FROM rates r JOIN targets t ON r.skey = t.skey AND r.snull = t.snull GROUP BY r.skey, r.snull""",
+        ),
+        (
+            "plans",
+            f"""SELECT r.skey, r.snull, r.bits, r.certain, r.chance, q.rest FROM rates r JOIN rests q ON r.skey = q.skey AND r.snull = q.snull""",
+        ),
+        (
+            "ranked",
+            f"""SELECT g.doc_id, g.skey, g.snull, g.size, g.u, p.certain, p.chance, p.rest,
     CASE WHEN p.chance > 1e-9 THEN (g.u * (1 - p.chance)) / (g.u * (1 - p.chance) + (1 - g.u) * p.chance) END AS rank_at
-  FROM graded g JOIN plans p ON g.skey = p.skey AND g.snull = p.snull AND g.bits = p.bits
-), celled AS (
-  SELECT *, CAST(floor(rank_at * {CELLS}) AS BIGINT) AS cell FROM ranked WHERE rank_at IS NOT NULL
-), cells AS (
-  SELECT skey, snull, cell, CAST(sum(size) AS BIGINT) AS words, max(rest) AS rest FROM celled GROUP BY skey, snull, cell
-), reached AS (
-  SELECT *, CAST(sum(words) OVER (PARTITION BY skey, snull ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - words AS before FROM cells
-), marks AS (
-  SELECT skey, snull, cell AS edge, before FROM reached WHERE before < rest AND before + words >= rest
-), edges AS (
-  SELECT c.doc_id, c.size, c.rest, m.before + CAST(sum(c.size) OVER (PARTITION BY c.skey, c.snull ORDER BY c.rank_at, c.doc_id, c.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - c.size AS before, c.skey, c.snull, c.certain
-  FROM celled c JOIN marks m ON c.skey = m.skey AND c.snull = m.snull AND c.cell = m.edge
-), picks AS (
-  SELECT doc_id, skey, snull, size, certain,
+  FROM graded g JOIN plans p ON g.skey = p.skey AND g.snull = p.snull AND g.bits = p.bits""",
+        ),
+        (
+            "celled",
+            f"""SELECT *, CAST(floor(rank_at * {CELLS}) AS BIGINT) AS cell FROM ranked WHERE rank_at IS NOT NULL""",
+        ),
+        (
+            "cells",
+            f"""SELECT skey, snull, cell, CAST(sum(size) AS BIGINT) AS words, max(rest) AS rest FROM celled GROUP BY skey, snull, cell""",
+        ),
+        (
+            "reached",
+            f"""SELECT *, CAST(sum(words) OVER (PARTITION BY skey, snull ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - words AS before FROM cells""",
+        ),
+        (
+            "marks",
+            f"""SELECT skey, snull, cell AS edge, before FROM reached WHERE before < rest AND before + words >= rest""",
+        ),
+        (
+            "edges",
+            f"""SELECT c.doc_id, c.size, c.rest, m.before + CAST(sum(c.size) OVER (PARTITION BY c.skey, c.snull ORDER BY c.rank_at, c.doc_id, c.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - c.size AS before, c.skey, c.snull, c.certain
+  FROM celled c JOIN marks m ON c.skey = m.skey AND c.snull = m.snull AND c.cell = m.edge""",
+        ),
+        (
+            "picks",
+            f"""SELECT doc_id, skey, snull, size, certain,
     CASE WHEN before < rest AND (before + size <= rest OR before + size - rest <= rest - before) THEN 1 ELSE 0 END AS extra
   FROM edges
   UNION ALL
@@ -98,27 +143,47 @@ WITH sized AS (
   UNION ALL
   SELECT doc_id, skey, snull, size, certain, 0 AS extra FROM ranked WHERE rank_at IS NULL
   UNION ALL
-  SELECT g.doc_id, g.skey, g.snull, g.size, CAST(0 AS BIGINT) AS certain, 0 AS extra FROM graded g WHERE g.size = 0
-)
-SELECT p.doc_id, p.size, t.source_size, t.target, CAST(p.size * least(p.certain + p.extra, {most}) AS BIGINT) AS taken
-FROM picks p JOIN targets t ON p.skey = t.skey AND p.snull = t.snull
-"""
+  SELECT g.doc_id, g.skey, g.snull, g.size, CAST(0 AS BIGINT) AS certain, 0 AS extra FROM graded g WHERE g.size = 0""",
+        ),
+        (
+            "mixed",
+            f"""SELECT p.doc_id, p.size, t.source_size, t.target, CAST(p.size * least(p.certain + p.extra, {most}) AS BIGINT) AS taken
+FROM picks p JOIN targets t ON p.skey = t.skey AND p.snull = t.snull""",
+        ),
+    ]
+
+
+def mix_sql(*args) -> str:
+    """All steps as one statement."""
+    steps = mix_steps(*args)
+    return "WITH " + ", ".join(f"{name} AS ({sql})" for name, sql in steps[:-1]) + " " + steps[-1][1]
+
+
+#: Small tables (by source and bit length, or by source) that Spark writes between steps, so that no plan repeats the steps before.
+WRITTEN = ("classes", "targets", "plans", "marks")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target (of its source), taken (words the mix takes of it) of each row."""
+    from .common import materialize
+
     spark = docs.sparkSession
     base = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), docs[text_col].alias("text"))
-    name = "cairnlake_mix_input"
     sized = base.selectExpr("doc_id", "source", r"coalesce(regexp_count(text, '[^\\x20\\x09-\\x0D]+'), 0) AS n")
-    from .common import materialize
-
-    materialize(sized, "sizes").createOrReplaceTempView(name)
+    materialize(sized, "sizes").createOrReplaceTempView("mix_input")
+    steps = mix_steps("mix_input", "n", BITS, spark_uniform(seed), most)
+    made = ["mix_input"]
     try:
-        out = spark.sql(mix_sql(name, "n", BITS, spark_uniform(seed), most))
+        for name, sql in steps:
+            df = spark.sql(sql)
+            if name in WRITTEN:
+                df = materialize(df, name)
+            df.createOrReplaceTempView(name)
+            made.append(name)
+        return df
     finally:
-        spark.catalog.dropTempView(name)
-    return out
+        for name in made:
+            spark.catalog.dropTempView(name)
 
 
 def spark_uniform(seed: int) -> str:
@@ -131,10 +196,16 @@ def duckdb_uniform(seed: int) -> str:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as the mix takes it, with ``copies`` and ``taken``."""
-    id_col = options.get("id_col", "doc_id")
-    taken = mix(docs, **options).selectExpr("doc_id AS _mix_id", "taken", "CASE WHEN size > 0 THEN CAST(taken / size AS BIGINT) ELSE 0 END AS copies").where("copies > 0").dropDuplicates(["_mix_id"])
-    return docs.join(taken, docs[id_col].eqNullSafe(taken["_mix_id"])).drop("_mix_id").selectExpr("*", "explode(sequence(1, CAST(copies AS INT))) AS copy")
+    """The mix itself: each document as often as the mix takes it, with ``copies``, ``taken`` and ``copy`` (from 1).
+
+    Columns of docs with these names give way. Rows that share an id and a size are taken alike."""
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    docs = docs.drop("copies", "taken", "copy")
+    found = mix(docs, **options).where("taken > 0").selectExpr("doc_id AS _mix_id", "size AS _mix_size", "taken", "CAST(taken / size AS INT) AS copies")
+    once = found.groupBy("_mix_id", "_mix_size").agg({"taken": "max", "copies": "max"}).withColumnRenamed("max(taken)", "taken").withColumnRenamed("max(copies)", "copies")
+    sized = docs.selectExpr("*", rf"coalesce(regexp_count({text_col}, '[^\\x20\\x09-\\x0D]+'), 0) AS _mix_words")
+    joined = sized.join(once, sized[id_col].eqNullSafe(once["_mix_id"]) & (sized["_mix_words"] == once["_mix_size"]))
+    return joined.drop("_mix_id", "_mix_size", "_mix_words").selectExpr("*", "explode(sequence(1, copies)) AS copy")
 
 
 def op4_source_mix(spark, sf_dir: str) -> DataFrame:
