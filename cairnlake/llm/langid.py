@@ -82,18 +82,19 @@ def fit_machine(x: np.ndarray, y: np.ndarray, cost: float = 20.0, rounds: int =
 
     y: 1 or -1; both classes weigh alike. Accelerated gradient steps of a fixed size.
     """
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-    c = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * cost * 20
-    step = 1 / (1 + 2 * 2 * c.sum())
-    w, ahead, t = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 1.0
+    c = (np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * cost * 20).astype(np.float32)
+    y = y.astype(np.float32)
+    step = 1 / (1 + 2 * 2 * float(c.sum()))
+    w, ahead, bias, bias_ahead, t = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32), 0.0, 0.0, 1.0
     for _ in range(rounds):
-        short = np.maximum(0, 1 - y * (x @ ahead))
-        grad = ahead - 2 * ((c * y * short) @ x)
-        fresh = ahead - step * grad
+        pull = c * y * np.maximum(0, 1 - y * (x @ ahead + np.float32(bias_ahead)))
+        fresh = ahead - np.float32(step) * (ahead - 2 * (pull @ x))
+        fresh_bias = bias_ahead - step * (bias_ahead - 2 * float(pull.sum()))
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead = fresh + (t - 1) / after * (fresh - w)
-        w, t = fresh, after
-    margin = x @ w
+        ahead = fresh + np.float32((t - 1) / after) * (fresh - w)
+        bias_ahead = fresh_bias + (t - 1) / after * (fresh_bias - bias)
+        w, bias, t = fresh, fresh_bias, after
+    margin = (x @ w).astype(np.float64) + bias
     hi, lo = ((y > 0).sum() + 1) / ((y > 0).sum() + 2), 1 / ((y < 0).sum() + 2)
     goal = np.where(y > 0, hi, lo)
     a, b = 2.0, 0.0
@@ -106,7 +107,7 @@ def fit_machine(x: np.ndarray, y: np.ndarray, cost: float = 20.0, rounds: int =
         a, b = a - move[0], b - move[1]
         if np.abs(move).max() < 1e-8:
             break
-    return np.concatenate([w, [max(a, 1e-3), b]])
+    return np.concatenate([w.astype(np.float64), [bias, max(a, 1e-3), b]])
 
 
 def fit(x: np.ndarray, langs: list[str]) -> dict:
@@ -195,8 +196,11 @@ def learn(rows: DataFrame, most_rows: int = 4000) -> dict | None:
     if not len(sample):
         return None
     sample = sample.sort_values(["id", "lang", "x"], kind="stable")
-    x = np.frombuffer(b"".join(sample["x"]), np.float16).reshape(len(sample), DIMS).astype(np.float32)
-    return fit(x, sample["lang"].tolist())
+    langs = sample["lang"].tolist()
+    packed = b"".join(sample.pop("x"))
+    x = np.frombuffer(packed, np.float16).reshape(len(langs), DIMS).astype(np.float32)
+    del sample, packed
+    return fit(x, langs)
 
 
 def identify(docs: DataFrame, train: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out=None, most_rows: int = 4000) -> DataFrame:
