@@ -2,7 +2,8 @@
 
 1. Words are hashed to BUCKETS buckets. The document frequencies of the benchmark's buckets are counted over all
    documents and give TF-IDF weights.
-2. Words of little weight count as none. The benchmark's items are cut into passages of WINDOW words at most, every STRIDE words. A randomised
+2. Words of little weight count as none, where an item keeps enough others. The benchmark's items are cut into passages of WINDOW words at most (fewer for short items),
+   a third of that apart. A randomised
    singular value decomposition of their TF-IDF matrix (a random range, sharpened by power steps, with
    the sums over passages computed in parallel) gives RANK latent directions. Directions that no
    benchmark passage has cannot raise a cosine with one, so the corpus needs no directions of its own.
@@ -34,10 +35,13 @@ from pyspark.sql import functions as F
 from .common import WORD, WordHasher, slices
 
 BUCKETS = 1 << 18
-WINDOW, STRIDE = 48, 16
+WINDOW = 48
+#: Items of fewer words are searched apart, with passages of three times the fewest.
+SHORT = 12
 RANK = 128
-#: Words whose IDF is below it (in more than a fifth of all documents) weigh nothing.
-LEAST_IDF = 1.6
+#: Words whose IDF is below it (in more than a fifth of all documents) weigh nothing, if at least KEEP of each item's
+#: distinct words that they stand in weigh more. FLOOR is the least weight of a word that counts.
+LEAST_IDF, KEEP, FLOOR = 1.6, 0.4, 0.2
 COSINE = 0.55
 #: Least share of a passage's weight that lies on the benchmark's words.
 INSIDE = 0.15
@@ -61,12 +65,22 @@ def bucketed(hasher: WordHasher, column: pa.Array) -> tuple[np.ndarray, np.ndarr
     return (h & U64(BUCKETS - 1)).astype(np.int64), first
 
 
-def bounds(count: int) -> list[tuple[int, int]]:
-    """Passages of a text of ``count`` words."""
-    if count <= WINDOW:
+def bounds(count: int, window: int) -> list[tuple[int, int]]:
+    """Passages of a text of ``count`` words: the last one ends with the text."""
+    if count <= window:
         return [(0, count)] if count else []
-    begins = list(range(0, count - WINDOW, STRIDE))
-    return [(a, a + WINDOW) for a in begins] + [(count - WINDOW, count)]
+    return [(a, a + window) for a in range(0, count - window, max(1, window // 3))] + [(count - window, count)]
+
+
+def weights(idf: np.ndarray, items: list[np.ndarray]) -> np.ndarray:
+    """IDF with light words at 0, but for those of items that would keep too little. items: vocabulary places of each."""
+    idf = np.maximum(idf, FLOOR)
+    light = idf < LEAST_IDF
+    needed = [np.unique(i) for i in items if len(i)]
+    spare = [i for i in needed if (~light[i]).mean() < KEEP]
+    if spare:
+        light[np.concatenate(spare)] = False
+    return np.where(light, 0.0, idf)
 
 
 def frequency_counter(vocabulary: np.ndarray):
@@ -91,13 +105,13 @@ def frequency_counter(vocabulary: np.ndarray):
     return run
 
 
-def passages(buckets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, end) of every passage."""
-    out = [(t, a, b) for t, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())) for a, b in ((x + p, x + q) for p, q in bounds(y - x))]
+def passages(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, end) of every passage of texts whose first words are at ``first``."""
+    out = [(t, x + p, x + q) for t, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())) for p, q in bounds(y - x, window)]
     return tuple(np.array(c, np.int64) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def sketch_step(place: np.ndarray, idf: np.ndarray, basis: np.ndarray):
+def sketch_step(place: np.ndarray, idf: np.ndarray, basis: np.ndarray, window: int):
     """One pass over item texts: the task's part of A'A @ basis, as float64 bytes."""
 
     def run(batches):
@@ -105,7 +119,7 @@ def sketch_step(place: np.ndarray, idf: np.ndarray, basis: np.ndarray):
         out = np.zeros(basis.shape)
         for batch in batches:
             b, first = bucketed(hasher, batch.column(0))
-            for _, x, y in zip(*passages(b, first)):
+            for _, x, y in zip(*passages(first, window)):
                 at, tf = np.unique(place[b[x:y]], return_counts=True)
                 row = tf * idf[at]
                 row = row / max(np.linalg.norm(row), 1e-12)
@@ -115,7 +129,7 @@ def sketch_step(place: np.ndarray, idf: np.ndarray, basis: np.ndarray):
     return run
 
 
-def latent_basis(items: DataFrame, place: np.ndarray, idf: np.ndarray, rank: int, power: int = 3) -> np.ndarray:
+def latent_basis(items: DataFrame, place: np.ndarray, idf: np.ndarray, rank: int, window: int, power: int = 3) -> np.ndarray:
     """Leading right singular vectors of the items' TF-IDF passages: random range, power steps, orthonormalisation.
 
     The parts that tasks send back have the size of the block's vocabulary times the rank, whatever the data."""
@@ -123,7 +137,7 @@ def latent_basis(items: DataFrame, place: np.ndarray, idf: np.ndarray, rank: int
     rank = min(rank, m)
     basis = np.linalg.qr(np.random.default_rng(17).standard_normal((m, rank)))[0]
     for _ in range(power):
-        parts = items.select("text").mapInArrow(sketch_step(place, idf, basis), "part binary").toLocalIterator()
+        parts = items.select("text").mapInArrow(sketch_step(place, idf, basis, window), "part binary").toLocalIterator()
         y = np.zeros((m, rank))
         for r in parts:
             y += np.frombuffer(r["part"], np.float64).reshape(m, rank)
@@ -143,7 +157,8 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
 class Items:
     """A block of benchmark items as the executors use it."""
 
-    def __init__(self, ids: list, texts: list[str], place: np.ndarray, idf: np.ndarray, basis: np.ndarray, outside: float) -> None:
+    def __init__(self, ids: list, texts: list[str], place: np.ndarray, idf: np.ndarray, basis: np.ndarray, outside: float, window: int) -> None:
+        self.window = window
         self.ids = ids
         self.words = [normal_words(t) for t in texts]
         self.idf, self.basis, self.place, self.outside = idf, basis, place, outside
@@ -152,7 +167,7 @@ class Items:
         b, first = bucketed(WordHasher(), column)
         weight = {w: idf[place[k]] for ws, x in zip(self.words, first[:-1]) for w, k in zip(ws, b[x:])}
         self.answers = [set(sorted(set(ws), key=lambda w: (-weight.get(w, outside), w))[:3]) for ws in last]
-        self.owner, x, y = passages(b, first)
+        self.owner, x, y = passages(first, window)
         vectors = [self.project(b[i:j]) for i, j in zip(x, y)]
         self.weighted = (idf[:, None] * basis).astype(np.float32)
         self.vectors = np.array(vectors, np.float32).reshape(-1, basis.shape[1])
@@ -189,7 +204,7 @@ def searcher(items: Items):
         for batch in batches:
             for part in slices(batch, most=1 << 20):
                 b, first = bucketed(hasher, part.column(1))
-                doc, x, y = passages(b, first)
+                doc, x, y = passages(first, items.window)
                 if not len(doc):
                     continue
                 at = items.place[b]
@@ -222,7 +237,7 @@ def searcher(items: Items):
                     spans: list[list[int]] = []
                     for _, p, q in sorted(found, key=lambda h: h[1]):
                         p, q = max(0, p - len(item)), q + len(item)
-                        if spans and p <= spans[-1][1] and q - spans[-1][0] <= 6 * (WINDOW + len(item)):
+                        if spans and p <= spans[-1][1] and q - spans[-1][0] <= 6 * (items.window + len(item)):
                             spans[-1][1] = max(q, spans[-1][1])
                         else:
                             spans.append([p, q])
@@ -241,39 +256,46 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").rlike(WORD))
-    total = items.count()
+    items = items.withColumn("n", F.size(F.regexp_extract_all("text", F.lit(f"({WORD})"), 0)))
     out = spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs_share double")
-    blocks = -(-total // block_items)
-    for block in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        rows = sorted(((r["item_id"], r["text"]) for r in mine.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        if not rows:
-            continue
-        b, _ = bucketed(WordHasher(), pa.array([" ".join(normal_words(t)) for _, t in rows], pa.large_string()))
-        vocabulary = np.unique(b)
-        if not len(vocabulary):
-            continue
-        place = np.full(BUCKETS, -1, np.int32)
-        place[vocabulary] = np.arange(len(vocabulary))
-        counted = texts.select("text").mapInArrow(frequency_counter(vocabulary), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
-        df = np.zeros(len(vocabulary) + 1)
-        for r in counted:
-            df[r["place"]] = r["n"]
-        n_docs, df = df[-1], df[:-1]
-        idf = np.log((n_docs + 1) / (df + 1)) 
-        idf[idf < LEAST_IDF] = 0
-        outside = float(np.median(idf[idf > 0])) if idf.any() else 1.0
-        clean = spark.createDataFrame([(" ".join(normal_words(t)),) for _, t in rows], "text string")
-        basis = latent_basis(clean, place, idf, rank)
-        packed = Items([i for i, _ in rows], [t for _, t in rows], place, idf, basis, outside)
-        out = out.unionByName(texts.mapInArrow(searcher(packed), "doc_id long, item_id long, cosine double, lcs_share double"))
+    sizes = items.agg(F.sum((F.col("n") < SHORT).cast("int")).alias("short"), F.sum((F.col("n") >= SHORT).cast("int")).alias("long")).first()
+    for short, total in ((True, sizes["short"] or 0), (False, sizes["long"] or 0)):
+        kind = items.where((F.col("n") < SHORT) == short)
+        blocks = -(-total // block_items)
+        for block in range(blocks):
+            mine = kind.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else kind
+            rows = sorted(((r["item_id"], r["text"]) for r in mine.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+            packed = packed_block(texts, rows, rank, short)
+            if packed is not None:
+                out = out.unionByName(texts.mapInArrow(searcher(packed), "doc_id long, item_id long, cosine double, lcs_share double"))
     return out
 
 
+def packed_block(texts: DataFrame, rows: list[tuple[int, str]], rank: int, short: bool) -> Items | None:
+    """The search index of one block of benchmark items; document frequencies are counted over all texts."""
+    spark = texts.sparkSession
+    plain = [" ".join(normal_words(t)) for _, t in rows]
+    b, first = bucketed(WordHasher(), pa.array(plain, pa.large_string()))
+    vocabulary = np.unique(b)
+    if not len(vocabulary):
+        return None
+    place = np.full(BUCKETS, -1, np.int32)
+    place[vocabulary] = np.arange(len(vocabulary))
+    counted = texts.select("text").mapInArrow(frequency_counter(vocabulary), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    df = np.zeros(len(vocabulary) + 1)
+    for r in counted:
+        df[r["place"]] = r["n"]
+    idf = weights(np.log((df[-1] + 1) / (df[:-1] + 1)), [place[b[x:y]] for x, y in zip(first[:-1], first[1:])])
+    outside = float(np.median(idf[idf > 0]))
+    window = min(WINDOW, max(6, 3 * int(np.diff(first)[np.diff(first) > 0].min()))) if short else WINDOW
+    basis = latent_basis(spark.createDataFrame([(p,) for p in plain], "text string"), place, idf, rank, window)
+    return Items([i for i, _ in rows], [t for _, t in rows], place, idf, basis, outside, window)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that hold no benchmark item; rows with a null id stay only if no null-id row holds one."""
-    bad = find(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = find(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_cairnlake_bad")).distinct()
+    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("_cairnlake_bad")), "left_anti")
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

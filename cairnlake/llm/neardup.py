@@ -343,7 +343,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     """The documents without near-duplicates: of each group the one with the smallest id stays (one row, if rows repeat)."""
     kept = near_duplicates(docs, id_col, text_col, shingle_words, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
     once = Window.partitionBy(id_col).orderBy(F.col(text_col).desc())
-    stay = docs.join(kept, id_col, "left_semi").withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth")
+    stay = docs.join(kept, id_col, "left_semi").withColumn("_cairnlake_nth", F.row_number().over(once)).where("_cairnlake_nth = 1").drop("_cairnlake_nth")
     return stay.unionByName(docs.where(F.col(id_col).isNull()))
 
 
