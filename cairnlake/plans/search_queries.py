@@ -79,7 +79,7 @@ _SEM = """sem AS (
 @query(
     "g4_semantic_blend",
     f"""WITH {SCORED}, {_SEM}, both_s AS (
-  SELECT b.bullet_id, (least(keyword_score / 35.0::DOUBLE, 1.0) * 0.6 + greatest(0, least(1, coalesce(CASE WHEN sim < 0 THEN greatest(0, (sim + 1) / 2) ELSE least(sim, 1) END, 0))) * 0.4)
+  SELECT b.bullet_id, (least(keyword_score / 35.0::DOUBLE, 1.0) * 0.6 + greatest(0, least(1, coalesce(CASE WHEN sim IS NULL THEN 0 WHEN sim < 0 THEN greatest(0, (sim + 1) / 2) ELSE least(sim, 1) END, 0))) * 0.4)
     * decay_weight * CASE WHEN age <= 7 THEN 1.2 ELSE 1.0 END * CASE WHEN scope = '{SCOPE}' THEN 1.5 ELSE 1.0 END AS raw
   FROM keyed b LEFT JOIN sem USING (bullet_id) WHERE scope IN ('{SCOPE}', 'global'))
 SELECT bullet_id, round(raw, 6) AS raw FROM both_s ORDER BY both_s.raw DESC, bullet_id LIMIT 20""",
