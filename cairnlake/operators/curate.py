@@ -135,3 +135,18 @@ def merge_sources(a: Column, b: Column, cap: int = 50) -> Column:
     timed = F.array_sort(once, lambda x, y: F.when(x["timestamp"] < y["timestamp"], -1).when(x["timestamp"] > y["timestamp"], 1).otherwise(0))
     half = cap // 2
     return F.when(F.size(timed) > cap, F.concat(F.slice(timed, 1, half), F.slice(timed, -half, half))).otherwise(timed)
+
+
+def pairs_compared(rows: DataFrame, roles: DataFrame) -> DataFrame:
+    """One row: how many pairs the ordered walk of ``consolidate`` looks at: for each seed i, the later rows that have
+    no seed or whose seed is not before i.
+
+    Rows that no seed takes meet all seeds before them; a row with a seed meets those up to its seed. Both are counts
+    of seeds by position, so positions suffice: rows: id; roles: id, seed, role. Rows without words are their own seeds."""
+    full = rows.join(roles, "id", "left").select("id", F.when(F.col("role").isin("member", "redundant"), F.col("seed")).alias("seed"))
+    order = Window.orderBy("id")
+    seeds_before = F.sum(F.when(F.col("seed").isNull(), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    ranked = full.withColumn("before", F.coalesce(seeds_before, F.lit(0)))
+    upto = ranked.where("seed is null").select(F.col("id").alias("seed"), (F.col("before") + 1).alias("upto"))
+    met = ranked.join(upto, "seed", "left").select(F.coalesce("upto", "before").alias("n"))
+    return met.agg(F.sum("n").cast("long").alias("pairs_compared"))

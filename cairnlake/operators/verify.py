@@ -56,7 +56,8 @@ def code_blocks(text: Column) -> Column:
 
 def symbols(text: Column) -> Column:
     """Definition heads (``def name``) and identifiers in backticks, each once."""
-    found = [F.transform(F.regexp_extract_all(text, F.lit(rf"\b{h}\s+([A-Za-z_][A-Za-z0-9_]*)"), 1), lambda n, h=h: F.concat(F.lit(h + " "), n)) for h in HEADS]
+    headed = lambda h: F.transform(F.regexp_extract_all(text, F.lit(rf"\b{h}\s+([A-Za-z_][A-Za-z0-9_]*)"), 1), lambda n: F.concat(F.lit(h + " "), n))
+    found = [headed(h) for h in HEADS]
     found.append(F.regexp_extract_all(text, F.lit("`([A-Za-z_][A-Za-z0-9_]{2,})`"), 1))
     return F.array_distinct(F.concat(*found))
 
