@@ -66,7 +66,8 @@ def best_match(left: DataFrame, left_tokens: Column, left_id: str, right: DataFr
     pick = lambda df, t, i, side: df.select(F.col(i).alias("id"), (F.col(group) if group else F.lit("")).alias("grp"), F.array_sort(F.array_distinct(F.transform(t, lambda w: F.xxhash64(w)))).alias("toks"), F.lit(side).alias("side"))
     both = pick(left, left_tokens, left_id, 0).unionByName(pick(right, right_tokens, right_id, 1)).where(F.size("toks") > 0).withColumn("n", F.size("toks"))
     pairs = similar_pairs(both, threshold, sides=True)
-    return pairs.groupBy("a").agg(F.max(F.struct("sim", (-F.col("b")).alias("m"), "b")).alias("x")).select(F.col("a").alias("left_id"), F.col("x.b").alias("right_id"), F.col("x.sim").alias("sim"))
+    best = pairs.groupBy("a").agg(F.min(F.struct((-F.col("sim")).alias("m"), "b")).alias("x"))
+    return best.select(F.col("a").alias("left_id"), F.col("x.b").alias("right_id"), (-F.col("x.m")).alias("sim"))
 
 
 def suppress(rows: DataFrame, pairs: DataFrame, rounds: int = 200) -> DataFrame:

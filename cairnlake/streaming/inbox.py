@@ -27,7 +27,7 @@ def inbox_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def vault_stream(spark: SparkSession, path: str) -> DataFrame:
     """New or replaced Markdown files of a folder: file, header, body."""
-    raw = spark.readStream.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+    raw = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(path)
     part = store.front_matter(F.col("value"))
     return raw.select(F.col("_metadata.file_path").alias("file"), part["header"].alias("header"), part["body"].alias("body"), F.col("_metadata.file_modification_time").alias("modified"))
 
@@ -64,7 +64,8 @@ _OUT = "conversation_id string, batch long, ids array<string>, reason string"
 def batches(entries: DataFrame, least: int = MINING.batch_least, most: int = MINING.batch_size, hours: float = MINING.batch_hours) -> DataFrame:
     """Batches of each conversation's entries: when ``least`` are waiting (in pieces of ``most``), or when the oldest has waited ``hours``.
 
-    The state of a conversation is the ids that wait; a processing-time timer sends them when their time is up."""
+    The state of a conversation is the ids that wait; a processing-time timer sends them when their time is up. Timers
+    need a query that keeps running (a processing-time trigger, not availableNow)."""
 
     def step(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
         waiting, first, sent = state.get if state.exists else ([], None, 0)

@@ -1,5 +1,6 @@
 import json
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -290,8 +291,14 @@ def test_batch_stream(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
     (src / "a.json").write_text("\n".join([json.dumps({"id": str(i), "conversation_id": "c", "status": "pending", "timestamp": f"2024-01-01T00:00:{i:02d}"}) for i in range(7)] + ["{bad"]))
-    q = inbox.batches(inbox.inbox_stream(spark, str(src)), least=3, most=4, hours=1).writeStream.format("memory").queryName("batch_out").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = inbox.batches(inbox.inbox_stream(spark, str(src)), least=3, most=4, hours=1).writeStream.format("memory").queryName("batch_out").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start()
+    try:  # a query with timers has always another batch to run, so it does not end by itself
+        for _ in range(60):
+            if spark.sql("select * from batch_out").count() == 2:
+                break
+            time.sleep(1)
+    finally:
+        q.stop()
     got = spark.sql("select * from batch_out").collect()
     assert sorted(len(r.ids) for r in got) == [3, 4] and {r.reason for r in got} == {"count"}
 
