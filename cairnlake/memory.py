@@ -15,6 +15,7 @@ from .config import CURATION, DECAY, RETRIEVAL
 from .functions import privacy, text
 from .operators import aggregates, curate, graph, mine, search, topics, verify
 from .sources import store
+from .sources.scratch import written
 from .streaming.inbox import current_version
 
 RECORD = """bullet_id string, content string, user_id string, scope string, section string, knowledge_type string,
@@ -107,8 +108,8 @@ class Memory:
         live = store.purge(old)
         cands = df.withColumn("content", privacy.redact(F.col("content"), self.patterns)).withColumn("scope", F.coalesce("scope", F.lit("global"))).withColumn("cand_id", F.substring(F.sha2(F.concat_ws("|", "scope", "content"), 256), 1, 16)).dropDuplicates(["cand_id"])
         alone = curate.consolidate(cands.where("trim(content) <> ''"), "cand_id").where("role = 'kept'").select(F.col("id").alias("cand_id"))
-        cands = graph._cut(cands.join(alone, "cand_id", "left_semi"))
-        plan = graph._cut(curate.curate(cands.select("cand_id", "content", "scope"), live.select(F.col("bullet_id").alias("bullet_key"), "content", "scope")))
+        cands = written(cands.join(alone, "cand_id", "left_semi"))
+        plan = written(curate.curate(cands.select("cand_id", "content", "scope"), live.select(F.col("bullet_id").alias("bullet_key"), "content", "scope")))
         have = set(cands.columns)
         col = lambda c, kind, default: (F.coalesce(F.col(c).cast(kind), default) if c in have else default.cast(kind)).alias(c)
         empty = F.array().cast("array<string>")
@@ -178,12 +179,12 @@ class Memory:
 
     def consolidate_run(self, similarity: float = CURATION.similarity, now=None) -> DataFrame:
         """Groups of near-duplicates become their winner; redundant rows are soft-deleted. Returns the roles."""
-        roles = graph._cut(self.consolidate_scan(similarity))
+        roles = written(self.consolidate_scan(similarity))
         groups = roles.where("role in ('kept', 'member')").select(F.col("seed").alias("grp"), "id")
         sized = groups.join(groups.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp"), "grp", "left_semi")
         old = self.table("records")
         recs = old.withColumnRenamed("bullet_id", "id")
-        won = graph._cut(curate.winners(sized, recs))
+        won = written(curate.winners(sized, recs))
         out = curate.executed(recs, won, sized, roles.where("role = 'redundant'").select("id"), self._now(now))
         self.write("records", out.withColumnRenamed("id", "bullet_id").select(old.columns))
         return roles
@@ -191,7 +192,7 @@ class Memory:
     def run_decay_sweep(self, now=None, cfg=DECAY) -> DataFrame:
         """Weights as of now are written; returns the number of rows by outcome."""
         live = self.table("records").withColumn("current_weight", F.col("decay_weight"))
-        swept = graph._cut(aggregates.sweep(live, self._now(now), cfg))
+        swept = written(aggregates.sweep(live, self._now(now), cfg))
         self.write("records", swept.withColumn("decay_weight", F.col("new_weight")).select(self.table("records").columns))
         return swept.groupBy("outcome").agg(F.count("*").alias("n"))
 

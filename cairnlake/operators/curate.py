@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CURATION
 from ..functions import score, text
+from ..sources.scratch import written
 from . import simjoin
 
 
@@ -59,9 +60,9 @@ def consolidate(df: DataFrame, id_col: str, similarity: float = CURATION.similar
 
     Equal word sets collapse first: of a class only the smallest id can be a seed, and the rest follow it."""
     pairs, members = simjoin.self_join(df, text.word_set(F.col("content")), similarity, id_col)
-    pairs = simjoin._cut(pairs)
+    pairs = written(pairs)
     reps = members.where("id = rep").select("id", F.col("id").alias("rank"), F.lit(False).alias("forced"))
-    kept = simjoin._cut(simjoin.suppress(reps, pairs))
+    kept = written(simjoin.suppress(reps, pairs))
     alive = kept.where("kept").select(F.col("id").alias("a"))
     lead = pairs.join(alive, "a").groupBy(F.col("b").alias("id")).agg(F.min(F.struct("a", "sim")).alias("x"))
     of_rep = kept.join(lead, "id", "left").select(F.col("id").alias("rep"), "kept", F.when(~F.col("kept"), F.col("x.a")).alias("seed"), F.col("x.sim").alias("sim"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import GRAPH, TOPICS
+from ..sources.scratch import written
 
 
 def co_recall(log: DataFrame, set_cols: list[str], id_col: str, step: float = GRAPH.corecall_step, most: float = GRAPH.most_weight) -> DataFrame:
@@ -74,14 +75,14 @@ def vector_adjacency(vectors: DataFrame, above: float = TOPICS.edge_above, id_co
 def connected(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, comp), comp the smallest id reachable over pairs (u, v); small results cut the lineage in every round."""
     edges = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    edges = _cut(edges)
+    edges = written(edges)
     mark = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        edges = _cut(large.join(least, "a").select(F.col("m").alias("u"), F.explode(F.array("a", "b")).alias("v")).where("u < v").distinct())
+        edges = written(large.join(least, "a").select(F.col("m").alias("u"), F.explode(F.array("a", "b")).alias("v")).where("u < v").distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == mark:
             break
@@ -89,28 +90,12 @@ def connected(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("comp")).unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("comp")).distinct())
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of spark.checkpoint.dir; a local session without one gets a temporary folder."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="cairnlake-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def louvain(pairs: DataFrame, max_passes: int = 20, tolerance: float = 1e-7) -> DataFrame:
     """Communities (id, community = smallest id of it) by one phase of modularity moves in id order.
 
     A move depends only on a node's neighbours, their communities and the total weight, so components are
     independent once the total is known: it is summed first, and each component is one group."""
-    pairs = _cut(pairs.where("u <> v").select("u", "v", "weight"))
+    pairs = written(pairs.where("u <> v").select("u", "v", "weight"))
     total = pairs.agg(F.sum("weight")).first()[0] or 0.0
     m2 = 2.0 * total
     comp = connected(pairs)

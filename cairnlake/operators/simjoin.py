@@ -1,8 +1,8 @@
 """Exact set-similarity joins by prefix filtering, and ordered greedy suppression over their pairs.
 
 Tokens are ordered by how many rows have them, the rarest first. Two sets with a Jaccard similarity of t or more
-share one of their first n - ceil(t * n) + 1 tokens, so only rows that share such a token are compared; the sizes
-and the places of the shared token rule out most of these. Rows with equal sets are one representative
+share one of their first n - ceil(t * n) + 1 tokens, so only rows that share such a token are compared; the sizes,
+the number of shared tokens and the place of the last one rule out most of these before any set moves. Rows with equal sets are one representative
 in the join, so copies are not compared with each other.
 """
 
@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import _cut
+from ..sources.scratch import written
 
 
 def classes(df: DataFrame, tokens: Column, id_col: str, group: str | None = None) -> DataFrame:
     """(id, rep, n, toks[, grp]): toks are token hashes, rep the smallest id with the same set (and group)."""
-    cols = [F.col(id_col).alias("id"), F.transform(tokens, lambda t: F.xxhash64(t)).alias("raw"), (F.col(group) if group else F.lit("")).alias("grp")]
-    rows = df.select(*cols).where(F.size("raw") > 0).withColumn("toks", F.array_sort(F.array_distinct("raw"))).drop("raw")
-    rows = rows.withColumn("h1", F.xxhash64("toks")).withColumn("h2", F.xxhash64(F.lit(7), "toks"))
+    hashed = F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))))
+    rows = df.select(F.col(id_col).alias("id"), (F.col(group) if group else F.lit("")).alias("grp"), hashed.alias("toks"))
+    rows = written(rows.where(F.size("toks") > 0).withColumn("h1", F.xxhash64("toks")).withColumn("h2", F.xxhash64(F.lit(7), "toks")))
     reps = rows.groupBy("grp", "h1", "h2").agg(F.min("id").alias("rep"))
     return rows.join(reps, ["grp", "h1", "h2"]).select("id", "rep", "grp", F.size("toks").alias("n"), "toks")
 
@@ -36,9 +36,11 @@ def similar_pairs(reps: DataFrame, threshold: float, sides: bool = False) -> Dat
     left = prefix.select("grp", "tok", F.col("id").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), *([F.col("side").alias("sa")] if sides else []))
     right = prefix.select("grp", "tok", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), *([F.col("side").alias("sb")] if sides else []))
     order = (F.col("sa") == 0) & (F.col("sb") == 1) if sides else F.col("a") < F.col("b")
+    sized = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
+    hits = left.join(right, ["grp", "tok"]).where(order & sized).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
+    # all common tokens up to the last common one of the prefixes are counted; after it there are at most so many more
     overlap = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
-    able = (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & (1 + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1) >= overlap)
-    cands = left.join(right, ["grp", "tok"]).where(order & able).select("a", "b").distinct()
+    cands = hits.where(F.col("c") + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1) >= overlap).select("a", "b")
     sets = reps.select("id", "toks", *(["side"] if sides else []))
     a = (sets.where("side = 0") if sides else sets).select(F.col("id").alias("a"), F.col("toks").alias("ta"))
     b = (sets.where("side = 1") if sides else sets).select(F.col("id").alias("b"), F.col("toks").alias("tb"))
@@ -65,7 +67,7 @@ def best_match(left: DataFrame, left_tokens: Column, left_id: str, right: DataFr
     """(left id, right id, sim): the most similar right row of each left row, ties to the smaller id."""
     pick = lambda df, t, i, side: df.select(F.col(i).alias("id"), (F.col(group) if group else F.lit("")).alias("grp"), F.array_sort(F.array_distinct(F.transform(t, lambda w: F.xxhash64(w)))).alias("toks"), F.lit(side).alias("side"))
     both = pick(left, left_tokens, left_id, 0).unionByName(pick(right, right_tokens, right_id, 1)).where(F.size("toks") > 0).withColumn("n", F.size("toks"))
-    pairs = similar_pairs(both, threshold, sides=True)
+    pairs = similar_pairs(written(both), threshold, sides=True)
     best = pairs.groupBy("a").agg(F.min(F.struct((-F.col("sim")).alias("m"), "b")).alias("x"))
     return best.select(F.col("a").alias("left_id"), F.col("x.b").alias("right_id"), (-F.col("x.m")).alias("sim"))
 
@@ -77,9 +79,9 @@ def suppress(rows: DataFrame, pairs: DataFrame, rounds: int = 200) -> DataFrame:
     rows without an undecided smaller neighbour are kept, and their larger neighbours go."""
     r = rows.select("id", "rank", F.coalesce("forced", F.lit(False)).alias("forced"))
     p = pairs.select("a", "b").join(r.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(r.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b").where("a <> b")
-    p = _cut(p.select(F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("lo"), F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("hi")).distinct())
+    p = written(p.select(F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("lo"), F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("hi")).distinct())
     ends = p.select(F.explode(F.array("lo", "hi")).alias("id")).distinct()
-    state = _cut(ends.join(r, "id").select("id", F.when(F.col("forced"), "new").otherwise("open").alias("state"), "forced"))
+    state = written(ends.join(r, "id").select("id", F.when(F.col("forced"), "new").otherwise("open").alias("state"), "forced"))
     for _ in range(rounds):
         # larger neighbours of rows kept in the last round go, unless they are forced
         news = state.where("state = 'new'").select(F.col("id").alias("lo"))
@@ -87,7 +89,7 @@ def suppress(rows: DataFrame, pairs: DataFrame, rounds: int = 200) -> DataFrame:
         state = state.join(gone, "id", "left").select("id", F.when((F.col("state") == "open") & F.col("_gone"), "gone").when(F.col("state") == "new", "kept").otherwise(F.col("state")).alias("state"), "forced")
         still = state.where("state = 'open'").select(F.col("id").alias("lo"))
         blocked = p.join(still, "lo").select(F.col("hi").alias("id")).distinct().withColumn("_blocked", F.lit(True))
-        state = _cut(state.join(blocked, "id", "left").select("id", F.when((F.col("state") == "open") & F.col("_blocked").isNull(), "new").otherwise(F.col("state")).alias("state"), "forced"))
+        state = written(state.join(blocked, "id", "left").select("id", F.when((F.col("state") == "open") & F.col("_blocked").isNull(), "new").otherwise(F.col("state")).alias("state"), "forced"))
         if state.where("state = 'new'").isEmpty():
             break
     return r.join(state.select("id", "state"), "id", "left").select("id", "rank", F.coalesce(F.col("state") != "gone", F.lit(True)).alias("kept"))
