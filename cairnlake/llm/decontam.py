@@ -42,7 +42,7 @@ RANK = 128
 #: Words whose IDF is below it (in more than a fifth of all documents) weigh nothing, if at least KEEP of each item's
 #: distinct words that they stand in weigh more. FLOOR is the least weight of a word that counts.
 LEAST_IDF, KEEP, FLOOR = 1.6, 0.4, 0.2
-COSINE = 0.55
+COSINE = 0.65
 #: Least share of a passage's weight that lies on the benchmark's words.
 INSIDE = 0.15
 STRONG, PARAPHRASE = 0.8, 0.6
