@@ -119,6 +119,10 @@ class WordHasher:
     def hashes(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Word hashes in text order, and for each text the index of its first word (n + 1 values)."""
         data, starts, ends, first = self.spans(column)
+        return self.of_spans(data, starts, ends), first
+
+    def of_spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the words data[start:end]."""
         out = np.empty(len(starts), U64)
         with np.errstate(over="ignore"):
             i = 0
@@ -138,7 +142,7 @@ class WordHasher:
                 s, e = starts[i:j] - lo, ends[i:j] - lo
                 out[i:j] = mix64((total[e] - total[s]) * self.inverse[s])
                 i = j
-        return out, first
+        return out
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 22):

@@ -2,18 +2,16 @@
 
 1. Words are hashed to BUCKETS buckets. The document frequencies of the benchmark's buckets are counted over all
    documents and give TF-IDF weights.
-2. Words of little weight count as none, where an item keeps enough others. The benchmark's items are cut into passages of WINDOW words at most (fewer for short items),
-   a third of that apart. A randomised
-   singular value decomposition of their TF-IDF matrix (a random range, sharpened by power steps, with
-   the sums over passages computed in parallel) gives RANK latent directions. Directions that no
-   benchmark passage has cannot raise a cosine with one, so the corpus needs no directions of its own.
-3. Every document is cut into overlapping passages the same way. A passage with less than INSIDE of
-   its weight on the benchmark's words cannot hold an item (the cosine with any of them is at most the root of
-   that share) and is skipped; the others are projected, and the benchmark passages with a cosine of COSINE or
-   more are candidates.
-4. A candidate is confirmed on words: the longest common subsequence of the item and the text around
-   the passage must hold STRONG of the item's words, or PARAPHRASE of them if it also holds the item's
-   answer (the rarest words of its last sentence).
+2. Words of little weight count as none, where an item keeps enough others. The benchmark's items are cut into passages
+   about as long as themselves (WINDOWS), a third of that apart, and dealt into parts of PART items of a kind. A randomised
+   singular value decomposition of a part's TF-IDF matrix (a random range, sharpened by power steps) gives RANK latent
+   directions at most. Directions that no passage of the part has cannot raise a cosine with one, so the
+   corpus needs no directions of its own, and parts keep the directions few for large benchmarks.
+3. Every document is cut into passages of the same length and projected; benchmark passages with a cosine
+   of COSINE or more are candidates. So are items of which RUN words in a row stand in the text, whatever they weigh.
+4. Candidates around which fewer than PARAPHRASE of the item's words stand go. The others are confirmed on words: the longest
+   common subsequence of the item and the text around the passage must hold STRONG of the item's words, or PARAPHRASE
+   of them if it also holds the item's answer (the rarest words of its last sentence).
 
 The benchmark is sent to executors in blocks of ``block_items`` items, so what is broadcast is bounded.
 
@@ -35,22 +33,25 @@ from pyspark.sql import functions as F
 from .common import WORD, WordHasher, slices
 
 BUCKETS = 1 << 18
-WINDOW = 48
-#: Items of fewer words are searched apart, with passages of three times the fewest.
-SHORT = 12
-RANK = 128
+#: Words of a passage, by the least words of an item: passages are about as long as the items they are compared with.
+WINDOWS = ((32, 48), (12, 24), (0, 12))
+#: Items whose directions are found together, and the most directions of them.
+PART = RANK = 256
+#: So many of an item's words in a row make a candidate, whatever they weigh.
+RUN = 4
 #: Words whose IDF is below it (in more than a fifth of all documents) weigh nothing, if at least KEEP of each item's
 #: distinct words that they stand in weigh more. FLOOR is the least weight of a word that counts.
 LEAST_IDF, KEEP, FLOOR = 1.6, 0.4, 0.2
-COSINE = 0.65
-#: Least share of a passage's weight that lies on the benchmark's words.
-INSIDE = 0.15
+COSINE = 0.45
 STRONG, PARAPHRASE = 0.8, 0.6
 MIN_WORDS = 8
+#: Words beside a passage, over the item's own length on each side, that are compared with the item.
+MARGIN = 16
 
 U64 = np.uint64
 _WORD = re.compile(WORD)
 _EDGE = ".,;:!?\"'()[]{}<>*%&$#|-_"
+_AT_EDGE = np.isin(np.arange(256), np.frombuffer(_EDGE.encode(), np.uint8))
 
 
 def normal_words(text: str | None) -> list[str]:
@@ -58,18 +59,85 @@ def normal_words(text: str | None) -> list[str]:
     return [w for w in (x.strip(_EDGE) for x in _WORD.findall((text or "").lower())) if w]
 
 
-def bucketed(hasher: WordHasher, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every normal word of the texts, and n + 1 offsets."""
-    plain = pa.compute.ascii_lower(pa.compute.replace_substring_regex(column.fill_null(""), r"[.,;:!?\"'()\[\]{}<>*%&$#|_-]+(\s|$)|(^|\s)[.,;:!?\"'()\[\]{}<>*%&$#|_-]+", " "))
-    h, first = hasher.hashes(plain)
-    return (h & U64(BUCKETS - 1)).astype(np.int64), first
+def hashed(hasher: WordHasher, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every normal word of the texts, and n + 1 offsets."""
+    data, starts, ends, first = hasher.spans(pa.compute.utf8_lower(column))
+    left = np.flatnonzero(_AT_EDGE[data[starts]])
+    while len(left):
+        starts[left] += 1
+        left = left[starts[left] < ends[left]]
+        left = left[_AT_EDGE[data[starts[left]]]]
+    right = np.flatnonzero((starts < ends) & _AT_EDGE[data[ends - 1]])
+    while len(right):
+        ends[right] -= 1
+        right = right[_AT_EDGE[data[ends[right] - 1]]]
+    words = starts < ends
+    return hasher.of_spans(data, starts[words], ends[words]), np.concatenate([[0], np.cumsum(words)])[first]
+
+
+def bucket(h: np.ndarray) -> np.ndarray:
+    return (h & U64(BUCKETS - 1)).astype(np.int64)
+
+
+class Runs:
+    """Runs of RUN words of items (of all words of items that are shorter than MIN_WORDS), found in texts by their hashes."""
+
+    def __init__(self, items: list[np.ndarray]) -> None:
+        """items: word hashes of each."""
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for k, h in enumerate(items):
+            n = RUN if len(h) >= MIN_WORDS else len(h)
+            for i, g in enumerate(self.grams(h, n).tolist() if n else []):
+                found.setdefault(n, []).append((g, k, i))
+        self.tables = []
+        for n, rows in sorted(found.items()):
+            rows.sort()
+            g = np.array([r[0] for r in rows], U64)
+            keys, begin = np.unique(g, return_index=True)
+            self.tables.append((n, keys, np.append(begin, len(rows)), np.array([r[1:] for r in rows], np.int64)))
+
+    @staticmethod
+    def grams(h: np.ndarray, n: int) -> np.ndarray:
+        count = max(0, len(h) - n + 1)
+        out = h[:count]
+        for i in range(1, n):
+            out = out * U64(0x9E3779B97F4A7C15) + h[i : i + count]
+        return out
+
+    def places(self, h: np.ndarray, first: np.ndarray):
+        """(n, first words of runs in the texts, run of each, begin of each run's rows, rows (item, word)) for every length n."""
+        end = np.repeat(first[1:], np.diff(first))
+        for n, keys, begin, rows in self.tables:
+            maybe = np.zeros(1 << 22, bool)
+            maybe[(keys >> U64(42)).astype(np.int64)] = True
+            g = self.grams(h, n)
+            at = np.flatnonzero(maybe[(g >> U64(42)).astype(np.int64)])
+            at = at[at + n <= end[at]]
+            key = np.minimum(np.searchsorted(keys, g[at]), len(keys) - 1)
+            same = keys[key] == g[at]
+            yield n, at[same], key[same], begin, rows
+
+    def candidates(self, h: np.ndarray, first: np.ndarray):
+        """(text, first word, end, item, -1, word at which the item would begin) of the runs that stand in texts."""
+        for n, at, key, begin, rows in self.places(h, first):
+            size = begin[key + 1] - begin[key]
+            row = np.repeat(begin[key] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            at = np.repeat(at, size)
+            item, word = rows[row].T
+            yield np.searchsorted(first, at, side="right") - 1, at, at + n, item, np.full(len(at), -1.0), at - word
 
 
 def bounds(count: int, window: int) -> list[tuple[int, int]]:
-    """Passages of a text of ``count`` words: the last one ends with the text."""
-    if count <= window:
-        return [(0, count)] if count else []
-    return [(a, a + window) for a in range(0, count - window, max(1, window // 3))] + [(count - window, count)]
+    """Passages of a text of ``count`` words, a third of the window apart; the last one ends with the text."""
+    third = window // 3
+    return [(a, min(a + window, count)) for a in range(0, max(count - window + third, 1), third)] if count else []
+
+
+def placed(vocabulary: np.ndarray) -> np.ndarray:
+    """Place of every bucket in the vocabulary, or -1."""
+    place = np.full(BUCKETS, -1, np.int32)
+    place[vocabulary] = np.arange(len(vocabulary))
+    return place
 
 
 def weights(idf: np.ndarray, items: list[np.ndarray]) -> np.ndarray:
@@ -88,14 +156,13 @@ def frequency_counter(vocabulary: np.ndarray):
 
     def run(batches):
         hasher = WordHasher()
-        place = np.full(BUCKETS, -1, np.int64)
-        place[vocabulary] = np.arange(len(vocabulary))
+        place = placed(vocabulary)
         total, docs = np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
             for part in slices(batch):
-                b, first = bucketed(hasher, part.column(0))
+                h, first = hashed(hasher, part.column(0))
                 docs += part.num_rows
-                at = place[b]
+                at = place[bucket(h)]
                 doc = np.repeat(np.arange(part.num_rows), np.diff(first))
                 mine = at >= 0
                 total += np.bincount(np.unique(doc[mine] * len(vocabulary) + at[mine]) % len(vocabulary), minlength=len(vocabulary))
@@ -105,44 +172,13 @@ def frequency_counter(vocabulary: np.ndarray):
     return run
 
 
-def passages(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, end) of every passage of texts whose first words are at ``first``."""
-    out = [(t, x + p, x + q) for t, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())) for p, q in bounds(y - x, window)]
-    return tuple(np.array(c, np.int64) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-
-
-def sketch_step(place: np.ndarray, idf: np.ndarray, basis: np.ndarray, window: int):
-    """One pass over item texts: the task's part of A'A @ basis, as float64 bytes."""
-
-    def run(batches):
-        hasher = WordHasher()
-        out = np.zeros(basis.shape)
-        for batch in batches:
-            b, first = bucketed(hasher, batch.column(0))
-            for _, x, y in zip(*passages(first, window)):
-                at, tf = np.unique(place[b[x:y]], return_counts=True)
-                row = tf * idf[at]
-                row = row / max(np.linalg.norm(row), 1e-12)
-                out[at] += np.outer(row, row @ basis[at])
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["part"])
-
-    return run
-
-
-def latent_basis(items: DataFrame, place: np.ndarray, idf: np.ndarray, rank: int, window: int, power: int = 3) -> np.ndarray:
-    """Leading right singular vectors of the items' TF-IDF passages: random range, power steps, orthonormalisation.
-
-    The parts that tasks send back have the size of the block's vocabulary times the rank, whatever the data."""
-    m = len(idf)
-    rank = min(rank, m)
-    basis = np.linalg.qr(np.random.default_rng(17).standard_normal((m, rank)))[0]
+def latent_basis(rows: np.ndarray, rank: int, power: int = 3) -> np.ndarray:
+    """Leading right singular vectors of the rows: random range, power steps, orthonormalisation."""
+    rank = min(rank, *rows.shape)
+    basis = np.linalg.qr(np.random.default_rng(17).standard_normal((rows.shape[1], rank)))[0]
     for _ in range(power):
-        parts = items.select("text").mapInArrow(sketch_step(place, idf, basis, window), "part binary").toLocalIterator()
-        y = np.zeros((m, rank))
-        for r in parts:
-            y += np.frombuffer(r["part"], np.float64).reshape(m, rank)
-        basis = np.linalg.qr(y)[0]
-    return basis.astype(np.float32)
+        basis = np.linalg.qr(rows.T @ (rows @ basis))[0]
+    return basis
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -155,27 +191,115 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class Items:
+    """Benchmark items with passages of one length, and their latent directions."""
+
+    def __init__(self, places: list[int], hashes: list[np.ndarray], vocabulary: np.ndarray, idf: np.ndarray, rank: int, window: int) -> None:
+        """places: of the items in the block. vocabulary: buckets of the block's items, with the weights idf."""
+        self.third = window // 3
+        buckets = [bucket(h) for h in hashes]
+        self.vocabulary = np.unique(np.concatenate(buckets))
+        mine = idf[np.searchsorted(vocabulary, self.vocabulary)]
+        at = [np.searchsorted(self.vocabulary, x) for x in buckets]
+        self.idf = weights(mine, at)
+        cut = [(k, x[p:q]) for k, x in zip(places, at) for p, q in bounds(len(x), window)]
+        self.owner = np.array([k for k, _ in cut], np.int64)
+        rows = np.array([np.bincount(x, self.idf[x], len(self.idf)) for _, x in cut])
+        rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+        basis = latent_basis(rows, rank)
+        vectors = rows @ basis
+        self.vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        self.weighted = (self.idf[:, None] * basis).astype(np.float32)
+
+    def candidates(self, at: np.ndarray, first: np.ndarray):
+        """(text, first word, end, item, cosine, 0) of passages near an item; at: places in the vocabulary of the texts' words."""
+        third = self.third
+        count = np.diff(first)
+        parts = -(-count // third)
+        base = np.concatenate([[0], np.cumsum(parts)])
+        text = np.repeat(np.arange(len(count)), parts)
+        begin = first[text] + (np.arange(base[-1]) - base[text]) * third
+        heavy = np.flatnonzero((at >= 0) & (self.idf[at] > 0))
+        upto = np.searchsorted(heavy, np.append(begin, first[-1]))
+        step = max(1, (1 << 15) // third)
+        for lo in range(0, base[-1], step):
+            hi = min(lo + step, base[-1])
+            far = min(hi + 2, base[-1])
+            sums = np.zeros((far - lo + 2, self.weighted.shape[1]), np.float32)
+            full = lo + np.flatnonzero(upto[lo:far] < upto[lo + 1 : far + 1])
+            if not len(full):
+                continue
+            sums[full - lo] = np.add.reduceat(self.weighted[at[heavy[upto[lo] : upto[far]]]], upto[full] - upto[lo], axis=0)
+            # a passage is three parts of one text; shorter texts are one passage
+            start = np.arange(lo, hi)
+            start = start[(start + 2 < base[text[start] + 1]) | (start == base[text[start]])]
+            last = np.minimum(start + 3, base[text[start] + 1])
+            v = sums[start - lo] + np.where((start + 1 < last)[:, None], sums[start - lo + 1], 0) + np.where((start + 2 < last)[:, None], sums[start - lo + 2], 0)
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+            c = v @ self.vectors.T
+            r, q = np.nonzero(c >= COSINE)
+            yield text[start[r]], begin[start[r]], np.minimum(begin[start[r]] + 3 * third, first[text[start[r]] + 1]), self.owner[q], c[r, q], np.zeros(len(r), np.int64)
+
+
+class Block:
     """A block of benchmark items as the executors use it."""
 
-    def __init__(self, ids: list, texts: list[str], place: np.ndarray, idf: np.ndarray, basis: np.ndarray, outside: float, window: int) -> None:
-        self.window = window
-        self.ids = ids
-        self.words = [normal_words(t) for t in texts]
-        self.idf, self.basis, self.place, self.outside = idf, basis, place, outside
-        last = [normal_words(re.split(r"(?<=[.!?])\s+", (t or "").strip())[-1]) for t in texts]
-        column = pa.array([" ".join(w) for w in self.words], pa.large_string())
-        b, first = bucketed(WordHasher(), column)
-        weight = {w: idf[place[k]] for ws, x in zip(self.words, first[:-1]) for w, k in zip(ws, b[x:])}
+    def __init__(self, rows: list[tuple[int, str]], vocabulary: np.ndarray, hashes: list[np.ndarray], idf: np.ndarray, rank: int) -> None:
+        self.ids = [i for i, _ in rows]
+        self.words = [normal_words(t) for _, t in rows]
+        self.hashes = hashes
+        self.runs = Runs(hashes)
+        self.vocabulary, self.idf = vocabulary, np.maximum(idf, FLOOR)
+        self.first = np.concatenate([[0], np.cumsum([len(h) for h in hashes])])
+        self.at = np.searchsorted(vocabulary, bucket(np.concatenate(hashes)))
+        outside = float(np.median(self.idf))
+        weight = {w: self.idf[k] for ws, h in zip(self.words, hashes) for w, k in zip(ws, np.searchsorted(vocabulary, bucket(h)))}
+        last = [normal_words(re.split(r"(?<=[.!?])\s+", (t or "").strip())[-1]) for _, t in rows]
         self.answers = [set(sorted(set(ws), key=lambda w: (-weight.get(w, outside), w))[:3]) for ws in last]
-        self.owner, x, y = passages(first, window)
-        vectors = [self.project(b[i:j]) for i, j in zip(x, y)]
-        self.weighted = (idf[:, None] * basis).astype(np.float32)
-        self.vectors = np.array(vectors, np.float32).reshape(-1, basis.shape[1])
-
-    def project(self, buckets: np.ndarray) -> np.ndarray:
-        at = self.place[buckets]
-        v = (self.idf[at, None] * self.basis[at]).sum(axis=0)
-        return v / max(np.linalg.norm(v), 1e-12)
+        kinds: dict = {}
+        for k, h in enumerate(hashes):
+            if len(h) >= MIN_WORDS:
+                kinds.setdefault(self.kind(h), []).append(k)
+        self.parts = []
+        for kind, mine in sorted(kinds.items()):
+            for lo in range(0, len(mine), PART):
+                some = mine[lo : lo + PART]
+                self.parts.append(Items(some, [hashes[k] for k in some], vocabulary, idf, rank, kind[0]))
+
+    def kind(self, h: np.ndarray) -> tuple:
+        """Items of one kind are searched together: those with passages of about the same length."""
+        return (next(w for n, w in WINDOWS if len(h) >= n),)
+
+    def likely(self, at: np.ndarray, first: np.ndarray, doc: np.ndarray, x: np.ndarray, y: np.ndarray, item: np.ndarray) -> list[tuple[int, int]]:
+        """Ranges of the candidates (sorted by text, item, place) that overlap and hold enough of the item's words to be confirmed."""
+        if not len(doc):
+            return []
+        sizes = np.diff(self.first)
+        p, q = np.maximum(first[doc], x - sizes[item] - MARGIN), np.minimum(first[doc + 1], y + sizes[item] + MARGIN)
+        other = np.append(True, (np.diff(doc) != 0) | (np.diff(item) != 0))
+        far = (len(at) + 1) * np.cumsum(other)
+        end = np.maximum.accumulate(far + q)
+        begin = np.flatnonzero(other | np.append(True, (far + p)[1:] > end[:-1]))
+        after = np.append(begin[1:], len(doc))
+        lo, hi = p[begin], (end - far)[after - 1]
+        known = np.flatnonzero(at >= 0)
+        keys = np.sort(at[known].astype(np.int64) * len(at) + known)
+        enough = np.zeros(len(begin), bool)
+        for i in range(0, len(begin), 1 << 15):
+            some = slice(i, i + (1 << 15))
+            k = item[begin[some]]
+            n = sizes[k]
+            span = np.repeat(np.arange(len(k)), n)
+            word = self.at[np.arange(len(span)) + np.repeat(self.first[k] - np.cumsum(n) + n, n)] * len(at)
+            there = np.append(keys, np.iinfo(np.int64).max)[np.searchsorted(keys, word + lo[some][span])] < word + hi[some][span]
+            enough[some] = np.bincount(span, there, len(k)) >= PARAPHRASE * n - 1e-9
+        return list(zip(begin[enough].tolist(), after[enough].tolist()))
+
+    def cosine(self, item: np.ndarray, text: np.ndarray) -> float:
+        """TF-IDF cosine of an item and words of a text, by the item's words."""
+        u, n = np.unique(bucket(item), return_counts=True)
+        w = self.idf[np.searchsorted(self.vocabulary, u)] ** 2
+        m = np.array([(bucket(text) == x).sum() for x in u])
+        return float((w * n * m).sum() / max(np.sqrt((w * n * n).sum() * (w * m * m).sum()), 1e-12))
 
 
 def confirm(item: list[str], answer: set[str], around: list[str]) -> tuple[float, bool]:
@@ -195,55 +319,45 @@ def confirm(item: list[str], answer: set[str], around: list[str]) -> tuple[float
     return share, share >= STRONG or share >= PARAPHRASE and answer <= there
 
 
-def searcher(items: Items):
+def searcher(block: Block):
     """(id, item, cosine, share) for every document and item that it holds, the best passage of each."""
 
     def run(batches):
         hasher = WordHasher()
-        known = np.append(items.idf**2, 0.0)
+        places = [placed(p.vocabulary) for p in block.parts]
+        place_of = placed(block.vocabulary)
         for batch in batches:
-            for part in slices(batch, most=1 << 20):
-                b, first = bucketed(hasher, part.column(1))
-                doc, x, y = passages(first, items.window)
-                if not len(doc):
+            for part in slices(batch, most=1 << 18):
+                h, first = hashed(hasher, part.column(1))
+                if not len(h):
                     continue
-                at = items.place[b]
-                inside = np.concatenate([[0], np.cumsum(known[at])])
-                beyond = np.concatenate([[0], np.cumsum((at < 0) * items.outside**2)])
-                mine, rest = inside[y] - inside[x], beyond[y] - beyond[x]
-                near = np.flatnonzero(mine * (1 - INSIDE) >= INSIDE * rest)
-                near = near[mine[near] > 0]
-                # only words that weigh something are projected
-                heavy = np.flatnonzero((at >= 0) & (items.idf[at] > 0))
-                upto = np.searchsorted(heavy, np.arange(len(at) + 1))
-                hits = {}
-                for lo in range(0, len(near), 2048):
-                    some = near[lo : lo + 2048]
-                    begin, end = upto[x[some]], upto[y[some]]
-                    size = end - begin
-                    flat = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                    v = np.add.reduceat(items.weighted[at[heavy[flat]]], np.concatenate([[0], np.cumsum(size)[:-1]]), axis=0)
-                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                    c = v @ items.vectors.T
-                    for r, q in zip(*np.nonzero(c >= COSINE)):
-                        key = (int(doc[some[r]]), int(items.owner[q]))
-                        hits.setdefault(key, []).append((float(c[r, q]), int(x[some[r]] - first[doc[some[r]]]), int(y[some[r]] - first[doc[some[r]]])))
-                ids, texts = part.column(0).to_pylist(), part.column(1)
-                out, cache = [], (None, [])
-                for (d, k), found in sorted(hits.items()):
-                    if cache[0] != d:
-                        cache = (d, normal_words(texts[d].as_py()))
-                    words, item = cache[1], items.words[k]
+                b = bucket(h)
+                found = [f for p, place in zip(block.parts, places) for f in p.candidates(place[b], first)] + list(block.runs.candidates(h, first))
+                doc, x, y, item, cosine, lead = (np.concatenate(c) for c in zip(*found)) if found else [np.zeros(0, np.int64)] * 6
+                order = np.lexsort((y, x, item, doc))
+                doc, x, y, item, cosine, lead = (c[order] for c in (doc, x, y, item, cosine, lead))
+                ids, texts = part.column(0), part.column(1)
+                out, cache = {}, (None, [])
+                for lo, hi in block.likely(place_of[b], first, doc, x, y, item):
+                    d, k = int(doc[lo]), int(item[lo])
+                    size, base = len(block.words[k]), int(first[d])
                     spans: list[list[int]] = []
-                    for _, p, q in sorted(found, key=lambda h: h[1]):
-                        p, q = max(0, p - len(item)), q + len(item)
-                        if spans and p <= spans[-1][1] and q - spans[-1][0] <= 6 * (items.window + len(item)):
+                    for p, q in zip(x[lo:hi].tolist(), y[lo:hi].tolist()):
+                        p, q = max(0, p - base - size - MARGIN), q - base + size + MARGIN
+                        if spans and p <= spans[-1][1] and q - spans[-1][0] <= 6 * (WINDOWS[0][1] + size):
                             spans[-1][1] = max(q, spans[-1][1])
                         else:
                             spans.append([p, q])
-                    best = max((confirm(item, items.answers[k], words[p:q]) for p, q in spans), key=lambda s: (s[1], s[0]))
-                    if best[1]:
-                        out.append((ids[d], items.ids[k], max(c for c, _, _ in found), best[0]))
+                    if cache[0] != d:
+                        cache = (d, normal_words(texts[d].as_py()))
+                    share, holds = max((confirm(block.words[k], block.answers[k], cache[1][p:q]) for p, q in spans), key=lambda s: (s[1], s[0]))
+                    if holds:
+                        near = float(np.max(cosine[lo:hi]))
+                        if near < 0:  # found by runs only
+                            near = max(block.cosine(block.hashes[k], h[max(base, z) : min(z + size, int(first[d + 1]))]) for z in set(lead[lo:hi].tolist()))
+                        best = out.get((d, k), (0.0, 0.0))
+                        out[d, k] = (max(best[0], near), max(best[1], share))
+                out = [(ids[d].as_py(), block.ids[k], c, share) for (d, k), (c, share) in out.items()]
                 if out:
                     cols = list(zip(*out))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], names=["doc_id", "item_id", "cosine", "lcs_share"])
@@ -256,40 +370,33 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").rlike(WORD))
-    items = items.withColumn("n", F.size(F.regexp_extract_all("text", F.lit(f"({WORD})"), 0)))
     out = spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs_share double")
-    sizes = items.agg(F.sum((F.col("n") < SHORT).cast("int")).alias("short"), F.sum((F.col("n") >= SHORT).cast("int")).alias("long")).first()
-    for short, total in ((True, sizes["short"] or 0), (False, sizes["long"] or 0)):
-        kind = items.where((F.col("n") < SHORT) == short)
-        blocks = -(-total // block_items)
-        for block in range(blocks):
-            mine = kind.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else kind
-            rows = sorted(((r["item_id"], r["text"]) for r in mine.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-            packed = packed_block(texts, rows, rank, short)
-            if packed is not None:
-                out = out.unionByName(texts.mapInArrow(searcher(packed), "doc_id long, item_id long, cosine double, lcs_share double"))
+    blocks = -(-items.count() // block_items)
+    for block in range(blocks):
+        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
+        rows = sorted(((r["item_id"], r["text"]) for r in mine.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        packed = packed_block(texts, rows, rank)
+        if packed is not None:
+            out = out.unionByName(texts.mapInArrow(searcher(packed), "doc_id long, item_id long, cosine double, lcs_share double"))
     return out
 
 
-def packed_block(texts: DataFrame, rows: list[tuple[int, str]], rank: int, short: bool) -> Items | None:
+def packed_block(texts: DataFrame, rows: list[tuple[int, str]], rank: int) -> Block | None:
     """The search index of one block of benchmark items; document frequencies are counted over all texts."""
-    spark = texts.sparkSession
-    plain = [" ".join(normal_words(t)) for _, t in rows]
-    b, first = bucketed(WordHasher(), pa.array(plain, pa.large_string()))
-    vocabulary = np.unique(b)
+    hashes, vocabulary = item_hashes(rows)
     if not len(vocabulary):
         return None
-    place = np.full(BUCKETS, -1, np.int32)
-    place[vocabulary] = np.arange(len(vocabulary))
     counted = texts.select("text").mapInArrow(frequency_counter(vocabulary), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(len(vocabulary) + 1)
     for r in counted:
         df[r["place"]] = r["n"]
-    idf = weights(np.log((df[-1] + 1) / (df[:-1] + 1)), [place[b[x:y]] for x, y in zip(first[:-1], first[1:])])
-    outside = float(np.median(idf[idf > 0]))
-    window = min(WINDOW, max(6, 3 * int(np.diff(first)[np.diff(first) > 0].min()))) if short else WINDOW
-    basis = latent_basis(spark.createDataFrame([(p,) for p in plain], "text string"), place, idf, rank, window)
-    return Items([i for i, _ in rows], [t for _, t in rows], place, idf, basis, outside, window)
+    return Block(rows, vocabulary, hashes, np.log((df[-1] + 1) / (df[:-1] + 1)), rank)
+
+
+def item_hashes(rows: list[tuple[int, str]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Word hashes of every item, and the buckets of all."""
+    h, first = hashed(WordHasher(), pa.array([" ".join(normal_words(t)) for _, t in rows], pa.large_string()))
+    return [h[x:y] for x, y in zip(first[:-1], first[1:])], np.unique(bucket(h))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -299,6 +299,36 @@ def test_decontamination(spark, docs, empty):
     assert decontam.clean(docs, bench.where("item_id > 4")).count() == docs.count()
 
 
+def skewed(rng, n, words=4000):
+    return [f"w{int(words ** rng.random())}x" for _ in range(n)]
+
+
+def test_decontamination_with_a_large_benchmark(spark):
+    """Short items are found although all words around them are words of other items: verbatim, and with a stranger after every third word."""
+    rng = random.Random(3)
+    texts = [skewed(rng, 150) for _ in range(300)]
+    items = [(i, skewed(rng, 15 + i % 9)) for i in range(60)]
+    snippets = [(100 + i, t[a : a + n]) for i in range(1500) for t, a, n in [(rng.choice(texts), rng.randint(0, 90), rng.randint(15, 59))]]
+    planted = [t[:70] + (w if i % 2 else [x for j, y in enumerate(w) for x in ([y, f"odd{j}"] if j % 3 == 2 else [y])]) + t[70:] for (i, w), t in zip(items, texts)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(planted + texts[60:])], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items + snippets], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find(df, bench).collect()}
+    assert {(i, i) for i in range(60)} <= got
+    assert all(decontam.confirm(items[k][1], set(), planted[d] if d < 60 else texts[d])[0] >= decontam.PARAPHRASE for d, k in got if k < 100)
+
+
+def test_decontamination_words_are_those_of_the_index(spark):
+    """Words lose their ends and capitals the same way on both sides, and short items need all of their words in a row."""
+    odd = "Ñadobo. -bar (Éa) x -- y!\x0bz .q"
+    h, first = decontam.hashed(decontam.WordHasher(), pa.array([odd, None, "..."]))
+    plain, _ = decontam.hashed(decontam.WordHasher(), pa.array([" ".join(decontam.normal_words(odd))]))
+    assert h.tolist() == plain.tolist() and first.tolist() == [0, 7, 7, 7]
+    bench = spark.createDataFrame([(1, "alpha"), (2, "beta gamma"), (3, "one two three four five six seven")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "so ALPHA."), (2, "gamma beta"), (3, "beta, gamma"), (4, "one two three four five six"), (5, "0 one two three four five six seven")], "doc_id long, text string")
+    got = decontam.find(df, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (3, 2), (5, 3)} and min(r.cosine for r in got) > 0.99
+
+
 def test_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
