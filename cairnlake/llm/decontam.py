@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Words are hashed to BUCKETS buckets. The document frequencies of the benchmark's buckets are counted over all
-   documents and give TF-IDF weights.
+   documents, outside of runs of items' words (contamination does not lower the weights), and give TF-IDF weights.
 2. Words of little weight count as none, where an item keeps enough others. The benchmark's items are cut into passages
-   about as long as themselves (WINDOWS), a third of that apart, and dealt into parts of PART items of a kind. A randomised
+   about as long as themselves (WINDOWS), a third of that apart, and dealt into parts of PART items of a kind
+   (items of light words, such as those that stand in many documents, apart from others). A randomised
    singular value decomposition of a part's TF-IDF matrix (a random range, sharpened by power steps) gives RANK latent
    directions at most. Directions that no passage of the part has cannot raise a cosine with one, so the
    corpus needs no directions of its own, and parts keep the directions few for large benchmarks.
@@ -151,8 +152,11 @@ def weights(idf: np.ndarray, items: list[np.ndarray]) -> np.ndarray:
     return np.where(light, 0.0, idf)
 
 
-def frequency_counter(vocabulary: np.ndarray):
-    """In how many of a task's documents each bucket of the vocabulary stands."""
+def frequency_counter(vocabulary: np.ndarray, items: list[np.ndarray]):
+    """In how many of a task's documents each bucket of the vocabulary stands, outside of runs of the items' words.
+
+    What the benchmark has put into documents says nothing about how frequent its words are. items: word hashes of each."""
+    runs = Runs([h for h in items if len(h) >= MIN_WORDS])
 
     def run(batches):
         hasher = WordHasher()
@@ -163,6 +167,9 @@ def frequency_counter(vocabulary: np.ndarray):
                 h, first = hashed(hasher, part.column(0))
                 docs += part.num_rows
                 at = place[bucket(h)]
+                for n, start, *_ in runs.places(h, first):
+                    for i in range(n):
+                        at[start + i] = -1
                 doc = np.repeat(np.arange(part.num_rows), np.diff(first))
                 mine = at >= 0
                 total += np.bincount(np.unique(doc[mine] * len(vocabulary) + at[mine]) % len(vocabulary), minlength=len(vocabulary))
@@ -255,6 +262,7 @@ class Block:
         weight = {w: self.idf[k] for ws, h in zip(self.words, hashes) for w, k in zip(ws, np.searchsorted(vocabulary, bucket(h)))}
         last = [normal_words(re.split(r"(?<=[.!?])\s+", (t or "").strip())[-1]) for _, t in rows]
         self.answers = [set(sorted(set(ws), key=lambda w: (-weight.get(w, outside), w))[:3]) for ws in last]
+        self.usual = float(np.median([np.median(self.weight(h)) for h in hashes if len(h)]))
         kinds: dict = {}
         for k, h in enumerate(hashes):
             if len(h) >= MIN_WORDS:
@@ -265,9 +273,17 @@ class Block:
                 some = mine[lo : lo + PART]
                 self.parts.append(Items(some, [hashes[k] for k in some], vocabulary, idf, rank, kind[0]))
 
-    def kind(self, h: np.ndarray) -> tuple:
-        """Items of one kind are searched together: those with passages of about the same length."""
-        return (next(w for n, w in WINDOWS if len(h) >= n),)
+    def weight(self, h: np.ndarray) -> np.ndarray:
+        """Weights of an item's distinct words."""
+        return self.idf[np.searchsorted(self.vocabulary, np.unique(bucket(h)))]
+
+    def kind(self, h: np.ndarray) -> tuple[int, bool]:
+        """Items of one kind are searched together: those with passages of about the same length, and of like weights.
+
+        Words of an item that stands in many documents weigh little; beside items of rare words, these would decide."""
+        w = self.weight(h)
+        light = np.median(w) < self.usual / 2 or (w >= LEAST_IDF).mean() < KEEP
+        return next(m for n, m in WINDOWS if len(h) >= n), bool(light)
 
     def likely(self, at: np.ndarray, first: np.ndarray, doc: np.ndarray, x: np.ndarray, y: np.ndarray, item: np.ndarray) -> list[tuple[int, int]]:
         """Ranges of the candidates (sorted by text, item, place) that overlap and hold enough of the item's words to be confirmed."""
@@ -386,7 +402,7 @@ def packed_block(texts: DataFrame, rows: list[tuple[int, str]], rank: int) -> Bl
     hashes, vocabulary = item_hashes(rows)
     if not len(vocabulary):
         return None
-    counted = texts.select("text").mapInArrow(frequency_counter(vocabulary), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    counted = texts.select("text").mapInArrow(frequency_counter(vocabulary, hashes), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(len(vocabulary) + 1)
     for r in counted:
         df[r["place"]] = r["n"]

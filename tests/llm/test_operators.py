@@ -317,6 +317,23 @@ def test_decontamination_with_a_large_benchmark(spark):
     assert all(decontam.confirm(items[k][1], set(), planted[d] if d < 60 else texts[d])[0] >= decontam.PARAPHRASE for d, k in got if k < 100)
 
 
+@pytest.mark.parametrize("apart", [0, 3])
+def test_decontamination_of_an_item_in_a_third_of_the_documents(spark, apart):
+    """A hot item is found in every document although rare words of other items surround it, verbatim or with a stranger after every third word."""
+    rng = random.Random(4)
+    hot = [f"hot{i}" for i in range(20)]
+    there = [x for j, y in enumerate(hot) for x in ([y, f"odd{j}"] if apart and j % apart == apart - 1 else [y])]
+    texts = [[f"r{i}q{j}" for j in range(120)] for i in range(90)]
+    bench = [(0, hot)] + [(1 + 2 * i + k, t[a : a + 20]) for i, t in enumerate(texts) for k, a in enumerate((41, 63))]
+    df = spark.createDataFrame([(i, " ".join(t[:60] + (there if i < 30 else []) + t[60:])) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find(df, spark.createDataFrame([(i, " ".join(w)) for i, w in bench], "item_id long, text string")).collect()}
+    assert {d for d, k in got if k == 0} == set(range(30))
+    hashes, vocabulary = decontam.item_hashes([(i, " ".join(w)) for i, w in bench])
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(hot)])], names=["text"])
+    counted = next(decontam.frequency_counter(vocabulary, hashes)([batch]))
+    assert counted.to_pydict() == {"place": [-1], "n": [1]}
+
+
 def test_decontamination_words_are_those_of_the_index(spark):
     """Words lose their ends and capitals the same way on both sides, and short items need all of their words in a row."""
     odd = "Ñadobo. -bar (Éa) x -- y!\x0bz .q"
