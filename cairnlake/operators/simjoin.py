@@ -8,6 +8,8 @@ in the join, so copies are not compared with each other.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,17 +74,20 @@ def best_match(left: DataFrame, left_tokens: Column, left_id: str, right: DataFr
     return best.select(F.col("a").alias("left_id"), F.col("x.b").alias("right_id"), (-F.col("x.m")).alias("sim"))
 
 
-def suppress(rows: DataFrame, pairs: DataFrame, rounds: int = 200) -> DataFrame:
+def suppress(rows: DataFrame, pairs: DataFrame, rounds: int | None = None) -> DataFrame:
     """(id, rank, kept): a row is kept if no kept row of smaller rank conflicts with it, or if it is forced.
 
     rows: id, rank, forced. pairs: a, b (any order). Only rows that have a pair take part in the rounds: in each,
-    rows without an undecided smaller neighbour are kept, and their larger neighbours go."""
+    rows without an undecided smaller neighbour are kept, and their larger neighbours go. Rounds go on until all rows
+    are decided; with a limit, running out of it is an error."""
     r = rows.select("id", "rank", F.coalesce("forced", F.lit(False)).alias("forced"))
     p = pairs.select("a", "b").join(r.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(r.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b").where("a <> b")
     p = written(p.select(F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("lo"), F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("hi")).distinct())
     ends = p.select(F.explode(F.array("lo", "hi")).alias("id")).distinct()
     state = written(ends.join(r, "id").select("id", F.when(F.col("forced"), "new").otherwise("open").alias("state"), "forced"))
-    for _ in range(rounds):
+    for done in count():
+        if done == rounds:
+            raise RuntimeError(f"rows are still undecided after {rounds} rounds")
         # larger neighbours of rows kept in the last round go, unless they are forced
         news = state.where("state = 'new'").select(F.col("id").alias("lo"))
         gone = p.join(news, "lo").select(F.col("hi").alias("id")).distinct().withColumn("_gone", F.lit(True))

@@ -355,3 +355,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([s, "list"], spark).count() == 1 and main([s, "status"], spark).count() == 3
     main([s, "forget", main([s, "list"], spark).first().bullet_id], spark)
     assert main([s, "list"], spark).count() == 0
+
+
+def test_suppression_leaves_no_row_undecided(spark):
+    """In a chain every other row is kept; a limit of rounds that is too low is an error, not a result."""
+    rows = spark.createDataFrame([(i, i, False) for i in range(9)], "id long, rank long, forced boolean")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(8)], "a long, b long")
+    assert {r.id for r in simjoin.suppress(rows, pairs).collect() if r.kept} == {0, 2, 4, 6, 8}
+    with pytest.raises(RuntimeError):
+        simjoin.suppress(rows, pairs, rounds=2)
