@@ -18,6 +18,8 @@ ties resolve to the smallest id; an empty table gives an empty result. Extra col
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -258,11 +260,15 @@ def block_pairs(rows: DataFrame, block: int) -> DataFrame:
     return dealt.select(*rows.columns, F.explode(spread).alias("p")).select(*rows.columns, "p.x", "p.y", "p.side")
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(id, comp) for every id of edges (u, v): the smallest id reachable, by alternating star contraction."""
+def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """(id, comp) for every id of edges (u, v): the smallest id reachable, by alternating star contraction until nothing changes.
+
+    With a limit of rounds, running out of it is an error."""
     edges = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(), "edges")
     mark = None
-    for _ in range(most_rounds):
+    for done in count():
+        if done == most_rounds:
+            raise RuntimeError(f"components still change after {most_rounds} rounds")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a > b").distinct()

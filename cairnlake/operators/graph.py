@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -72,12 +74,16 @@ def vector_adjacency(vectors: DataFrame, above: float = TOPICS.edge_above, id_co
     return dealt.groupBy("x", "y").applyInPandas(pairs, "u long, v long, weight double")
 
 
-def connected(pairs: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, comp), comp the smallest id reachable over pairs (u, v); small results cut the lineage in every round."""
+def connected(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(id, comp), comp the smallest id reachable over pairs (u, v); small results cut the lineage in every round.
+
+    Rounds go on until nothing changes; with a limit, running out of it is an error."""
     edges = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     edges = written(edges)
     mark = None
-    for _ in range(rounds):
+    for done in count():
+        if done == rounds:
+            raise RuntimeError(f"components still change after {rounds} rounds")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a > b").distinct()

@@ -364,3 +364,10 @@ def test_suppression_leaves_no_row_undecided(spark):
     assert {r.id for r in simjoin.suppress(rows, pairs).collect() if r.kept} == {0, 2, 4, 6, 8}
     with pytest.raises(RuntimeError):
         simjoin.suppress(rows, pairs, rounds=2)
+
+
+def test_connected_rows_are_settled_or_an_error(spark):
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    assert {r.comp for r in graph.connected(pairs).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        graph.connected(pairs, rounds=1)

@@ -299,6 +299,13 @@ def test_decontamination(spark, docs, empty):
     assert decontam.clean(docs, bench.where("item_id > 4")).count() == docs.count()
 
 
+def test_components_are_settled_or_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    assert {r.comp for r in neardup.components(edges).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        neardup.components(edges, most_rounds=1)
+
+
 def skewed(rng, n, words=4000):
     return [f"w{int(words ** rng.random())}x" for _ in range(n)]
 
