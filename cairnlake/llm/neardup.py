@@ -6,14 +6,16 @@ differ in fewer than ``2 * PARTS`` values must agree in some chunk up to one val
 each signature is indexed under every chunk with each one of its values left out. Documents that
 share an index key are candidates; candidates are confirmed by the Jaccard similarity of the full sets.
 
-No group is expanded into pairs. Equal sets collapse to one representative first. In each key group
-all members are compared with the one that meets most others; only members that are still in different components
-after that are compared with each other, inside blocks, by their signatures and then their full sets; of these
-comparisons only links that join two components leave the task.
+Rows with equal sets are one class, whatever their ids, and only classes are compared. No group is expanded into
+pairs: in each key group all members are compared with the one that meets most others; only members that are still
+in different components after that are compared with each other, inside blocks bounded in rows and in shingles, by
+their signatures and then their full sets; of these comparisons only links that join two components leave the task.
+Joins on keys that many rows may share have plain tables on both sides, so that the optimiser can split them; the text
+of a class that meets many others goes to as many blocks as its pairs fill.
 
 Defined results: null or word-less texts have an empty set and link with nothing; rows with a null
-id keep a null component and are kept; rows that share an id are one document; repeated rows and
-ties resolve to the smallest id; an empty table gives an empty result. Extra columns are not read.
+id keep a null component and are kept; rows that share an id are rows of their own, each with the component of its
+text; repeated rows and ties resolve to the smallest id; an empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, materialize, mix64, release, seeded, slices
+from .common import WORD, WordHasher, materialize, mix64, release, seeded, slices
 
 PARTS, WIDTH = 8, 4
 VALUES = PARTS * WIDTH
@@ -35,12 +37,16 @@ MOST_ERRORS = 17
 #: The same for the 2-bit digest that travels with the keys; odds of 6e-6 at similarity 0.8.
 MOST_DIGEST_ERRORS = 15
 #: Members of a key group that are compared in one block.
-BLOCK = 4096
-#: The same where their texts are held.
-TEXT_BLOCK = 512
+BLOCK = 1024
+#: The same where their texts are held, and the shingles that these may have.
+TEXT_BLOCK, SHINGLE_BLOCK = 512, 1 << 19
+#: Members of a key group whose pairs with its head are confirmed from one copy of the head's text.
+SALT = 512
+#: Least similarity for which MOST_ERRORS and MOST_DIGEST_ERRORS hold.
+LEAST_PERCENT = 80
 
 U64 = np.uint64
-SKETCH = "id long, n_shingles long, h1 long, h2 long, digest long, sig binary"
+SKETCH = "id long, body long, n_shingles long, h1 long, h2 long, digest long, sig binary"
 
 
 def shingle_sets(hasher: WordHasher, column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +118,8 @@ def sketcher(k: int):
                         digest |= (sig[:, v].astype(U64) & U64(3)) << U64(2 * v)
                 whole = [row.tobytes() for row in sig]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes.astype(np.int64)), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array(digest.view(np.int64)), pa.array(whole, pa.binary())],
-                    names=["id", "n_shingles", "h1", "h2", "digest", "sig"],
+                    [part.column(0), part.column(2), pa.array(sizes.astype(np.int64)), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array(digest.view(np.int64)), pa.array(whole, pa.binary())],
+                    names=["id", "body", "n_shingles", "h1", "h2", "digest", "sig"],
                 )
 
     return sketch
@@ -139,29 +145,32 @@ def index_keys(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), slot, batch.column(0), batch.column(1), batch.column(2)], names=["key", "slot", "id", "n", "digest"])
 
 
+def shared_share(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union; empty sets have not."""
+    if not len(x) or not len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def confirm(k: int, percent: int):
-    """Keeps the pairs whose full sets have 100 * intersection >= percent * union."""
+    """Keeps the pairs (u, v, a_text, b_text) whose full sets are alike. A text on the left repeats in runs."""
 
     def check(batches):
         hasher = WordHasher()
         for batch in batches:
-            for part in slices(batch, "b_text"):
-                # a key group's texts on the left repeat in runs
-                left = part.column(2).to_pylist()
-                fresh = [i for i, t in enumerate(left) if i == 0 or t != left[i - 1]]
-                which = np.zeros(len(left), np.int64)
-                which[fresh[1:]] = 1
-                which = np.cumsum(which)
-                a, ab = shingle_sets(hasher, pa.array([left[i] for i in fresh], pa.large_string()), k)
-                b, bb = shingle_sets(hasher, part.column(3), k)
-                good = np.zeros(len(left), bool)
-                for i, w in enumerate(which.tolist()):
-                    x, y = a[ab[w] : ab[w + 1]], b[bb[i] : bb[i + 1]]
-                    if len(x) and len(y):
-                        both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                        good[i] = 100 * both >= percent * (len(x) + len(y) - both)
-                keep = pa.array(good)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["u", "v"])
+            for some in slices(batch, "a_text"):
+                for part in slices(some, "b_text"):
+                    u = part.column(0).to_numpy()
+                    fresh = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+                    which = np.zeros(len(u), np.int64)
+                    which[fresh[1:]] = 1
+                    which = np.cumsum(which)
+                    a, ab = shingle_sets(hasher, part.column(2).take(pa.array(fresh)), k)
+                    b, bb = shingle_sets(hasher, part.column(3), k)
+                    good = [shared_share(a[ab[w] : ab[w + 1]], b[bb[i] : bb[i + 1]], percent) for i, w in enumerate(which.tolist())]
+                    keep = pa.array(good, pa.bool_())
+                    yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["u", "v"])
 
     return check
 
@@ -215,8 +224,11 @@ def leftover_links(k: int, percent: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("n")
         ids = group.column("id").to_numpy()
-        sets, bounds = shingle_sets(WordHasher(), group.column("text"), k)
-        rows = [sets[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        hasher, rows = WordHasher(), []
+        for part in group.select(["text"]).to_batches(max_chunksize=64):
+            for some in slices(part):
+                sets, bounds = shingle_sets(hasher, some.column(0), k)
+                rows += [sets[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -231,11 +243,7 @@ def leftover_links(k: int, percent: int):
             x = rows[i]
             for j in near.tolist():
                 a, b = find(comp[i]), find(comp[j])
-                y = rows[j]
-                if a == b or not len(x) or not len(y):
-                    continue
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                if a != b and shared_share(x, rows[j], percent):
                     root[max(a, b)] = min(a, b)
                     us.append(min(ids[i], ids[j]))
                     vs.append(max(ids[i], ids[j]))
@@ -244,10 +252,11 @@ def leftover_links(k: int, percent: int):
     return run
 
 
-def block_pairs(rows: DataFrame, block: int) -> DataFrame:
-    """Deals each key group into blocks of about ``block`` rows and copies each row to every pair of blocks that its own is in:
-    (x, y), x <= y; side is 0 if both ends are one block, 1 or 2 for the two blocks of a pair."""
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+def block_pairs(rows: DataFrame, block: int, shingles: int) -> DataFrame:
+    """Deals each key group into blocks of about ``block`` rows and ``shingles`` shingles (n) and copies each row to every
+    pair of blocks that its own is in: (x, y), x <= y; side is 0 if both ends are one block, 1 or 2 for the two blocks of a pair."""
+    need = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / shingles)).cast("int")
+    sizes = materialize(rows.groupBy("key").agg(need.alias("blocks")), "blocks")
     dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     spread = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
@@ -281,76 +290,113 @@ def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
         if state == mark:
             break
         mark = state
-    return edges.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("comp")).unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("comp")).distinct())
+    out = edges.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("comp")).unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("comp")).distinct())
+    out = materialize(out, "components")
+    release(edges)
+    return out
+
+
+def bodies(texts: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text) of the wanted classes: the text of the row that stands for each. Rows repeat, so one of them is taken."""
+    rows = classes.select(F.col("cls").alias("id"), F.col("row.id").alias("row_id"), F.col("row.body").alias("body")).join(wanted, "id", "left_semi")
+    found = texts.join(rows, (F.col("row_id") == texts["doc"]) & (rows["body"] == texts["body"])).select(rows["id"], "text")
+    return materialize(found.groupBy("id").agg(F.min("text").alias("text")), "bodies")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    mine = texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    b = mine.select(F.col("id").alias("v"), F.col("text").alias("b_text"))
-    a = mine.select(F.col("id").alias("u"), F.col("text").alias("a_text"))
-    both = pairs.join(b, "v").join(a, "u").select("u", "v", "a_text", "b_text")
+    """(u, v) of the pairs (head, id, members) that are alike; texts: id, text."""
+    salted = pairs.select("head", "id", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / SALT)).cast("int").alias("salt"))
+    a = salted.select("head", "salt").distinct().join(texts.select(F.col("id").alias("head"), F.col("text").alias("a_text")), "head")
+    b = salted.join(texts.withColumnRenamed("text", "b_text"), "id")
+    both = b.join(a, ["head", "salt"]).select(F.col("head").alias("u"), F.col("id").alias("v"), "a_text", "b_text")
     return both.mapInArrow(confirm(k, percent), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (smallest id linked to it), kept (id is that smallest id).
+def linked(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: id, body, n_shingles, h1, h2 of each row; classes: h1, h2, comp, component_id, row of each class of equal sets).
 
-    shingle_words: words in a shingle. percent: Jaccard similarity, in hundredths, at which documents link.
-    """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    body is a hash of the text, so (id, body) names a row's text; row is the first (id, body) of the class."""
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"links are guaranteed from a similarity of {LEAST_PERCENT} percent on")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("body"))
     rows = materialize(texts.mapInArrow(sketcher(shingle_words), SKETCH), "sketch")
-    reps = materialize(
-        rows.where("n_shingles > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n"), F.min("digest").alias("digest"), F.min("sig").alias("sig")),
-        "representatives",
-    )
-    keys = reps.select("rep", F.col("n").cast("int").alias("n"), "digest", "sig").mapInArrow(index_keys, "key long, slot int, id long, n int, digest long")
-    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = materialize(keys.join(shared, "key").select("key", "slot", "members", "id", "n", "digest"), "shared")
+    classes = rows.where("n_shingles > 0 and id is not null").groupBy("h1", "h2")
+    classes = classes.agg(F.min(F.struct("id", "body")).alias("row"), F.min("n_shingles").cast("int").alias("n"), F.min("digest").alias("digest"), F.min("sig").alias("sig"))
+    classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    keys = classes.select("cls", "n", "digest", "sig").mapInArrow(index_keys, "key long, slot int, id long, n int, digest long")
+    shared = materialize(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "keys")
+    groups = materialize(keys.join(shared, "key").select("key", "slot", "members", "id", "n", "digest"), "groups")
     # the head of a key group is the member that meets most others over all its keys: of copies with edits, the original
-    degree = shared.groupBy("id").agg(F.sum("members").alias("degree"))
-    heads = shared.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), "id", "n", "digest")).alias("head"))
-    members = shared.join(heads, "key").select("key", "slot", "members", "id", "n", "digest", "head")
+    degree = groups.groupBy("id").agg(F.sum("members").alias("degree"))
+    heads = groups.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), "id", "n", "digest")).alias("head"))
+    heads = materialize(heads, "heads")
+    members = groups.join(heads, "key").where(F.col("id") != F.col("head.id"))
 
     x = F.col("digest").bitwiseXOR(F.col("head.digest"))
     differ = F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(0x5555555555555555)))
     alike = (F.least("n", "head.n") * 100 >= F.greatest("n", "head.n") * percent) & (differ <= MOST_DIGEST_ERRORS)
-    stars = members.where((F.col("id") != F.col("head.id")) & alike).select(F.least("head.id", "id").alias("u"), F.greatest("head.id", "id").alias("v")).distinct()
-    edges = materialize(verified(stars, texts, shingle_words, percent), "links")
-    comps = materialize(components(edges), "components")
+    stars = materialize(members.where(alike).groupBy(F.col("head.id").alias("head"), "id").agg(F.max("members").alias("members")), "stars")
+    star_texts = bodies(texts, classes, stars.select(F.explode(F.array("head", "id")).alias("id")).distinct())
+    edges = materialize(verified(stars, star_texts, shingle_words, percent), "links")
+    release(stars)
+    release(star_texts)
+    comps = components(edges)
 
     # what the stars leave open: members other than the head that are in different components
-    rest = members.where("members > 2").where(F.col("id") != F.col("head.id")).select("key", "slot", "id", "n").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    open_keys = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = materialize(rest.join(open_keys, "key", "left_semi"), "open")
-    sigs = reps.groupBy(F.col("rep").alias("id")).agg(F.min("sig").alias("sig"))
-    rest = rest.join(sigs, "id")
-    taking = block_pairs(rest, BLOCK).groupBy("key", "x", "y").applyInArrow(with_partners(percent), "key long, id long").distinct()
+    rest = members.where("members > 2").select("key", "slot", "id", "n").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    open_keys = materialize(rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "open-keys")
+    rest = rest.join(open_keys, "key", "left_semi").join(classes.select(F.col("cls").alias("id"), "sig"), "id")
+    rest = materialize(rest, "open")
+    taking = block_pairs(rest, BLOCK, BLOCK * SHINGLE_BLOCK).groupBy("key", "x", "y").applyInArrow(with_partners(percent), "key long, id long").distinct()
     taking = materialize(taking, "taking")
     if not taking.isEmpty():
-        mine = texts.join(taking.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-        full = rest.join(taking, ["key", "id"], "left_semi").join(mine, "id")
-        late = block_pairs(full, TEXT_BLOCK).groupBy("key", "x", "y").applyInArrow(leftover_links(shingle_words, percent), "u long, v long")
-        comps = materialize(components(edges.unionByName(late.distinct())), "components")
-
-    found = rows.join(
-        reps.join(comps.withColumnRenamed("id", "rep"), "rep", "left").groupBy("h1", "h2").agg(F.min(F.coalesce("comp", "rep")).alias("comp")),
-        ["h1", "h2"],
-        "left",
-    )
-    alone = F.col("n_shingles") == 0
-    component = F.when(alone | F.col("id").isNull(), F.col("id")).otherwise(F.col("comp"))
-    return found.select(
-        F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
-    )
+        rest_texts = bodies(texts, classes, taking.select("id").distinct())
+        full = materialize(rest.join(taking, ["key", "id"], "left_semi"), "full")
+        late = block_pairs(full, TEXT_BLOCK, SHINGLE_BLOCK).join(rest_texts, "id").groupBy("key", "x", "y").applyInArrow(leftover_links(shingle_words, percent), "u long, v long")
+        late = materialize(late.distinct(), "late-links")
+        release(rest_texts)
+        release(full)
+        release(comps)
+        comps = components(edges.unionByName(late))
+        release(late)
+    for table in (shared, groups, heads, edges, open_keys, rest, taking):
+        release(table)
+
+    settled = classes.select("h1", "h2", "row", F.col("cls").alias("id")).join(comps, "id", "left").select("h1", "h2", "row", F.coalesce("comp", "id").alias("comp"))
+    settled = materialize(settled, "settled")
+    first = materialize(settled.groupBy("comp").agg(F.min("row").alias("first")), "first")
+    found = materialize(settled.join(first, "comp").select("h1", "h2", "row", "comp", "first"), "found")
+    for table in (classes, comps, settled, first):
+        release(table)
+    return rows, found
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (smallest id linked to it), kept (id is that smallest id).
+
+    shingle_words: words in a shingle. percent: Jaccard similarity, in hundredths (80 or more), at which documents link.
+    """
+    rows, found = linked(docs, id_col, text_col, shingle_words, percent)
+    able = F.coalesce((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.lit(False))
+    some = rows.where(able).join(found, ["h1", "h2"]).select("id", "n_shingles", F.col("first.id").alias("component_id"))
+    none = rows.where(~able).select("id", "n_shingles", F.col("id").alias("component_id"))
+    return some.unionByName(none).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without near-duplicates: of each group the one with the smallest id stays (one row, if rows repeat)."""
-    kept = near_duplicates(docs, id_col, text_col, shingle_words, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    once = Window.partitionBy(id_col).orderBy(F.col(text_col).desc())
-    stay = docs.join(kept, id_col, "left_semi").withColumn("_cairnlake_nth", F.row_number().over(once)).where("_cairnlake_nth = 1").drop("_cairnlake_nth")
-    return stay.unionByName(docs.where(F.col(id_col).isNull()))
+    """The documents without near-duplicates: of each group one row stays, one with the smallest id.
+
+    Rows without words and rows with a null id stay. Rows are judged by id and text: of two texts under one id each has its own group."""
+    _, found = linked(docs, id_col, text_col, shingle_words, percent)
+    stay = found.select("first").distinct().select(F.col("first.id").alias("_cairnlake_id"), F.col("first.body").alias("_cairnlake_body"))
+    body, own = F.xxhash64(F.col(text_col)), F.col(id_col).cast("long")
+    able = F.coalesce(F.col(id_col).isNotNull() & F.col(text_col).rlike(WORD), F.lit(False))
+    marked = docs.where(able).withColumn("_cairnlake_own", body)
+    kept = marked.join(stay, (own == F.col("_cairnlake_id")) & (F.col("_cairnlake_own") == F.col("_cairnlake_body")), "left_semi")
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    once = Window.partitionBy(id_col, "_cairnlake_own").orderBy(F.xxhash64(*plain))
+    kept = kept.withColumn("_cairnlake_nth", F.row_number().over(once)).where("_cairnlake_nth = 1").select(docs.columns)
+    return kept.unionByName(docs.where(~able))
 
 
 def op5_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -89,6 +89,7 @@ def test_near_duplicate_blocks(spark, monkeypatch):
     """Key groups that are cut into several blocks find the same links."""
     monkeypatch.setattr(neardup, "BLOCK", 4)
     monkeypatch.setattr(neardup, "TEXT_BLOCK", 3)
+    monkeypatch.setattr(neardup, "SALT", 5)
     rng = random.Random(5)
     rows = []
     for c in range(60):
@@ -101,6 +102,20 @@ def test_near_duplicate_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == low
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one id with different texts are rows of their own: links of each text are kept, and no text is lost."""
+    a, b, c = prose(11), prose(12), prose(13)
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (3, c), (None, a), (None, b), (4, None), (4, ""), (5, c), (5, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect() if r.doc_id is not None)
+    n = len(shingles(a, 5))
+    assert got == [(1, n, 1, True), (1, n, 1, True), (2, n + 1, 1, False), (3, n, 3, True), (3, n + 1, 1, False), (4, 0, 4, True), (4, 0, 4, True), (5, n, 3, False), (5, n, 3, False)]
+    out = sorted(map(str, neardup.dedup(df).collect()))
+    assert out == sorted(map(str, spark.createDataFrame([(1, a), (1, b), (3, c), (None, a), (None, b), (4, None), (4, "")], "doc_id long, text string").collect()))
+    with pytest.raises(ValueError):
+        neardup.near_duplicates(df, percent=60)
+
+
 def test_dedup_keeps_one(spark, docs, empty):
     out = neardup.dedup(docs)
     assert out.columns == docs.columns
