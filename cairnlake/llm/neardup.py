@@ -37,7 +37,7 @@ MOST_ERRORS = 17
 #: The same for the 2-bit digest that travels with the keys; odds of 6e-6 at similarity 0.8.
 MOST_DIGEST_ERRORS = 15
 #: Members of a key group that are compared in one block.
-BLOCK = 1024
+BLOCK = 512
 #: The same where their texts are held, and the shingles that these may have.
 TEXT_BLOCK, SHINGLE_BLOCK = 512, 1 << 19
 #: Members of a key group whose pairs with its head are confirmed from one copy of the head's text.
@@ -224,11 +224,17 @@ def leftover_links(k: int, percent: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("n")
         ids = group.column("id").to_numpy()
-        hasher, rows = WordHasher(), []
+        hasher, hashes, sizes = WordHasher(), [], []
         for part in group.select(["text"]).to_batches(max_chunksize=64):
             for some in slices(part):
                 sets, bounds = shingle_sets(hasher, some.column(0), k)
-                rows += [sets[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                hashes.append(sets)
+                sizes.append(np.diff(bounds))
+        size = np.concatenate(sizes)
+        begin = np.cumsum(size) - size
+        # shingles as small numbers, so that those of one row can be looked up in a table
+        kinds, shingle = np.unique(np.concatenate(hashes), return_inverse=True)
+        mine = np.zeros(len(kinds), bool)
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -240,10 +246,17 @@ def leftover_links(k: int, percent: int):
         comp = group.column("comp").to_pylist()
         us, vs = [], []
         for i, near in partners(group, percent):
-            x = rows[i]
-            for j in near.tolist():
+            near = near[size[near] > 0]
+            if not size[i] or not len(near):
+                continue
+            own = shingle[begin[i] : begin[i] + size[i]]
+            mine[own] = True
+            at = np.cumsum(size[near]) - size[near]
+            both = np.add.reduceat(mine[shingle[np.repeat(begin[near] - at, size[near]) + np.arange(size[near].sum())]], at, dtype=np.int64)
+            mine[own] = False
+            for j in near[100 * both >= percent * (size[i] + size[near] - both)].tolist():
                 a, b = find(comp[i]), find(comp[j])
-                if a != b and shared_share(x, rows[j], percent):
+                if a != b:
                     root[max(a, b)] = min(a, b)
                     us.append(min(ids[i], ids[j]))
                     vs.append(max(ids[i], ids[j]))
@@ -253,19 +266,30 @@ def leftover_links(k: int, percent: int):
 
 
 def block_pairs(rows: DataFrame, block: int, shingles: int) -> DataFrame:
-    """Deals each key group into blocks of about ``block`` rows and ``shingles`` shingles (n) and copies each row to every
-    pair of blocks that its own is in: (x, y), x <= y; side is 0 if both ends are one block, 1 or 2 for the two blocks of a pair."""
-    need = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / shingles)).cast("int")
-    sizes = materialize(rows.groupBy("key").agg(need.alias("blocks")), "blocks")
-    dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    spread = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda o: F.struct(
-            F.least(F.col("block"), o).alias("x"),
-            F.greatest(F.col("block"), o).alias("y"),
-            F.when(o == F.col("block"), 0).when(o > F.col("block"), 1).otherwise(2).alias("side"),
-        ),
+    """Deals each key group into blocks of about ``block`` rows and ``shingles`` shingles (n), and copies each row to the
+    pairs of blocks (x, y) that it has to be in; side is 0 if both ends are one block, 1 or 2 for the two blocks of a pair.
+
+    In a group of several blocks, rows of its largest component have blocks of their own, which meet those of the other rows
+    but not each other: a few strangers in a large group cost as many copies of it as they fill blocks."""
+    by_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    whole = by_comp.groupBy("key").agg(F.sum("c").alias("c"), F.sum("w").alias("w"), F.max(F.struct("c", "w", "comp")).alias("main"))
+    one = (F.col("c") <= block) & (F.col("w") <= shingles)
+    blocks = lambda c, w: F.greatest(F.lit(1), F.ceil(c / block), F.ceil(w / shingles)).cast("int")
+    sizes = whole.select(
+        "key",
+        F.when(~one, F.col("main.comp")).alias("main"),
+        F.when(one, 1).otherwise(blocks(F.col("c") - F.col("main.c"), F.col("w") - F.col("main.w"))).alias("blocks"),
+        F.when(one, 0).otherwise(blocks(F.col("main.c"), F.col("main.w"))).alias("mains"),
     )
+    dealt = rows.join(materialize(sizes, "blocks"), "key")
+    is_main = F.coalesce(F.col("comp") == F.col("main"), F.lit(False))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.when(is_main, F.col("mains")).otherwise(F.col("blocks"))).cast("int"))
+    others, mains = F.sequence(F.lit(0), F.col("blocks") - 1), F.filter(F.sequence(F.lit(0), F.greatest(F.col("mains") - 1, F.lit(0))), lambda m: m < F.col("mains"))
+    place = lambda x, y, side: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("int").alias("side"))
+    with_others = F.transform(others, lambda o: place(F.least(F.col("block"), o), F.greatest(F.col("block"), o), F.when(o == F.col("block"), 0).when(o > F.col("block"), 1).otherwise(2)))
+    with_mains = F.transform(mains, lambda m: place(F.col("block"), F.col("blocks") + m, F.lit(1)))
+    of_main = F.transform(others, lambda o: place(o, F.col("blocks") + F.col("block"), F.lit(2)))
+    spread = F.when(is_main, of_main).otherwise(F.concat(with_others, with_mains))
     return dealt.select(*rows.columns, F.explode(spread).alias("p")).select(*rows.columns, "p.x", "p.y", "p.side")
 
 
