@@ -220,11 +220,14 @@ def with_partners(percent: int):
 def leftover_links(k: int, percent: int):
     """Links between components of a block pair of a key group, confirmed on full sets; one for each two
     components that it joins, however many pairs there are."""
+    tools: list[WordHasher] = []  # made once a task; its tables take longer than most groups
 
     def run(group: pa.Table) -> pa.Table:
+        if not tools:
+            tools.append(WordHasher())
         group = group.sort_by("n")
         ids = group.column("id").to_numpy()
-        hasher, hashes, sizes = WordHasher(), [], []
+        hasher, hashes, sizes = tools[0], [], []
         for part in group.select(["text"]).to_batches(max_chunksize=64):
             for some in slices(part):
                 sets, bounds = shingle_sets(hasher, some.column(0), k)
