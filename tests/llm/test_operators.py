@@ -400,10 +400,10 @@ def test_url_literals():
     assert urlrules.literals(r"/x?foo/") == [] and urlrules.literals(r"[/.-]casino[/.-]") == ["casino"]
 
 
-def test_topk(spark):
+def test_topk(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(300 + i, [0.5] * 8) for i in range(40)]
-    rows += [(400, None), (401, [1.0, None] * 4), (402, [float("nan")] * 8), (403, [float("inf")] * 8), (None, [1.0] * 8), (420, [0.0] * 8), (440, [1.0, -1.0]), (440, [1.0, -1.0])]
+    rows += [(400, None), (401, [1.0, None] * 4), (402, [float("nan")] * 8), (403, [float("inf")] * 8), (None, [1.0] * 8), (420, [0.0] * 8), (440, [1.0, -1.0]), (440, [1.0, -1.0]), (20, [-1.0] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("clash"))
     good = [(i, np.pad(np.floor(64 * np.array(v)).astype(int), (0, 8 - len(v)))) for i, v in rows if i is not None and i not in (400, 401, 402, 403)]
     want = []
@@ -411,12 +411,23 @@ def test_topk(spark):
         if i % 20 == 0:
             best = sorted(((-int(q @ v), j) for j, v in good if j != i))[:20]
             want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
-    unique = lambda xs: sorted(x for x in xs if x[0] != 440)
-    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.exact_topk(df).collect()]
-    assert unique(got) == unique(want)
+    for candidates, queries in ((8192, 8192), (50, 7)):
+        monkeypatch.setattr(topk, "CANDIDATES", candidates)
+        monkeypatch.setattr(topk, "QUERIES", queries)
+        got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.exact_topk(df).collect()]
+        assert sorted(got) == sorted(want)
     assert topk.exact_topk(df.where("false")).collect() == []
 
 
+def test_topk_of_huge_components(spark):
+    """Scores beyond float64 are exact; beyond a long they end at its limits."""
+    rows = [(0, [3e14, 1.0]), (1, [1.0, 5.0]), (2, [1.0, 6.0]), (3, [-1.0, 0.0]), (4, [3e17, 0.0]), (5, [-1e300, 0.0])]
+    got = [(r.vec_id, r.score) for r in topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    big = 64 * int(3e14)
+    limits = lambda x: max(min(x, (1 << 63) - 1), -(1 << 63))
+    assert got == [(4, limits(big * big * 10)), (2, limits(big * 64 + 64 * 384)), (1, limits(big * 64 + 64 * 320)), (3, limits(-big * 64)), (5, limits(-(1 << 63) * big))]
+
+
 def test_topk_stops_early_and_is_exact():
     rng = np.random.default_rng(2)
     block = np.floor(rng.normal(size=(3000, 4)) * 64)
@@ -425,6 +436,8 @@ def test_topk_stops_early_and_is_exact():
         (got, score), = topk.threshold_topk(ids, block, np.array([-1]), q[None], 5)
         order = np.lexsort((ids, -(block @ q)))[:5]
         assert got.tolist() == order.tolist() and score.tolist() == (block @ q)[order].tolist()
+        (above, _), = topk.threshold_topk(ids, block, np.array([-1]), q[None], 5, np.array([int(score[2])]))
+        assert above.tolist()[:3] == got.tolist()[:3]
 
 
 def test_html(spark):
