@@ -5,8 +5,10 @@ shares, so that each text has length one). One linear support vector machine for
 all others, gives the family; within a family each two languages have a machine of their own, and their
 calibrated votes are averaged. Machines are fitted with a squared hinge loss and calibrated to probabilities.
 
-The machines are learned from a bounded sample: ``most_rows`` rows at most, dealt evenly over the languages by
-a hash of the id. Descriptions and predictions cover every whole text. Defined results: null texts and texts
+The machines are learned from a bounded sample: ``most_rows`` rows at most, dealt evenly over the languages (the
+``most_rows / 4`` most frequent ones) by a hash of id and text, and never more than that, also if rows repeat. Descriptions
+and predictions cover every whole text; a row's margin is summed in a fixed order, so that equal texts get equal scores
+wherever they stand. Defined results: null texts and texts
 without a letter are ``und`` with score 0; so are all if nothing can be learned; a language that no family lists is
 a family of its own; a sole family or language has probability 1; repeated rows and ties get equal results; an
 empty table gives an empty result. Extra columns are not read.
@@ -39,6 +41,8 @@ FAMILIES = {
 UND = "und"
 TRIGRAMS, BIGRAMS = 2048, 512
 DIMS = TRIGRAMS + BIGRAMS
+#: Texts that are described at a time; bounds the scratch arrays, not the texts.
+ROWS = 512
 
 #: ASCII bytes other than letters become spaces.
 _KEEP = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -127,7 +131,7 @@ def fit(x: np.ndarray, langs: list[str]) -> dict:
 
 
 def odds(x: np.ndarray, machine: np.ndarray) -> np.ndarray:
-    margin = x @ machine[:-3].astype(np.float32) + machine[-3]
+    margin = np.einsum("ij,j->i", x, machine[:-3].astype(np.float32)).astype(np.float64) + machine[-3]
     return 1 / (1 + np.exp(-np.clip(machine[-2] * margin + machine[-1], -30, 30)))
 
 
@@ -160,23 +164,29 @@ def predict(model: dict | None, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return langs, scores
 
 
-def described(batches):
+def pieces(batches, text: str):
+    """Cuts batches by text bytes and by ROWS."""
     for batch in batches:
-        for part in slices(batch):
-            x = describe(part.column(1).to_pylist()).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "lang", "x"])
+        for part in slices(batch, text):
+            for i in range(0, part.num_rows, ROWS):
+                yield part.slice(i, ROWS)
+
+
+def described(batches):
+    for part in pieces(batches, "text"):
+        x = describe(part.column(1).to_pylist()).astype(np.float16)
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "lang", "x"])
 
 
 def predictor(model: dict | None):
     def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                texts = part.column(1).to_pylist()
-                langs, scores = predict(model, describe(texts))
-                for i, text in enumerate(texts):
-                    if not has_letter(text):
-                        langs[i], scores[i] = UND, 0.0
-                yield pa.RecordBatch.from_arrays([*part.columns[:1], *part.columns[2:], pa.array(langs.tolist(), pa.string()), pa.array(scores, pa.float64())], names=["id", *part.schema.names[2:], "lang_pred", "score"])
+        for part in pieces(batches, "text"):
+            texts = part.column(1).to_pylist()
+            langs, scores = predict(model, describe(texts))
+            for i, text in enumerate(texts):
+                if not has_letter(text):
+                    langs[i], scores[i] = UND, 0.0
+            yield pa.RecordBatch.from_arrays([*part.columns[:1], *part.columns[2:], pa.array(langs.tolist(), pa.string()), pa.array(scores, pa.float64())], names=["id", *part.schema.names[2:], "lang_pred", "score"])
 
     return run
 
@@ -191,8 +201,10 @@ def learn(rows: DataFrame, most_rows: int = 4000) -> dict | None:
     rate = F.lit(0.0)
     for lang, n in counts.items():
         rate = F.when(F.col("lang") == lang, min(1.0, share / n)).otherwise(rate)
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(draw < rate).select("id", "text", "lang").mapInArrow(described, "id long, lang string, x binary").toPandas()
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) / float(1 << 20)
+    sample = rows.where(draw < rate).select("id", "text", "lang").mapInArrow(described, "id long, lang string, x binary")
+    # the bound holds whatever repeats; rows that tie here are equal
+    sample = sample.orderBy(F.xxhash64("id", "lang", "x"), "id", "lang", "x").limit(most_rows).toPandas()
     if not len(sample):
         return None
     sample = sample.sort_values(["id", "lang", "x"], kind="stable")
@@ -226,14 +238,13 @@ def op3_language_id(spark, sf_dir: str) -> DataFrame:
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"), held_out=held_out_third)
 
 
-def sieve(model: dict | None, at: int, least: float):
+def sieve(model: dict | None, at: int, name: str, least: float):
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, batch.schema.names[at]):
-                texts = part.column(at).to_pylist()
-                langs, scores = predict(model, describe(texts))
-                keep = [has_letter(t) and lang != UND and score >= least for t, lang, score in zip(texts, langs, scores)]
-                yield part.filter(pa.array(keep, pa.bool_()))
+        for part in pieces(batches, name):
+            texts = part.column(at).to_pylist()
+            langs, scores = predict(model, describe(texts))
+            keep = [has_letter(t) and lang != UND and score >= least for t, lang, score in zip(texts, langs, scores)]
+            yield part.filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -248,4 +259,4 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     model = learn(known, most_rows)
     if model is None:
         return docs.where(F.col(text_col).rlike(r"\p{L}"))
-    return docs.mapInArrow(sieve(model, docs.columns.index(text_col), least_score), docs.schema)
+    return docs.mapInArrow(sieve(model, docs.columns.index(text_col), text_col, least_score), docs.schema)

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 BASE = ("email", "ip", "card", "phone")
 #: Kinds of spans in the order in which spans with the same start are listed.
 KINDS = (*BASE, "national_id", "account", "secret")
@@ -170,8 +172,8 @@ def buckets(text: str, a: int, kind: int, b: int) -> tuple[int, int]:
 def pattern_counts(batches):
     """Counts of (kind, is base, votes, buckets) of the batches of a task."""
     seen: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
+    for part in (part for batch in batches for part in slices(batch)):
+        for text in part.column(0).to_pylist():
             if not text:
                 continue
             base = base_spans(text)
@@ -258,16 +260,16 @@ def listed(spans: list) -> str:
 
 def finder(model: dict | None):
     def run(batches):
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch)):
             counts, digest, text_spans = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in part.column(1).to_pylist():
                 base, whole = all_spans(text or "", model)
                 counts.append([sum(k == i for _, k, _ in base) for i in range(len(BASE))])
                 digest.append(hashlib.sha256(listed(base).encode()).hexdigest())
                 text_spans.append(listed(whole))
             c = np.array(counts, np.int64).reshape(-1, len(BASE))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c[:, i]) for i in range(len(BASE))), pa.array(digest, pa.string()), pa.array(text_spans, pa.string())],
+                [part.column(0), *(pa.array(c[:, i]) for i in range(len(BASE))), pa.array(digest, pa.string()), pa.array(text_spans, pa.string())],
                 names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"],
             )
 
@@ -293,11 +295,11 @@ def redacted(text: str | None, model: dict | None) -> str | None:
     return "".join([*out, text[last:]])
 
 
-def redactor(model: dict | None, at: int):
+def redactor(model: dict | None, at: int, name: str):
     def run(batches):
-        for batch in batches:
-            texts = [redacted(t, model) for t in batch.column(at).to_pylist()]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+        for part in (part for batch in batches for part in slices(batch, name)):
+            texts = [redacted(t, model) for t in part.column(at).to_pylist()]
+            yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
     return run
 
@@ -305,7 +307,7 @@ def redactor(model: dict | None, at: int):
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; all other columns stay as they are."""
     model = learn(docs.select(F.col(text_col).alias("text")))
-    return docs.mapInArrow(redactor(model, docs.columns.index(text_col)), docs.schema)
+    return docs.mapInArrow(redactor(model, docs.columns.index(text_col), text_col), docs.schema)
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ Shallow trees, boosted cyclically over the features, add up to one lookup table
 joint table takes most of what is left then get two-dimensional tables the same way. A document is scored by
 adding one entry of each table: features are binned and looked up for a whole batch at once.
 
-Labels are learned from a bounded sample of labelled rows (``most_rows``, those with the smallest hash of the
-id); features and scores cover every whole text. Defined results: null counts as the empty text, which is
+Labels are learned from a bounded sample of labelled rows (``most_rows``: of the ids with the smallest hash, and never
+more rows than that, also if rows repeat); features and scores cover every whole text. Defined results: null counts as the empty text, which is
 scored like any other; without any labelled row every score is 0.5; rows that share an id are scored each;
 an id with several labels counts with the smallest; repeated rows and ties give equal scores; an
 empty table gives an empty result. Extra columns are not read.
@@ -199,7 +199,8 @@ def scorer(model: dict | None):
 def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> dict | None:
     """Fits the model. docs: id, text. labels: id, label (0 or 1), already without what may not be learned from."""
     sample = labels.where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.min("label").cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most_rows)
-    rows = docs.join(F.broadcast(sample), "id").select("id", "text", "label").mapInArrow(measured, "id long, label int, x array<double>").toPandas()
+    rows = docs.join(F.broadcast(sample), "id").select("id", "text", "label").mapInArrow(measured, "id long, label int, x array<double>")
+    rows = rows.orderBy(F.xxhash64("id", "x"), "id", "x", "label").limit(most_rows).toPandas()
     if not len(rows):
         return None
     x = np.array(rows["x"].tolist())

@@ -76,7 +76,7 @@ def counter(model: str, cut_chars: int, batch_bytes: int):
                 for part in cut(text, cut_chars) if tool.safe and len(text) > cut_chars else [text]:
                     parts.append(part)
                     owner.append(row)
-                    held += len(part)
+                    held += len(part) if part.isascii() else len(part.encode())
                     if held >= batch_bytes:
                         np.add.at(n_tokens, owner, tool.count(parts))
                         parts, owner, held = [], [], 0
@@ -91,7 +91,7 @@ def token_counts(docs: DataFrame, model: str | None = None, id_col: str = "doc_i
     """id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) of each row.
 
     model: the piece model's path, the same on all executors. cut_chars: texts beyond it are cut.
-    batch_bytes: characters that one call of the encoder gets, whatever the number of texts.
+    batch_bytes: UTF-8 bytes that one call of the encoder gets, whatever the number of texts; a text without a place to cut is one call.
     """
     run = counter(model or default_model(), cut_chars, batch_bytes)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

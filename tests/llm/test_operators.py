@@ -209,6 +209,9 @@ def test_language_id(spark, empty):
     assert by[903][0].lang_pred == "de" and by[904][0] == by[904][1] and by[904][0].lang_pred == "en"
     held = [(r.lang_pred, rows[r.doc_id][2]) for r in rows_got if r.held_out and r.doc_id < 300]
     assert np.mean([a == b for a, b in held]) > 0.97
+    same = spark.createDataFrame([(7, texts, "de") for texts in ["und der die", "the of"] * 700], "doc_id long, text string, lang string")
+    assert all(len({r.score for r in langid.identify(same).collect() if r.lang_pred == lang}) == 1 for lang in ("de",))
+    assert langid.identify(same, train=df).select("lang_pred", "score").distinct().count() == 2
     assert langid.identify(empty).collect() == [] and langid.keep_identified(empty).collect() == []
     kept = langid.keep_identified(df, held_out=langid.held_out_third)
     assert kept.columns == df.columns and {900, 901, 902}.isdisjoint(r.doc_id for r in kept.collect()) and kept.count() >= 300
@@ -216,6 +219,25 @@ def test_language_id(spark, empty):
     assert langid.identify(nothing).first().lang_pred == "und" and langid.keep_identified(nothing).count() == 1
 
 
+def test_samples_are_bounded_in_rows(spark, monkeypatch):
+    """Rows of one id are all or none of a hash's choice, but no more than the bound is fetched."""
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda x, langs: seen.append(len(langs)))
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(len(y)))
+    rows = spark.createDataFrame([(5, "the of", "en")] * 3000 + [(6, "und der", "de")] * 40, "id long, text string, lang string")
+    langid.learn(rows, most_rows=400)
+    quality.learn(rows, spark.createDataFrame([(5, 1), (6, 0)], "id long, label int"), most_rows=300)
+    assert 0 < seen[0] <= 400 and 0 < seen[1] <= 300
+
+
+def test_margins_do_not_depend_on_the_place():
+    rng = np.random.default_rng(3)
+    x, w = rng.random((700, langid.DIMS)).astype(np.float32), np.append(rng.normal(size=langid.DIMS), [0.1, 2.0, 0.0])
+    whole = langid.odds(x, w)
+    for i in (0, 1, 5, 333, 699):
+        assert langid.odds(x[i : i + 1], w)[0] == langid.odds(x[i:][:7], w)[0] == whole[i]
+
+
 def test_language_families_come_first():
     assert langid.family_of("de") == langid.family_of("en") != langid.family_of("fr") == langid.family_of("es")
     model = langid.fit(langid.describe(["und der", "the of", "le la", "el los"] * 5), ["de", "en", "fr", "es"] * 5)
@@ -259,7 +281,7 @@ def brute_spans(t):
     def luhn(d):
         return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
 
-    out = [(m.start(), 0, m.end()) for m in email.finditer(t)]
+    out = [(m.start(), 0, m.end()) for m in email.finditer(t)] if "@" in t else []
     out += [(m.start(), 1, m.end()) for m in ip.finditer(t) if all(int(x) <= 255 for x in m.group().split("."))]
     out += [(m.start(), 2, m.end()) for m in card.finditer(t) if 14 <= len(digits(m.group())) <= 19 and luhn(digits(m.group()))]
     out += [(m.start(), 3, m.end()) for m in phone.finditer(t) if 10 <= len(digits(m.group())) <= 15]
@@ -275,7 +297,7 @@ def test_pii_base_against_patterns():
 
 def test_pii_adds_and_redacts(spark, docs, empty):
     card = "4" + "0" * 14 + "2"  # passes the check digit
-    texts = ["mail a.b@c.example.org now", f"pay {card} soon", "reach me at jo (at) foo (dot) com", "password=" + "abc123def456ghi789", "1.2.3.4 and 1.2.3.400", None, "", "x" * 20_000, "call +1 (555) 123-4567 please", "nothing"]
+    texts = ["mail a.b@c.example.org now", f"pay {card} soon", "reach me at jo (at) foo (dot) com", "password=" + "abc123def456ghi789", "1.2.3.4 and 1.2.3.400", None, "", "x" * 300_000, "call +1 (555) 123-4567 please", "nothing", "mail a.b@c.example.org or 10.0.0.1, " * 8000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("spans", F.lit("clash"))
     got = {r.doc_id: r for r in pii.find(df).collect()}
     for i, t in enumerate(texts):
