@@ -1,11 +1,14 @@
 """Main text of web pages by tree scoring.
 
 A page is read into a tree of elements. Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are left out by element or by the words of their class and id. Each
-block of text gives points (one, one a comma, and up to three for its length) to the container that it
-stands in, fewer to the containers around that, each discounted by link density; elements that state
-that they hold the article get them in full. The container with most points is kept, with those of its siblings
-that score alike or read like paragraphs.
+scripts, styles and reader comments are left out by element or by the words of their class and id, as are hidden
+elements and what stands in for media that a browser shows instead. A class that names the article outweighs
+others beside it that would drop it. Each block of text gives points (one, one a comma, and up to three for its length)
+to the container that it stands in, fewer to the five around that, each discounted by link density; elements that state
+that they hold the article get them in full, up to four of them within 64 levels. The container with most points is kept,
+with those of its siblings that score alike or read like paragraphs. Captions are part of the article.
+
+Open elements are found by name and kind, not by walking the stack, so a page takes time in proportion to its length.
 
 Character references are decoded, white space inside a block becomes one space, and blocks are joined in
 page order by one space. Defined results: null, empty or text-less pages give an empty text; markup that is cut
@@ -22,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 # Elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noembed noframes xmp noscript svg math template".split())
-DROPPED = frozenset("nav header footer aside form button select option label input dialog menu object canvas audio video figure fieldset legend head".split())
+DROPPED = frozenset("nav header footer aside form button select option label input dialog menu object canvas audio video head".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
@@ -40,7 +45,8 @@ CLOSED_BY = {
     "th": frozenset(["td", "th", "tr", "tbody", "thead", "tfoot"]),
     "option": frozenset(["option", "optgroup"]),
 }
-SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",)}
+#: Elements inside which the start of an item does not close one outside.
+ITEM_SCOPE = frozenset("ul ol dl table select article body div section".split())
 P_SCOPE = frozenset("table td th caption html button object template".split())
 #: Words of class, id or role that mark what is not the article.
 NOT_ARTICLE = frozenset(
@@ -48,35 +54,47 @@ NOT_ARTICLE = frozenset(
 )
 #: Words of class, id or itemprop that mark the article.
 ARTICLE = frozenset("articlebody article post entry content story main".split())
+#: Of these, words that name the article itself when their class has no word of the other list.
+STRONG = frozenset("articlebody article post entry story".split())
 
 _END = re.compile(r'[^>"\']*+(?:"[^"]*+"[^>"\']*+|\'[^\']*+\'[^>"\']*+)*+>')
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
-_MARK = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "article", "begin", "end", "points", "chars", "links", "kids")
+    __slots__ = ("tag", "parent", "block", "box", "dropped", "article", "begin", "end", "points", "chars", "links", "kids")
 
     def __init__(self, tag: str, parent: "Node | None", dropped: bool, article: bool, begin: int) -> None:
         self.tag, self.parent, self.dropped, self.article, self.begin = tag, parent, dropped, article, begin
+        self.block: Node = self if parent is None or tag in BLOCKS else parent.block
+        self.box: Node = self if parent is None or tag in CONTAINERS else parent.box
         self.end = -1
         self.points = 0.0
         self.chars = self.links = 0
         self.kids: list[Node] = []
 
 
-def marks(attrs: str) -> tuple[bool, bool]:
-    """(is marked as not the article, is marked as the article)"""
-    words, loud = set(), set()
-    for name, a, b, c in _MARK.findall(attrs):
-        value = a or b or c
-        parts = {w.lower() for w in _PARTS.findall(value)}
-        words |= parts
-        if name.lower() in ("itemprop", "role", "class", "id"):
-            loud |= parts | {value.lower()}
-    return bool(words & NOT_ARTICLE), bool(loud & ARTICLE)
+def marks(attrs: str) -> tuple[bool, bool, bool]:
+    """(is marked as not the article, is marked as the article, is hidden)"""
+    no = yes = strong = hidden = False
+    for name, a, b, c in _ATTR.findall(attrs):
+        name, value = name.lower(), a or b or c
+        if name in ("class", "id", "role", "itemprop"):
+            for word in value.split():
+                parts = {w.lower() for w in _PARTS.findall(word)} | {word.lower()}
+                bad, good = not parts.isdisjoint(NOT_ARTICLE), not parts.isdisjoint(ARTICLE)
+                no, yes = no or bad, yes or good
+                strong = strong or not bad and not parts.isdisjoint(STRONG)
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
+            hidden = True
+    return no and not strong, yes, hidden
+
+
+#: Kinds of open elements whose places on the stack are kept.
+KINDS = (BLOCKS, CONTAINERS, P_SCOPE | CONTAINERS, frozenset(CLOSED_BY), ITEM_SCOPE)
 
 
 class Page:
@@ -86,6 +104,9 @@ class Page:
         self.root = Node("html", None, False, False, 0)
         self.stack = [self.root]
         self.nodes = [self.root]
+        # places on the stack of the open elements, by name and by kind
+        self.named: dict[str, list[int]] = {}
+        self.kinds: tuple[list[int], ...] = tuple([0] for _ in KINDS)
         self.pieces: list = []
         self.spans: list[tuple[int, int, Node, int]] = []  # blocks: first piece, last piece, element, link characters
         self.block_from, self.block_links, self.in_link = 0, 0, 0
@@ -96,10 +117,7 @@ class Page:
 
     def flush(self) -> None:
         if len(self.pieces) > self.block_from:
-            top = self.stack[-1]
-            while top.tag not in BLOCKS:
-                top = top.parent
-            self.spans.append((self.block_from, len(self.pieces), top, self.block_links))
+            self.spans.append((self.block_from, len(self.pieces), self.stack[-1].block, self.block_links))
         self.pieces.append(None)
         self.block_from, self.block_links = len(self.pieces), 0
 
@@ -110,33 +128,43 @@ class Page:
             if self.in_link:
                 self.block_links += len(got.strip())
 
+    def push(self, node: Node) -> None:
+        at = len(self.stack)
+        self.named.setdefault(node.tag, []).append(at)
+        for kind, places in zip(KINDS, self.kinds):
+            if node.tag in kind:
+                places.append(at)
+        self.stack.append(node)
+
     def pop(self, depth: int) -> None:
-        if any(n.tag in BLOCKS for n in self.stack[depth:]):
+        """Closes the elements from a place on."""
+        if self.kinds[0][-1] >= depth:
             self.flush()
-        for node in self.stack[depth:]:
+        while len(self.stack) > depth:
+            node = self.stack.pop()
             node.end = len(self.pieces)
             self.in_link -= node.tag == "a"
-        del self.stack[depth:]
+            self.named[node.tag].pop()
+            for places in self.kinds:
+                if places[-1] == len(self.stack):
+                    places.pop()
+
+    def last(self, tag: str) -> int:
+        """Place of the last open element of a name; 0 for none."""
+        places = self.named.get(tag)
+        return places[-1] if places else 0
 
     def close_before(self, tag: str) -> None:
         """Closes what the start of ``tag`` closes without an end tag."""
-        if tag in BLOCKS:
-            for d in range(len(self.stack) - 1, 0, -1):
-                t = self.stack[d].tag
-                if t == "p":
-                    self.pop(d)
-                    break
-                if t in P_SCOPE or t in CONTAINERS:
-                    break
-        for d in range(len(self.stack) - 1, 0, -1):
-            t = self.stack[d].tag
-            if t in CLOSED_BY:
-                if tag in CLOSED_BY[t]:
-                    self.pop(d)
-                    if t in ("td", "th") and tag not in ("td", "th"):
-                        continue
+        _, _, p_scope, items, item_scope = self.kinds
+        if tag in BLOCKS and self.last("p") > p_scope[-1]:
+            self.pop(self.last("p"))
+        while items[-1] and items[-1] >= item_scope[-1]:
+            item = self.stack[items[-1]].tag
+            if tag not in CLOSED_BY[item]:
                 break
-            if t in ("ul", "ol", "dl", "table", "select", "article", "body", "div", "section"):
+            self.pop(items[-1])
+            if item not in ("td", "th") or tag in ("td", "th"):
                 break
 
     def start(self, tag: str, attrs: str) -> None:
@@ -155,12 +183,12 @@ class Page:
         if tag in BLOCKS:
             self.flush()
         parent = self.stack[-1]
-        no, yes = marks(attrs) if attrs else (False, False)
-        dropped = parent.dropped or tag in DROPPED or (no and tag not in ("article", "main")) or (no and not yes) or bool(attrs and _HIDDEN.search(attrs))
+        no, yes, hidden = marks(attrs) if attrs else (False, False, False)
+        dropped = parent.dropped or tag in DROPPED or hidden or (no and tag not in ("article", "main"))
         node = Node(tag, parent, dropped, tag in ("article", "main") or (yes and tag in CONTAINERS), len(self.pieces))
         parent.kids.append(node)
         self.nodes.append(node)
-        self.stack.append(node)
+        self.push(node)
         self.in_link += tag == "a"
         if attrs.endswith("/") and tag not in BLOCKS:
             self.pop(len(self.stack) - 1)
@@ -170,13 +198,10 @@ class Page:
             return
         if tag == "br":
             return self.start("br", "")
-        inline = tag not in BLOCKS
-        for d in range(len(self.stack) - 1, 0, -1):
-            t = self.stack[d].tag
-            if t == tag:
-                return self.pop(d)
-            if inline and t in BLOCKS or tag == "p" and t in CONTAINERS:
-                return None
+        at = self.last(tag)
+        blocked = self.kinds[0][-1] if tag not in BLOCKS else self.kinds[1][-1] if tag == "p" else 0
+        if at and at >= blocked:
+            self.pop(at)
 
     def read(self, s: str) -> None:
         at, n = 0, len(s)
@@ -230,9 +255,7 @@ class Page:
                 continue
             links = min(links, len(text))
             points = (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)) * (1 - links / len(text))
-            at = node
-            while at.tag not in CONTAINERS:
-                at = at.parent
+            at = node.box
             at.chars += len(text)
             at.links += links
             share, stated, level = 1.0, 0, 0
@@ -275,9 +298,9 @@ def main_text(source: str | None) -> str:
 
 
 def extract(batches):
-    for batch in batches:
-        texts = [main_text(h) for h in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+    for part in (part for batch in batches for part in slices(batch, "html")):
+        texts = [main_text(h) for h in part.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
