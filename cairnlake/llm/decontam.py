@@ -14,7 +14,8 @@
    common subsequence of the item and the text around the passage must hold STRONG of the item's words, or PARAPHRASE
    of them if it also holds the item's answer (the rarest words of its last sentence).
 
-The benchmark is sent to executors in blocks of ``block_items`` items, so what is broadcast is bounded.
+The benchmark is sent to executors in blocks of about ``block_items`` items and ``block_bytes`` of their text, so what is
+broadcast is bounded.
 
 Defined results: null, empty or word-less items and texts match nothing; items of fewer than MIN_WORDS words need all of
 their words in a row; repeated rows match each; rows with a null id are judged too and keep the null
@@ -381,13 +382,14 @@ def searcher(block: Block):
     return run
 
 
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_items: int = 5000, rank: int = RANK) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_items: int = 5000, rank: int = RANK, block_bytes: int = 1 << 23) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share) for every document that holds a benchmark item."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").rlike(WORD))
     out = spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs_share double")
-    blocks = -(-items.count() // block_items)
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    blocks = max(-(-size["n"] // block_items), -(-size["b"] // block_bytes))
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
         rows = sorted(((r["item_id"], r["text"]) for r in mine.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
@@ -416,9 +418,11 @@ def item_hashes(rows: list[tuple[int, str]]) -> tuple[list[np.ndarray], np.ndarr
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no benchmark item; rows with a null id stay only if no null-id row holds one."""
-    bad = find(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_cairnlake_bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("_cairnlake_bad")), "left_anti")
+    """The documents that hold no benchmark item. Each row is judged by its own text, whatever other rows share its id or have none."""
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    bad = find(docs.select(key.alias("_cairnlake_key"), F.col(text_col).alias("text")), benchmark, "_cairnlake_key", "text")
+    bad = bad.select(F.col("doc_id").alias("_cairnlake_bad")).distinct()
+    return docs.withColumn("_cairnlake_key", key).join(bad, F.col("_cairnlake_key") == F.col("_cairnlake_bad"), "left_anti").select(docs.columns)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
