@@ -19,8 +19,12 @@ same random number). An empty table gives an empty result. Extra columns are not
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
+from .common import materialize
+
 #: Bits of a size; 0 for an empty text.
 BITS = "CASE WHEN size = 0 THEN 0 ELSE length(bin(size)) END"
 #: Weights of the sources in code-point order, repeating.
@@ -165,25 +169,16 @@ WRITTEN = ("classes", "targets", "plans", "marks")
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target (of its source), taken (words the mix takes of it) of each row."""
-    from .common import materialize
-
-    spark = docs.sparkSession
     base = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), docs[text_col].alias("text"))
     sized = base.selectExpr("doc_id", "source", r"coalesce(regexp_count(text, '[^\\x20\\x09-\\x0D]+'), 0) AS n")
-    materialize(sized, "sizes").createOrReplaceTempView("mix_input")
-    steps = mix_steps("mix_input", "n", BITS, spark_uniform(seed), most)
-    made = ["mix_input"]
-    try:
-        for name, sql in steps:
-            df = spark.sql(sql)
-            if name in WRITTEN:
-                df = materialize(df, name)
-            df.createOrReplaceTempView(name)
-            made.append(name)
-        return df
-    finally:
-        for name in made:
-            spark.catalog.dropTempView(name)
+    made = {"mix_input": materialize(sized, "sizes")}
+    for name, sql in mix_steps("mix_input", "n", BITS, spark_uniform(seed), most):
+        # tables of earlier steps are handed over as DataFrames: no view of the session is made or hidden
+        used = {t for t in re.findall(r"\b(?:FROM|JOIN) (\w+)", sql) if t in made}
+        braced = re.sub(r"\b(FROM|JOIN) (\w+)", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], sql)
+        df = docs.sparkSession.sql(braced, **{t: made[t] for t in used})
+        made[name] = materialize(df, name) if name in WRITTEN else df
+    return made["mixed"]
 
 
 def spark_uniform(seed: int) -> str:

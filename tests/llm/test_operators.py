@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -175,6 +176,14 @@ def test_mixing(spark, docs, empty):
     assert mixing.mixed_documents(empty).collect() == []
 
 
+def test_mixing_leaves_the_callers_views(spark, docs):
+    spark.range(3).createOrReplaceTempView("sources")
+    views = {t.name for t in spark.catalog.listTables()}
+    assert mixing.mix(docs).count() == docs.count()
+    assert {t.name for t in spark.catalog.listTables()} == views and spark.table("sources").count() == 3
+    spark.catalog.dropTempView("sources")
+
+
 def test_mixing_meets_targets(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = mixing.mix(d).groupBy("target", "source_size").agg(F.sum("taken").alias("t"), F.max("size").alias("m")).collect()
@@ -332,6 +341,10 @@ def test_decontamination(spark, docs, empty):
     assert {(r.doc_id, r.item_id) for r in decontam.find(df, bench, block_items=2).collect()} == got
     kept = decontam.clean(df, bench)
     assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6] and kept.columns == df.columns
+    twins = spark.createDataFrame([(None, items[0][1]), (None, prose(8, 90)), (1, items[1][1]), (1, prose(9, 90)), (2, None), (None, None)], "doc_id long, text string")
+    left = sorted(map(str, decontam.clean(twins, bench).collect()))
+    assert left == sorted(map(str, twins.where("text is null or not text in ('%s', '%s')" % (items[0][1], items[1][1])).collect())) and len(left) == 4
+    assert {(r.doc_id, r.item_id) for r in decontam.find(df, bench, block_bytes=300).collect()} == got
     assert decontam.find(empty, bench).collect() == [] and decontam.find(docs, bench.where("false")).collect() == []
     assert decontam.clean(docs, bench.where("item_id > 4")).count() == docs.count()
 
@@ -485,5 +498,24 @@ def test_html_never_fails():
         assert text == " ".join(text.split())
 
 
+def test_html_time_grows_with_the_page():
+    """Unclosed tags and end tags without a start do not make a page slow."""
+    for page in ("<i>" * 100_000 + "</b>" * 100_000 + "text", "<span>" * 100_000 + "<h1>" * 50_000 + "text", "<b>" * 50_000 + "a<p>" * 50_000 + "text"):
+        began = time.process_time()
+        assert htmltext.main_text(page).endswith("text")
+        assert time.process_time() - began < 5
+
+
+def test_html_keeps_the_article():
+    """Words in other attributes hide nothing, a class that names the article outweighs one beside it, captions stay."""
+    body = "<p>The whole article, with commas, is here.</p>"
+    assert htmltext.main_text('<p title="the hidden valley" data-x="display:none">text here</p>') == "text here"
+    assert htmltext.main_text(f'<div class="article-content share">{body}</div><div>short.</div>') == "The whole article, with commas, is here."
+    assert htmltext.main_text(f'<article>{body}<div class="article-comments"><p>Reader, said, much, more, than, that.</p></div></article>') == "The whole article, with commas, is here."
+    assert htmltext.main_text(f"<article>{body}<figure><img src=x><figcaption>A caption</figcaption></figure></article>") == "The whole article, with commas, is here. A caption"
+    for gone in ("hidden", 'HIDDEN=""', "aria-hidden=true", 'style="color:red; display : none"', "class=cookie-notice"):
+        assert htmltext.main_text(f"<article>{body}<div {gone}>gone</div></article>") == "The whole article, with commas, is here."
+
+
 def test_deep_pages():
     assert htmltext.main_text("<div>" * 20_000 + "deep text" + "</div>" * 20_000) == "deep text"
