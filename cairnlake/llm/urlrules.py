@@ -4,16 +4,17 @@ A pattern rule is a regular expression over the whole url (letter case ignored).
 that every match must contain are its literals, and the rule is filed under the one that the fewest
 urls hold. A url's own tokens fetch its candidate rules, and only those run their expressions. A rule
 is only filed under a token that stands free (bounded by other characters) in each of its matches;
-a rule that has no such token is tried on every url.
+a rule that has no such token is tried on every url. ``read_rules`` takes rules from host lists and filter lists.
 
-Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and is allowed
-(pattern rules do not apply to null); repeated rows are judged each; an empty table gives an empty result.
+Defined results: a null url, or one without ``://``, has empty host and path, fits no host rule and is allowed
+unless a pattern rule fits (these do not apply to null); of several pattern rules that fit, blocking ones win over
+others, then the first; repeated rows are judged each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -85,6 +86,49 @@ def literals(pattern: str) -> list[str]:
     return found
 
 
+def filter_pattern(rule: str) -> tuple[str, list[str]]:
+    """The regular expression of a filter-list rule and its free tokens.
+
+    ``||`` stands for a host or one above it, ``|`` at an end for that end of the url, ``^`` for a separator or the end, ``*`` for anything."""
+    host, begin, end = rule.startswith("||"), rule.startswith("|"), rule.endswith("|")
+    body = rule.lstrip("|")[: -1 if end else None]
+    parts = {"*": ".*", "^": r"(?:[^a-zA-Z0-9_.%-]|$)"}
+    pattern = "".join(parts.get(ch) or re.escape(ch) for ch in body)
+    pattern = (r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*\.)?" if host else "^" if begin else "") + pattern + ("$" if end else "")
+    tokens = []
+    for m in re.finditer("[a-z0-9]+", body.lower()):
+        left = begin if m.start() == 0 else body[m.start() - 1] != "*"
+        right = end if m.end() == len(body) else body[m.end()] != "*"
+        if left and right:
+            tokens.append(m.group())
+    return pattern, tokens
+
+
+def read_rules(lines: Iterable[str], verdict: str = "block") -> list[tuple[str, str, list[str]]]:
+    """(verdict, pattern, tokens) of the rules of a host list or a filter list, for ``filter_urls``.
+
+    Lines: ``host`` or ``0.0.0.0 host`` (the host and all below it), ``/expression/``, or a filter; ``@@`` before a rule
+    allows what it fits. Comments (``!``, ``#``), list headers, rules on parts of a page (``##``) and rules with options
+    (``$``), which ask for more than a url, are left out."""
+    rules = []
+    for line in (x.strip() for x in lines):
+        if not line or line[0] in "!#[" or "##" in line or "#@#" in line:
+            continue
+        allow = line.startswith("@@")
+        body = line[2:] if allow else re.sub(r"^(?:0\.0\.0\.0|127\.0\.0\.1|::1?)\s+(\S+).*$", r"\1", line)
+        if len(body) > 2 and body[0] == "/" and body[-1] == "/":
+            pattern, tokens = body[1:-1], literals(body[1:-1])
+        elif "$" in body:
+            continue
+        elif re.fullmatch(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", body):
+            pattern, tokens = filter_pattern(f"||{body}^")
+        else:
+            pattern, tokens = filter_pattern(body)
+        if pattern:
+            rules.append(("allow" if allow else verdict, pattern, tokens))
+    return rules
+
+
 def split_url(df: DataFrame, url_col: str) -> DataFrame:
     """Adds host (A-Z lower-cased) and path."""
     rest = F.when(F.instr(url_col, "://") > 0, F.expr(f"substring({url_col}, instr({url_col}, '://') + 3)")).otherwise("")
@@ -99,14 +143,20 @@ def token_frequencies(df: DataFrame, url_col: str, tokens: Sequence[str]) -> dic
     """In how many urls each of the rules' tokens stands; as many rows as the rules have tokens come back."""
     if not tokens:
         return {}
-    words = F.array_intersect(F.array_distinct(F.split(F.lower(url_col), "[^a-z0-9]+")), F.array(*[F.lit(t) for t in tokens]))
-    rows = df.select(F.explode(words).alias("token")).groupBy("token").count().collect()
+    words = df.select(F.explode(F.array_distinct(F.split(F.lower(url_col), "[^a-z0-9]+"))).alias("token"))
+    rows = words.where(F.col("token").isin(*tokens)).groupBy("token").count().collect()
     return {r["token"]: r["count"] for r in rows}
 
 
-def judge(rules: Sequence[tuple[str, str]], index: dict[str, list[int]], always: Sequence[int]):
+def judge(rules: Sequence[tuple], index: dict[str, list[int]], always: Sequence[int]):
     def run(batches):
-        compiled = [re.compile(p, re.IGNORECASE | re.ASCII) for _, p in rules]
+        compiled: dict[int, re.Pattern] = {}  # only rules that are fetched are ever compiled
+
+        def fits(i: int, url: str) -> bool:
+            if i not in compiled:
+                compiled[i] = re.compile(rules[i][1], re.IGNORECASE | re.ASCII)
+            return bool(compiled[i].search(url))
+
         token = re.compile(r"[a-z0-9]+")
         for batch in batches:
             out = []
@@ -116,10 +166,11 @@ def judge(rules: Sequence[tuple[str, str]], index: dict[str, list[int]], always:
                     wanted = set(always)
                     for t in set(token.findall(url.lower())):
                         wanted.update(index.get(t, ()))
-                    hits = [i for i in sorted(wanted) if compiled[i].search(url)]
-                    hit = min(hits, key=lambda i: (rules[i][0] != "block", i), default=None)
+                    wanted = sorted(wanted, key=lambda i: (rules[i][0] != "block", i))
+                    hit = next((i for i in wanted if fits(i, url)), None)
                 out.append(hit)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.int32())], names=[*batch.schema.names[1:], "pattern_rule"])
+            blocked = [i is not None and rules[i][0] == "block" for i in out]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.int32()), pa.array(blocked, pa.bool_())], names=[*batch.schema.names[1:], "pattern_rule", "blocked"])
 
     return run
 
@@ -127,10 +178,11 @@ def judge(rules: Sequence[tuple[str, str]], index: dict[str, list[int]], always:
 def filter_urls(pages: DataFrame, host_rules: Sequence = HOST_RULES, pattern_rules: Sequence = PATTERN_RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """id, host, path, rule (host rule that fits, longest first, else null), verdict, pattern (index of the pattern rule that decided, else null).
 
-    The rules are the caller's configuration; they are sent to the executors with the code.
+    pattern_rules: (verdict, pattern) or (verdict, pattern, tokens) as from ``read_rules``. The rules are the caller's
+    configuration; they are sent to the executors with the code.
     """
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    keys = {i: literals(p) for i, (_, p) in enumerate(pattern_rules)}
+    keys = {i: rule[2] if len(rule) > 2 else literals(rule[1]) for i, rule in enumerate(pattern_rules)}
     counts = token_frequencies(base, "url", sorted({t for ts in keys.values() for t in ts}))
     index: dict[str, list[int]] = {}
     for i, ts in keys.items():
@@ -138,14 +190,13 @@ def filter_urls(pages: DataFrame, host_rules: Sequence = HOST_RULES, pattern_rul
             index.setdefault(min(ts, key=lambda t: (counts.get(t, 0), t)), []).append(i)
     always = [i for i, ts in keys.items() if not ts]
     split = split_url(base, "url").select("url", "page_id", "host", "path")
-    judged = split.mapInArrow(judge(list(pattern_rules), index, always), "page_id long, host string, path string, pattern_rule int")
+    judged = split.mapInArrow(judge(list(pattern_rules), index, always), "page_id long, host string, path string, pattern_rule int, blocked boolean")
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for what, host, path in sorted(host_rules, key=lambda r: len(r[1]) + len(r[2])):
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
         rule = F.when(fits, F.lit(host + path)).otherwise(rule)
         verdict = F.when(fits, F.lit(what)).otherwise(verdict)
-    block = [i for i, (what, _) in enumerate(pattern_rules) if what == "block"]
-    other = F.when(F.col("pattern_rule").isin(block), "block").otherwise("allow")
+    other = F.when(F.col("blocked"), "block").otherwise("allow")
     pattern = F.when(rule.isNull(), F.col("pattern_rule"))
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, other).alias("verdict"), pattern.alias("pattern_rule"))
 

@@ -430,6 +430,39 @@ def test_url_rules(spark):
     assert urlrules.filter_urls(df.where("false")).collect() == []
 
 
+def test_url_rule_lists():
+    lines = ["! note", "[Adblock]", "# hosts", "0.0.0.0 ads.example.org  # why", "127.0.0.1 track.example", "bad.example", "||evil.test^", "|http://start.test/", "/banner/*/img.", "end.swf|", "@@||good.evil.test^", r"/[/.]pop[0-9]+\./", "x##.ad", "||opt.test^$script", ""]
+    rules = urlrules.read_rules(lines)
+    assert [r[0] for r in rules] == ["block"] * 6 + ["block"] + ["allow"] + ["block"]
+    fit = lambda i, url: bool(re.search(rules[i][1], url, re.I | re.A))
+    assert fit(0, "http://a.ads.example.org/x") and not fit(0, "http://bads.example.org/") and not fit(0, "http://ads.example.org.net/") and fit(0, "https://ADS.example.org:80")
+    assert fit(3, "http://evil.test") and fit(7, "http://x.good.evil.test/") and not fit(3, "http://evil.testing/") and not fit(3, "http://x.org/?u=evil.test")
+    assert fit(4, "http://start.test/a") and not fit(4, "http://x.org/http://start.test/") and fit(5, "http://x.org/banner/9/img.png") and fit(6, "http://x.org/end.swf") and not fit(6, "http://x.org/end.swf?")
+    assert rules[3][2] == ["evil", "test"] and rules[5][2] == ["banner", "img"] and rules[6][2] == ["swf"] and rules[8][2] == []
+
+
+def test_ten_thousand_url_rules(spark):
+    """The index finds what running all rules finds, with tokens that many rules share, equal rules and rules of both verdicts."""
+    rng = random.Random(6)
+    word = lambda: rng.choice(["ad", "ads", "track", "www", "img", "com", "net"] + [f"w{rng.randint(0, 400)}" for _ in range(4)])
+    make = (
+        lambda: f"{word()}.{word()}.com", lambda: f"||{word()}.{word()}^", lambda: f"/{word()}/{word()}-", lambda: f"@@||{word()}.{word()}^", lambda: f"/{word()}*{word()}/", lambda: f"-{word()}.", lambda: f"||{word()}.net/{word()}|",
+    )
+    lines = [rng.choice(make)() for _ in range(10_000)]
+    rules = urlrules.read_rules(lines + lines[:50]) + [("block", r"[/.-]w77[/.-]")]
+    urls = [f"http://{word()}.{word()}.{rng.choice(['com', 'net', 'W7'])}/{word()}/{word()}-{word()}.x{rng.choice(['', '?q=' + word()])}" for _ in range(150)] + ["http://a.b/", "w77", None, "http://-w77-"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in urlrules.filter_urls(df, (), rules).collect()}
+    compiled = [re.compile(r[1], re.I | re.A) for r in rules]
+    for i, u in enumerate(urls):
+        hits = [k for k, c in enumerate(compiled) if u is not None and c.search(u)]
+        best = min(hits, key=lambda k: (rules[k][0] != "block", k), default=None)
+        assert (got[i].pattern_rule, got[i].verdict) == (best, "allow" if best is None else rules[best][0])
+    assert sum(r.pattern_rule is not None for r in got.values()) > 50
+    tried = {t for r in rules for t in r[2]}
+    assert len(tried) > 100 and sum(not (r[2] if len(r) > 2 else urlrules.literals(r[1])) for r in rules) < 2500
+
+
 def test_url_literals():
     assert urlrules.literals(r"/foo/") == ["foo"] and urlrules.literals(r"foo") == [] and urlrules.literals(r"/a|/b/") == []
     assert urlrules.literals(r"/x?foo/") == [] and urlrules.literals(r"[/.-]casino[/.-]") == ["casino"]
