@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Candidates in a block and queries in a block: bounds the memory of a task, not the work done.
-CANDIDATES, QUERIES = 8192, 8192
+CANDIDATES, QUERIES = 8192, 2048
 #: List entries that are read between two looks at the bound; doubles from look to look.
 STEP = 16
 
