@@ -163,8 +163,9 @@ def mix_sql(*args) -> str:
     return "WITH " + ", ".join(f"{name} AS ({sql})" for name, sql in steps[:-1]) + " " + steps[-1][1]
 
 
-#: Small tables (by source and bit length, or by source) that Spark writes between steps, so that no plan repeats the steps before.
-WRITTEN = ("classes", "targets", "plans", "marks")
+#: Tables that Spark writes between steps, so that no plan repeats the steps before: small ones by source and bit length or by
+#: source, and the ranked documents (without their texts), which three later steps read.
+WRITTEN = ("classes", "targets", "plans", "ranked", "marks")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3, seed: int = 7) -> DataFrame:
@@ -199,6 +200,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     found = mix(docs, **options).where("taken > 0").selectExpr("doc_id AS _mix_id", "size AS _mix_size", "taken", "CAST(taken / size AS INT) AS copies")
     once = found.groupBy("_mix_id", "_mix_size").agg({"taken": "max", "copies": "max"}).withColumnRenamed("max(taken)", "taken").withColumnRenamed("max(copies)", "copies")
     sized = docs.selectExpr("*", rf"coalesce(regexp_count({text_col}, '[^\\x20\\x09-\\x0D]+'), 0) AS _mix_words")
+    once = materialize(once, "mix")
     joined = sized.join(once, sized[id_col].eqNullSafe(once["_mix_id"]) & (sized["_mix_words"] == once["_mix_size"]))
     return joined.drop("_mix_id", "_mix_size", "_mix_words").selectExpr("*", "explode(sequence(1, copies)) AS copy")
 
