@@ -296,13 +296,20 @@ def block_pairs(rows: DataFrame, block: int, shingles: int) -> DataFrame:
     return dealt.select(*rows.columns, F.explode(spread).alias("p")).select(*rows.columns, "p.x", "p.y", "p.side")
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether in edges (u, v), u < v, no id is on both sides and every v has one u."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(0).alias("v")), F.struct(F.col("v").alias("id"), F.lit(1).alias("v")))).alias("e"))
+    return ends.groupBy("e.id").agg(F.sum("e.v").alias("tips"), F.min("e.v").alias("least")).where("tips > 1 or (tips = 1 and least = 0)").isEmpty()
+
+
 def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
-    """(id, comp) for every id of edges (u, v): the smallest id reachable, by alternating star contraction until nothing changes.
+    """(id, comp) for every id of edges (u, v): the smallest id reachable, by alternating star contraction until all are stars.
 
     With a limit of rounds, running out of it is an error."""
     edges = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(), "edges")
-    mark = None
     for done in count():
+        if are_stars(edges):
+            break
         if done == most_rounds:
             raise RuntimeError(f"components still change after {most_rounds} rounds")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -311,14 +318,9 @@ def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         fresh = large.join(small, "a").select(F.col("m").alias("u"), F.explode(F.array("a", "b")).alias("v")).where("u < v").distinct()
         after = materialize(fresh, "edges")
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         release(edges)
         edges = after
-        if state == mark:
-            break
-        mark = state
-    out = edges.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("comp")).unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("comp")).distinct())
-    out = materialize(out, "components")
+    out = materialize(edges.select(F.col("v").alias("id"), F.col("u").alias("comp")).unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("comp")).distinct()), "components")
     release(edges)
     return out
 
@@ -383,8 +385,9 @@ def linked(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, perc
         late = materialize(late.distinct(), "late-links")
         release(rest_texts)
         release(full)
-        release(comps)
-        comps = components(edges.unionByName(late))
+        known = comps
+        comps = components(known.select(F.col("comp").alias("u"), F.col("id").alias("v")).unionByName(late))
+        release(known)
         release(late)
     for table in (shared, groups, heads, edges, open_keys, rest, taking):
         release(table)
