@@ -37,9 +37,9 @@ MOST_ERRORS = 17
 #: The same for the 2-bit digest that travels with the keys; odds of 6e-6 at similarity 0.8.
 MOST_DIGEST_ERRORS = 15
 #: Members of a key group that are compared in one block.
-BLOCK = 256
+BLOCK = 1024
 #: The same where their texts are held, and the shingles that these may have.
-TEXT_BLOCK, SHINGLE_BLOCK = 256, 1 << 19
+TEXT_BLOCK, SHINGLE_BLOCK = 512, 1 << 19
 #: Members of a key group whose pairs with its head are confirmed from one copy of the head's text.
 SALT = 512
 #: Least similarity for which MOST_ERRORS and MOST_DIGEST_ERRORS hold.
