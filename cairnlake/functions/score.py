@@ -119,13 +119,13 @@ def first_score(score: Column, similarity: Column, distance: Column) -> Column:
 # Words that make a text actionable, and sections by their words (the first that fits).
 ACTIONABLE = ("use", "run", "try", "avoid", "instead", "should", "must", "tip", "remember", "always", "never", "better", "best")
 SECTION_WORDS = (
-    ("debugging", "debug error fix crash traceback exception bug stacktrace segfault panic"),
-    ("workflow", "install config env setup deploy build ci cd pipeline release migration"),
-    ("tools", "git docker npm pip cargo brew kubectl terraform ansible make cmake"),
-    ("architecture", "architect design pattern refactor structure module layer interface abstract"),
-    ("commands", "run exec command cli terminal shell bash script alias"),
-    ("preferences", "prefer always never default convention style habit like dislike"),
-    ("patterns", "pattern practice idiom recipe technique approach strategy"),
+    ("debugging", ("debug", "error", "fix", "crash", "traceback", "exception", "bug", "stacktrace", "segfault", "panic")),
+    ("workflow", ("install", "config", "env", "setup", "deploy", "build", "ci", "cd", "pipeline", "release", "migration")),
+    ("tools", ("git", "docker", "npm", "pip", "cargo", "brew", "kubectl", "terraform", "ansible", "make", "cmake")),
+    ("architecture", ("architect", "design", "pattern", "refactor", "structure", "module", "layer", "interface", "abstract")),
+    ("commands", ("run", "exec", "command", "cli", "terminal", "shell", "bash", "script", "alias")),
+    ("preferences", ("prefer", "always", "never", "default", "convention", "style", "habit", "like", "dislike")),
+    ("patterns", ("pattern", "practice", "idiom", "recipe", "technique", "approach", "strategy")),
 )
 PATTERN_TYPES = {"error_fix": "pitfall", "retry_success": "method", "config_change": "preference", "new_tool": "trick", "repetitive_op": "method"}
 
@@ -144,7 +144,7 @@ def section_of(content: Column) -> Column:
     words = words_of(content)
     out = None
     for name, keys in SECTION_WORDS:
-        fits = F.arrays_overlap(words, F.array(*[F.lit(k) for k in keys.split()]))
+        fits = F.arrays_overlap(words, F.array(*[F.lit(k) for k in keys]))
         out = F.when(fits, name) if out is None else out.when(fits, name)
     return out.otherwise("general")
 

@@ -6,6 +6,7 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,14 +75,21 @@ def vector_adjacency(vectors: DataFrame, above: float = TOPICS.edge_above, id_co
     return dealt.groupBy("x", "y").applyInPandas(pairs, "u long, v long, weight double")
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether in edges (u, v), u < v, no id is on both sides and every v has one u."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(0).alias("v")), F.struct(F.col("v").alias("id"), F.lit(1).alias("v")))).alias("e"))
+    return ends.groupBy("e.id").agg(F.sum("e.v").alias("tips"), F.min("e.v").alias("least")).where("tips > 1 or (tips = 1 and least = 0)").isEmpty()
+
+
 def connected(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
     """(id, comp), comp the smallest id reachable over pairs (u, v); small results cut the lineage in every round.
 
-    Rounds go on until nothing changes; with a limit, running out of it is an error."""
+    Rounds go on until every component is a star; with a limit, running out of it is an error."""
     edges = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     edges = written(edges)
-    mark = None
     for done in count():
+        if are_stars(edges):
+            break
         if done == rounds:
             raise RuntimeError(f"components still change after {rounds} rounds")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -89,58 +97,87 @@ def connected(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         edges = written(large.join(least, "a").select(F.col("m").alias("u"), F.explode(F.array("a", "b")).alias("v")).where("u < v").distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == mark:
-            break
-        mark = state
-    return edges.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("comp")).unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("comp")).distinct())
+    return edges.select(F.col("v").alias("id"), F.col("u").alias("comp")).unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("comp")).distinct())
+
+
+#: Edges of a component whose nodes are moved one after the other in one task; larger components move in rounds of joins.
+WALK_EDGES = 2_000_000
 
 
 def louvain(pairs: DataFrame, max_passes: int = 20, tolerance: float = 1e-7) -> DataFrame:
-    """Communities (id, community = smallest id of it) by one phase of modularity moves in id order.
+    """Communities (id, community = smallest id of it) by one phase of modularity moves.
 
     A move depends only on a node's neighbours, their communities and the total weight, so components are
-    independent once the total is known: it is summed first, and each component is one group."""
-    pairs = written(pairs.where("u <> v").select("u", "v", "weight"))
-    total = pairs.agg(F.sum("weight")).first()[0] or 0.0
-    m2 = 2.0 * total
-    comp = connected(pairs)
-    grouped = pairs.join(comp.withColumnRenamed("id", "u"), "u")
-
-    def moves(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, dict[int, float]] = {}
-        for a, b, w in zip(pdf["u"], pdf["v"], pdf["weight"]):
-            near.setdefault(a, {})[b] = w
-            near.setdefault(b, {})[a] = w
-        nodes = sorted(near)
-        degree = {n: sum(near[n].values()) for n in nodes}
-        home = {n: i for i, n in enumerate(nodes)}
-        weight = {i: degree[n] for i, n in enumerate(nodes)}
-        for _ in range(max_passes if m2 > 0 else 0):
-            moved = False
-            for n in nodes:
-                toward = {home[n]: 0.0}
-                for other, w in near[n].items():
-                    toward[home[other]] = toward.get(home[other], 0.0) + w
-                best, gain = home[n], 0.0
-                for c in sorted(toward):
-                    rest = weight[c] - (degree[n] if c == home[n] else 0.0)
-                    g = toward[c] / m2 - rest * degree[n] / (m2 * m2)
-                    if g > gain + tolerance:
-                        best, gain = c, g
-                if best != home[n]:
-                    weight[home[n]] -= degree[n]
-                    weight[best] += degree[n]
-                    home[n] = best
-                    moved = True
-            if not moved:
+    independent once the total is known. A component of up to WALK_EDGES edges is one group, whose nodes move in id order;
+    the nodes of larger ones move at once, half of them in each round."""
+    pairs = written(pairs.where("u <> v").groupBy("u", "v").agg(F.max("weight").alias("weight")))
+    total = float(pairs.agg(F.sum("weight")).first()[0] or 0.0)
+    placed = written(pairs.join(connected(pairs).withColumnRenamed("id", "u"), "u"))
+    large = placed.groupBy("comp").agg(F.count("*").alias("n")).where(F.col("n") > WALK_EDGES).select("comp")
+    large = written(large)
+    small = placed.join(large, "comp", "left_anti").groupBy("comp").applyInArrow(walked_moves(2 * total, max_passes, tolerance), "id long, community long")
+    if large.isEmpty():
+        return small
+    return small.unionByName(joined_moves(placed.join(large, "comp", "left_semi"), 2 * total, max_passes, tolerance))
+
+
+def walked_moves(whole: float, passes: int, tolerance: float):
+    """Moves of one component's nodes in id order, over arrays: a node goes to the neighbouring community that gains most
+    (the one of the smallest id among equals), if it gains at all."""
+
+    def run(group: pa.Table) -> pa.Table:
+        heads, tails, weight = (group.column(c).to_numpy() for c in ("u", "v", "weight"))
+        ids, place = np.unique(np.concatenate([heads, tails]), return_inverse=True)
+        source, target = place, np.concatenate([place[len(heads) :], place[: len(heads)]])
+        order = np.argsort(source, kind="stable")
+        target, pull = target[order], np.concatenate([weight, weight])[order]
+        begin = np.searchsorted(source[order], np.arange(len(ids) + 1))
+        degree = np.add.reduceat(pull, begin[:-1])
+        home, load = np.arange(len(ids)), degree.copy()
+        share = degree / whole if whole > 0 else degree
+        for _ in range(passes if whole > 0 else 0):
+            before = home.copy()
+            for i in range(len(ids)):
+                near = slice(begin[i], begin[i + 1])
+                choices, at = np.unique(np.append(home[target[near]], home[i]), return_inverse=True)
+                gain = np.bincount(at, np.append(pull[near], 0.0)) / whole - (load[choices] - degree[i] * (choices == home[i])) / whole * share[i]
+                if gain.max() > tolerance:
+                    best = choices[np.argmax(gain >= gain.max() - tolerance)]
+                    load[home[i]] -= degree[i]
+                    load[best] += degree[i]
+                    home[i] = best
+            if (before == home).all():
                 break
-        first: dict[int, int] = {}
-        for n in nodes:
-            first.setdefault(home[n], n)
-        return pd.DataFrame({"id": nodes, "community": [first[home[n]] for n in nodes]})
-
-    return grouped.groupBy("comp").applyInPandas(moves, "id long, community long")
+        least = np.full(len(ids), len(ids))
+        np.minimum.at(least, home, np.arange(len(ids)))
+        return pa.table({"id": ids, "community": ids[least[home]]})
+
+    return run
+
+
+def joined_moves(pairs: DataFrame, whole: float, passes: int, tolerance: float) -> DataFrame:
+    """The same by rounds of joins over (node, community) weights. A half of the nodes, another one in each round, moves at once and
+    sees the state before the round, so two neighbours do not swap places for ever."""
+    both = pairs.select("u", "v", "weight").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
+    both = written(both.withColumnRenamed("u", "id"))
+    state = written(both.groupBy("id").agg(F.sum("weight").alias("degree")).withColumn("home", F.col("id")))
+    quiet = 0
+    for turn in range(2 * passes):
+        load = written(state.groupBy(F.col("home").alias("to")).agg(F.sum("degree").alias("load")))
+        toward = both.join(state.select(F.col("id").alias("v"), F.col("home").alias("to")), "v").select("id", "to", "weight").unionByName(state.select("id", F.col("home").alias("to"), F.lit(0.0).alias("weight")))
+        toward = toward.groupBy("id", "to").agg(F.sum("weight").alias("pull")).join(load, "to").join(state, "id")
+        gain = F.col("pull") / whole - (F.col("load") - F.when(F.col("to") == F.col("home"), F.col("degree")).otherwise(0.0)) * F.col("degree") / (whole * whole)
+        rounded = F.round(gain / tolerance).cast("long")
+        best = toward.groupBy("id").agg(F.max(F.struct(rounded.alias("gain"), (-F.col("to")).alias("minus"))).alias("best"), F.max(F.when(F.col("to") == F.col("home"), rounded)).alias("now"))
+        mine = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
+        goes = mine & (F.col("best.gain") > F.greatest(F.col("now"), F.lit(0)))
+        after = written(state.join(best, "id").select("id", "degree", F.when(goes, -F.col("best.minus")).otherwise(F.col("home")).alias("home"), F.coalesce(goes, F.lit(False)).alias("moved")))
+        quiet = 0 if after.where("moved").head(1) else quiet + 1
+        state = after.drop("moved")
+        if quiet == 4:
+            break
+    least = written(state.groupBy("home").agg(F.min("id").alias("community")))
+    return state.join(least, "home").select("id", "community")
 
 
 def clusters(communities: DataFrame, least: int = TOPICS.min_cluster) -> DataFrame:

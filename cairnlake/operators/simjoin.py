@@ -1,6 +1,7 @@
 """Exact set-similarity joins by prefix filtering, and ordered greedy suppression over their pairs.
 
-Tokens are ordered by how many rows have them, the rarest first. Two sets with a Jaccard similarity of t or more
+Tokens are ordered with frequent ones last: a bounded list of the most frequent tokens, which enters the plan as a literal,
+by how many rows have them, all others by their hash; so a row's tokens are put in order where they stand. Two sets with a Jaccard similarity of t or more
 share one of their first n - ceil(t * n) + 1 tokens, so only rows that share such a token are compared; the sizes,
 the number of shared tokens and the place of the last one rule out most of these before any set moves. Rows with equal sets are one representative
 in the join, so copies are not compared with each other.
@@ -8,13 +9,20 @@ in the join, so copies are not compared with each other.
 
 from __future__ import annotations
 
+import json
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 
+#: Tokens that are ordered by their frequency; the others by their hash.
+FREQUENT = 4096
+#: Rounds of joins before ``suppress`` walks what is left by components, and the pairs that a component may have for that.
+FAST_ROUNDS, WALK_PAIRS = 4, 1_000_000
+
 
 def classes(df: DataFrame, tokens: Column, id_col: str, group: str | None = None) -> DataFrame:
     """(id, rep, n, toks[, grp]): toks are token hashes, rep the smallest id with the same set (and group)."""
@@ -29,10 +37,11 @@ def similar_pairs(reps: DataFrame, threshold: float, sides: bool = False) -> Dat
     """(a, b, sim), a < b, of all representatives in one group with sim >= threshold. reps: id, grp, n, toks[, side].
 
     With sides, a is of side 0 and b of side 1 (a < b is not asked for)."""
-    freq = reps.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
-    spread = reps.select("id", *(["side"] if sides else []), "grp", "n", F.explode("toks").alias("tok")).join(freq, "tok")
+    freq = reps.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
+    common = [r["tok"] for r in freq.orderBy(F.desc("df"), "tok").limit(FREQUENT).collect()][::-1]
+    often = F.from_json(F.lit(json.dumps(common)), "array<bigint>")
     keys = ["id", "side"] if sides else ["id"]
-    ordered = spread.groupBy(*keys, "grp", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "tok"))), lambda x: x["tok"]).alias("toks"))
+    ordered = reps.select(*keys, "grp", "n", F.concat(F.array_except("toks", often), F.array_intersect(often, "toks")).alias("toks"))
     need = F.ceil(F.lit(threshold) * F.col("n") - 1e-9)
     prefix = ordered.select(*keys, "grp", "n", F.posexplode(F.slice("toks", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("i", "tok"))
     left = prefix.select("grp", "tok", F.col("id").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), *([F.col("side").alias("sa")] if sides else []))
@@ -74,15 +83,37 @@ def best_match(left: DataFrame, left_tokens: Column, left_id: str, right: DataFr
     return best.select(F.col("a").alias("left_id"), F.col("x.b").alias("right_id"), (-F.col("x.m")).alias("sim"))
 
 
+def walked(pairs: DataFrame) -> DataFrame:
+    """(id, state), kept or gone, by a walk in order of rank over each component. pairs: comp, lo, hi, rlo, rhi; a component fits a task."""
+
+    def walk(group: pa.Table) -> pa.Table:
+        rank: dict = {}
+        better: dict = {}
+        for lo, hi, rlo, rhi in zip(*(group.column(c).to_pylist() for c in ("lo", "hi", "rlo", "rhi"))):
+            rank[lo], rank[hi] = rlo, rhi
+            better.setdefault(hi, []).append(lo)
+        state: dict = {}
+        for x in sorted(rank, key=rank.get):
+            state[x] = "gone" if any(state.get(y) == "kept" for y in better.get(x, ())) else "kept"
+        return pa.table({"id": pa.array(list(state), group.schema.field("lo").type), "state": pa.array(list(state.values()), pa.string())})
+
+    return pairs.groupBy("comp").applyInArrow(walk, f"id {dict(pairs.dtypes)['lo']}, state string")
+
+
 def suppress(rows: DataFrame, pairs: DataFrame, rounds: int | None = None) -> DataFrame:
     """(id, rank, kept): a row is kept if no kept row of smaller rank conflicts with it, or if it is forced.
 
-    rows: id, rank, forced. pairs: a, b (any order). Only rows that have a pair take part in the rounds: in each,
-    rows without an undecided smaller neighbour are kept, and their larger neighbours go. Rounds go on until all rows
-    are decided; with a limit, running out of it is an error."""
+    rows: id, rank, forced. pairs: a, b (any order). Only rows that have a pair take part: in each round,
+    rows without an undecided smaller neighbour are kept, and their larger neighbours go. After FAST_ROUNDS, what is left
+    (long chains) is walked by connected components, each in one task; rounds go on for components of more than WALK_PAIRS
+    pairs until all rows are decided. With a limit of rounds, running out of it is an error."""
+    from .graph import connected
+
     r = rows.select("id", "rank", F.coalesce("forced", F.lit(False)).alias("forced"))
     p = pairs.select("a", "b").join(r.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(r.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b").where("a <> b")
-    p = written(p.select(F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("lo"), F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("hi")).distinct())
+    first = F.col("ra") < F.col("rb")
+    side = lambda a, b, name: F.when(first, F.col(a)).otherwise(F.col(b)).alias(name)
+    p = written(p.select(side("a", "b", "lo"), side("b", "a", "hi"), side("ra", "rb", "rlo"), side("rb", "ra", "rhi")).distinct())
     ends = p.select(F.explode(F.array("lo", "hi")).alias("id")).distinct()
     state = written(ends.join(r, "id").select("id", F.when(F.col("forced"), "new").otherwise("open").alias("state"), "forced"))
     for done in count():
@@ -92,6 +123,15 @@ def suppress(rows: DataFrame, pairs: DataFrame, rounds: int | None = None) -> Da
         news = state.where("state = 'new'").select(F.col("id").alias("lo"))
         gone = p.join(news, "lo").select(F.col("hi").alias("id")).distinct().withColumn("_gone", F.lit(True))
         state = state.join(gone, "id", "left").select("id", F.when((F.col("state") == "open") & F.col("_gone"), "gone").when(F.col("state") == "new", "kept").otherwise(F.col("state")).alias("state"), "forced")
+        if done == FAST_ROUNDS:
+            state = written(state)
+            still = state.where("state = 'open'").select("id")
+            left = written(p.join(still.withColumnRenamed("id", "lo"), "lo", "left_semi").join(still.withColumnRenamed("id", "hi"), "hi", "left_semi"))
+            comps = written(connected(left.select(F.col("lo").alias("u"), F.col("hi").alias("v"))))
+            left = left.join(comps.withColumnRenamed("id", "lo"), "lo")
+            small = left.groupBy("comp").agg(F.count("*").alias("n")).where(F.col("n") <= WALK_PAIRS).select("comp")
+            solved = walked(left.join(small, "comp", "left_semi")).withColumnRenamed("state", "_walked")
+            state = state.join(solved, "id", "left").select("id", F.coalesce("_walked", "state").alias("state"), "forced")
         still = state.where("state = 'open'").select(F.col("id").alias("lo"))
         blocked = p.join(still, "lo").select(F.col("hi").alias("id")).distinct().withColumn("_blocked", F.lit(True))
         state = written(state.join(blocked, "id", "left").select("id", F.when((F.col("state") == "open") & F.col("_blocked").isNull(), "new").otherwise(F.col("state")).alias("state"), "forced"))

@@ -157,7 +157,7 @@ def patterns(spark, d):
 
 from ..functions.score import ACTIONABLE, PATTERN_TYPES, SECTION_WORDS  # noqa: E402
 
-_SECTION = "CASE " + " ".join(f"WHEN list_has_any(ws, {sqltext.flat_list(k.split())}) THEN '{n}'" for n, k in SECTION_WORDS) + " ELSE 'general' END"
+_SECTION = "CASE " + " ".join(f"WHEN list_has_any(ws, {sqltext.flat_list(k)}) THEN '{n}'" for n, k in SECTION_WORDS) + " ELSE 'general' END"
 _TYPE = "CASE pattern_type " + " ".join(f"WHEN '{n}' THEN '{k}'" for n, k in PATTERN_TYPES.items()) + " END"
 
 

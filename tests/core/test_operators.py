@@ -1,4 +1,5 @@
 import json
+import os
 import random
 import time
 from datetime import datetime, timedelta
@@ -371,3 +372,86 @@ def test_connected_rows_are_settled_or_an_error(spark):
     assert {r.comp for r in graph.connected(pairs).collect()} == {0}
     with pytest.raises(RuntimeError):
         graph.connected(pairs, rounds=1)
+
+
+def test_long_chains_are_walked(spark):
+    """A chain of 2000 links, given out of order, and a star, decided as the walk in order of rank decides them."""
+    n = 2000
+    order = list(range(n))
+    random.Random(1).shuffle(order)
+    rank = {x: i for i, x in enumerate(order)}
+    chain = [(i, i + 1) for i in range(n - 1)] + [(i, i + 1) for i in range(5000, 7000)] + [(9000, 9000 + i) for i in range(1, 50)]
+    ids = sorted({x for e in chain for x in e})
+    rank = {x: rank.get(x, x) for x in ids}
+    near = {}
+    for a, b in chain:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    kept = set()
+    for x in sorted(ids, key=rank.get):
+        if not any(y in kept for y in near[x] if rank[y] < rank[x]):
+            kept.add(x)
+    rows = spark.createDataFrame([(x, rank[x], False) for x in ids], "id long, rank long, forced boolean")
+    got = simjoin.suppress(rows, spark.createDataFrame(chain, "a long, b long")).collect()
+    assert {r.id for r in got if r.kept} == kept and len(got) == len(ids)
+
+
+def modularity(edges, home):
+    whole = 2 * sum(w for _, _, w in edges)
+    load = {}
+    for a, b, w in edges:
+        for x in (a, b):
+            load[home[x]] = load.get(home[x], 0.0) + w
+    return sum(2 * w / whole for a, b, w in edges if home[a] == home[b]) - sum((x / whole) ** 2 for x in load.values())
+
+
+@pytest.mark.parametrize("most", [graph.WALK_EDGES, 0])
+def test_communities(spark, monkeypatch, most):
+    """Two cliques and a bridge are two communities; no single move improves a result of random edges. Both ways to move nodes."""
+    monkeypatch.setattr(graph, "WALK_EDGES", most)
+    n = 60
+    cliques = [(o + i, o + j, 1.0) for o in (0, n) for i in range(n) for j in range(i + 1, n)] + [(n - 1, n, 0.1)]
+    got = {r.id: r.community for r in graph.louvain(spark.createDataFrame(cliques, "u long, v long, weight double")).collect()}
+    assert got == {i: 0 if i < n else n for i in range(2 * n)}
+    rng = random.Random(4)
+    edges = sorted({(a, b) for a, b in ((rng.randrange(24), rng.randrange(24)) for _ in range(70)) if a < b})
+    edges = [(a, b, round(rng.random() + 0.1, 3)) for a, b in edges]
+    home = {r.id: r.community for r in graph.louvain(spark.createDataFrame(edges, "u long, v long, weight double")).collect()}
+    assert all(home[c] == c and min(x for x in home if home[x] == c) == c for c in home.values())
+    best = modularity(edges, home)
+    better = [x for x in home for c in set(home.values()) if modularity(edges, home | {x: c}) > best + 1e-6]
+    assert better == [] if most else best > 0.2
+
+
+def test_two_large_cliques(spark):
+    n = 500
+    rows = spark.range(n).select(F.col("id").alias("a")).join(spark.range(n).select(F.col("id").alias("b")), F.col("a") < F.col("b"))
+    two = rows.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(rows.select((F.col("a") + n).alias("u"), (F.col("b") + n).alias("v"))).withColumn("weight", F.lit(1.0))
+    began = time.time()
+    got = graph.louvain(two).groupBy("community").count().collect()
+    assert {(r.community, r["count"]) for r in got} == {(0, n), (n, n)} and time.time() - began < 60
+
+
+def test_summaries_read_past_blank_members(spark):
+    records = spark.createDataFrame([(i, "" if 0 < i < 650 else f"word{i} more") for i in range(900)], "id long, content string")
+    pages = topics.summarise(spark.createDataFrame([(0, list(range(900)))], "cluster_id long, members array<long>"), records).collect()
+    words = [w for i in [0, *range(650, 900)] for w in (f"word{i}", "more")]
+    assert pages[0].summary.split() == words[:200] and pages[0].title == "word0 more"
+
+
+def test_the_rest_works_without_the_training_data_operators(tmp_path):
+    """A copy without the two folders, with and without the pipeline's file, imports and lists the other queries."""
+    import shutil
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    copy = tmp_path / "copy"
+    shutil.copytree(here, copy, ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    shutil.rmtree(copy / "cairnlake" / "llm", ignore_errors=True)
+    shutil.rmtree(copy / "tests" / "llm", ignore_errors=True)
+    for leave in (True, False):
+        if not leave:
+            (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+        code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 100 and set(o) <= set(q) and not any(n.startswith('op') or n == 'pipeline' for n in q)"
+        subprocess.run([sys.executable, "-c", code], cwd=copy, check=True)
