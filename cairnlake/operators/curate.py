@@ -87,6 +87,18 @@ def triaged(df: DataFrame) -> DataFrame:
     return out.withColumn("action", score.triage(F.col("confidence")))
 
 
+def of_kind(df: DataFrame, kind: str) -> DataFrame:
+    """Conflicts of which the kind or the reason is the given one."""
+    return df.where((F.col("kind") == kind) | (F.col("reason") == kind))
+
+
+def with_conflicts(records: DataFrame, found: DataFrame, id_col: str = "id") -> DataFrame:
+    """records with the ids of what they conflict with appended to ``conflict_with``, each once. found: a, b."""
+    ends = found.select(F.col("a").alias(id_col), F.col("b").cast("string").alias("_other")).unionByName(found.select(F.col("b").alias(id_col), F.col("a").cast("string").alias("_other")))
+    more = ends.groupBy(id_col).agg(F.array_sort(F.collect_set("_other")).alias("_others"))
+    return records.join(more, id_col, "left").withColumn("conflict_with", union_lists(F.col("conflict_with"), F.col("_others"))).drop("_others")
+
+
 def winners(groups: DataFrame, records: DataFrame) -> DataFrame:
     """(grp, winner): most recalls, then latest, then smallest id, among live members. groups: grp, id. records: id, recall_count, created_at, deleted_at."""
     w = Window.partitionBy("grp").orderBy(F.desc("recall_count"), F.desc("created_at"), "id")

@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from ..config import MINING
 from ..functions import privacy, score, text
 
-# Vocabularies of the rules (parts of words count).
+# Vocabularies and patterns of the rules (parts of words count), and what marks a message as a correction.
 ERROR_WORDS = ("error", "fail", "exception", "traceback", "crash", "bug", "broken", "doesn't work", "not working", "can't", "cannot", "issue", "problem", "wrong")
 FIX_WORDS = ("try", "use", "run", "change", "fix", "solution", "instead", "should", "replace", "update", "install", "set", "add")
 RETRY_ERRORS = ("error", "fail", "broken", "not working")
 RETRY_SUCCESS = ("works", "success", "done", "fixed", "resolved")
 CONFIG_WORDS = ("config", "setting", "env", "configure", "setup", "environment", "variable", "option", "parameter", ".env", ".yaml", ".yml", ".json", ".toml", ".ini", ".cfg", ".conf")
 INSTALL = r"(?i)\b((?:pip install|npm install|cargo add|brew install|apt install|conda install|gem install|go get)\s+\S+)"
-#: What marks a message as a correction.
 CORRECTIONS = r"(?i)\b(?:no,?\s+|actually|correction|wrong|mistake|that'?s\s+(?:not|wrong|incorrect)|don'?t\b|not\s+that|oops|sorry,?\s+(?:i\s+)?meant)\b"
 
 
@@ -38,8 +37,9 @@ def enough(reply: Column) -> Column:
 def with_history(df: DataFrame, rows: int = MINING.history) -> DataFrame:
     """The earlier interactions of each conversation, oldest first, as an array of (words, low, tool)."""
     df = df.withColumn("low", F.lower("user_message")).withColumn("words", long_words(F.col("low")))
-    if "tool_name" not in df.columns:
-        df = df.withColumn("tool_name", F.lit(None).cast("string"))
+    for name in ("tool_name", "error_msg"):
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit(None).cast("string"))
     w = Window.partitionBy("conv_id").orderBy("turn_offset").rowsBetween(-rows, -1)
     past = F.struct("words", "low", F.col("user_message").alias("said"), F.coalesce("tool_name", F.lit("")).alias("tool"))
     return df.withColumn("history", F.collect_list(past).over(w))
@@ -49,8 +49,7 @@ def rules(errors=ERROR_WORDS, retry_errors=RETRY_ERRORS, retry_success=RETRY_SUC
     """name -> (fires, content, confidence) over the columns of with_history."""
     user, reply, low = F.col("user_message"), F.col("assistant_message"), F.col("low")
     reply_low = F.lower("assistant_message")
-    error_meta = F.lit(False)
-    fix = (has_any(low, errors) | error_meta) & enough(reply) & has_any(reply_low, FIX_WORDS)
+    fix = (has_any(low, errors) | F.col("error_msg").isNotNull()) & enough(reply) & has_any(reply_low, FIX_WORDS)
     shares = lambda h: F.size(F.array_intersect(h["words"], F.col("words"))) >= 2
     failed = F.filter("history", lambda h: shares(h) & has_any(h["low"], retry_errors))
     retry = (F.size(failed) > 0) & has_any(reply_low, retry_success)

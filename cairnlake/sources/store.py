@@ -55,6 +55,25 @@ def to_payload(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.withColumn("metadata", F.map_filter(pairs, lambda k, v: v.isNotNull())).drop(*fields)
 
 
+def from_envelope(df: DataFrame, envelope: str) -> DataFrame:
+    """Candidates from an export's envelopes {id, memory | content, metadata}: id, content and the typed columns; others go."""
+    e = F.from_json(F.col(envelope), "id string, memory string, content string, metadata map<string,string>")
+    rows = df.select(e.alias("_e")).select(F.col("_e.id").alias("bullet_id"), F.coalesce("_e.memory", "_e.content").alias("content"), F.coalesce("_e.metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
+    return from_payload(rows.where("content is not null and trim(content) <> ''"))
+
+
+REVIEW = "a long, b long, kind string, confidence double"
+
+
+def append_reviews(df: DataFrame, path: str) -> None:
+    """Conflicts (with action) that wait for a review, as JSON lines added to a queue."""
+    df.where("action = 'review'").select("a", "b", "kind", "confidence").write.mode("append").json(path)
+
+
+def read_reviews(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(REVIEW).json(path)
+
+
 def scope_name(scope: str | None) -> str:
     """global for none; a project needs a name."""
     if not scope:
