@@ -46,18 +46,21 @@ def conflicts(spark, d):
     return out.select("a", "b", F.round("sim", 6).alias("sim"), "reason")
 
 
-_CURATE = f"""WITH {BULLETS}, c AS (SELECT doc_id, scope, {sqltext.word_set('content')} AS ws, content FROM bullets), t AS (SELECT doc_id, scope, len(ws) AS n, unnest(ws) AS tok FROM c),
-m AS (SELECT a.doc_id AS cand, b.doc_id AS target, count(*) / CAST(any_value(a.n) + any_value(b.n) - count(*) AS DOUBLE) AS sim FROM t a JOIN t b ON a.tok = b.tok AND a.scope = b.scope AND a.doc_id % 2 = 1 AND b.doc_id % 2 = 0 GROUP BY 1, 2),
-best AS (SELECT cand, arg_max(target, (sim, -target)) AS target, max(sim) AS sim FROM m WHERE sim >= 0.9 GROUP BY 1)"""
+_CURATE = f"""WITH {BULLETS}, {TEAM}, c AS (SELECT doc_id, scope, {sqltext.word_set('content')} AS ws, content FROM bullets), t AS (SELECT doc_id, scope, len(ws) AS n, unnest(ws) AS tok FROM c),
+e AS (SELECT item_id, {sqltext.word_set('content')} AS ws FROM team), s AS (SELECT item_id, len(ws) AS n, unnest(ws) AS tok FROM e),
+m AS (SELECT a.doc_id AS cand, b.item_id AS target, count(*) / CAST(any_value(a.n) + any_value(b.n) - count(*) AS DOUBLE) AS sim FROM t a JOIN s b ON a.tok = b.tok AND a.scope = 'global' GROUP BY 1, 2),
+best AS (SELECT cand, arg_max(target, (sim, -target)) AS target, max(sim) AS sim FROM m WHERE sim >= 0.3 GROUP BY 1)"""
 
 
-@query("j5_curate", f"{_CURATE} SELECT c.doc_id AS cand_id, CASE WHEN trim(content) = '' THEN 'skip' WHEN target IS NOT NULL THEN 'merge' ELSE 'add' END AS action, target AS target_id, round(sim, 6) AS sim FROM c LEFT JOIN best ON cand = c.doc_id WHERE c.doc_id % 2 = 1")
+def _curated(spark, d):
+    """All records as candidates against the team's records as a store of scope global; the bound is low enough for the test data to have merges."""
+    cands = bullets(spark, d).select(F.col("doc_id").alias("cand_id"), "content", "scope")
+    return curate.curate(cands, team(spark, d).select(F.col("item_id").alias("bullet_key"), "content", F.lit("global").alias("scope")), 0.3)
+
+
+@query("j5_curate", f"{_CURATE} SELECT c.doc_id AS cand_id, CASE WHEN trim(content) = '' THEN 'skip' WHEN target IS NOT NULL THEN 'merge' ELSE 'add' END AS action, target AS target_id, round(sim, 6) AS sim FROM c LEFT JOIN best ON cand = c.doc_id")
 def curated(spark, d):
-    """Records of odd ids as candidates, those of even ids as the store: the two halves are the operator's two inputs."""
-    b = bullets(spark, d)
-    cands = b.where("doc_id % 2 = 1").select(F.col("doc_id").alias("cand_id"), "content", "scope")
-    out = curate.curate(cands, b.where("doc_id % 2 = 0").select(F.col("doc_id").alias("bullet_key"), "content", "scope"))
-    return out.withColumn("sim", F.round("sim", 6))
+    return _curated(spark, d).withColumn("sim", F.round("sim", 6))
 
 
 def _greedy(order: str = "id") -> str:
@@ -87,16 +90,16 @@ def triaged(spark, d):
     return out.select("a", "b", "kind", F.round("confidence", 6).alias("confidence"), "action")
 
 
-@query("c1_keep_best_merge", f"""{_CURATE}, p AS (SELECT cand, target, x.content AS cc, y.content AS ec, x.instructivity_score AS cs, y.instructivity_score AS es, x.tags AS ct, y.tags AS et, y.recall_count AS er FROM best JOIN bullets x ON x.doc_id = cand JOIN bullets y ON y.doc_id = target),
+@query("c1_keep_best_merge", f"""{_CURATE}, p AS (SELECT cand, target, x.content AS cc, y.content AS ec, x.instructivity_score AS cs, y.instructivity_score AS es, x.tags AS ct, y.tags AS et, y.upvotes AS er FROM best JOIN bullets x ON x.doc_id = cand JOIN team y ON y.item_id = target),
 w AS (SELECT *, cs > es OR (cs = es AND length(cc) > length(ec)) AS takes FROM p)
 SELECT cand AS pair_id, md5(CASE WHEN takes THEN cc ELSE ec END) AS content_md5, CASE WHEN takes THEN cs ELSE es END AS instructivity_score, er AS recall_count,
  array_to_string(CASE WHEN takes THEN list_concat(ct, list_filter(et, lambda t: NOT list_contains(ct, t))) ELSE list_concat(et, list_filter(ct, lambda t: NOT list_contains(et, t))) END, ',') AS tags FROM w""")
 def keep_best(spark, d):
-    b = bullets(spark, d)
-    cands = b.where("doc_id % 2 = 1").select(F.col("doc_id").alias("cand_id"), "content", "scope")
-    hit = curate.curate(cands, b.where("doc_id % 2 = 0").select(F.col("doc_id").alias("bullet_key"), "content", "scope")).where("action = 'merge'").select("cand_id", "target_id")
-    side = lambda k, p: b.select(F.col("doc_id").alias(k), *[F.col(c).alias(p + n) for c, n in (("content", "content"), ("instructivity_score", "score"), ("recall_count", "recall"), ("related_tools", "tools"), ("key_entities", "entities"), ("tags", "tags"))])
-    pairs = hit.join(side("cand_id", "c_"), "cand_id").join(side("target_id", "e_"), "target_id").withColumnRenamed("cand_id", "pair_id")
+    hit = _curated(spark, d).where("action = 'merge'").select("cand_id", "target_id")
+    named = lambda df, key, id_col, p, recalls: df.select(F.col(id_col).alias(key), *[F.col(c).alias(p + n) for c, n in (("content", "content"), ("instructivity_score", "score"), (recalls, "recall"), ("related_tools", "tools"), ("key_entities", "entities"), ("tags", "tags"))])
+    none = F.array().cast("array<string>")
+    pool = team(spark, d).withColumns({"related_tools": none, "key_entities": none})
+    pairs = hit.join(named(bullets(spark, d), "cand_id", "doc_id", "c_", "recall_count"), "cand_id").join(named(pool, "target_id", "item_id", "e_", "upvotes"), "target_id").withColumnRenamed("cand_id", "pair_id")
     return curate.merged(pairs).select("pair_id", F.md5("content").alias("content_md5"), "instructivity_score", "recall_count", F.array_join("tags", ",").alias("tags"))
 
 
