@@ -389,7 +389,12 @@ def erased_rows(spark, d):
     return store.erase_user(bullets(spark, d).withColumn("owner", F.element_at("tags", 2)), "owner", "src3").select("bullet_id")
 
 
-@query("c15_rehydrated_anchors")
+@query("c15_rehydrated_anchors", r"""WITH l AS (SELECT page_id AS id, 'src/page_' || page_id || '.md' AS file_path, string_split_regex(html, '\r\n|\r|\n') AS lines FROM pages),
+p AS (SELECT *, list_position(list_transform(lines, lambda x: contains(x, 'article')), true) AS nth FROM l),
+w AS (SELECT id, file_path, array_to_string(list_slice(lines, greatest(nth - 1, 1), nth + 4), chr(10)) AS body FROM p WHERE nth > 0),
+c AS (SELECT *, left(body, 200) AS head, length(left(body, 200)) - strpos(reverse(left(body, 200)), chr(10)) AS cut_at FROM w),
+a AS (SELECT id, file_path, CASE WHEN length(body) <= 200 THEN body WHEN contains(head, chr(10)) AND cut_at > 20 THEN left(head, cut_at) ELSE head END AS anchor_text FROM c)
+SELECT id, file_path, sha256(anchor_text) AS anchor_hash FROM a WHERE length(anchor_text) >= 20""")
 def rehydrated(spark, d):
     """Anchors for records without any: texts that name a file of the table."""
     p = table(spark, d, "pages").select("page_id", F.concat(F.lit("see src/page_"), F.col("page_id").cast("string"), F.lit(".md and `article`")).alias("content"))
