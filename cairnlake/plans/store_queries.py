@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..config import TEAM as TEAM_CFG
 from ..functions import privacy, score, text, udfs
 from ..operators import aggregates, curate, federate, graph, mine, search, simjoin, topics, verify
 from ..operators import team as ops
@@ -14,7 +13,7 @@ from ..streaming import inbox as queue
 from . import sqltext, views
 from .registry import query
 from .search_queries import Q, SCOPE, SCORED
-from .team_queries import _greedy, _pages, _pools, _sims, verification
+from .team_queries import _greedy, _pages, _pools, _sims, shadow_sql, verification
 from .views import ANCHORS, BULLETS, EDGES, INTERACTIONS, NOW, TEAM, bullets, interactions, now, table, team
 
 # ---- derived tables of this module -------------------------------------------------------------------------------
@@ -255,23 +254,7 @@ def topic_backing(spark, d):
     return t.select("id", F.explode("ids").alias("bullet_id")).join(b.select("bullet_id", "scope"), "bullet_id")
 
 
-_CLAIM = "enforcement = 'mandatory' AND provenance IN ('local_authored', 'verified')"
-
-
-@query(
-    "j12_shadow_merge",
-    f"""WITH RECURSIVE {BULLETS}, {TEAM},
-l AS (SELECT bullet_id AS id, 'local' AS source, content, instructivity_score / 100 * {TEAM_CFG.local_boost} AS boosted, false AS forced, tags, CAST([] AS VARCHAR[]) AS inc, doc_id % 7 = 0 AS names FROM bullets ORDER BY instructivity_score DESC, bullet_id LIMIT 400),
-t AS (SELECT team_id AS id, 'team' AS source, content, CASE WHEN {_CLAIM} THEN {TEAM_CFG.mandatory_score} ELSE instructivity_score / 100 * {TEAM_CFG.team_boost} END AS boosted, {_CLAIM} AS forced, tags, CAST(incompatible_tags AS VARCHAR[]) AS inc, false AS names FROM team ORDER BY instructivity_score DESC, team_id LIMIT 400),
-u AS (SELECT * FROM l UNION ALL SELECT * FROM t), live AS (SELECT * FROM u WHERE source = 'local' OR forced OR id <> 't1' OR NOT (SELECT bool_or(names) FROM l)),
-r AS (SELECT *, row_number() OVER (ORDER BY boosted DESC, id) AS rk FROM live), plain AS (SELECT * FROM r WHERE len(inc) = 0 AND content <> ''), {_sims('plain', 'rk', 'content')},
-conf AS (SELECT a, b FROM sims WHERE sim >= 0.95 UNION SELECT least(x.rk, y.rk), greatest(x.rk, y.rk) FROM r x JOIN r y ON x.rk <> y.rk AND list_has_any(x.tags, y.inc)),
-nbs AS (SELECT b AS id, list(a) AS los FROM conf GROUP BY b),
-walk AS (SELECT e.id, coalesce(los, []) AS los, r.forced, row_number() OVER (ORDER BY e.id) AS nth FROM (SELECT a AS id FROM conf UNION SELECT b FROM conf) e LEFT JOIN nbs USING (id) JOIN r ON r.rk = e.id),
-g AS (SELECT CAST(0 AS BIGINT) AS nth, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT w.nth, CASE WHEN list_has_any(g.kept, w.los) AND NOT w.forced THEN g.kept ELSE list_append(g.kept, w.id) END FROM g JOIN walk w ON w.nth = g.nth + 1),
-kept AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM g ORDER BY nth DESC LIMIT 1))
-SELECT r.id, source, CAST(rk AS INTEGER) AS rank FROM r WHERE rk NOT IN (SELECT id FROM walk) OR rk IN (SELECT id FROM kept)""",
-)
+@query("j12_shadow_merge", f"{shadow_sql(400)} SELECT id, source, CAST(rk AS INTEGER) AS rank FROM stays")
 def shadow_merge(spark, d):
     t = ops.boosted(ops.pool_union(_pools(spark, d), 200), None)
     return federate.shadow_merge(t).select("id", "source", "rank")
