@@ -123,18 +123,29 @@ def union_lists(a: Column, b: Column) -> Column:
     return F.array_union(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>")))
 
 
-def merged(pairs: DataFrame, strategy: str = "keep_best") -> DataFrame:
-    """Candidate (c_*) and existing (e_*) columns as one record: content, instructivity_score, recall_count, lists.
-
-    keep_best: higher score, then longer text, then the existing one. merge_content: both texts' sentences, once each."""
+def keep_best() -> tuple[Column, Column, Column]:
+    """The higher score, then the longer text, then the existing one; a blank text never wins."""
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     c, e = F.col("c_content"), F.col("e_content")
     cs, es = F.col("c_score"), F.coalesce("e_score", F.lit(0.0))
     takes = F.when(blank(c) & ~blank(e), False).when(blank(e) & ~blank(c), True).otherwise((cs > es) | ((cs == es) & (F.length(c) > F.length(e))))
-    if strategy == "merge_content":
-        content, points, first = text.merge_sentences(e, c), F.greatest(cs, es), F.lit(False)
-    else:
-        content, points, first = F.when(takes, c).otherwise(e), F.when(takes, cs).otherwise(es), takes
+    return F.when(takes, c).otherwise(e), F.when(takes, cs).otherwise(es), takes
+
+
+def merge_content() -> tuple[Column, Column, Column]:
+    """Both texts' sentences, once each, with the higher score."""
+    return text.merge_sentences(F.col("e_content"), F.col("c_content")), F.greatest(F.col("c_score"), F.coalesce("e_score", F.lit(0.0))), F.lit(False)
+
+
+#: Name -> strategy: (content, score, whether the candidate's lists come first) over the columns of ``merged``. Callers may add theirs.
+STRATEGIES = {"keep_best": keep_best, "merge_content": merge_content}
+
+
+def merged(pairs: DataFrame, strategy: str = "keep_best") -> DataFrame:
+    """Candidate (c_*) and existing (e_*) columns as one record: content, instructivity_score, recall_count, lists.
+
+    A strategy that is not known merges as keep_best does."""
+    content, points, first = STRATEGIES.get(strategy, keep_best)()
     lists = [F.when(first, union_lists(F.col(f"c_{k}"), F.col(f"e_{k}"))).otherwise(union_lists(F.col(f"e_{k}"), F.col(f"c_{k}"))).alias(k) for k in ("tools", "entities", "tags")]
     return pairs.select("pair_id", content.alias("content"), points.alias("instructivity_score"), F.col("e_recall").alias("recall_count"), *lists)
 
@@ -155,11 +166,25 @@ def pairs_compared(rows: DataFrame, roles: DataFrame) -> DataFrame:
     no seed or whose seed is not before i.
 
     Rows that no seed takes meet all seeds before them; a row with a seed meets those up to its seed. Both are counts
-    of seeds by position, so positions suffice: rows: id; roles: id, seed, role. Rows without words are their own seeds."""
+    of seeds by position, so positions suffice: rows: id; roles: id, seed, role. Rows without words are their own seeds.
+    Ids are dealt by ranges: seeds are counted by range first, then within each range, so no task sorts all ids."""
     full = rows.join(roles, "id", "left").select("id", F.when(F.col("role").isin("member", "redundant"), F.col("seed")).alias("seed"))
-    order = Window.orderBy("id")
-    seeds_before = F.sum(F.when(F.col("seed").isNull(), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    ranked = full.withColumn("before", F.coalesce(seeds_before, F.lit(0)))
+    full = written(full.repartitionByRange("id").withColumn("part", F.spark_partition_id())).withColumn("is_seed", F.when(F.col("seed").isNull(), 1).otherwise(0))
+    earlier = lambda w: F.coalesce(F.sum("is_seed").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row a range: this window sorts no more rows than there are tasks
+    ranges = full.groupBy("part").agg(F.sum("is_seed").alias("is_seed")).select("part", earlier(Window.orderBy("part")).alias("base"))
+    ranked = full.withColumn("inside", earlier(Window.partitionBy("part").orderBy("id"))).join(ranges, "part").withColumn("before", F.col("base") + F.col("inside"))
     upto = ranked.where("seed is null").select(F.col("id").alias("seed"), (F.col("before") + 1).alias("upto"))
     met = ranked.join(upto, "seed", "left").select(F.coalesce("upto", "before").alias("n"))
     return met.agg(F.sum("n").cast("long").alias("pairs_compared"))
+
+
+def execution_report(groups: DataFrame, won: DataFrame, redundant: DataFrame, found: DataFrame, seconds: float) -> DataFrame:
+    """One row: what a consolidation did. groups: grp, id; won: grp, winner; redundant: id; found: conflicts with action."""
+    n = lambda action: F.sum(F.when(F.col("action") == action, 1).otherwise(0))
+    acts = found.agg(*[F.coalesce(n(a), F.lit(0)).cast("long").alias(name) for a, name in (("supersede", "auto_supersede"), ("review", "queued_for_review"), ("mark", "marked_conflict"))])
+    counts = [won.agg(F.count("*").alias("merged_groups")), groups.agg(F.count("*").alias("merged_bullets")), redundant.agg(F.count("*").alias("soft_deleted")), acts]
+    out = counts[0]
+    for one_row in counts[1:]:
+        out = out.crossJoin(one_row)  # one row each
+    return out.withColumn("seconds", F.lit(float(seconds)))

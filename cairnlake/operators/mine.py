@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,11 +71,13 @@ def rules(errors=ERROR_WORDS, retry_errors=RETRY_ERRORS, retry_success=RETRY_SUC
     }
 
 
-def detect(interactions: DataFrame, history: int = MINING.history, **vocabularies) -> DataFrame:
-    """One row an interaction and rule that fires: pattern_type, content, confidence. Code-heavy turns only count as history."""
+def detect(interactions: DataFrame, history: int = MINING.history, own_rules: dict | None = None, **vocabularies) -> DataFrame:
+    """One row an interaction and rule that fires: pattern_type, content, confidence. Code-heavy turns only count as history.
+
+    own_rules: name -> (fires, content, confidence) over the columns of with_history, beside or in place of the built-in ones."""
     df = with_history(interactions, history)
     df = df.where(~text.code_heavy(F.concat(F.col("user_message"), F.lit("\n"), F.col("assistant_message"))))
-    found = [F.when(fires, F.struct(F.lit(name).alias("pattern_type"), content.alias("content"), conf.alias("confidence"))) for name, (fires, content, conf) in rules(**vocabularies).items()]
+    found = [F.when(fires, F.struct(F.lit(name).alias("pattern_type"), content.alias("content"), conf.alias("confidence"))) for name, (fires, content, conf) in (rules(**vocabularies) | (own_rules or {})).items()]
     out = df.withColumn("p", F.explode(F.array_compact(F.array(*found))))
     return out.select("conv_id", "turn_offset", "user_message", "assistant_message", "p.pattern_type", "p.content", "p.confidence")
 
@@ -119,21 +124,27 @@ def parse_messages(df: DataFrame) -> DataFrame:
 def pack(entries: DataFrame, most_size: int = MINING.batch_size, budget: int = int(MINING.prompt_tokens * 0.85), group: str = "conv_id", order: str = "turn") -> DataFrame:
     """entries (with tokens) and their batch: a new one begins when the size or the token budget would be passed.
 
-    The sum starts anew with each batch, so this is a fold over one queue; queues are groups of their own."""
-    rows = F.array_sort(F.collect_list(F.struct(order, "tokens")))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<{order}:bigint,batch:int>>").alias("out"))
-
-    def step(acc, r):
-        full = (acc["size"] > 0) & ((acc["size"] >= most_size) | (acc["used"] + r["tokens"] > budget))
-        batch = F.when(full, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(
-            batch.alias("batch"),
-            F.when(full, 1).otherwise(acc["size"] + 1).alias("size"),
-            F.when(full, r["tokens"].cast("long")).otherwise(acc["used"] + r["tokens"]).alias("used"),
-            F.concat(acc["out"], F.array(F.struct(r[order].cast("long").alias(order), batch.alias("batch")))).alias("out"),
-        )
-
-    return entries.groupBy(group).agg(rows.alias("rows")).select(group, F.explode(F.aggregate("rows", start, step)["out"]).alias("x")).select(group, f"x.{order}", "x.batch")
+    The sum starts anew with each batch, so this is a fold over one queue. Queues are sorted and read through once, in Arrow
+    batches: time is linear in a queue's length and no task holds a whole queue."""
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        key = nothing = object()
+        batch = size = used = 0
+        for rows in batches:
+            numbers = []
+            for queue, tokens in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist()):
+                if key is nothing or queue != key:
+                    key, batch, size, used = queue, 0, 0, 0
+                tokens = tokens or 0
+                if size and (size >= most_size or used + tokens > budget):
+                    batch, size, used = batch + 1, 0, 0
+                size, used = size + 1, used + tokens
+                numbers.append(batch)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(numbers, pa.int32())], names=[group, order, "batch"])
+
+    rows = entries.select(group, F.col(order).cast("long").alias(order), F.col("tokens").cast("long").alias("tokens"))
+    kind = entries.schema[group].dataType.simpleString()
+    return rows.repartition(group).sortWithinPartitions(group, order, "tokens").mapInArrow(fold, f"{group} {kind}, {order} long, batch int")
 
 
 def due(entries: DataFrame, now: Column, least: int = MINING.batch_least, hours: float = MINING.batch_hours) -> DataFrame:
