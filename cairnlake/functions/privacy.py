@@ -113,3 +113,17 @@ def fully_redacted(text: Column) -> Column:
     """Whether nothing but placeholders is left."""
     rest = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\[[\w_]+\]", ""), r"(?U)<[\w_]+>", "")
     return F.regexp_replace(rest, r"(?U)\s+", "") == ""
+
+
+def rescanned(df, original: str, edited: str, custom=()):
+    """df with ``clean``, ``was_modified`` and ``shareable`` after a reviewer's edits: the edited text is searched again, so
+    personal data that the edit brought in goes too. A text of placeholders only is not shareable."""
+    out = df.withColumn("clean", redact_team(F.col(edited), custom))
+    changed = ~F.col("clean").eqNullSafe(F.col(edited)) | ~redact_team(F.col(original), custom).eqNullSafe(F.col(original))
+    return out.withColumn("was_modified", changed).withColumn("shareable", F.col("clean").isNotNull() & ~fully_redacted(F.col("clean")))
+
+
+def finalized(df):
+    """What may leave: rows of ``rescanned`` with something left to share. It fails closed: other rows, and those whose check
+    has no result, are not in it."""
+    return df.where(F.coalesce("shareable", F.lit(False)))

@@ -6,6 +6,7 @@ the current one. There is one writer at a time; readers keep the version that th
 
 from __future__ import annotations
 
+import time
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from .functions import privacy, text
 from .operators import aggregates, curate, graph, mine, search, topics, verify
 from .sources import store
 from .sources.scratch import written
+from .streaming import idle
 from .streaming.inbox import current_version
 
 RECORD = """bullet_id string, content string, user_id string, scope string, section string, knowledge_type string,
@@ -24,7 +26,7 @@ key_entities array<string>, tags array<string>, created_at timestamp, updated_at
 superseded_by string, verified_at timestamp, verified_status string, trust_score double"""
 HISTORY = "bullet_id string, event string, content string, at timestamp"
 EDGES = "from_id string, to_id string, edge_type string, weight double, updated_at timestamp"
-TABLES = {"records": RECORD, "history": HISTORY, "edges": EDGES}
+TABLES = {"records": RECORD, "history": HISTORY, "edges": EDGES, "pages": topics.PAGE}
 
 
 class Memory:
@@ -46,7 +48,8 @@ class Memory:
 
     def _log(self, df: DataFrame, event: str, now) -> None:
         rows = df.select("bullet_id", F.lit(event).alias("event"), "content", now.alias("at"))
-        self.write("history", self.table("history").unionByName(rows))
+        version = current_version(self.spark, f"{self.path}/history") or 0
+        rows.write.mode("append").parquet(f"{self.path}/history/v={version}")  # history only grows: no rewrite of what is there
 
     @staticmethod
     def _now(now=None):
@@ -205,10 +208,40 @@ class Memory:
     def topics(self, edges: DataFrame | None = None) -> DataFrame:
         """Pages over communities of the edge table (ids as numbers from a hash, so any id works)."""
         e = edges if edges is not None else self.table("edges")
-        ids = self.get_all().select("bullet_id", F.xxhash64("bullet_id").alias("n"), "content")
+        records = self.get_all().select(F.col("bullet_id").alias("id"), "content")
         num = e.select(F.xxhash64("from_id").alias("from_id"), F.xxhash64("to_id").alias("to_id"), "weight")
-        c = graph.clusters(graph.louvain(graph.adjacency(num)))
-        return topics.summarise(c, ids.select(F.col("n").alias("id"), "content"))
+        c = graph.clusters(graph.louvain(graph.adjacency(num))).select("cluster_id", F.explode("members").alias("n"))
+        named = c.join(records.select("id", F.xxhash64("id").alias("n")), "n").groupBy("cluster_id").agg(F.array_sort(F.collect_list("id")).alias("members"))
+        return topics.summarise(named, records)
+
+    def refresh_topics(self, edges: DataFrame | None = None, now=None) -> DataFrame:
+        """Stored pages brought up to date with the communities; the pages after it."""
+        self.write("pages", topics.refreshed(self.table("pages"), written(self.topics(edges)), self._now(now)))
+        return self.pages()
+
+    def pages(self) -> DataFrame:
+        return self.table("pages").orderBy(F.desc("updated_at"), "id")
+
+    def delete_page(self, page_id: str) -> None:
+        self.write("pages", self.table("pages").where(F.col("id") != page_id))
+
+    def upkeep(self, batch=None, edges: DataFrame | None = None, log_path: str | None = None, now=None) -> dict:
+        """One run of what is done while nobody works: waiting turns (``batch``, a function without arguments), consolidation,
+        a block in the log, topic pages. Only a failed consolidation ends it."""
+        at, began = self._now(now), time.monotonic()
+
+        def consolidated() -> DataFrame:
+            roles = self.consolidate_run(now=now)
+            if log_path:
+                groups = roles.where("role in ('kept', 'member')").select(F.col("seed").alias("grp"), "id")
+                sized = groups.join(groups.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp"), "grp", "left_semi")
+                none = self.spark.createDataFrame([], "action string")
+                report = curate.execution_report(sized, sized.select("grp").distinct(), roles.where("role = 'redundant'"), none, time.monotonic() - began)
+                store.append_log(report, log_path, at)
+            return roles
+
+        steps = [("batch", batch, False)] if batch is not None else []
+        return idle.run_once([*steps, ("consolidate", consolidated, True), ("topics", lambda: self.refresh_topics(edges, now), False)])
 
     def export(self, path: str, fmt: str = "json", scope: str | None = None) -> None:
         (store.export_markdown if fmt == "markdown" else store.export_json)(self.get_all(), path, scope)

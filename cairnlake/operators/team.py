@@ -14,6 +14,19 @@ def nomination_candidates(df: DataFrame, done: DataFrame, cfg=TEAM) -> DataFrame
     return df.where((F.col("recall_count") >= cfg.nominate_recalls) & (F.col("instructivity_score") >= cfg.nominate_score)).join(done, "bullet_id", "left_anti")
 
 
+def pending_nominations(candidates: DataFrame, nominated: DataFrame, skipped: DataFrame) -> DataFrame:
+    """Candidates that wait for a decision: not nominated yet and not skipped in this session. All: bullet_id."""
+    return candidates.join(nominated.select("bullet_id"), "bullet_id", "left_anti").join(skipped.select("bullet_id"), "bullet_id", "left_anti")
+
+
+def nomination_summary(candidates: DataFrame, nominated: DataFrame, ignored: DataFrame, skipped: DataFrame) -> DataFrame:
+    """One row at a session's end: candidates, nominated, ignored and pending ids, each id counted once."""
+    parts = {"total_candidates": candidates, "nominated_count": nominated, "ignored_count": ignored, "pending_count": pending_nominations(candidates, nominated, skipped)}
+    tagged = [df.select("bullet_id", F.lit(name).alias("part")) for name, df in parts.items()]
+    rows = tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).unionByName(tagged[3]).distinct()
+    return rows.agg(*[F.count(F.when(F.col("part") == name, 1)).alias(name) for name in parts])
+
+
 def keep_best(df: DataFrame, rows: int = TEAM.cache_rows) -> DataFrame:
     own = score.effective_score(F.col("instructivity_score"), F.col("upvotes"), F.col("downvotes"))
     return df.orderBy(own.desc(), "team_id").limit(rows)

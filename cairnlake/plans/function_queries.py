@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import score, text
-from ..operators import aggregates, curate, graph, mine, search, verify
+from ..functions import privacy, score, text
+from ..operators import aggregates, curate, graph, mine, search, topics, verify
+from ..operators import team as pools
 from ..sources import scratch, store
+from ..streaming import idle
 from . import sqltext, views
 from .registry import query
 from .search_queries import SCOPE, SCORED, Q
@@ -475,3 +477,72 @@ def envelopes(spark, d):
     e = store.to_payload(b, ["section", "instructivity_score", "tags"]).select(F.to_json(F.struct(F.col("bullet_id").alias("id"), F.col("content").alias("memory"), "metadata")).alias("envelope"))
     c = store.from_envelope(e, "envelope")
     return c.select("bullet_id", F.md5("content").alias("content_md5"), "section", "instructivity_score", F.array_join("tags", ",").alias("tags"))
+
+
+# ---- nomination, review, outbox, upkeep --------------------------------------------------------------------------------
+
+
+@query("a15_nomination_summary", f"""WITH {BULLETS}, c AS (SELECT doc_id FROM bullets WHERE recall_count >= 3 AND instructivity_score >= 70)
+SELECT (SELECT count(*) FROM c) AS total_candidates, (SELECT count(*) FROM bullets WHERE doc_id % 3 = 0) AS nominated_count, (SELECT count(*) FROM bullets WHERE doc_id % 11 = 0) AS ignored_count, (SELECT count(*) FROM c WHERE doc_id % 3 <> 0 AND doc_id % 7 <> 0) AS pending_count""")
+def nomination_summary(spark, d):
+    b = bullets(spark, d)
+    every = lambda n: b.where(F.col("doc_id") % n == 0)
+    found = pools.nomination_candidates(b, b.where("false").select("bullet_id"))
+    return pools.nomination_summary(found, every(3), every(11), every(7))
+
+
+@query("c11_finalized", f"""WITH {BULLETS}, e AS (SELECT doc_id, content, CASE WHEN doc_id % 5 = 0 THEN '[REDACTED_TOKEN] <EMAIL>' WHEN doc_id % 5 = 1 THEN section || ' ask me@corp.example for it' ELSE section END AS edited FROM bullets)
+SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'changed' ELSE 'same' END AS edit FROM e WHERE doc_id % 5 <> 0""")
+def finalized(spark, d):
+    """Reviewers' texts searched again: personal data that came in with an edit goes, and texts of placeholders only stay here."""
+    k = F.col("doc_id") % 5
+    edited = F.when(k == 0, "[REDACTED_TOKEN] <EMAIL>").when(k == 1, F.concat("section", F.lit(" ask me@corp.example for it"))).otherwise(F.col("section"))
+    out = privacy.finalized(privacy.rescanned(bullets(spark, d).withColumn("edited", edited), "content", "edited"))
+    return out.select("doc_id", F.when(F.contains("clean", F.lit("me@corp.example")), "leaked").when(F.col("clean") == F.col("edited"), "same").otherwise("changed").alias("edit"))
+
+
+@query("s12_stored_pages", f"""WITH {BULLETS}, p AS (SELECT section, lpad(CAST(min(doc_id) AS VARCHAR), 8, '0') AS id FROM bullets GROUP BY 1),
+fresh AS (SELECT section, id FROM p UNION ALL SELECT section, 'new_' || id FROM p)
+SELECT 'topic_' || id AS id, section || CASE WHEN id LIKE 'new%' THEN '-' || right(id, 8) ELSE '' END AS slug, section AS title, CASE WHEN id LIKE 'new%' THEN '2024-02-01' ELSE '2024-01-01' END AS created, CASE WHEN section = 'tools' THEN '2024-01-01' ELSE '2024-02-01' END AS updated FROM fresh WHERE NOT (section = 'tools' AND id LIKE 'new%')""")
+def stored_pages(spark, d):
+    """A page a section is stored; then all but one come again, each with a new page of the same title."""
+    p = bullets(spark, d).groupBy("section").agg(F.lpad(F.min("doc_id").cast("string"), 8, "0").alias("k"), F.array_sort(F.collect_list("bullet_id")).alias("bullet_ids"))
+    page = lambda head: p.select(F.concat(F.lit(head), "k").alias("id"), F.col("section").alias("title"), F.lit("").alias("summary"), "bullet_ids", topics.source_hash(F.col("bullet_ids")).alias("source_hash"))
+    old = scratch.written(topics.upserted(spark.createDataFrame([], topics.PAGE), page("topic_"), F.to_timestamp(F.lit("2024-01-01"))))
+    out = topics.upserted(old, page("topic_").unionByName(page("topic_new_")).where("title <> 'tools'"), now())
+    return out.select("id", "slug", "title", F.date_format("created_at", "yyyy-MM-dd").alias("created"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
+@query("s23_outbox", f"""WITH {BULLETS} SELECT kind, target, priority, body FROM (
+ SELECT 'nominate' AS kind, bullet_id AS target, 'urgent' AS priority, '{{"bullet_id":"' || bullet_id || '","section":"' || section || '"}}' AS body FROM bullets WHERE recall_count >= 15
+ UNION ALL SELECT 'vote', bullet_id, NULL, '{{"vote":"' || CASE WHEN doc_id % 2 = 0 THEN 'up' ELSE 'down' END || '"}}' FROM bullets
+ UNION ALL SELECT 'supersede', bullet_id, 'normal', '{{"section":"' || section || '"}}' FROM bullets WHERE doc_id % 4 = 0
+ UNION ALL SELECT 'override-deviation', bullet_id, NULL, '{{"bullet_id":"' || bullet_id || '","reason":"' || scope || '"}}' FROM bullets WHERE doc_id % 9 = 0)""")
+def outbox(spark, d):
+    """What goes to the team's server, appended to a queue of JSON lines by kind, and the queue as it is read back."""
+    path, b, k = _folder(spark, "outbox"), bullets(spark, d), F.col("doc_id")
+    store.append_outbox(store.nominations(b.where("recall_count >= 15").select("bullet_id", "section"), now(), "urgent"), path)
+    store.append_outbox(store.ballots(b.select("bullet_id", F.when(k % 2 == 0, "up").otherwise("down").alias("vote")), now()), path)
+    store.append_outbox(store.corrections(b.where("doc_id % 4 = 0").select(F.col("bullet_id").alias("origin_id"), "section"), now()), path)
+    store.append_outbox(store.deviations(b.where("doc_id % 9 = 0").select("bullet_id", F.col("scope").alias("reason")), now()), path)
+    return store.read_outbox(spark, path).select("kind", "target", "priority", "body")
+
+
+@query("s24_log_block", f"""WITH {RECORDS}, {_CONFLICTS.replace(BULLETS + ', ', '')}, s AS (SELECT round(((a * 17) % 101) / 101.0::DOUBLE * CASE kind WHEN 'negation' THEN 1.0 WHEN 'contradiction' THEN 0.95 ELSE 0.9 END, 6) AS c FROM conflicts),
+g AS (SELECT count(DISTINCT section) FILTER (WHERE deleted_at IS NULL) AS m, count(*) AS n, count(*) FILTER (WHERE doc_id % 4 = 1) AS r FROM records), x AS (SELECT count(*) FILTER (WHERE c >= 0.85) AS a, count(*) FILTER (WHERE c >= 0.5 AND c < 0.85) AS q, count(*) FILTER (WHERE c < 0.5) AS k FROM s)
+SELECT '## ' || strftime(TIMESTAMP '{NOW}', '%Y-%m-%dT%H:%M:%SZ') || ' consolidate' || chr(10) || 'merged: ' || m || ' groups (' || n || ' bullets -> ' || m || ')' || chr(10) || 'soft-deleted: ' || r || chr(10) || 'auto-supersede: ' || a || chr(10) || 'queued-for-review: ' || q || chr(10) || 'marked-conflict: ' || k || chr(10) || 'duration: 2.5s' || chr(10) AS block FROM g, x""")
+def consolidation_log(spark, d):
+    r = records(spark, d).select(F.col("bullet_id").alias("id"), "doc_id", "section", "recall_count", "created_at", "deleted_at")
+    groups = r.select(F.col("section").alias("grp"), "id")
+    found = curate.triaged(_found_conflicts(spark, d).withColumn("sim", (F.col("a") * 17) % 101 / F.lit(101.0)))
+    report = curate.execution_report(groups, curate.winners(groups, r.drop("section")), r.where("doc_id % 4 = 1"), found, 2.5)
+    return report.select(store.log_block(now()).alias("block"))
+
+
+@query("e3_idle_gate", f"""WITH s AS (SELECT conv_id, TIMESTAMP '{NOW}' - to_seconds(CAST(200 + max(turn) AS BIGINT)) AS last_activity FROM conversations GROUP BY 1)
+SELECT CAST(0 AS BIGINT) AS open, CAST(epoch(TIMESTAMP '{NOW}') - epoch(max(last_activity)) AS BIGINT) AS idle_seconds, epoch(TIMESTAMP '{NOW}') - epoch(max(last_activity)) >= 180 AS due FROM s""")
+def idle_gate(spark, d):
+    """A session a conversation, all of them ended; the last run was an hour ago."""
+    s = table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("n"))
+    seen = now() - F.make_dt_interval(secs=(F.lit(200) + F.col("n")).cast("decimal(18,6)"))
+    return idle.due(s.select(seen.alias("last_activity"), seen.alias("ended_at")), now(), now() - F.expr("interval 1 hour"))

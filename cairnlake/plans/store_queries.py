@@ -151,9 +151,9 @@ def merged_sources(spark, d):
     return rows.withColumn("m", merged).select("user_id", F.size("m").alias("n"), F.element_at("m", 1)["timestamp"].alias("first_ts"), F.element_at("m", -1)["timestamp"].alias("last_ts"))
 
 
-@query("x28_titles", """WITH h AS (SELECT item_id, regexp_extract(string_split(text, chr(10))[1], '^(.+?)(?:[。！？]|[.!?] |$)', 1) AS head FROM benchmark) SELECT item_id, array_to_string(list_slice(regexp_extract_all(head, '[\\p{L}\\p{M}\\p{N}_][\\p{L}\\p{M}\\p{N}_-]*'), 1, 8), ' ') AS title FROM h""")
+@query("x28_titles", """WITH h AS (SELECT doc_id, regexp_extract(string_split(text, chr(10))[1], '^(.+?)(?:[。！？]|[.!?] |$)', 1) AS head FROM documents), t AS (SELECT doc_id, trim(head) AS head, array_to_string(list_slice(regexp_extract_all(head, '[\\p{L}\\p{M}\\p{N}_][\\p{L}\\p{M}\\p{N}_-]*'), 1, 8), ' ') AS title FROM h) SELECT doc_id, coalesce(nullif(title, ''), nullif(head, ''), 'Untitled Topic') AS title FROM t""")
 def titles(spark, d):
-    return table(spark, d, "benchmark").select("item_id", topics.title_of(F.col("text")).alias("title"))
+    return table(spark, d, "documents").select("doc_id", topics.title_of(F.col("text")).alias("title"))
 
 
 @query("x33_rendered", f"""WITH {TEAM}, b AS (SELECT team_id, content, instructivity_score / 100 AS s FROM team ORDER BY s DESC, team_id LIMIT 5) SELECT '<memories>' || chr(10) || string_agg('<memory id="' || team_id || '" score="' || printf('%.2f', s) || '">' || content || '</memory>', chr(10) ORDER BY s DESC, team_id) || chr(10) || '</memories>' AS context FROM b""")
@@ -302,9 +302,10 @@ def history_sizes(spark, d):
     return mine.with_history(interactions(spark, d)).select("conv_id", "turn_offset", F.size("history").alias("n"))
 
 
-@query("w8_unique_slugs", """WITH s AS (SELECT item_id, lpad(CAST(item_id AS VARCHAR), 8, '0') AS id, left(lower(regexp_extract(text, '[A-Za-z]+')), 2) AS t FROM benchmark), r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY id) AS rn FROM s) SELECT id, CASE WHEN rn = 1 THEN t ELSE t || '-' || id END AS slug FROM r""")
+@query("w8_unique_slugs", """WITH s AS (SELECT lpad(CAST(doc_id AS VARCHAR), 8, '0') AS id, lower(regexp_extract(text, '[A-Za-z]+')) AS w FROM documents), t AS (SELECT id, CASE WHEN w = '' THEN 'untitled' ELSE left(w, 60) END AS t FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY id) AS rn FROM t) SELECT id, CASE WHEN rn = 1 THEN t ELSE t || '-' || id END AS slug FROM r""")
 def unique_slugs(spark, d):
-    b = table(spark, d, "benchmark").select(F.lpad(F.col("item_id").cast("string"), 8, "0").alias("id"), F.substring(F.regexp_extract("text", "([A-Za-z]+)", 1), 1, 2).alias("title"))
+    """Documents under their first word as the title."""
+    b = table(spark, d, "documents").select(F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("id"), F.regexp_extract("text", "([A-Za-z]+)", 1).alias("title"))
     return topics.unique_slugs(b).select("id", "slug")
 
 

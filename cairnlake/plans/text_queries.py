@@ -71,10 +71,10 @@ def sentence_cut(spark, d):
 
 
 @query("x18_entities", """WITH f AS (SELECT doc_id, list_concat(list_concat(regexp_extract_all(text, '`([^`]+)`', 1), regexp_extract_all(text, '"([^"]{2,30})"', 1)),
- list_concat(regexp_extract_all(text, '\\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\\b', 1), list_filter(regexp_extract_all(text, '([0-9A-Za-z_-]+\\.[0-9A-Za-z_.]*[0-9A-Za-z_])', 1), lambda m: NOT regexp_matches(m, '^[0-9-]')))) AS e FROM benchmark_ascii)
-SELECT doc_id, array_to_string(list_slice(list_sort(list_distinct(e)), 1, 10), '|') AS entities FROM f""".replace("benchmark_ascii", "(SELECT item_id AS doc_id, text FROM benchmark)"))
+ list_concat(regexp_extract_all(text, '\\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\\b', 1), list_filter(regexp_extract_all(text, '([0-9A-Za-z_-]+\\.[0-9A-Za-z_.]*[0-9A-Za-z_])', 1), lambda m: NOT regexp_matches(m, '^[0-9-]')))) AS e FROM documents)
+SELECT doc_id, array_to_string(list_slice(list_sort(list_distinct(e)), 1, 10), '|') AS entities FROM f""")
 def entities(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.array_join(text.entities(F.col("text")), "|").alias("entities"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(text.entities(F.col("text")), "|").alias("entities"))
 
 
 @query("x17_known_tools", f"SELECT doc_id, array_to_string(list_sort(list_filter({sqltext.flat_list(text.KNOWN_TOOLS)}, lambda t: list_contains(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), t))), ',') AS tools FROM documents")
@@ -87,9 +87,9 @@ def negations(spark, d):
     return table(spark, d, "documents").select("doc_id", text.count_negations(F.col("text")).alias("negations"))
 
 
-@query("x27_slugs", "WITH s AS (SELECT item_id, regexp_replace(regexp_replace(lower(trim(text)), '[^\\p{L}\\p{M}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM benchmark) SELECT item_id, CASE WHEN s = '' THEN 'untitled' ELSE regexp_replace(left(s, 60), '-+$', '') END AS slug FROM s")
+@query("x27_slugs", "WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(lower(trim(text)), '[^\\p{L}\\p{M}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM documents) SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE regexp_replace(left(s, 60), '-+$', '') END AS slug FROM s")
 def slugs(spark, d):
-    return table(spark, d, "benchmark").select("item_id", text.slug(F.col("text")).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
 @query("x29_markdown_escapes", "SELECT doc_id, regexp_replace(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 120), '([\\\\*`\\[\\]_])', '\\\\\\1', 'g') AS line FROM documents")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PREFIX = "meta_"
@@ -74,6 +74,61 @@ def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REVIEW).json(path)
 
 
+def log_block(at) -> Column:
+    """The text of one consolidation in a log, over the columns of an execution report."""
+    count = lambda c: F.col(c).cast("string")
+    return F.concat(
+        F.lit("## "), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" consolidate\nmerged: "), count("merged_groups"), F.lit(" groups ("), count("merged_bullets"), F.lit(" bullets -> "), count("merged_groups"),
+        F.lit(")\nsoft-deleted: "), count("soft_deleted"), F.lit("\nauto-supersede: "), count("auto_supersede"), F.lit("\nqueued-for-review: "), count("queued_for_review"),
+        F.lit("\nmarked-conflict: "), count("marked_conflict"), F.lit("\nduration: "), F.format_string("%.1f", "seconds"), F.lit("s\n"),
+    )
+
+
+def append_log(report: DataFrame, path: str, at) -> None:
+    """A block a row of a report added to a log; blocks are apart by an empty line."""
+    report.select(log_block(at).alias("value")).write.mode("append").text(path)
+
+
+OUTBOX = "kind string, target string, priority string, body string, at timestamp"
+PRIORITIES = ("normal", "urgent")
+
+
+def _outgoing(df: DataFrame, kind: str, target: str, body, at, priority: str | None = None) -> DataFrame:
+    if priority is not None and priority not in PRIORITIES:
+        raise ValueError(f"priority must be one of {PRIORITIES}")
+    return df.select(F.lit(kind).alias("kind"), F.col(target).cast("string").alias("target"), F.lit(priority).alias("priority"), F.to_json(body).alias("body"), at.alias("at"))
+
+
+def nominations(df: DataFrame, at, priority: str = "normal") -> DataFrame:
+    """Outbox rows that offer records (bullet_id, content, ...) to the team."""
+    return _outgoing(df, "nominate", "bullet_id", F.struct(*df.columns), at, priority)
+
+
+def ballots(df: DataFrame, at) -> DataFrame:
+    """Outbox rows of votes (bullet_id, vote: up or down); any other vote is an error."""
+    vote = F.when(F.col("vote").isin("up", "down"), F.col("vote")).otherwise(F.raise_error(F.concat(F.lit("no such vote: "), F.coalesce("vote", F.lit("null")))))
+    return _outgoing(df, "vote", "bullet_id", F.struct(vote.alias("vote")), at)
+
+
+def corrections(df: DataFrame, at, priority: str = "normal") -> DataFrame:
+    """Outbox rows that offer records in the place of others (origin_id)."""
+    return _outgoing(df, "supersede", "origin_id", F.struct(*[c for c in df.columns if c != "origin_id"]), at, priority)
+
+
+def deviations(df: DataFrame, at) -> DataFrame:
+    """Outbox rows that report overrides of mandatory records (bullet_id, reason, expires)."""
+    return _outgoing(df, "override-deviation", "bullet_id", F.struct(*df.columns), at)
+
+
+def append_outbox(df: DataFrame, path: str) -> None:
+    """Rows for whatever sends them, added as JSON lines."""
+    df.write.mode("append").json(path)
+
+
+def read_outbox(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(OUTBOX).json(path)
+
+
 def scope_name(scope: str | None) -> str:
     """global for none; a project needs a name."""
     if not scope:

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from cairnlake import memory
 from cairnlake.__main__ import main
-from cairnlake.functions import text
+from cairnlake.functions import privacy, text
 from cairnlake.operators import aggregates, curate, federate, graph, llmio, mine, search, simjoin, team, topics, verify
 from cairnlake.sources import store
-from cairnlake.streaming import inbox
+from cairnlake.sources.scratch import written
+from cairnlake.streaming import idle, inbox
 
 NOW = datetime(2024, 2, 1)
 def at():
@@ -243,6 +244,15 @@ def test_packing(spark):
     assert [r.batch for r in mine.pack(df, 4, 100).orderBy("turn").collect()] == want
 
 
+def test_packing_many_queues(spark):
+    """Queues of any key, the missing one included, start at batch 0; a queue longer than an Arrow batch goes on where it was."""
+    rows = [(k, i, 10) for k, n in (("a", 25_000), ("b", 3), (None, 2)) for i in range(n)] + [("c", 0, 500), ("c", 1, None)]
+    got = mine.pack(spark.createDataFrame(rows, "conv_id string, turn long, tokens int"), 4, 100).collect()
+    assert all(r.batch == r.turn // 4 for r in got if r.conv_id != "c") and len(got) == len(rows)
+    assert sorted((r.turn, r.batch) for r in got if r.conv_id == "c") == [(0, 0), (1, 1)] and sum(r.conv_id is None for r in got) == 2
+    assert mine.pack(spark.createDataFrame([], "conv_id string, turn long, tokens int")).collect() == []
+
+
 def test_topics(spark):
     c = spark.createDataFrame([(1, [1, 2]), (2, [3])], "cluster_id long, members array<long>")
     rec = spark.createDataFrame([(1, "Use docker. Then more"), (2, "b"), (3, "Use docker. Else")], "id long, content string")
@@ -455,3 +465,106 @@ def test_the_rest_works_without_the_training_data_operators(tmp_path):
             (copy / "corpus_pipeline.py").unlink(missing_ok=True)
         code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 100 and set(o) <= set(q) and not any(n.startswith('op') or n == 'pipeline' for n in q)"
         subprocess.run([sys.executable, "-c", code], cwd=copy, check=True)
+
+
+def test_compared_pairs_over_many_ranges(spark):
+    """Positions hold across ranges: seeds are all even ids, each odd id has the seed before it."""
+    n = 3000
+    rows = spark.range(n).select(F.col("id"))
+    roles = spark.range(n).select("id", (F.col("id") - F.col("id") % 2).alias("seed"), F.when(F.col("id") % 2 == 0, "kept").otherwise("member").alias("role"))
+    want = sum(sum(1 for j in range(i + 1, n) if j % 2 == 0 or j - 1 >= i) for i in range(0, n, 2)) if n <= 400 else None
+    closed = sum((n - i - 1) for i in range(0, n, 2))  # a later row has no seed, or its seed is not before i
+    assert curate.pairs_compared(rows, roles).first()[0] == closed and want in (None, closed)
+    assert curate.pairs_compared(rows.limit(0), roles.limit(0)).first()[0] is None
+
+
+def test_own_rules_and_strategies(spark):
+    turns = spark.createDataFrame([("c", 0, "please remember: tabs", "noted")], "conv_id string, turn_offset long, user_message string, assistant_message string")
+    own = {"remember": (F.contains("low", F.lit("remember")), F.col("user_message"), F.lit(0.9))}
+    assert [(r.pattern_type, r.confidence) for r in mine.detect(turns, own_rules=own).collect()] == [("remember", 0.9)]
+    curate.STRATEGIES["candidate"] = lambda: (F.col("c_content"), F.col("c_score"), F.lit(True))
+    try:
+        cols = "pair_id long, c_content string, e_content string, c_score double, e_score double, e_recall long, " + ", ".join(f"{p}_{k} array<string>" for p in "ce" for k in ("tools", "entities", "tags"))
+        pairs = spark.createDataFrame([(1, "new", "a longer old text", 1.0, 9.0, 2, ["a"], [], [], ["b"], [], [])], cols)
+        assert curate.merged(pairs, "candidate").first().content == "new" and curate.merged(pairs, "unknown").first().content == "a longer old text"
+        assert curate.merged(pairs, "candidate").first()["tools"] == ["a", "b"]
+    finally:
+        del curate.STRATEGIES["candidate"]
+
+
+def test_nominations(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "bullet_id string")
+    r = team.nomination_summary(ids("a", "b", "c", "d"), ids("a", "z"), ids("y"), ids("b")).first()
+    assert (r.total_candidates, r.nominated_count, r.ignored_count, r.pending_count) == (4, 2, 1, 2)
+    none = ids().select("bullet_id")
+    assert tuple(team.nomination_summary(none, none, none, none).first()) == (0, 0, 0, 0)
+
+
+def test_reviewed_edits_fail_closed(spark):
+    rows = [(1, "plain", "plain"), (2, "plain", "write to me@corp.example"), (3, "x", "<EMAIL> [REDACTED_TOKEN]"), (4, "x", None), (5, "x", " "), (6, "me@corp.example", "fine")]
+    got = {r.id: r for r in privacy.finalized(privacy.rescanned(spark.createDataFrame(rows, "id long, a string, b string"), "a", "b")).collect()}
+    assert set(got) == {1, 2, 6} and not got[1].was_modified and got[2].was_modified and got[6].was_modified
+    assert "me@corp.example" not in got[2].clean
+
+
+def test_outbox(spark, tmp_path):
+    path = str(tmp_path / "outbox")
+    rows = spark.createDataFrame([("b1", "up"), ("b2", "down")], "bullet_id string, vote string")
+    store.append_outbox(store.ballots(rows, at()), path)
+    store.append_outbox(store.nominations(rows.select("bullet_id", F.lit("t").alias("content")), at(), "urgent"), path)
+    store.append_outbox(store.corrections(rows.select(F.col("bullet_id").alias("origin_id"), F.lit("n").alias("content")).limit(1), at()), path)
+    store.append_outbox(store.deviations(rows.select("bullet_id", F.lit("r").alias("reason")).limit(1), at()), path)
+    got = store.read_outbox(spark, path).collect()
+    assert sorted((r.kind, r.target) for r in got) == [("nominate", "b1"), ("nominate", "b2"), ("override-deviation", "b1"), ("supersede", "b1"), ("vote", "b1"), ("vote", "b2")]
+    assert {json.loads(r.body)["vote"] for r in got if r.kind == "vote"} == {"up", "down"} and {r.priority for r in got if r.kind == "nominate"} == {"urgent"}
+    with pytest.raises(ValueError):
+        store.nominations(rows, at(), "later")
+    with pytest.raises(Exception, match="no such vote"):
+        store.ballots(rows.withColumn("vote", F.lit("maybe")), at()).collect()
+
+
+def test_idle_gate(spark):
+    seen = lambda *rows: spark.createDataFrame(list(rows), "last_activity timestamp, ended_at timestamp")
+    ago = lambda s: NOW - timedelta(seconds=s)
+    due = lambda df, last=None: idle.due(df, at(), F.lit(last).cast("timestamp") if last else None).first().due
+    assert due(seen()) and due(seen((ago(180), ago(180)))) and due(seen((ago(900), ago(900))), ago(1800))
+    assert not due(seen((ago(179), ago(179)))) and not due(seen((ago(900), None))) and not due(seen((ago(900), ago(900))), ago(1799))
+
+
+def test_upkeep_goes_on_after_a_failed_step():
+    def fails():
+        raise OSError("no")
+
+    out = idle.run_once([("a", fails, False), ("b", lambda: 2, True), ("c", fails, True), ("d", lambda: 4, False)])
+    assert isinstance(out["a"], OSError) and out["b"] == 2 and isinstance(out["c"], OSError) and "d" not in out
+
+
+def test_stored_pages(spark):
+    fields = "id string, title string, summary string, bullet_ids array<string>, source_hash string"
+    fresh = lambda *rows: spark.createDataFrame([(i, t, "", b, h) for i, t, b, h in rows], fields)
+    day = lambda n: F.lit(NOW + timedelta(n)).cast("timestamp")
+    a = [str(i) for i in range(10)]
+    one = written(topics.refreshed(spark.createDataFrame([], topics.PAGE), fresh(("topic_00000001", "Docker", a, "h1"), ("topic_00000002", "Gone", ["x"], "h2")), day(0)))
+    two = {r.id: r for r in topics.refreshed(one, fresh(("topic_00000003", "Docker two", a[:7], "h3"), ("topic_00000004", "Docker", ["y", "z"], "h4")), day(1)).collect()}
+    assert set(two) == {"topic_00000001", "topic_00000004"}  # drifted: anew under its id; no cluster keeps the second page
+    assert (two["topic_00000001"].slug, two["topic_00000001"].created_at, two["topic_00000001"].updated_at) == ("docker-two", NOW, NOW + timedelta(1))
+    same = topics.refreshed(one, fresh(("topic_00000009", "Docker", a, "h1")), day(2)).collect()
+    assert [(r.id, r.updated_at) for r in same] == [("topic_00000001", NOW)]
+    clash = {r.id: r.slug for r in topics.upserted(one, fresh(("topic_00000007", "Docker", ["q"], "h7")), day(1)).collect()}
+    assert clash["topic_00000001"] == "docker" and clash["topic_00000007"] == "docker-00000007"
+    assert topics.page(one, "docker", "slug").first().id == "topic_00000001"
+
+
+def test_upkeep(spark, tmp_path):
+    m = memory.Memory(spark, str(tmp_path / "s"))
+    m.add_records(spark.createDataFrame([(f"w{i} alpha beta gamma{i}", "global") for i in range(4)], "content string, scope string"), NOW)
+    ids = sorted(r.bullet_id for r in m.get_all().collect())
+    edges = spark.createDataFrame([(a, b, 1.0) for a in ids for b in ids if a < b], "from_id string, to_id string, weight double")
+    out = m.upkeep(edges=edges, log_path=str(tmp_path / "log"), now=NOW)
+    assert set(out) == {"consolidate", "topics"}
+    pages = m.pages().collect()
+    assert [sorted(p.bullet_ids) for p in pages] == [ids] and m.table("history").count() == 4
+    text_of = "\n".join(r.value for r in spark.read.text(str(tmp_path / "log")).collect())
+    assert "2024-02-01T00:00:00Z consolidate" in text_of and "merged: 0 groups (0 bullets -> 0)" in text_of
+    m.delete_page(pages[0].id)
+    assert m.pages().count() == 0
