@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, htmltext, langid, mixing, neardup, pii, quality, tokens, topk, urlrules
+from . import decontam, htmltext, langid, mixing, neardup, pii, quality, stamps, tokens, topk, urlrules
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_url_filters": urlrules.op8_url_filters,
         "op9_exact_topk": topk.op9_exact_topk,
         "op10_html_text": htmltext.op10_html_text,
+        "op11_mixed_stamps": stamps.op11_mixed_stamps,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict:
         "op4_source_mix": mixing.ORACLE,
         "op8_url_filters": urlrules.oracle(),
         "op9_exact_topk": topk.ORACLE,
+        "op11_mixed_stamps": stamps.ORACLE,
     }
