@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, htmltext, langid, mixing, neardup, pii, quality, stamps, tokens, topk, urlrules
+from . import centroids, decontam, htmltext, langid, mixing, neardup, pii, quality, rules, stamps, tokens, topk, urlrules
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op9_exact_topk": topk.op9_exact_topk,
         "op10_html_text": htmltext.op10_html_text,
         "op11_mixed_stamps": stamps.op11_mixed_stamps,
+        "op12_centroids": centroids.op12_centroids,
+        "op13_quality_rules": rules.op13_quality_rules,
     }
 
 
@@ -27,4 +29,6 @@ def oracle_sql() -> dict:
         "op8_url_filters": urlrules.oracle(),
         "op9_exact_topk": topk.ORACLE,
         "op11_mixed_stamps": stamps.ORACLE,
+        "op12_centroids": centroids.ORACLE,
+        "op13_quality_rules": rules.ORACLE,
     }

@@ -6,8 +6,8 @@ slashed date that two orders can read. Slashed stamps that only one order can re
 ``margin`` times the other's votes, day first without one. Each row is then finished alone: its verdict is looked up, and a
 wall time without an offset finds its offset by bisection over the transitions of its zone.
 
-The verdicts of sources that have one are broadcast while they are ``most_sources`` at most (counted first); beyond, ambiguous
-rows are joined with them, every source dealt over ``SALTS`` keys. Nothing else leaves its task. Stamps are read again by
+Verdicts are broadcast while ``most_sources`` sources at most have slashed stamps (counted first); beyond, rows are joined with the
+verdicts, every source dealt over ``SALTS`` keys. Nothing else leaves its task. Stamps are read again by
 the second pass; only slashed ones are read by the first.
 
 Defined results: null, empty or unreadable stamps, dates that no calendar has and wall times in a null or unknown zone are
@@ -275,11 +275,12 @@ def normalise(
     """(id, utc, utc_us, rule, ambiguous) of every row; utc is the instant as a timestamp, utc_us its microseconds since 1970."""
     spark = stamps.sparkSession
     rows = stamps.select(stamps[id_col].alias("id"), stamps[source_col].alias("source"), stamps[zone_col].alias("zone"), stamps[raw_col].alias("raw"))
-    votes = rows.where(F.col("raw").contains("/")).rdd.mapPartitions(ballots).reduceByKey(lambda a, b: tuple(map(add, a, b)))
+    slashed = rows.where(F.col("raw").contains("/"))
+    votes = slashed.rdd.mapPartitions(ballots).reduceByKey(lambda a, b: tuple(map(add, a, b)))
     verdicts = votes.flatMapValues(lambda n: [DAY_FIRST] if n[0] > margin * n[1] else [MONTH_FIRST] if n[1] > margin * n[0] else [])
     schema = rows.select("id").schema.add("utc_us", "long").add("rule", "string").add("ambiguous", "boolean")
 
-    if verdicts.count() <= most_sources:
+    if slashed.select("source").distinct().count() <= most_sources:
         known = spark.sparkContext.broadcast(verdicts.collectAsMap())
         done = rows.rdd.mapPartitions(lambda part: ((key, *finish(found, zone, known.value.get(source))) for key, source, zone, found in parsed(part)))
     else:
