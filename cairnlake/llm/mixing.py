@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import materialize
 
@@ -168,12 +169,14 @@ def mix_sql(*args) -> str:
 WRITTEN = ("classes", "targets", "plans", "ranked", "marks")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target (of its source), taken (words the mix takes of it) of each row."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3, seed: int = 7, uniform: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target (of its source), taken (words the mix takes of it) of each row.
+
+    ``uniform``: SQL for the random number of a row over its ``doc_id``; the hash of seed and id if none is given."""
     base = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), docs[text_col].alias("text"))
     sized = base.selectExpr("doc_id", "source", r"coalesce(regexp_count(text, '[^\\x20\\x09-\\x0D]+'), 0) AS n")
     made = {"mix_input": materialize(sized, "sizes")}
-    for name, sql in mix_steps("mix_input", "n", BITS, spark_uniform(seed), most):
+    for name, sql in mix_steps("mix_input", "n", BITS, uniform or spark_uniform(seed), most):
         # tables of earlier steps are handed over as DataFrames: no view of the session is made or hidden
         used = {t for t in re.findall(r"\b(?:FROM|JOIN) (\w+)", sql) if t in made}
         braced = re.sub(r"\b(FROM|JOIN) (\w+)", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], sql)
@@ -182,9 +185,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return made["mixed"]
 
 
-def spark_uniform(seed: int) -> str:
+def spark_uniform(seed: int, of: str = "doc_id") -> str:
     """In (0, 1), from 52 bits of a hash of seed and id."""
-    return f"(CAST(conv(substring(md5(concat('{seed}:', coalesce(CAST(doc_id AS STRING), ''))), 1, 13), 16, 10) AS BIGINT) + 0.5D) / 4503599627370496D"
+    return f"(CAST(conv(substring(md5(concat('{seed}:', coalesce(CAST({of} AS STRING), ''))), 1, 13), 16, 10) AS BIGINT) + 0.5D) / 4503599627370496D"
 
 
 def duckdb_uniform(seed: int) -> str:
@@ -194,15 +197,19 @@ def duckdb_uniform(seed: int) -> str:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as the mix takes it, with ``copies``, ``taken`` and ``copy`` (from 1).
 
-    Columns of docs with these names give way. Rows that share an id and a size are taken alike."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    Columns of docs with these names give way. If ids repeat, rows are numbered in a table of their own first, and the mix is taken
+    of numbered rows: rows that share an id have one random number, and ties of the ranking go by a hash of the text, then by number."""
+    id_col, text_col, seed = options.pop("id_col", "doc_id"), options.get("text_col", "text"), options.get("seed", 7)
     docs = docs.drop("copies", "taken", "copy")
-    found = mix(docs, **options).where("taken > 0").selectExpr("doc_id AS _mix_id", "size AS _mix_size", "taken", "CAST(taken / size AS INT) AS copies")
-    once = found.groupBy("_mix_id", "_mix_size").agg({"taken": "max", "copies": "max"}).withColumnRenamed("max(taken)", "taken").withColumnRenamed("max(copies)", "copies")
-    sized = docs.selectExpr("*", rf"coalesce(regexp_count({text_col}, '[^\\x20\\x09-\\x0D]+'), 0) AS _mix_words")
-    once = materialize(once, "mix")
-    joined = sized.join(once, sized[id_col].eqNullSafe(once["_mix_id"]) & (sized["_mix_words"] == once["_mix_size"]))
-    return joined.drop("_mix_id", "_mix_size", "_mix_words").selectExpr("*", "explode(sequence(1, copies)) AS copy")
+    key = F.col(id_col)
+    if not docs.groupBy(key).count().where("count > 1").isEmpty():
+        docs = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "numbered")
+        key = F.struct(key.alias("id"), F.xxhash64(text_col).alias("text"), "_mix_row")
+        options["uniform"] = spark_uniform(seed, "doc_id.id")
+    keyed = docs.withColumn("_mix_key", key)
+    found = mix(keyed, id_col="_mix_key", **options).where("taken > 0").selectExpr("doc_id AS _mix_id", "taken", "CAST(taken / size AS INT) AS copies")
+    joined = keyed.join(materialize(found, "mix"), F.col("_mix_key").eqNullSafe(F.col("_mix_id")))
+    return joined.drop("_mix_id", "_mix_key", "_mix_row").selectExpr("*", "explode(sequence(1, copies)) AS copy")
 
 
 def op4_source_mix(spark, sf_dir: str) -> DataFrame:

@@ -551,3 +551,22 @@ def test_html_keeps_the_article():
 
 def test_deep_pages():
     assert htmltext.main_text("<div>" * 20_000 + "deep text" + "</div>" * 20_000) == "deep text"
+
+
+def test_mixed_documents_take_what_the_mix_takes(spark):
+    """Rows that share an id: the cut falls inside them, and each row counts by itself."""
+    words = lambda n: " ".join(["w"] * n)
+    rows = [(None, words(100), "a")] * 400 + [(i, words(50 + i % 30), "b") for i in range(180)] + [(7, words(60), "b"), (7, words(60) + " x", "b"), (8, None, "a"), (8, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.mix(df).collect()
+    out = mixing.mixed_documents(df)
+    assert out.columns == ["doc_id", "text", "source", "taken", "copies", "copy"]
+    got = {r.source: r.n for r in out.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+    for source in "ab":
+        taken = sum(r.taken for r, row in zip(plan, plan) if (r.source_size == 40000) == (source == "a") and r.size)
+        target = next(r.target for r in plan if (r.source_size == 40000) == (source == "a") and r.size)
+        assert abs(got[source] - target) <= 100 and abs(taken - target) <= 100
+    again = mixing.mixed_documents(df)
+    key = lambda r: (r.doc_id is None, r.doc_id, r.text, r.copies, r.copy)
+    assert sorted(map(key, out.collect())) == sorted(map(key, again.collect()))
+    assert mixing.mixed_documents(df.limit(0)).collect() == []
