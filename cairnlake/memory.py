@@ -105,6 +105,7 @@ class Memory:
     def add_records(self, df: DataFrame, now=None) -> DataFrame:
         """Candidates (content, scope and any record columns) after curation: merged into what they repeat, or added.
 
+        All candidates of a record are merged into it, one after the other by id.
         Returns (cand_id, action, target_id, sim). Candidates that repeat each other are added once: the first by id stays."""
         at = self._now(now)
         old = self.table("records")
@@ -120,13 +121,10 @@ class Memory:
         fields = [f.dataType.simpleString() for f in old.schema]
         added = cands.join(plan.where("action = 'add'").select("cand_id"), "cand_id", "left_semi")
         rows = added.select(*[F.col("cand_id").alias("bullet_id") if f.name == "bullet_id" else F.col(f.name) if f.name in ("content", "scope") else col(f.name, kind, defaults.get(f.name, F.lit(None))) for f, kind in zip(old.schema, fields)])
-        hits = plan.where("action = 'merge'").groupBy(F.col("target_id").alias("bullet_id")).agg(F.max("cand_id").alias("cand_id"))
-        side = cands.select("cand_id", F.col("content").alias("c_content"), col("instructivity_score", "double", F.lit(50.0)).alias("c_score"), col("tags", "array<string>", empty).alias("c_tags"))
-        pairs = hits.join(side, "cand_id").join(live, "bullet_id").select(
-            F.col("bullet_id").alias("pair_id"), "c_content", "c_score", F.col("content").alias("e_content"), F.col("instructivity_score").alias("e_score"), F.col("recall_count").alias("e_recall"),
-            "c_tags", F.col("tags").alias("e_tags"), empty.alias("c_tools"), F.col("related_tools").alias("e_tools"), empty.alias("c_entities"), F.col("key_entities").alias("e_entities"),
-        )
-        fresh = curate.merged(pairs).select(F.col("pair_id").alias("bullet_id"), F.col("content").alias("_c"), F.col("instructivity_score").alias("_s"), F.col("tags").alias("_t"))
+        hits = plan.where("action = 'merge'").select("cand_id", "target_id")
+        side = cands.select("cand_id", "content", col("instructivity_score", "double", F.lit(50.0)).alias("score"), col("tags", "array<string>", empty).alias("tags"))
+        mine_ = live.select(F.col("bullet_id").alias("target_id"), "content", F.col("instructivity_score").alias("score"), "tags")
+        fresh = curate.merged_into(mine_, side, hits).select(F.col("target_id").alias("bullet_id"), F.col("content").alias("_c"), F.col("instructivity_score").alias("_s"), F.col("tags").alias("_t"))
         kept = old.join(fresh, "bullet_id", "left").withColumn("content", F.coalesce("_c", "content")).withColumn("instructivity_score", F.coalesce("_s", "instructivity_score")).withColumn("tags", F.coalesce("_t", "tags")).withColumn("updated_at", F.when(F.col("_c").isNotNull(), at).otherwise(F.col("updated_at"))).select(old.columns)
         self.write("records", kept.unionByName(rows))
         self._log(self.table("records").join(plan.where("action <> 'skip'").select(F.coalesce("target_id", "cand_id").alias("bullet_id")).distinct(), "bullet_id", "left_semi"), "add", at)

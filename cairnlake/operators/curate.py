@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import CURATION
 from ..functions import score, text
 from ..sources.scratch import written
-from . import simjoin
+from . import cosjoin, simjoin
 
 
 def curate(candidates: DataFrame, existing: DataFrame, threshold: float = CURATION.similarity) -> DataFrame:
@@ -22,6 +22,18 @@ def curate(candidates: DataFrame, existing: DataFrame, threshold: float = CURATI
     return out.select("cand_id", action.alias("action"), F.col("right_id").alias("target_id"), "sim")
 
 
+def curate_in_order(records: DataFrame, id_col: str, threshold: float = CURATION.similarity, group: str | None = "scope", vector_col: str | None = None) -> DataFrame:
+    """(cand_id, action, target_id, sim): every record as a candidate against all records of smaller id in its scope.
+
+    Similarity is the cosine where both rows have a vector, that of their words otherwise; blank contents are skipped, and are no targets."""
+    blank = F.trim(F.coalesce("content", F.lit(""))) == ""
+    pairs, members = near_pairs(records.where(~blank), id_col, threshold, group, vector_col)
+    best = cosjoin.nearest_earlier(pairs, members)
+    out = records.select(F.col(id_col).alias("cand_id"), blank.alias("_blank")).join(best, F.col("cand_id") == F.col("id"), "left")
+    action = F.when(F.col("_blank"), "skip").when(F.col("target").isNotNull(), "merge").otherwise("add")
+    return out.select("cand_id", action.alias("action"), F.col("target").alias("target_id"), "sim")
+
+
 def contradiction(a: Column, b: Column, negations=text.DETECT_NEGATIONS, opposites=text.OPPOSITES) -> Column:
     """opposing_pair, negation_asymmetry or version_conflict, the first that holds, else null."""
     wa, wb = text.word_set(a), text.word_set(b)
@@ -55,12 +67,16 @@ def anchor_mismatches(anchors: DataFrame, least: float = 0.5) -> DataFrame:
     return hit.select(F.least("v", "s").alias("a"), F.greatest("v", "s").alias("b")).distinct()
 
 
-def consolidate(df: DataFrame, id_col: str, similarity: float = CURATION.similarity, redundant: float = CURATION.redundant) -> DataFrame:
-    """(id, seed, role): seeds are kept; a row near a kept row of smaller id is a member, or redundant if nearer still.
+def near_pairs(df: DataFrame, id_col: str, low: float, group: str | None = None, vector_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs of representatives, members) of records similar at ``low``: by vectors where both have one, by words otherwise."""
+    words = text.word_set(F.col("content"))
+    if vector_col is None:
+        return simjoin.self_join(df, words, low, id_col, group)
+    return cosjoin.hybrid_pairs(df, words, low, id_col, group, vector_col)
 
-    Equal word sets collapse first: of a class only the smallest id can be a seed, and the rest follow it."""
-    pairs, members = simjoin.self_join(df, text.word_set(F.col("content")), similarity, id_col)
-    pairs = written(pairs)
+
+def grouped(pairs: DataFrame, members: DataFrame, redundant: float) -> DataFrame:
+    """(id, rep, seed, role) of an ordered walk over pairs (a, b, sim) of representatives: seeds are kept, the rows near them follow."""
     reps = members.where("id = rep").select("id", F.col("id").alias("rank"), F.lit(False).alias("forced"))
     kept = written(simjoin.suppress(reps, pairs))
     alive = kept.where("kept").select(F.col("id").alias("a"))
@@ -71,13 +87,45 @@ def consolidate(df: DataFrame, id_col: str, similarity: float = CURATION.similar
     # a copy of a seed is redundant to it; a copy of a member may meet an earlier kept row just as its representative does
     seed = F.when(copy, F.col("rep")).otherwise(F.col("seed"))
     role = F.when(copy, "redundant").when(F.col("kept"), "kept").when(F.col("sim") >= redundant, "redundant").otherwise("member")
-    return rows.select("id", F.coalesce(seed, F.col("id")).alias("seed"), role.alias("role"))
+    return rows.select("id", "rep", F.coalesce(seed, F.col("id")).alias("seed"), role.alias("role"))
 
 
-def bullet_conflicts(a: Column, b: Column) -> Column:
+def consolidate(df: DataFrame, id_col: str, similarity: float = CURATION.similarity, redundant: float = CURATION.redundant, vector_col: str | None = None) -> DataFrame:
+    """(id, seed, role): seeds are kept; a row near a kept row of smaller id is a member, or redundant if nearer still.
+
+    Similarity is that of the word sets; with ``vector_col``, the cosine where both rows have a vector. Equal rows collapse first: of a
+    class only the smallest id can be a seed, and the rest follow it."""
+    pairs, members = near_pairs(df, id_col, similarity, None, vector_col)
+    return grouped(written(pairs), members, redundant).select("id", "seed", "role")
+
+
+def consolidation(df: DataFrame, id_col: str, similarity: float = CURATION.similarity, redundant: float = CURATION.redundant, low: float = CURATION.conflict_low, high: float = CURATION.conflict_high, vector_col: str | None = None, negations=text.NEGATIONS, antonyms=text.ANTONYMS) -> tuple[DataFrame, DataFrame]:
+    """(roles, conflicts) of one consolidation: roles as ``consolidate``; conflicts (a, b, sim, kind) as the walk meets them.
+
+    The walk compares a seed i with every later row that no seed before i has taken; of those with a similarity in
+    [low, high) it reports contradictions. That is an interval condition on the two tables: i is a seed, i < j, and the seed of j does not
+    stand before i. One join finds the pairs for both. Both ends of a conflict are named once each kind."""
+    pairs, members = near_pairs(df, id_col, min(low, similarity), None, vector_col)
+    pairs = written(pairs)
+    roles = written(grouped(pairs.where(F.col("sim") >= similarity), members, redundant))
+    body = df.select(F.col(id_col).alias("id"), F.coalesce("content", F.lit("")).alias("content"))
+    mid = pairs.where((F.col("sim") >= low) & (F.col("sim") < high))
+    # representatives of both orders: a seed is the representative of its class, its partner any member of the other
+    either = mid.unionByName(mid.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    seeds = roles.where("role = 'kept'").select(F.col("id").alias("a"))
+    later = roles.select(F.col("rep").alias("b"), F.col("id").alias("j"), "seed")
+    met = either.join(seeds, "a").join(later, "b").where("a < j and seed >= a")
+    # texts of one class differ in their words' order only, but negations and antonyms are those of the words: the representatives' will do
+    sides = met.select("a", "b", "sim").distinct().join(body.select(F.col("id").alias("a"), F.col("content").alias("ca")), "a").join(body.select(F.col("id").alias("b"), F.col("content").alias("cb")), "b")
+    kinds = sides.withColumn("kind", F.explode(bullet_conflicts(F.col("ca"), F.col("cb"), negations, antonyms))).select("a", "b", "kind")
+    found = met.join(kinds, ["a", "b"]).select("a", F.col("j").alias("b"), "sim", "kind")
+    return roles.select("id", "seed", "role"), found
+
+
+def bullet_conflicts(a: Column, b: Column, negations=text.NEGATIONS, antonyms=text.ANTONYMS) -> Column:
     """Kinds of conflict between two texts: negation in one only, antonyms."""
-    na, nb = text.count_negations(a), text.count_negations(b)
-    pair = text.opposing(text.bare_words(a), text.bare_words(b))
+    na, nb = text.count_negations(a, negations), text.count_negations(b, negations)
+    pair = text.opposing(text.bare_words(a), text.bare_words(b), antonyms)
     return F.array_compact(F.array(F.when((na > 0) != (nb > 0), "negation"), F.when(pair.isNotNull(), "contradiction")))
 
 
@@ -150,6 +198,34 @@ def merged(pairs: DataFrame, strategy: str = "keep_best") -> DataFrame:
     return pairs.select("pair_id", content.alias("content"), points.alias("instructivity_score"), F.col("e_recall").alias("recall_count"), *lists)
 
 
+def merged_into(existing: DataFrame, candidates: DataFrame, hits: DataFrame) -> DataFrame:
+    """(target_id, content, instructivity_score, tags) of records after every candidate that hits them, one after the other by
+    candidate id, as keep_best merges.
+
+    existing: target_id, content, score, tags. candidates: cand_id, content, score, tags. hits: cand_id, target_id.
+
+    Each merge keeps the better text, so the last one has the best of all: the higher score, then the longer text, then the record's
+    own or the earliest, blank texts last. Of the lists, those of candidates that took over stand first, latest before, then the record's
+    own, then the others' in order; so no target's candidates meet in one row."""
+    none = F.array().cast("array<string>")
+    row = lambda df, nth: df.select("target_id", nth.alias("nth"), F.coalesce("content", F.lit("")).alias("content"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("tags", none).alias("tags"))
+    mine = existing.join(hits.select("target_id").distinct(), "target_id", "left_semi")
+    rows = row(mine, F.lit(None).cast(candidates.schema["cand_id"].dataType)).unionByName(row(hits.join(candidates, "cand_id"), F.col("cand_id")))
+    worth = F.struct((F.trim("content") != "").alias("full"), "score", F.length("content").alias("n"))
+    turn = Window.partitionBy("target_id").orderBy(F.col("nth").asc_nulls_first())
+    earlier = turn.rowsBetween(Window.unboundedPreceding, -1)
+    rows = written(rows.withColumn("worth", worth).withColumn("turn", F.row_number().over(turn)).withColumn("takes", F.coalesce(F.col("worth") > F.max("worth").over(earlier), F.lit(False))))
+    # what takes over last is the best; a record that nothing takes over from is its own best
+    best = rows.where(F.col("takes") | F.col("nth").isNull()).groupBy("target_id").agg(F.max_by(F.struct("content", "score"), F.struct(F.col("nth").isNotNull().alias("m"), "nth")).alias("x"))
+    # places of lists: takers before all (latest first), then the record, then the others
+    place = F.when(F.col("takes"), 0).when(F.col("nth").isNull(), 1).otherwise(2)
+    tags = rows.select("target_id", place.alias("place"), F.when(F.col("takes"), -F.col("turn")).otherwise(F.col("turn")).alias("at"), F.posexplode("tags").alias("pos", "tag"))
+    first = tags.groupBy("target_id", "tag").agg(F.min(F.struct("place", "at", "pos")).alias("x"))
+    lists = first.groupBy("target_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "tag"))), lambda t: t["tag"]).alias("tags"))
+    out = best.join(lists, "target_id", "left")
+    return out.select("target_id", F.col("x.content").alias("content"), F.col("x.score").alias("instructivity_score"), F.coalesce("tags", none).alias("tags"))
+
+
 def merge_sources(a: Column, b: Column, cap: int = 50) -> Column:
     """Source structs once a (conversation_id, turn_offset), by time; beyond the cap the earliest and the latest half stay."""
     both = F.concat(a, b)

@@ -33,20 +33,21 @@ def classes(df: DataFrame, tokens: Column, id_col: str, group: str | None = None
     return rows.join(reps, ["grp", "h1", "h2"]).select("id", "rep", "grp", F.size("toks").alias("n"), "toks")
 
 
-def similar_pairs(reps: DataFrame, threshold: float, sides: bool = False) -> DataFrame:
-    """(a, b, sim), a < b, of all representatives in one group with sim >= threshold. reps: id, grp, n, toks[, side].
+def similar_pairs(reps: DataFrame, threshold: float, sides: bool = False, apart: str | None = None) -> DataFrame:
+    """(a, b, sim), a < b, of all representatives in one group with sim >= threshold. reps: id, grp, n, toks[, side, apart].
 
-    With sides, a is of side 0 and b of side 1 (a < b is not asked for)."""
+    With sides, a is of side 0 and b of side 1 (a < b is not asked for). Rows that both have the flag ``apart`` are not compared."""
     freq = reps.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
     common = [r["tok"] for r in freq.orderBy(F.desc("df"), "tok").limit(FREQUENT).collect()][::-1]
     often = F.from_json(F.lit(json.dumps(common)), "array<bigint>")
-    keys = ["id", "side"] if sides else ["id"]
+    keys = ["id", *(["side"] if sides else []), *([apart] if apart else [])]
     ordered = reps.select(*keys, "grp", "n", F.concat(F.array_except("toks", often), F.array_intersect(often, "toks")).alias("toks"))
     need = F.ceil(F.lit(threshold) * F.col("n") - 1e-9)
     prefix = ordered.select(*keys, "grp", "n", F.posexplode(F.slice("toks", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("i", "tok"))
-    left = prefix.select("grp", "tok", F.col("id").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), *([F.col("side").alias("sa")] if sides else []))
-    right = prefix.select("grp", "tok", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), *([F.col("side").alias("sb")] if sides else []))
+    left = prefix.select("grp", "tok", F.col("id").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), *([F.col("side").alias("sa")] if sides else []), *([F.col(apart).alias("pa")] if apart else []))
+    right = prefix.select("grp", "tok", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), *([F.col("side").alias("sb")] if sides else []), *([F.col(apart).alias("pb")] if apart else []))
     order = (F.col("sa") == 0) & (F.col("sb") == 1) if sides else F.col("a") < F.col("b")
+    order = order & ~(F.col("pa") & F.col("pb")) if apart else order
     sized = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
     hits = left.join(right, ["grp", "tok"]).where(order & sized).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
     # all common tokens up to the last common one of the prefixes are counted; after it there are at most so many more

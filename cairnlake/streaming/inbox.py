@@ -26,7 +26,7 @@ def inbox_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vault_stream(spark: SparkSession, path: str) -> DataFrame:
-    """New or replaced Markdown files of a folder: file, header, body."""
+    """New Markdown files of a folder: file, header, body. A file source reads a path once; ``vault.watch`` sees replaced and deleted files too."""
     raw = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(path)
     part = store.front_matter(F.col("value"))
     return raw.select(F.col("_metadata.file_path").alias("file"), part["header"].alias("header"), part["body"].alias("body"), F.col("_metadata.file_modification_time").alias("modified"))
