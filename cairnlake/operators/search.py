@@ -61,7 +61,8 @@ def _any(conditions: list[Column]) -> Column:
 def scored(df: DataFrame, query: str, now: Column, scope: str | None = None, semantic: DataFrame | None = None) -> DataFrame:
     """df with keyword_score, semantic_score, raw (ranks) and final_score (raw, clamped). semantic: bullet_id, similarity."""
     df = in_scope(df, scope)
-    keyword = exact_score(F.col("content"), query) + fuzzy_score(F.col("content"), query) + metadata_score(query, F.col("related_tools"), F.col("key_entities"), F.col("tags"))
+    content = F.coalesce("content", F.lit(""))  # a missing text has no words, but may have tags
+    keyword = exact_score(content, query) + fuzzy_score(content, query) + metadata_score(query, F.col("related_tools"), F.col("key_entities"), F.col("tags"))
     df = df.withColumn("keyword_score", keyword)
     if semantic is not None:
         df = df.join(semantic.select("bullet_id", F.col("similarity").alias("semantic_score")), "bullet_id", "left").withColumn("semantic_score", F.coalesce("semantic_score", F.lit(0.0)))

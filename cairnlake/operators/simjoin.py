@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import dropped, written
 
 #: Tokens that are ordered by their frequency; the others by their hash.
 FREQUENT = 4096
@@ -24,36 +24,63 @@ FREQUENT = 4096
 FAST_ROUNDS, WALK_PAIRS = 4, 1_000_000
 
 
-def classes(df: DataFrame, tokens: Column, id_col: str, group: str | None = None) -> DataFrame:
-    """(id, rep, n, toks[, grp]): toks are token hashes, rep the smallest id with the same set (and group)."""
-    hashed = F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))))
-    rows = df.select(F.col(id_col).alias("id"), (F.col(group) if group else F.lit("")).alias("grp"), hashed.alias("toks"))
-    rows = written(rows.where(F.size("toks") > 0).withColumn("h1", F.xxhash64("toks")).withColumn("h2", F.xxhash64(F.lit(7), "toks")))
-    reps = rows.groupBy("grp", "h1", "h2").agg(F.min("id").alias("rep"))
-    return rows.join(reps, ["grp", "h1", "h2"]).select("id", "rep", "grp", F.size("toks").alias("n"), "toks")
+def token_set(tokens: Column, group: str | None) -> Column:
+    """Sorted hashes of distinct tokens; those of different groups differ, so rows of different groups never share one."""
+    grp = F.coalesce(group, F.lit("")) if group else F.lit("")
+    return F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t, grp))))
 
 
-def similar_pairs(reps: DataFrame, threshold: float, sides: bool = False, apart: str | None = None) -> DataFrame:
-    """(a, b, sim), a < b, of all representatives in one group with sim >= threshold. reps: id, grp, n, toks[, side, apart].
+def classes(df: DataFrame, tokens: Column, id_col: str, group: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(representatives: id, n, toks; members: id, rep), both written: rep is the smallest id with the same set (and group).
 
-    With sides, a is of side 0 and b of side 1 (a < b is not asked for). Rows that both have the flag ``apart`` are not compared."""
-    freq = reps.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
-    common = [r["tok"] for r in freq.orderBy(F.desc("df"), "tok").limit(FREQUENT).collect()][::-1]
+    Sets move once, to the representatives; who is one is found from their hashes alone."""
+    rows = df.select(F.col(id_col).alias("id"), token_set(tokens, group).alias("toks"))
+    rows = written(rows.where(F.size("toks") > 0).withColumn("h1", F.xxhash64("toks")).withColumn("h2", F.xxhash64(F.lit(7), "toks")))
+    narrow = rows.select("id", "h1", "h2")
+    members = written(narrow.join(narrow.groupBy("h1", "h2").agg(F.min("id").alias("rep")), ["h1", "h2"]).select("id", "rep"))
+    first = members.where("id = rep").select("id")
+    reps = written(rows.join(first, "id", "left_semi").dropDuplicates(["id"]).select("id", F.size("toks").alias("n"), "toks"))
+    dropped(rows)
+    return reps, members
+
+
+def similar_pairs(reps: DataFrame, threshold: float, sides: bool = False, apart: str | None = None, vocabulary: list[int] | None = None) -> DataFrame:
+    """(a, b, sim), a < b, of all representatives with sim >= threshold. reps: id, n, toks[, side, apart].
+
+    With sides, a is of side 0 and b of side 1 (a < b is not asked for). Rows that both have the flag ``apart`` are not compared.
+    ``vocabulary``: all tokens of side 1, rarest first; other tokens come first in the order, and as they match nothing they do not move."""
+    if vocabulary is None:
+        freq = reps.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
+        common = [r["tok"] for r in freq.orderBy(F.desc("df"), "tok").limit(FREQUENT).collect()][::-1]
+    else:
+        common = vocabulary
     often = F.from_json(F.lit(json.dumps(common)), "array<bigint>")
     keys = ["id", *(["side"] if sides else []), *([apart] if apart else [])]
-    ordered = reps.select(*keys, "grp", "n", F.concat(F.array_except("toks", often), F.array_intersect(often, "toks")).alias("toks"))
+    known = F.array_intersect(often, "toks")
     need = F.ceil(F.lit(threshold) * F.col("n") - 1e-9)
-    prefix = ordered.select(*keys, "grp", "n", F.posexplode(F.slice("toks", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("i", "tok"))
-    left = prefix.select("grp", "tok", F.col("id").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), *([F.col("side").alias("sa")] if sides else []), *([F.col(apart).alias("pa")] if apart else []))
-    right = prefix.select("grp", "tok", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), *([F.col("side").alias("sb")] if sides else []), *([F.col(apart).alias("pb")] if apart else []))
+    length = (F.col("n") - need + 1).cast("int")
+    if vocabulary is None:
+        ordered = reps.select(*keys, "n", F.concat(F.array_except("toks", often), known).alias("toks"), F.lit(0).alias("skip"))
+    else:
+        ordered = reps.select(*keys, "n", known.alias("toks")).withColumn("skip", F.col("n") - F.size("toks"))
+    head = ordered.select(*keys, "n", "skip", F.posexplode(F.slice("toks", F.lit(1), F.greatest(F.lit(0), length - F.col("skip")))).alias("at", "tok"))
+    prefix = head.select(*keys, "n", (F.col("at") + F.col("skip")).alias("i"), "tok")
+    left = prefix.select("tok", F.col("id").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), *([F.col("side").alias("sa")] if sides else []), *([F.col(apart).alias("pa")] if apart else []))
+    right = prefix.select("tok", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), *([F.col("side").alias("sb")] if sides else []), *([F.col(apart).alias("pb")] if apart else []))
     order = (F.col("sa") == 0) & (F.col("sb") == 1) if sides else F.col("a") < F.col("b")
     order = order & ~(F.col("pa") & F.col("pb")) if apart else order
     sized = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
-    hits = left.join(right, ["grp", "tok"]).where(order & sized).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
     # all common tokens up to the last common one of the prefixes are counted; after it there are at most so many more
     overlap = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
+    # around a shared token there can be no more common tokens than the shorter parts before and after it: pairs that cannot
+    # reach the overlap with it go before they are grouped
+    rest = F.least("ia", "ib") + 1 + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1)
+    hits = left.join(right, "tok").where(order & sized & (rest >= overlap)).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
     cands = hits.where(F.col("c") + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1) >= overlap).select("a", "b")
+    cands = written(cands)
+    wanted = cands.select(F.explode(F.array("a", "b")).alias("id")).distinct() if not sides else None
     sets = reps.select("id", "toks", *(["side"] if sides else []))
+    sets = sets if wanted is None else sets.join(wanted, "id", "left_semi")
     a = (sets.where("side = 0") if sides else sets).select(F.col("id").alias("a"), F.col("toks").alias("ta"))
     b = (sets.where("side = 1") if sides else sets).select(F.col("id").alias("b"), F.col("toks").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
@@ -63,9 +90,8 @@ def similar_pairs(reps: DataFrame, threshold: float, sides: bool = False, apart:
 
 def self_join(df: DataFrame, tokens: Column, threshold: float, id_col: str, group: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs of representatives, members): pairs a, b, sim; members id, rep. Members of one rep have similarity 1."""
-    every = classes(df, tokens, id_col, group)
-    reps = every.where("id = rep").select("id", "grp", "n", "toks")
-    return similar_pairs(reps, threshold), every.select("id", "rep")
+    reps, members = classes(df, tokens, id_col, group)
+    return similar_pairs(reps, threshold), members
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -76,12 +102,19 @@ def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def best_match(left: DataFrame, left_tokens: Column, left_id: str, right: DataFrame, right_tokens: Column, right_id: str, threshold: float, group: str | None = None) -> DataFrame:
-    """(left id, right id, sim): the most similar right row of each left row, ties to the smaller id."""
-    pick = lambda df, t, i, side: df.select(F.col(i).alias("id"), (F.col(group) if group else F.lit("")).alias("grp"), F.array_sort(F.array_distinct(F.transform(t, lambda w: F.xxhash64(w)))).alias("toks"), F.lit(side).alias("side"))
-    both = pick(left, left_tokens, left_id, 0).unionByName(pick(right, right_tokens, right_id, 1)).where(F.size("toks") > 0).withColumn("n", F.size("toks"))
-    pairs = similar_pairs(written(both), threshold, sides=True)
+    """(left id, right id, sim): the most similar right row of each left row, ties to the smaller id.
+
+    Copies on either side are one representative. If the right side has few tokens, they are all that moves of the left side."""
+    lefts, left_members = classes(left, left_tokens, left_id, group)
+    rights, _ = classes(right, right_tokens, right_id, group)
+    freq = rights.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
+    few = freq.limit(FREQUENT + 1).collect()
+    vocabulary = [r["tok"] for r in sorted(few, key=lambda r: (r["df"], r["tok"]))] if len(few) <= FREQUENT else None
+    both = lefts.withColumn("side", F.lit(0)).unionByName(rights.withColumn("side", F.lit(1)))
+    pairs = similar_pairs(both, threshold, sides=True, vocabulary=vocabulary)
     best = pairs.groupBy("a").agg(F.min(F.struct((-F.col("sim")).alias("m"), "b")).alias("x"))
-    return best.select(F.col("a").alias("left_id"), F.col("x.b").alias("right_id"), (-F.col("x.m")).alias("sim"))
+    found = best.select(F.col("a").alias("rep"), F.col("x.b").alias("right_id"), (-F.col("x.m")).alias("sim"))
+    return left_members.join(found, "rep").select(F.col("id").alias("left_id"), "right_id", "sim")
 
 
 def walked(pairs: DataFrame) -> DataFrame:

@@ -24,4 +24,13 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/cairnlake/scratch-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table made by ``written`` that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
