@@ -55,6 +55,12 @@ def blend_weights(full: bool, cfg=RETRIEVAL) -> tuple[float, float]:
     return (cfg.keyword_weight / total, cfg.semantic_weight / total) if full and total > 0 else (1.0, 0.0)
 
 
+def blend_columns(keyword: Column, semantic: Column, full: Column) -> tuple[Column, Column]:
+    """blend_weights of columns: a row's own two weights, and whether it has semantic scores."""
+    usable = full & (keyword + semantic > 0)
+    return F.when(usable, keyword / (keyword + semantic)).otherwise(1.0), F.when(usable, semantic / (keyword + semantic)).otherwise(0.0)
+
+
 def composite(keyword: Column, semantic: Column, decay: Column, recent: Column, scope: Column, full: bool, cfg=RETRIEVAL) -> Column:
     """Rows are ranked by this; it is shown clamped to [0, 1]."""
     kw, sem = blend_weights(full, cfg)

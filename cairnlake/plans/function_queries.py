@@ -20,17 +20,15 @@ from .views import ANCHORS, BULLETS, EDGES, INTERACTIONS, NOW, TEAM, bullets, in
 
 # ---- text ---------------------------------------------------------------------------------------------------------
 
-_QUERIES = ("How do I rebase the git branch?", "it's Docker's network, docker NETWORK_2", "the of and", "x-1 y_2 Z3 z3")
-
-
 def _literal(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-@query("x1_query_terms", f"""WITH q AS (SELECT unnest([{', '.join(map(_literal, _QUERIES))}]) AS q, unnest(range({len(_QUERIES)})) AS i), t AS (SELECT i, unnest(regexp_extract_all(lower(q), '[a-z0-9_]+(?:''[a-z]+)?')) AS term FROM q)
-SELECT DISTINCT CAST(i AS BIGINT) AS i, term FROM t WHERE NOT list_contains({sqltext.flat_list(sorted(text.QUERY_STOPWORDS))}, term)""")
+@query("x1_query_terms", f"""WITH t AS (SELECT item_id AS i, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+(?:''[a-z]+)?')) AS term FROM benchmark)
+SELECT DISTINCT i, term FROM t WHERE NOT list_contains({sqltext.flat_list(sorted(text.QUERY_STOPWORDS))}, term)""")
 def query_terms(spark, d):
-    return spark.createDataFrame([(i, w) for i, q in enumerate(_QUERIES) for w in text.query_terms(q)[0]], "i long, term string")
+    """The terms of every text of the benchmark as a query."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("i"), F.explode(text.query_words(F.col("text"))).alias("term"))
 
 
 @query("x2_word_matches", "SELECT doc_id, " + ", ".join(f"regexp_matches(text, '(?i)(^|[^A-Za-z0-9_]){w}($|[^A-Za-z0-9_])') AS has_{w}" for w in ("anea", "the", "und")) + " FROM documents")
@@ -201,14 +199,12 @@ def adamic_adar(spark, d):
     return e.join(graph.degrees(e).withColumnRenamed("id", "to_id"), "to_id").select("from_id", "to_id", F.round(score.adamic_adar(F.col("weight"), F.col("degree")), 6).alias("strength"))
 
 
-@query("m13_blend_weights", "SELECT * FROM (VALUES ('full', 0.6::DOUBLE, 0.4::DOUBLE), ('degraded', 1.0, 0.0), ('zero', 1.0, 0.0), ('three to one', 0.75, 0.25)) t(mode, keyword, semantic)")
+@query("m13_blend_weights", """SELECT event_id, round(CASE WHEN value + event_id % 5 <= 0 OR event_id % 7 = 0 THEN 1.0::DOUBLE ELSE value / (value + event_id % 5) END, 9) AS keyword, round(CASE WHEN value + event_id % 5 <= 0 OR event_id % 7 = 0 THEN 0.0::DOUBLE ELSE (event_id % 5) / (value + event_id % 5) END, 9) AS semantic FROM events""")
 def blend_weights(spark, d):
-    from dataclasses import replace
-
-    from ..config import RETRIEVAL
-
-    cases = (("full", True, RETRIEVAL), ("degraded", False, RETRIEVAL), ("zero", True, replace(RETRIEVAL, keyword_weight=0.0, semantic_weight=0.0)), ("three to one", True, replace(RETRIEVAL, keyword_weight=3.0, semantic_weight=1.0)))
-    return spark.createDataFrame([(name, *score.blend_weights(full, cfg)) for name, full, cfg in cases], "mode string, keyword double, semantic double")
+    """An event's value and number as the two weights; every seventh is without semantic scores."""
+    e = table(spark, d, "events")
+    keyword, semantic = score.blend_columns(F.col("value"), (F.col("event_id") % 5).cast("double"), F.col("event_id") % 7 != 0)
+    return e.select("event_id", F.round(keyword, 9).alias("keyword"), F.round(semantic, 9).alias("semantic"))
 
 
 @query("m15_scope_boost", f"WITH {BULLETS} SELECT bullet_id, CASE WHEN scope = 'project:de' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS boost, 1.0::DOUBLE AS unscoped FROM bullets")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..config import DECAY
 from ..functions import score, text
-from ..operators import graph, search
+from ..operators import graph, search, textindex
+from ..sources import scratch
 from . import sqltext, views
 from .registry import query
 from .views import BULLETS, EDGES, NOW, TEAM, bullets, now, table, team
@@ -46,6 +49,37 @@ def hybrid_search(spark, d):
     return out.select("bullet_id", "keyword_score", F.round("final_score", 6).alias("final_score"), "rank", "tokens_used")
 
 
+_QUERY_TABLE = f"""{BULLETS}, cw AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(content), '[a-z0-9_]+'))) AS w FROM bullets),
+qw AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+(?:''[a-z]+)?'), lambda w: NOT list_contains({sqltext.flat_list(sorted(text.QUERY_STOPWORDS))}, w)))) AS w FROM benchmark),
+exact AS (SELECT item_id, doc_id, count(*) AS n FROM qw JOIN cw USING (w) GROUP BY 1, 2),
+cs AS (SELECT DISTINCT doc_id, {sqltext.stem("w")} AS s FROM (SELECT doc_id, unnest({sqltext.english_words("content")}) AS w FROM bullets)),
+qt AS (SELECT item_id, {sqltext.stem("w")} AS s FROM (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: NOT list_contains({sqltext.flat_list(sorted(text.TOKEN_STOPWORDS))}, w))) AS w FROM benchmark)),
+qs AS (SELECT item_id, s, count(*) AS n, sum(count(*)) OVER (PARTITION BY item_id) AS total FROM qt GROUP BY item_id, s),
+fuzzy AS (SELECT item_id, doc_id, least(10.0::DOUBLE, sum(n) / CAST(any_value(total) AS DOUBLE) * 10.0::DOUBLE) AS f FROM qs JOIN cs USING (s) GROUP BY 1, 2),
+qm AS (SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(lower(translate(text, ',;:|/\\', '      ')), '\\s+'), lambda w: w <> '')) AS t FROM benchmark),
+tool AS (SELECT DISTINCT item_id, doc_id FROM qm JOIN bullets ON starts_with(lower(related_tools[1]), t)), entity AS (SELECT DISTINCT item_id, doc_id FROM qm JOIN bullets ON starts_with(lower(key_entities[1]), t)),
+tag AS (SELECT DISTINCT item_id, doc_id FROM qm JOIN (SELECT doc_id, unnest(tags) AS tag FROM bullets) ON lower(tag) = t),
+every AS (SELECT item_id, doc_id FROM exact UNION SELECT item_id, doc_id FROM fuzzy UNION SELECT * FROM tool UNION SELECT * FROM entity UNION SELECT * FROM tag),
+kw AS (SELECT e.item_id, e.doc_id, coalesce(x.n, 0) * 15.0::DOUBLE + coalesce(f, 0.0::DOUBLE) + (CASE WHEN t.doc_id IS NULL THEN 0.0::DOUBLE ELSE 4.0::DOUBLE END + CASE WHEN y.doc_id IS NULL THEN 0.0::DOUBLE ELSE 3.0::DOUBLE END + CASE WHEN g.doc_id IS NULL THEN 0.0::DOUBLE ELSE 3.0::DOUBLE END) AS keyword_score
+ FROM every e LEFT JOIN exact x ON x.item_id = e.item_id AND x.doc_id = e.doc_id LEFT JOIN fuzzy z ON z.item_id = e.item_id AND z.doc_id = e.doc_id LEFT JOIN tool t ON t.item_id = e.item_id AND t.doc_id = e.doc_id
+ LEFT JOIN entity y ON y.item_id = e.item_id AND y.doc_id = e.doc_id LEFT JOIN tag g ON g.item_id = e.item_id AND g.doc_id = e.doc_id),
+raws AS (SELECT item_id, bullet_id, keyword_score, least(keyword_score / 35.0::DOUBLE, 1.0) * greatest(0, least(1, decay_weight)) * CASE WHEN age <= 7 THEN 1.2 ELSE 1.0 END AS raw FROM kw JOIN bullets USING (doc_id))"""
+
+
+@query(
+    "g5_query_table",
+    f"WITH {_QUERY_TABLE} SELECT item_id AS query_id, CAST(row_number() OVER w AS INTEGER) AS rank, bullet_id, round(keyword_score, 6) AS keyword_score, round(raw, 6) AS raw FROM raws WHERE raws.raw > 0 WINDOW w AS (PARTITION BY item_id ORDER BY raws.raw DESC, bullet_id) QUALIFY row_number() OVER w <= 20",
+)
+def query_table(spark, d):
+    """Every text of the benchmark as a query: one index of the records, one search of all queries."""
+    path = f"{scratch.folder(spark)}/cairnlake/index-{uuid.uuid4().hex}"
+    b = bullets(spark, d)
+    textindex.build(b, path)
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    out = textindex.search_table(queries, b, path, now())
+    return out.select("query_id", "rank", "bullet_id", F.round("keyword_score", 6).alias("keyword_score"), F.round("raw", 6).alias("raw"))
+
+
 @query("g1_exact_scores", f"WITH {BULLETS} SELECT bullet_id, 15.0::DOUBLE * ({_exact_sql(['anea', 'ther'])}) AS exact_score FROM bullets")
 def exact_scores(spark, d):
     return bullets(spark, d).select("bullet_id", search.exact_score(F.col("content"), Q).alias("exact_score"))
