@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MINING
 from ..functions import privacy, score, text
+from . import packing
 
 # Vocabularies and patterns of the rules (parts of words count), and what marks a message as a correction.
 ERROR_WORDS = ("error", "fail", "exception", "traceback", "crash", "bug", "broken", "doesn't work", "not working", "can't", "cannot", "issue", "problem", "wrong")
@@ -122,29 +120,8 @@ def parse_messages(df: DataFrame) -> DataFrame:
 
 
 def pack(entries: DataFrame, most_size: int = MINING.batch_size, budget: int = int(MINING.prompt_tokens * 0.85), group: str = "conv_id", order: str = "turn") -> DataFrame:
-    """entries (with tokens) and their batch: a new one begins when the size or the token budget would be passed.
-
-    The sum starts anew with each batch, so this is a fold over one queue. Queues are sorted and read through once, in Arrow
-    batches: time is linear in a queue's length and no task holds a whole queue."""
-
-    def fold(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        key = nothing = object()
-        batch = size = used = 0
-        for rows in batches:
-            numbers = []
-            for queue, tokens in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist()):
-                if key is nothing or queue != key:
-                    key, batch, size, used = queue, 0, 0, 0
-                tokens = tokens or 0
-                if size and (size >= most_size or used + tokens > budget):
-                    batch, size, used = batch + 1, 0, 0
-                size, used = size + 1, used + tokens
-                numbers.append(batch)
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(numbers, pa.int32())], names=[group, order, "batch"])
-
-    rows = entries.select(group, F.col(order).cast("long").alias(order), F.col("tokens").cast("long").alias("tokens"))
-    kind = entries.schema[group].dataType.simpleString()
-    return rows.repartition(group).sortWithinPartitions(group, order, "tokens").mapInArrow(fold, f"{group} {kind}, {order} long, batch int")
+    """entries (with tokens) and their batch: a new one begins when the size or the token budget would be passed."""
+    return packing.pack(entries, most_size, budget, group, order)
 
 
 def due(entries: DataFrame, now: Column, least: int = MINING.batch_least, hours: float = MINING.batch_hours) -> DataFrame:
