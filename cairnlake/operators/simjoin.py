@@ -1,7 +1,7 @@
 """Exact set-similarity joins by prefix filtering, and ordered greedy suppression over their pairs.
 
-Tokens are ordered with frequent ones last: a bounded list of the most frequent tokens, which enters the plan as a literal,
-by how many rows have them, all others by their hash; so a row's tokens are put in order where they stand. Two sets with a Jaccard similarity of t or more
+Tokens are ordered with frequent ones last: by a table of bounded size that says how frequent the tokens of a hash's last bits are, so
+a row's tokens are put in order where they stand. Two sets with a Jaccard similarity of t or more
 share one of their first n - ceil(t * n) + 1 tokens, so only rows that share such a token are compared; the sizes,
 the number of shared tokens and the place of the last one rule out most of these before any set moves. Rows with equal sets are one representative
 in the join, so copies are not compared with each other.
@@ -12,14 +12,15 @@ from __future__ import annotations
 import json
 from itertools import count
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import dropped, written
 
-#: Tokens that are ordered by their frequency; the others by their hash.
-FREQUENT = 4096
+#: Cells of the table of token frequencies (a byte each); tokens of a small side that enter the plan as a literal.
+CELLS, FREQUENT = 1 << 20, 4096
 #: Rounds of joins before ``suppress`` walks what is left by components, and the pairs that a component may have for that.
 FAST_ROUNDS, WALK_PAIRS = 4, 1_000_000
 
@@ -44,27 +45,58 @@ def classes(df: DataFrame, tokens: Column, id_col: str, group: str | None = None
     return reps, members
 
 
+def token_classes(reps: DataFrame) -> np.ndarray:
+    """How frequent tokens are, by the last bits of their hashes: an eighth of a power of two a class."""
+    bits = F.col("tok").bitwiseAND(F.lit(CELLS - 1)).cast("int")
+    counted = reps.select(F.explode("toks").alias("tok")).groupBy(bits.alias("cell")).agg(F.count("*").alias("n"))
+    out = np.zeros(CELLS, np.uint8)
+    found = counted.toArrow()  # one number a cell at most
+    out[found.column("cell").to_numpy()] = np.minimum(255, 8 * np.log2(found.column("n").to_numpy()))
+    return out
+
+
+def prefixes(reps: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
+    """(keys, n, i, tok): the first tokens of each row in the common order, rare ones first, with their places."""
+    rarity = token_classes(reps)
+
+    def run(batches):
+        for batch in batches:
+            sizes = np.diff(batch.column("toks").offsets.to_numpy()).astype(np.int64)
+            ends = np.cumsum(sizes)
+            done = 0
+            while done < batch.num_rows:  # pieces of some million tokens bound the scratch arrays
+                to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + (1 << 21), side="right")))
+                piece, n = batch.slice(done, to - done), sizes[done:to]
+                flat = piece.column("toks").flatten().to_numpy()
+                row = np.repeat(np.arange(len(n)), n)
+                flat = flat[np.lexsort((flat, rarity[flat & (CELLS - 1)], row))]
+                place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+                length = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+                kept = np.flatnonzero(place < length[row])
+                whose = pa.array(row[kept])
+                yield pa.RecordBatch.from_arrays([*[piece.column(k).take(whose) for k in keys], pa.array(n[row[kept]], pa.int32()), pa.array(place[kept], pa.int32()), pa.array(flat[kept])], names=[*keys, "n", "i", "tok"])
+                done = to
+
+    kinds = dict(reps.dtypes)
+    return reps.select(*keys, "toks").mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n int, i int, tok bigint")
+
+
+def known_prefixes(reps: DataFrame, threshold: float, keys: list[str], vocabulary: list[int]) -> DataFrame:
+    """The same, of an order in which tokens outside ``vocabulary`` come first; these are left out."""
+    often = F.from_json(F.lit(json.dumps(vocabulary)), "array<bigint>")
+    length = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
+    ordered = reps.select(*keys, "n", F.array_intersect(often, "toks").alias("toks")).withColumn("skip", F.col("n") - F.size("toks"))
+    head = ordered.select(*keys, "n", "skip", F.posexplode(F.slice("toks", F.lit(1), F.greatest(F.lit(0), length - F.col("skip")))).alias("at", "tok"))
+    return head.select(*keys, "n", (F.col("at") + F.col("skip")).alias("i"), "tok")
+
+
 def similar_pairs(reps: DataFrame, threshold: float, sides: bool = False, apart: str | None = None, vocabulary: list[int] | None = None) -> DataFrame:
     """(a, b, sim), a < b, of all representatives with sim >= threshold. reps: id, n, toks[, side, apart].
 
     With sides, a is of side 0 and b of side 1 (a < b is not asked for). Rows that both have the flag ``apart`` are not compared.
-    ``vocabulary``: all tokens of side 1, rarest first; other tokens come first in the order, and as they match nothing they do not move."""
-    if vocabulary is None:
-        freq = reps.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
-        common = [r["tok"] for r in freq.orderBy(F.desc("df"), "tok").limit(FREQUENT).collect()][::-1]
-    else:
-        common = vocabulary
-    often = F.from_json(F.lit(json.dumps(common)), "array<bigint>")
+    ``vocabulary``: all tokens of side 1, rarest first; other tokens match nothing and do not move."""
     keys = ["id", *(["side"] if sides else []), *([apart] if apart else [])]
-    known = F.array_intersect(often, "toks")
-    need = F.ceil(F.lit(threshold) * F.col("n") - 1e-9)
-    length = (F.col("n") - need + 1).cast("int")
-    if vocabulary is None:
-        ordered = reps.select(*keys, "n", F.concat(F.array_except("toks", often), known).alias("toks"), F.lit(0).alias("skip"))
-    else:
-        ordered = reps.select(*keys, "n", known.alias("toks")).withColumn("skip", F.col("n") - F.size("toks"))
-    head = ordered.select(*keys, "n", "skip", F.posexplode(F.slice("toks", F.lit(1), F.greatest(F.lit(0), length - F.col("skip")))).alias("at", "tok"))
-    prefix = head.select(*keys, "n", (F.col("at") + F.col("skip")).alias("i"), "tok")
+    prefix = prefixes(reps, threshold, keys) if vocabulary is None else known_prefixes(reps, threshold, keys, vocabulary)
     left = prefix.select("tok", F.col("id").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), *([F.col("side").alias("sa")] if sides else []), *([F.col(apart).alias("pa")] if apart else []))
     right = prefix.select("tok", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), *([F.col("side").alias("sb")] if sides else []), *([F.col(apart).alias("pb")] if apart else []))
     order = (F.col("sa") == 0) & (F.col("sb") == 1) if sides else F.col("a") < F.col("b")
@@ -75,7 +107,10 @@ def similar_pairs(reps: DataFrame, threshold: float, sides: bool = False, apart:
     # around a shared token there can be no more common tokens than the shorter parts before and after it: pairs that cannot
     # reach the overlap with it go before they are grouped
     rest = F.least("ia", "ib") + 1 + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1)
-    hits = left.join(right, "tok").where(order & sized & (rest >= overlap)).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
+    # of the smaller set a shorter prefix will do, as its partner has no fewer tokens
+    first = lambda n: F.col(n) - F.ceil(F.lit(2 * threshold / (1 + threshold)) * F.col(n) - 1e-9) + 1
+    early = F.when(F.col("na") <= F.col("nb"), F.col("ia") < first("na")).otherwise(F.col("ib") < first("nb"))
+    hits = left.join(right, "tok").where(order & sized & early & (rest >= overlap)).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
     cands = hits.where(F.col("c") + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1) >= overlap).select("a", "b")
     cands = written(cands)
     wanted = cands.select(F.explode(F.array("a", "b")).alias("id")).distinct() if not sides else None

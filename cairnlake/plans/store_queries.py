@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import privacy, score, text, udfs
 from ..operators import aggregates, curate, federate, graph, mine, search, simjoin, topics, verify
 from ..operators import team as ops
-from ..sources import store
+from ..sources import scratch, store
+from ..sources.records import RecordTable, pull
 from ..streaming import inbox as queue
 from . import sqltext, views
 from .registry import query
@@ -309,6 +312,34 @@ def unique_slugs(spark, d):
     return topics.unique_slugs(b).select("id", "slug")
 
 
+@query("s11_edge_store", f"WITH {views.EDGES} SELECT from_id, to_id, round(weight, 6) AS weight FROM edges")
+def edge_store(spark, d):
+    """Co-recall edges kept in a record table: the recalls of each half of the log are one change, which adds to the weights of its edges."""
+    log = views.recalls(spark, d)
+    edges = RecordTable(spark, _place(spark, "edges"), "from_id bigint, to_id bigint, weight double", ["from_id", "to_id"])
+    day = F.dayofmonth("day")
+    add = lambda old, new: old.unionByName(new).groupBy("from_id", "to_id").agg(F.least(F.lit(1.0), F.sum("weight")).alias("weight"))
+    for half in (day <= 15, day > 15):
+        edges.change(graph.co_recall(log.where(half), ["user_id", "day"], "doc_id").select("from_id", "to_id", "weight"), add)
+    return edges.read().withColumn("weight", F.round("weight", 6))
+
+
+@query("e5_incremental_pull", """WITH f AS (SELECT user_id AS id, ts AS updated_at, event_type, CASE WHEN event_id % 11 = 0 THEN 'tombstone' ELSE 'approved' END AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC, (event_id % 11 = 0) DESC) AS rn FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)
+SELECT id, updated_at, event_type FROM f WHERE rn = 1 AND status <> 'tombstone'""")
+def incremental_pull(spark, d):
+    """A feed of changes by user, read in two pulls: the first ends in the middle of the month, the second begins at its cursor."""
+    e = table(spark, d, "events").where("user_id is not null and ts is not null")
+    feed = e.select(F.col("user_id").alias("id"), F.col("ts").alias("updated_at"), "event_type", F.when(F.col("event_id") % 11 == 0, "tombstone").otherwise("approved").alias("status"))
+    users = RecordTable(spark, _place(spark, "users"), f"id bigint, updated_at {dict(feed.dtypes)['updated_at']}, event_type string", ["id"])
+    pull(users, feed.where(F.dayofmonth("updated_at") <= 15))
+    pull(users, feed)
+    return users.read()
+
+
+def _place(spark, name: str) -> str:
+    return f"{scratch.folder(spark)}/cairnlake/{name}-{uuid.uuid4().hex}"
+
+
 @query("t1_topk", f"WITH {SCORED} SELECT bullet_id, round(raw, 6) AS raw FROM scored ORDER BY scored.raw DESC, bullet_id LIMIT 80")
 def topk(spark, d):
     return search.top(search.scored(bullets(spark, d), Q, now(), SCOPE), 80).select("bullet_id", F.round("raw", 6).alias("raw"))

@@ -156,7 +156,7 @@ def pull(table: RecordTable, feed: DataFrame, at: str = "updated_at", status: st
 
     Changes that come late, with a time at the cursor or before it, are for a full pull (``since`` the beginning)."""
     since = table.cursor()
-    fresh = feed.where(F.col(at) > F.lit(since).cast("timestamp")) if since else feed
+    fresh = feed.where(F.col(at) > F.lit(since).cast(feed.schema[at].dataType)) if since else feed
     fresh = written(fresh)
     newest = fresh.agg(F.date_format(F.max(at), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
     if newest is None:
