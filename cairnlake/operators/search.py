@@ -140,12 +140,13 @@ def topic_score(title: Column, summary: Column, query: str) -> Column:
 def topic_first(pages: DataFrame, bullets: DataFrame, query: str, now: Column, cfg=TOPICS, backing: int = 3) -> DataFrame | None:
     """The best page that matches well enough and its best backing records, or None if no page does.
 
-    One row comes to the driver: the head page."""
-    head = pages.withColumn("page_score", topic_score(F.col("title"), F.col("summary"), query)).where(F.col("page_score") >= cfg.match).orderBy(F.desc("page_score"), "id").limit(1).collect()
+    One row comes to the driver: the head page without its ids, which stay a table."""
+    ids = pages.select("id", F.explode("bullet_ids").alias("bullet_id"))
+    head = pages.drop("bullet_ids").withColumn("page_score", topic_score(F.col("title"), F.col("summary"), query)).where(F.col("page_score") >= cfg.match).orderBy(F.desc("page_score"), "id").limit(1).collect()
     if not head:
         return None
     page = head[0]
-    mine = bullets.where(F.col("bullet_id").isin(*page["bullet_ids"]))
+    mine = bullets.join(ids.where(F.col("id") == page["id"]).select("bullet_id"), "bullet_id", "left_semi")
     best = top(scored(mine, query, now), backing).select("bullet_id", (F.lit(cfg.page_share * page["page_score"]) + F.lit(cfg.backing_share) * F.col("final_score")).alias("score"))
     own = bullets.sparkSession.createDataFrame([(page["id"], float(page["page_score"]))], "bullet_id string, score double")
     return own.unionByName(best)
