@@ -23,6 +23,8 @@ from ..sources.scratch import written
 
 #: Records of a block; ranges of weight; blocks of each query that are scored to begin with; keys over which one query's rows are dealt.
 BLOCK, LEVELS, FIRST, SALTS = 256, 8, 4, 16
+#: Rows of a small table (terms of all queries, kinds of blocks) that is broadcast; a larger one is joined.
+SMALL = 100_000
 RECORD = ("bullet_id", "content", "scope", "decay_weight", "created_at", "related_tools", "key_entities", "tags")
 #: Letters that match an ASCII letter when case is ignored: long s, dotless i, dotted I, Kelvin sign.
 FOLDED, FOLDS = "ſıİK", "siik"
@@ -54,21 +56,27 @@ def terms(content: Column, tools: Column, entities: Column, tags: Column) -> Col
     )
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df marked for broadcasting, if it is small enough."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def _write(records: DataFrame, path: str, generation: int) -> None:
     r = records.select(*RECORD).withColumn("decay_weight", score.clamp(F.col("decay_weight")))  # a weight that is not known counts in full
     key = [F.coalesce("scope", F.lit("")), F.date_format("created_at", "yyyy-MM"), F.floor(F.col("decay_weight") * LEVELS)]
     r = r.withColumn("_key", F.concat_ws("|", *[k.cast("string") for k in key]))
     subs = r.groupBy("_key").agg(F.ceil(F.count("*") / BLOCK).alias("_subs"))
-    r = r.join(subs, "_key").withColumn("block", F.concat_ws("|", F.lit(generation), "_key", F.pmod(F.xxhash64("bullet_id"), F.col("_subs"))))
-    # grouping by block and term needs no other shuffle than this one
-    rows = written(r.select("bullet_id", "scope", "decay_weight", "created_at", "block", terms(F.col("content"), F.col("related_tools"), F.col("key_entities"), F.col("tags")).alias("terms")).repartition("block"))
-    docs = rows.select("bullet_id", "scope", "decay_weight", "created_at", "block", F.lit(generation).alias("generation"), F.lit(False).alias("deleted"))
+    r = r.join(small(written(subs)), "_key").withColumn("block", F.concat_ws("|", F.lit(generation), "_key", F.pmod(F.xxhash64("bullet_id"), F.col("_subs"))))
+    docs = r.select("bullet_id", "scope", "decay_weight", "created_at", "block", F.lit(generation).alias("generation"), F.lit(False).alias("deleted"))
     docs.write.mode("append").parquet(f"{path}/docs")
-    rows.groupBy("block").agg(F.max("decay_weight").alias("most_weight"), F.max("created_at").alias("latest"), F.collect_set("scope").alias("scopes")).write.mode("append").parquet(f"{path}/blocks")
-    posted = rows.repartition("block").select("block", "bullet_id", F.explode("terms").alias("term")).groupBy("block", "term").agg(F.collect_list("bullet_id").alias("ids"))
+    r.groupBy("block").agg(F.max("decay_weight").alias("most_weight"), F.max("created_at").alias("latest"), F.collect_set("scope").alias("scopes")).write.mode("append").parquet(f"{path}/blocks")
+    # texts move once; grouping by block and term needs no other shuffle
+    texts = r.select("block", "bullet_id", "content", "related_tools", "key_entities", "tags").repartition("block")
+    held = terms(F.col("content"), F.col("related_tools"), F.col("key_entities"), F.col("tags"))
+    posted = texts.select("block", "bullet_id", F.explode(held).alias("term")).groupBy("block", "term").agg(F.collect_list("bullet_id").alias("ids"))
     posted.sortWithinPartitions("term").write.mode("append").parquet(f"{path}/postings")
     seen = F.substring("term", F.lit(3), F.length("term"))
-    fresh = rows.select(F.explode("terms").alias("term")).distinct()
+    fresh = records.sparkSession.read.parquet(f"{path}/postings").where(F.startswith("block", F.lit(f"{generation}|"))).select("term").distinct()
     known = fresh.select("term", F.substring("term", 1, 1).alias("kind"), seen.alias("value"))
     letters = known["kind"].isin("w", "p") & known["value"].rlike("^[a-z]+$") & ~known["value"].isin(*sorted(text.TOKEN_STOPWORDS))
     known.withColumn("stem", F.when(letters, text.stem(F.col("value")))).write.mode("append").parquet(f"{path}/vocabulary")
@@ -158,6 +166,11 @@ def best(rows: DataFrame, order: list, k: int) -> DataFrame:
     return few.withColumn("_n", rank("query_id")).where(F.col("_n") <= k).withColumnRenamed("_n", "rank").drop("_salt")
 
 
+def postings_of(wanted: DataFrame, path: str) -> DataFrame:
+    """Posting rows of the terms that some query looks for; others do not move."""
+    return wanted.sparkSession.read.parquet(f"{path}/postings").join(small(wanted.select("term").distinct()), "term", "left_semi")
+
+
 def bounds(wanted: DataFrame, path: str, now: Column, scope: str | None) -> DataFrame:
     """(query_id, block, bound): no record of the block scores more for the query. Only the narrow columns of the postings are read."""
     spark = wanted.sparkSession
@@ -165,7 +178,7 @@ def bounds(wanted: DataFrame, path: str, now: Column, scope: str | None) -> Data
     if scope:
         blocks = blocks.where(F.array_contains("scopes", scope) | F.array_contains("scopes", "global"))
     boost = F.when(F.array_contains("scopes", scope), RETRIEVAL.scope_factor).otherwise(1.0) if scope else F.lit(1.0)
-    held = spark.read.parquet(f"{path}/postings").select("block", "term")
+    held = postings_of(wanted, path).select("block", "term")
     top = points(wanted.join(held, "term"), ["query_id", "block"]).join(blocks, "block")
     return top.select("query_id", "block", (_raw(F.col("keyword_score"), F.col("most_weight"), F.col("latest"), boost, now) * (1 + 1e-12)).alias("bound"))
 
@@ -173,7 +186,7 @@ def bounds(wanted: DataFrame, path: str, now: Column, scope: str | None) -> Data
 def scored(wanted: DataFrame, chosen: DataFrame, extra: DataFrame, path: str, now: Column, scope: str | None) -> DataFrame:
     """(query_id, bullet_id, keyword_score, raw) of live records in the chosen blocks. extra: hits found elsewhere."""
     spark = wanted.sparkSession
-    postings = spark.read.parquet(f"{path}/postings")
+    postings = postings_of(wanted, path)
     met = wanted.join(chosen.select("query_id", "block"), "query_id").join(postings, ["block", "term"])
     hits = met.select("query_id", F.explode("ids").alias("bullet_id"), "block", "part", "slot", "weight", "n")
     docs = live(spark, path)
