@@ -87,8 +87,8 @@ def vector_tags(df: DataFrame, canonical: DataFrame, least: float = 0.9) -> Data
 
     Tags and canonical tags are vocabularies; the pairs are tags times canonical tags, not rows of records. Tags are dealt over
     SALTS keys, to each of which all canonical tags of their length go, so no task meets all tags."""
-    tags = df.select("tag", F.col("embedding").alias("a"), F.size("embedding").alias("n"), F.pmod(F.xxhash64("tag"), F.lit(SALTS)).alias("salt"))
-    every = canonical.select(F.col("tag").alias("best"), F.col("embedding").alias("b"), F.size("embedding").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint").alias("salt"))
+    tags = df.select("tag", F.col("embedding").alias("a"), F.size("embedding").alias("n"), F.pmod(F.xxhash64("tag"), F.lit(SALTS)).cast("int").alias("salt"))
+    every = canonical.select(F.col("tag").alias("best"), F.col("embedding").alias("b"), F.size("embedding").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     pairs = tags.join(every, ["n", "salt"])
     sim = pairs.withColumn("sim", score.cosine(F.col("a"), F.col("b"))).where(F.col("sim") >= least)
     return sim.groupBy("tag").agg(F.max_by("best", F.struct("sim", "best")).alias("best"))
