@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import GRAPH, TOPICS
-from ..sources.scratch import written
+from ..sources.scratch import dropped, written
 
 
 def co_recall(log: DataFrame, set_cols: list[str], id_col: str, step: float = GRAPH.corecall_step, most: float = GRAPH.most_weight) -> DataFrame:
@@ -100,82 +100,107 @@ def connected(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
     return edges.select(F.col("v").alias("id"), F.col("u").alias("comp")).unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("comp")).distinct())
 
 
-#: Edges of a component whose nodes are moved one after the other in one task; larger components move in rounds of joins.
+#: Edges of a component whose nodes move over arrays in one task; larger components move by joins. Both give the same communities.
 WALK_EDGES = 2_000_000
+#: Classes of nodes that move in turn, and the units of an edge of weight 1: weights are whole numbers, so sums do not depend on their order.
+CLASSES, UNITS = 16, 1 << 24
 
 
 def louvain(pairs: DataFrame, max_passes: int = 20, tolerance: float = 1e-7) -> DataFrame:
     """Communities (id, community = smallest id of it) by one phase of modularity moves.
 
-    A move depends only on a node's neighbours, their communities and the total weight, so components are
-    independent once the total is known. A component of up to WALK_EDGES edges is one group, whose nodes move in id order;
-    the nodes of larger ones move at once, half of them in each round."""
-    pairs = written(pairs.where("u <> v").groupBy("u", "v").agg(F.max("weight").alias("weight")))
-    total = float(pairs.agg(F.sum("weight")).first()[0] or 0.0)
-    placed = written(pairs.join(connected(pairs).withColumnRenamed("id", "u"), "u"))
-    large = placed.groupBy("comp").agg(F.count("*").alias("n")).where(F.col("n") > WALK_EDGES).select("comp")
-    large = written(large)
-    small = placed.join(large, "comp", "left_anti").groupBy("comp").applyInArrow(walked_moves(2 * total, max_passes, tolerance), "id long, community long")
+    In a pass the nodes move in CLASSES turns; a hash of the id, shifted by the pass, says in which. All nodes of a turn see the state
+    before it and go to the neighbouring community that gains most (the one founded by the smallest id among equals), if it gains
+    more than where they are. Few neighbours share a turn, and in the next pass they are dealt anew. (Turns by a colouring of the graph
+    would be as many as the nodes of its largest clique.) Passes end when no node of a component moves.
+
+    A move depends only on a node's neighbours, their communities and the total weight, so components are independent once the
+    total is known: those of up to WALK_EDGES edges are one group each, larger ones move by joins, with equal results.
+    Pairs that hold a null, or a node twice, do not count; of pairs given twice the larger weight does."""
+    pairs = pairs.where("u <> v and weight is not null").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("weight").alias("weight"))
+    pairs = written(pairs.select("u", "v", F.round(F.col("weight") * UNITS).cast("long").alias("weight")))
+    whole = 2.0 * float(pairs.agg(F.sum("weight")).first()[0] or 0)
+    placed = written(pairs.join(connected(pairs).withColumnRenamed("id", "u"), "u").withColumns({"u_hash": F.xxhash64("u"), "v_hash": F.xxhash64("v")}))
+    large = written(placed.groupBy("comp").agg(F.count("*").alias("n")).where(F.col("n") > WALK_EDGES).select("comp"))
+    small = placed.join(large, "comp", "left_anti").groupBy("comp").applyInArrow(array_moves(whole, max_passes, tolerance), "id long, community long")
     if large.isEmpty():
         return small
-    return small.unionByName(joined_moves(placed.join(large, "comp", "left_semi"), 2 * total, max_passes, tolerance))
+    return small.unionByName(joined_moves(placed.join(large, "comp", "left_semi"), whole, max_passes, tolerance))
 
 
-def walked_moves(whole: float, passes: int, tolerance: float):
-    """Moves of one component's nodes in id order, over arrays: a node goes to the neighbouring community that gains most
-    (the one of the smallest id among equals), if it gains at all."""
+def array_moves(whole: float, passes: int, tolerance: float):
+    """Moves of one component over arrays: a turn's edges are summed by (node, community) at once."""
+    step = tolerance * UNITS
 
     def run(group: pa.Table) -> pa.Table:
-        heads, tails, weight = (group.column(c).to_numpy() for c in ("u", "v", "weight"))
-        ids, place = np.unique(np.concatenate([heads, tails]), return_inverse=True)
+        heads, tails, weight, first, second = (group.column(c).to_numpy() for c in ("u", "v", "weight", "u_hash", "v_hash"))
+        ids, index, place = np.unique(np.concatenate([heads, tails]), return_index=True, return_inverse=True)
+        n = len(ids)
+        hashes = np.concatenate([first, second])[index]
         source, target = place, np.concatenate([place[len(heads) :], place[: len(heads)]])
-        order = np.argsort(source, kind="stable")
-        target, pull = target[order], np.concatenate([weight, weight])[order]
-        begin = np.searchsorted(source[order], np.arange(len(ids) + 1))
-        degree = np.add.reduceat(pull, begin[:-1])
-        home, load = np.arange(len(ids)), degree.copy()
-        share = degree / whole if whole > 0 else degree
-        for _ in range(passes if whole > 0 else 0):
-            before = home.copy()
-            for i in range(len(ids)):
-                near = slice(begin[i], begin[i + 1])
-                choices, at = np.unique(np.append(home[target[near]], home[i]), return_inverse=True)
-                gain = np.bincount(at, np.append(pull[near], 0.0)) / whole - (load[choices] - degree[i] * (choices == home[i])) / whole * share[i]
-                if gain.max() > tolerance:
-                    best = choices[np.argmax(gain >= gain.max() - tolerance)]
-                    load[home[i]] -= degree[i]
-                    load[best] += degree[i]
-                    home[i] = best
-            if (before == home).all():
+        pull = np.concatenate([weight, weight])
+        degree = np.zeros(n, np.int64)
+        np.add.at(degree, source, pull)
+        home, load = np.arange(n), degree.copy()
+        for turn in range(passes if whole > 0 else 0):
+            moved = False
+            classes = (hashes >> (2 * turn)) & (CLASSES - 1)
+            order = np.argsort(classes[source], kind="stable")
+            border = np.searchsorted(classes[source][order], np.arange(CLASSES + 1))
+            for c in range(CLASSES):
+                mine, near = np.flatnonzero(classes == c), order[border[c] : border[c + 1]]
+                keys, at = np.unique(np.concatenate([source[near] * n + home[target[near]], mine * n + home[mine]]), return_inverse=True)
+                sums = np.zeros(len(keys), np.int64)
+                np.add.at(sums, at[: len(near)], pull[near])
+                node, to = keys // n, keys % n
+                stays = to == home[node]
+                rest = load[to] - np.where(stays, degree[node], 0)
+                gain = np.floor((sums.astype(float) - rest.astype(float) * degree[node].astype(float) / whole) / step + 0.5).astype(np.int64)
+                rank = np.lexsort((to, -gain, node))
+                best = rank[np.r_[True, node[rank][1:] != node[rank][:-1]]] if len(rank) else rank
+                now = np.zeros(n, np.int64)
+                now[node[stays]] = gain[stays]
+                goes = best[gain[best] > np.maximum(now[node[best]], 0)]
+                if len(goes):
+                    moved = True
+                    np.subtract.at(load, home[node[goes]], degree[node[goes]])
+                    np.add.at(load, to[goes], degree[node[goes]])
+                    home[node[goes]] = to[goes]
+            if not moved:
                 break
-        least = np.full(len(ids), len(ids))
-        np.minimum.at(least, home, np.arange(len(ids)))
+        least = np.full(n, n)
+        np.minimum.at(least, home, np.arange(n))
         return pa.table({"id": ids, "community": ids[least[home]]})
 
     return run
 
 
 def joined_moves(pairs: DataFrame, whole: float, passes: int, tolerance: float) -> DataFrame:
-    """The same by rounds of joins over (node, community) weights. A half of the nodes, another one in each round, moves at once and
-    sees the state before the round, so two neighbours do not swap places for ever."""
-    both = pairs.select("u", "v", "weight").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
-    both = written(both.withColumnRenamed("u", "id"))
-    state = written(both.groupBy("id").agg(F.sum("weight").alias("degree")).withColumn("home", F.col("id")))
-    quiet = 0
-    for turn in range(2 * passes):
-        load = written(state.groupBy(F.col("home").alias("to")).agg(F.sum("degree").alias("load")))
-        toward = both.join(state.select(F.col("id").alias("v"), F.col("home").alias("to")), "v").select("id", "to", "weight").unionByName(state.select("id", F.col("home").alias("to"), F.lit(0.0).alias("weight")))
-        toward = toward.groupBy("id", "to").agg(F.sum("weight").alias("pull")).join(load, "to").join(state, "id")
-        gain = F.col("pull") / whole - (F.col("load") - F.when(F.col("to") == F.col("home"), F.col("degree")).otherwise(0.0)) * F.col("degree") / (whole * whole)
-        rounded = F.round(gain / tolerance).cast("long")
-        best = toward.groupBy("id").agg(F.max(F.struct(rounded.alias("gain"), (-F.col("to")).alias("minus"))).alias("best"), F.max(F.when(F.col("to") == F.col("home"), rounded)).alias("now"))
-        mine = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
-        goes = mine & (F.col("best.gain") > F.greatest(F.col("now"), F.lit(0)))
-        after = written(state.join(best, "id").select("id", "degree", F.when(goes, -F.col("best.minus")).otherwise(F.col("home")).alias("home"), F.coalesce(goes, F.lit(False)).alias("moved")))
-        quiet = 0 if after.where("moved").head(1) else quiet + 1
-        state = after.drop("moved")
-        if quiet == 4:
+    """The same moves by joins over (node, community) sums; a turn reads the edges of its nodes only, whose hashes stand beside them."""
+    both = pairs.select("u", "v", "weight", "u_hash").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight", F.col("v_hash").alias("u_hash")))
+    both = written(both.select(F.col("u").alias("id"), "v", "weight", F.col("u_hash").alias("hash")))
+    state = written(both.groupBy("id", "hash").agg(F.sum("weight").alias("degree")).withColumns({"home": F.col("id"), "moved": F.lit(False)}))
+    step = tolerance * UNITS
+    for turn in range(passes if whole > 0 else 0):
+        moved = False
+        for c in range(CLASSES):
+            mine = F.shiftright("hash", 2 * turn).bitwiseAND(F.lit(CLASSES - 1)) == c
+            load = state.groupBy(F.col("home").alias("to")).agg(F.sum("degree").alias("load"))
+            homes = state.select(F.col("id").alias("v"), F.col("home").alias("to"))
+            toward = both.where(mine).join(homes, "v").select("id", "to", "weight").unionByName(state.where(mine).select("id", F.col("home").alias("to"), F.lit(0).cast("long").alias("weight")))
+            toward = toward.groupBy("id", "to").agg(F.sum("weight").alias("pull")).join(load, "to").join(state.where(mine).select("id", "degree", "home"), "id")
+            stays = F.col("to") == F.col("home")
+            rest = F.col("load") - F.when(stays, F.col("degree")).otherwise(F.lit(0).cast("long"))
+            gain = F.floor((F.col("pull").cast("double") - rest.cast("double") * F.col("degree").cast("double") / whole) / step + 0.5)
+            best = toward.withColumn("gain", gain).groupBy("id").agg(F.max(F.struct("gain", (-F.col("to")).alias("minus"))).alias("best"), F.max(F.when(stays, F.col("gain"))).alias("now"))
+            going = best.where(F.col("best.gain") > F.greatest(F.col("now"), F.lit(0).cast("long"))).select("id", (-F.col("best.minus")).alias("goal"))
+            after = written(state.join(going, "id", "left").select("id", "hash", "degree", F.coalesce("goal", "home").alias("home"), F.col("goal").isNotNull().alias("moved")))
+            moved = bool(after.where("moved").head(1)) or moved
+            dropped(state)
+            state = after
+        if not moved:
             break
+    dropped(both)
     least = written(state.groupBy("home").agg(F.min("id").alias("community")))
     return state.join(least, "home").select("id", "community")
 

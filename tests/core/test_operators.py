@@ -1,4 +1,5 @@
 import json
+import math
 import os
 import random
 import time
@@ -415,22 +416,70 @@ def modularity(edges, home):
     return sum(2 * w / whole for a, b, w in edges if home[a] == home[b]) - sum((x / whole) ** 2 for x in load.values())
 
 
-@pytest.mark.parametrize("most", [graph.WALK_EDGES, 0])
-def test_communities(spark, monkeypatch, most):
-    """Two cliques and a bridge are two communities; no single move improves a result of random edges. Both ways to move nodes."""
-    monkeypatch.setattr(graph, "WALK_EDGES", most)
+def moved_in_turns(edges, hashes, passes=20, tolerance=1e-7):
+    """Communities by the rule that graph.louvain states, node after node over dictionaries."""
+    unit = [(a, b, round(w * graph.UNITS)) for a, b, w in edges]
+    near = {}
+    for a, b, w in unit:
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    degree = {x: sum(w for _, w in ys) for x, ys in near.items()}
+    whole, home = float(sum(degree.values())), {x: x for x in near}
+    for turn in range(passes):
+        begin = dict(home)
+        for c in range(graph.CLASSES):
+            load, goals = {}, {}
+            for x, h in home.items():
+                load[h] = load.get(h, 0) + degree[x]
+            for x in near:
+                if (hashes[x] >> (2 * turn)) & (graph.CLASSES - 1) == c:
+                    pull = {home[x]: 0}
+                    for y, w in near[x]:
+                        pull[home[y]] = pull.get(home[y], 0) + w
+                    gains = {h: math.floor((float(p) - float(load[h] - degree[x] * (h == home[x])) * float(degree[x]) / whole) / (tolerance * graph.UNITS) + 0.5) for h, p in pull.items()}
+                    goal = min(gains, key=lambda h: (-gains[h], h))
+                    if gains[goal] > max(gains[home[x]], 0):
+                        goals[x] = goal
+            home |= goals
+        if home == begin:
+            break
+    least = {}
+    for x, h in home.items():
+        least[h] = min(x, least.get(h, x))
+    return {x: least[h] for x, h in home.items()}
+
+
+def communities_of(spark, edges):
+    return {r.id: r.community for r in graph.louvain(spark.createDataFrame(edges, "u long, v long, weight double")).collect()}
+
+
+def test_communities(spark):
+    """Two cliques and a bridge are two communities; no single move improves a result of random edges."""
     n = 60
     cliques = [(o + i, o + j, 1.0) for o in (0, n) for i in range(n) for j in range(i + 1, n)] + [(n - 1, n, 0.1)]
-    got = {r.id: r.community for r in graph.louvain(spark.createDataFrame(cliques, "u long, v long, weight double")).collect()}
-    assert got == {i: 0 if i < n else n for i in range(2 * n)}
+    assert communities_of(spark, cliques) == {i: 0 if i < n else n for i in range(2 * n)}
     rng = random.Random(4)
     edges = sorted({(a, b) for a, b in ((rng.randrange(24), rng.randrange(24)) for _ in range(70)) if a < b})
     edges = [(a, b, round(rng.random() + 0.1, 3)) for a, b in edges]
-    home = {r.id: r.community for r in graph.louvain(spark.createDataFrame(edges, "u long, v long, weight double")).collect()}
+    home = communities_of(spark, edges)
     assert all(home[c] == c and min(x for x in home if home[x] == c) == c for c in home.values())
     best = modularity(edges, home)
-    better = [x for x in home for c in set(home.values()) if modularity(edges, home | {x: c}) > best + 1e-6]
-    assert better == [] if most else best > 0.2
+    assert [x for x in home for c in set(home.values()) if modularity(edges, home | {x: c}) > best + 1e-6] == []
+
+
+def test_communities_do_not_depend_on_size(spark, monkeypatch):
+    """Arrays, joins and a plain walk in the stated order agree: ties, cliques, hubs, several components, doubled and void pairs."""
+    monkeypatch.setattr(graph, "CLASSES", 4)
+    rng = random.Random(9)
+    pairs = {(a, b) for a, b in ((rng.randrange(90), rng.randrange(90)) for _ in range(200)) if a < b}
+    pairs |= {(100 + i, 100 + j) for i in range(12) for j in range(i + 1, 12)} | {(100, 120 + i) for i in range(25)} | {(200 + i, 201 + i) for i in range(9)}
+    edges = sorted((a, b, 1.0 if a > 150 else rng.choice([0.3, 0.5, rng.random() + 0.05])) for a, b in pairs)
+    hashes = {r.id: r.h for r in spark.range(300).select("id", F.xxhash64("id").alias("h")).collect()}
+    want = moved_in_turns(edges, hashes)
+    dirty = edges + [(b, a, w / 2) for a, b, w in edges[:20]] + [(5, 5, 1.0), (None, 3, 1.0), (1, 2, None)]
+    assert communities_of(spark, dirty) == want
+    monkeypatch.setattr(graph, "WALK_EDGES", 60)
+    assert communities_of(spark, dirty) == want and 1 < len(set(want.values())) < len(want)
 
 
 def test_two_large_cliques(spark):
