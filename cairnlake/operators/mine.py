@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import MINING
+from ..config import KNOWLEDGE_TYPES, MINING, SECTIONS
 from ..functions import privacy, score, text
-from . import packing
+from . import llmio, packing
 
 # Vocabularies and patterns of the rules (parts of words count), and what marks a message as a correction.
 ERROR_WORDS = ("error", "fail", "exception", "traceback", "crash", "bug", "broken", "doesn't work", "not working", "can't", "cannot", "issue", "problem", "wrong")
@@ -87,12 +87,16 @@ def scored(patterns: DataFrame, least: float = MINING.least_score) -> DataFrame:
     return out.withColumn("section", score.section_of(F.col("content"))).withColumn("knowledge_type", score.type_of(F.col("pattern_type"))).withColumn("instructivity_score", score.clamp(F.col("points"), 0.0, 100.0)).drop("points")
 
 
+def sanitised(candidates: DataFrame, custom=()) -> DataFrame:
+    """Candidates with redacted content; those without a result of the redaction go. custom: further patterns; invalid ones are skipped."""
+    return candidates.withColumn("content", privacy.redact(F.col("content"), privacy.with_custom(custom))).where("content is not null")
+
+
 def distil(candidates: DataFrame, most_chars: int = MINING.most_chars) -> DataFrame:
     """Redacted candidates: content cut at a sentence, tools, entities, and the turn that they come from."""
     turn = F.when(F.coalesce("assistant_message", F.lit("")) != "", F.col("assistant_message")).otherwise(F.col("user_message"))
     role = F.when(F.coalesce("assistant_message", F.lit("")) != "", "assistant").otherwise("user")
-    clean = candidates.withColumn("content", privacy.redact(F.col("content"))).where("content is not null")
-    return clean.select(
+    return sanitised(candidates).select(
         "conv_id", "turn_offset", "pattern_type", "section", "knowledge_type", "instructivity_score",
         text.truncate_sentence(F.col("content"), most_chars).alias("content"),
         text.known_tools(F.col("content")).alias("related_tools"),
@@ -107,6 +111,56 @@ def reflect(interactions: DataFrame, **vocabularies) -> DataFrame:
     return distil(scored(detect(interactions, **vocabularies)))
 
 
+_TURN = ["conv_id", "turn_offset"]
+
+
+def evaluated(replies: DataFrame) -> DataFrame:
+    """What a model says of turns: conv_id, turn_offset, learn, model_section, model_type, model_score (0 to 100), summary. replies: conv_id, turn_offset, reply.
+
+    A null reply is a failed call and has no row here; a reply that is no JSON, or does not say ``should_record``, has learn false. Unknown
+    sections and types count as general and knowledge, a missing or unreadable score as 50. Of several replies to a turn the last as text counts."""
+    one = replies.where("reply is not null").groupBy(*_TURN).agg(F.max("reply").alias("reply"))
+    said = llmio.parsed(one, "reply", "should_record boolean, knowledge_type string, section string, instructivity_score string, summary string")
+    known = lambda c, names, other: F.when(F.lower(c).isin(*names), F.lower(c)).otherwise(other)
+    points = score.clamp(F.coalesce(F.col("instructivity_score").try_cast("double"), F.lit(50.0)), 0.0, 100.0)
+    return said.select(*_TURN, F.coalesce("should_record", F.lit(False)).alias("learn"), known("section", SECTIONS, "general").alias("model_section"), known("knowledge_type", KNOWLEDGE_TYPES, "knowledge").alias("model_type"), points.alias("model_score"), F.coalesce("summary", F.lit("")).alias("summary"))
+
+
+def reflect_with(interactions: DataFrame, replies: DataFrame, mode: str = "hybrid", distilled: DataFrame | None = None, least: float = MINING.least_score, **vocabularies) -> DataFrame:
+    """``reflect`` with a model's part; the columns of ``distil``.
+
+    hybrid: what the rules find takes section and type from the model and the mean of both scores, or stays as it is where the model has nothing to say;
+    turns in which the rules find nothing are candidates (``llm_evaluated``) if the model wants them kept at ``least`` points or more.
+    llm: the model decides alone; the rules stand in for turns without a reply.
+    distilled: the model's own words (conv_id, turn_offset, pattern_type, reply with content or distilled_rule), redacted like all
+    other text; candidates without any are cut by rule."""
+    if mode not in ("hybrid", "llm"):
+        raise ValueError(f"unknown mode {mode!r}: hybrid or llm")
+    said = evaluated(replies)
+    found = detect(interactions, **vocabularies)
+    ruled = scored(found, least)
+    if mode == "llm":
+        ruled = ruled.join(said.select(*_TURN), _TURN, "left_anti")
+        open_turns = interactions
+    else:
+        kept = said.where("learn").select(*_TURN, "model_section", "model_type", "model_score")
+        blend = F.coalesce((F.col("instructivity_score") + F.col("model_score")) / 2, F.col("instructivity_score"))
+        ruled = ruled.join(kept, _TURN, "left").withColumns({"section": F.coalesce("model_section", "section"), "knowledge_type": F.coalesce("model_type", "knowledge_type"), "instructivity_score": blend})
+        open_turns = interactions.join(found.select(*_TURN).distinct(), _TURN, "left_anti")
+    columns = ["conv_id", "turn_offset", "user_message", "assistant_message", "pattern_type", "content", "section", "knowledge_type", "instructivity_score"]
+    fresh = open_turns.join(said.where(F.col("learn") & (F.col("model_score") >= least)), _TURN).select(
+        *columns[:4], F.lit("llm_evaluated").alias("pattern_type"), F.when(F.col("summary") != "", F.col("summary")).otherwise(F.substring("assistant_message", 1, 400)).alias("content"),
+        F.col("model_section").alias("section"), F.col("model_type").alias("knowledge_type"), F.col("model_score").alias("instructivity_score"),
+    )
+    out = distil(ruled.select(*columns).unionByName(fresh))
+    if distilled is None:
+        return out
+    own = llmio.parsed(distilled.where("reply is not null").groupBy(*_TURN, "pattern_type").agg(F.max("reply").alias("reply")), "reply", "content string, distilled_rule string")
+    words = F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("content", "distilled_rule")])
+    own = own.select(*_TURN, "pattern_type", privacy.redact(words).alias("_own"))
+    return out.join(own, [*_TURN, "pattern_type"], "left").withColumn("content", F.coalesce("_own", "content")).select(*out.columns)
+
+
 def is_correction(message: Column, flag: Column | None = None) -> Column:
     found = F.coalesce(message.rlike(CORRECTIONS), F.lit(False))
     return F.coalesce(flag, found) if flag is not None else found

@@ -38,3 +38,24 @@ def word_set(column: str) -> str:
 
 def flat_list(values) -> str:
     return _list(values)
+
+
+def sentence_cut(part: str, column: str, cut: str, most: int = 500) -> str:
+    """WITH parts: the rows of ``part`` with ``column`` cut as ``cut``, after the last separator past the middle of its first ``most`` characters."""
+    seps = [("'. '", 2), ("'。'", 1), ("chr(10)", 1), ("'; '", 2), ("', '", 2)]
+    ends = ", ".join(f"CASE WHEN strpos(reverse(head), reverse({s})) > 0 THEN length(head) - strpos(reverse(head), reverse({s})) - {n - 1} END AS at{i}" for i, (s, n) in enumerate(seps))
+    cases = " ".join(f"WHEN at{i} > {most / 2} THEN rtrim(left(head, at{i} + {n}), ' ' || chr(9) || chr(10) || chr(13))" for i, (_, n) in enumerate(seps))
+    return f"""{part}_h AS (SELECT *, left({column}, {most}) AS head FROM {part}), {part}_e AS (SELECT *, {ends} FROM {part}_h),
+{part}_cut AS (SELECT *, CASE WHEN length({column}) <= {most} THEN {column} {cases} ELSE rtrim(head, ' ' || chr(9) || chr(10) || chr(13)) || '...' END AS {cut} FROM {part}_e)"""
+
+
+def entities(column: str) -> str:
+    """Sorted quoted, CamelCase and dotted names, the first ten, joined by |."""
+    grabs = [f"regexp_extract_all({column}, '{p}', 1)" for p in ("`([^`]+)`", '"([^"]{2,30})"', r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b")]
+    dotted = f"list_filter(regexp_extract_all({column}, '([0-9A-Za-z_-]+\\.[0-9A-Za-z_.]*[0-9A-Za-z_])', 1), lambda m: NOT regexp_matches(m, '^[0-9-]'))"
+    return f"array_to_string(list_slice(list_sort(list_distinct(list_concat(list_concat({grabs[0]}, {grabs[1]}), list_concat({grabs[2]}, {dotted})))), 1, 10), '|')"
+
+
+def tools(column: str) -> str:
+    """Sorted known tools among the words, joined by commas."""
+    return f"array_to_string(list_sort(list_filter({_list(text.KNOWN_TOOLS)}, lambda t: list_contains(regexp_extract_all(lower({column}), '[\\p{{L}}\\p{{N}}_]+'), t))), ',')"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import SECTIONS
 from ..functions import privacy, text
 from ..operators import mine
 from . import sqltext, views
@@ -161,16 +162,66 @@ _SECTION = "CASE " + " ".join(f"WHEN list_has_any(ws, {sqltext.flat_list(k)}) TH
 _TYPE = "CASE pattern_type " + " ".join(f"WHEN '{n}' THEN '{k}'" for n, k in PATTERN_TYPES.items()) + " END"
 
 
-@query("r3_scored_patterns", f"""{_DETECT}, w AS (SELECT *, list_filter(string_split_regex(lower(content), '\\s+'), lambda x: x <> '') AS ws FROM found), p AS (
- SELECT *, confidence * 100 * least(1.0, len(ws) / 20.0::DOUBLE) + CASE WHEN {_any_sql("lower(content)", ACTIONABLE)} THEN 10 ELSE 0 END + CASE WHEN regexp_matches(content, '[./\\\\]') THEN 5 ELSE 0 END AS points FROM w)
-SELECT conv_id, turn_offset, pattern_type, {_SECTION} AS section, {_TYPE} AS knowledge_type, round(least(100.0, greatest(0.0, points)), 6) AS instructivity_score FROM p WHERE points >= 30""")
+_SCORED = f"""{_DETECT}, w AS (SELECT *, list_filter(string_split_regex(lower(content), '\\s+'), lambda x: x <> '') AS ws FROM found), p AS (
+ SELECT *, confidence * 100 * least(1.0, len(ws) / 20.0::DOUBLE) + CASE WHEN {_any_sql("lower(content)", ACTIONABLE)} THEN 10 ELSE 0 END + CASE WHEN regexp_matches(content, '[./\\\\]') THEN 5 ELSE 0 END AS points FROM w
+), scored AS (SELECT conv_id, turn_offset, pattern_type, content, {_SECTION} AS section, {_TYPE} AS knowledge_type, least(100.0, greatest(0.0, points)) AS instructivity_score FROM p WHERE points >= 30)"""
+
+
+@query("r3_scored_patterns", f"{_SCORED} SELECT * EXCLUDE (content) REPLACE (round(instructivity_score, 6) AS instructivity_score) FROM scored")
 def scored_patterns(spark, d):
     return mine.scored(_found(spark, d)).select("conv_id", "turn_offset", "pattern_type", "section", "knowledge_type", F.round("instructivity_score", 6).alias("instructivity_score"))
 
 
-@query("r5_distilled")
+@query("r4_sanitised", f"{_SCORED} SELECT conv_id, turn_offset, pattern_type, {_redact_sql('content', privacy.PATTERNS)} AS content FROM scored")
+def sanitised(spark, d):
+    return mine.sanitised(mine.scored(_found(spark, d))).select("conv_id", "turn_offset", "pattern_type", "content")
+
+
+def _distil_sql(source: str) -> str:
+    """WITH parts and the last select over candidates: redacted, cut, tools and entities, the turn they come from."""
+    return f"""clean AS (SELECT * REPLACE ({_redact_sql('content', privacy.PATTERNS)} AS content) FROM {source}), {sqltext.sentence_cut('clean', 'content', 'short')}
+SELECT conv_id, turn_offset, pattern_type, section, knowledge_type, round(instructivity_score, 6) AS instructivity_score, short AS content, {sqltext.tools('content')} AS related_tools, {sqltext.entities('content')} AS key_entities,
+ left(sha256(CASE WHEN assistant_message <> '' THEN assistant_message ELSE user_message END), 16) AS turn_hash, CASE WHEN assistant_message <> '' THEN 'assistant' ELSE 'user' END AS role FROM clean_cut JOIN interactions USING (conv_id, turn_offset)"""
+
+
+def _flat(df):
+    return df.withColumns({"instructivity_score": F.round("instructivity_score", 6), "related_tools": F.array_join("related_tools", ","), "key_entities": F.array_join("key_entities", "|")})
+
+
+@query("r5_distilled", f"{_SCORED}, {_distil_sql('scored')}")
 def distilled(spark, d):
-    return mine.reflect(interactions(spark, d), errors=FAILED, retry_errors=FAILED, retry_success=SOLVED)
+    return _flat(mine.reflect(interactions(spark, d), errors=FAILED, retry_errors=FAILED, retry_success=SOLVED))
+
+
+def _replies(spark, d):
+    """A model's replies to turns, by kinds that the ids say: failed calls, no JSON, nothing to learn, fenced JSON, unknown names, no score."""
+    k = (F.col("conv_id") * 31 + F.col("turn_offset") * 7) % 11
+    points = ((F.col("conv_id") * 13 + F.col("turn_offset") * 5) % 111).cast("string")
+    body = lambda *parts: F.concat(F.lit('{"should_record": true, '), *parts, F.lit("}"))
+    full = body(F.lit('"knowledge_type": "Method", "section": "debugging", "instructivity_score": '), points, F.lit(', "summary": "use git rebase in '), F.col("conv_id").cast("string"), F.lit('"'))
+    reply = (
+        F.when(k == 0, F.lit(None).cast("string")).when(k == 1, F.lit("I would keep this.")).when(k == 2, F.lit('{"should_record": false, "instructivity_score": 90}'))
+        .when(k == 3, F.concat(F.lit("```json\n"), full, F.lit("\n```"))).when(k == 4, body(F.lit('"knowledge_type": "story", "section": "poems", "instructivity_score": "high"'))).when(k == 5, body(F.lit('"section": "tools"'))).otherwise(full)
+    )
+    return interactions(spark, d).select("conv_id", "turn_offset", reply.alias("reply"))
+
+
+_SAID = f"""ks AS (SELECT conv_id, turn_offset, (conv_id * 31 + turn_offset * 7) % 11 AS k, least(100.0::DOUBLE, (conv_id * 13 + turn_offset * 5) % 111) AS points FROM interactions),
+said AS (SELECT conv_id, turn_offset, k NOT IN (1, 2) AS learn, CASE WHEN k = 5 AND {'tools' in SECTIONS} THEN 'tools' WHEN k IN (4, 5) THEN 'general' ELSE 'debugging' END AS model_section, CASE WHEN k IN (4, 5) THEN 'knowledge' ELSE 'method' END AS model_type,
+ CASE WHEN k IN (4, 5) THEN 50.0::DOUBLE ELSE points END AS model_score, CASE WHEN k IN (4, 5) THEN '' ELSE 'use git rebase in ' || CAST(conv_id AS VARCHAR) END AS summary FROM ks WHERE k <> 0),
+direct AS (SELECT conv_id, turn_offset, 'llm_evaluated' AS pattern_type, CASE WHEN summary <> '' THEN summary ELSE left(assistant_message, 400) END AS content, model_section, model_type, model_score FROM said JOIN interactions USING (conv_id, turn_offset) WHERE learn AND model_score >= 30)"""
+
+
+@query("r7_hybrid_reflection", f"""{_SCORED}, {_SAID}, cand AS (
+ SELECT conv_id, turn_offset, pattern_type, content, coalesce(model_section, section) AS section, coalesce(model_type, knowledge_type) AS knowledge_type, coalesce((instructivity_score + model_score) / 2, instructivity_score) AS instructivity_score FROM scored LEFT JOIN (SELECT * FROM said WHERE learn) USING (conv_id, turn_offset)
+ UNION ALL SELECT * FROM direct WHERE (conv_id, turn_offset) NOT IN (SELECT (conv_id, turn_offset) FROM found)), {_distil_sql('cand')}""")
+def hybrid_reflection(spark, d):
+    return _flat(mine.reflect_with(interactions(spark, d), _replies(spark, d), "hybrid", errors=FAILED, retry_errors=FAILED, retry_success=SOLVED))
+
+
+@query("r7_model_reflection", f"""{_SCORED}, {_SAID}, cand AS (SELECT conv_id, turn_offset, pattern_type, content, section, knowledge_type, instructivity_score FROM scored WHERE (conv_id, turn_offset) NOT IN (SELECT (conv_id, turn_offset) FROM said) UNION ALL SELECT * FROM direct), {_distil_sql('cand')}""")
+def model_reflection(spark, d):
+    return _flat(mine.reflect_with(interactions(spark, d), _replies(spark, d), "llm", errors=FAILED, retry_errors=FAILED, retry_success=SOLVED))
 
 
 @query("t4_packed_batches", """WITH RECURSIVE e AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth, CASE WHEN length(text) = 0 THEN 0 ELSE CAST(floor(length(text) / 4.0::DOUBLE) AS BIGINT) + 1 END AS tokens FROM conversations),
