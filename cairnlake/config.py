@@ -85,6 +85,7 @@ class Team:
     mandatory_score: float = 999.0
     nominate_recalls: int = 3
     nominate_score: float = 70.0
+    purpose_threshold: float = 0.6
     cache_rows: int = 2000
     tombstone_days: int = 90
     staging_days: int = 30
