@@ -16,7 +16,7 @@ RETRY_ERRORS = ("error", "fail", "broken", "not working")
 RETRY_SUCCESS = ("works", "success", "done", "fixed", "resolved")
 CONFIG_WORDS = ("config", "setting", "env", "configure", "setup", "environment", "variable", "option", "parameter", ".env", ".yaml", ".yml", ".json", ".toml", ".ini", ".cfg", ".conf")
 INSTALL = r"(?i)\b((?:pip install|npm install|cargo add|brew install|apt install|conda install|gem install|go get)\s+\S+)"
-CORRECTIONS = r"(?i)\b(?:no,?\s+|actually|correction|wrong|mistake|that'?s\s+(?:not|wrong|incorrect)|don'?t\b|not\s+that|oops|sorry,?\s+(?:i\s+)?meant)\b"
+CORRECTIONS = r"(?iU)\b(?:no,?\s+|actually|correction|wrong|mistake|that'?s\s+(?:not|wrong|incorrect)|don'?t\b|not\s+that|oops|sorry,?\s+(?:i\s+)?meant)\b"
 
 
 def has_any(low: Column, words) -> Column:

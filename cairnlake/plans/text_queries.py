@@ -108,7 +108,7 @@ def code_heavy(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.code_heavy(F.col("text")).alias("heavy"))
 
 
-@query("f13_corrections", "SELECT conv_id, turn, regexp_matches(text, '(?i)\\b(?:no,?\\s+|actually|correction|wrong|mistake|that''?s\\s+(?:not|wrong|incorrect)|don''?t\\b|not\\s+that|oops|sorry,?\\s+(?:i\\s+)?meant)\\b') AS correction FROM conversations")
+@query("f13_corrections", f"SELECT conv_id, turn, {sqltext.is_correction('text')} AS correction FROM conversations")
 def corrections(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", mine.is_correction(F.col("text")).alias("correction"))
 

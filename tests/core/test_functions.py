@@ -154,3 +154,17 @@ def test_python_functions(spark):
     assert one(spark, udfs.unicode_tokens(F.col("t")), t="Ｆｏｏ bar BAR") == ["bar", "foo"]
     assert one(spark, udfs.yaml_fields(F.col("t")), t="a: 1\nb: x") == {"a": "1", "b": "x"} and one(spark, udfs.yaml_fields(F.col("t")), t="a: [") == {}
     assert "-x" in one(spark, udfs.review_diff(F.lit("x"), F.lit("y")))
+
+
+def test_corrections_at_word_borders_of_all_letters(spark):
+    """The operator and its SQL agree beside letters outside ASCII; missing texts are no corrections."""
+    import duckdb
+
+    from cairnlake.operators import mine
+    from cairnlake.plans import sqltext
+
+    texts = ["no élan", "éno way", "no", "no, we", "ünwrong", "wrongé", "wrong", "that's not it", "don't", "don'té", "NO then", "piano x", "sorry, I meant", None, "no ", "a\nno\nb"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    got = [r[0] for r in df.orderBy("i").select(mine.is_correction(F.col("t"))).collect()]
+    assert got == [True, False, False, True, False, False, True, True, True, False, True, False, True, False, False, True]
+    assert got == [duckdb.execute(f"SELECT {sqltext.is_correction('?::VARCHAR')}", [t]).fetchall()[0][0] for t in texts]
