@@ -9,6 +9,8 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
 from ..config import TEAM
 from ..functions import score, udfs
+from ..functions.udfs import literal_unicode_tokens
+from ..sources.scratch import written
 
 _HEADER = r"(?s)\A---\s*\r?\n(.*?)\r?\n---\s*\r?\n?(.*)\z"
 FIELDS = ["scope", "keywords", "excluded_topics", "intent_body", "threshold"]
@@ -45,8 +47,8 @@ def _fields(headers: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(ArrayType(_TEXTS))
 def _phrases(lists: pd.Series) -> pd.Series:
-    """The distinct words of each phrase of a list."""
-    return lists.map(lambda texts: [udfs.literal_unicode_tokens(t) for t in texts] if texts is not None else [])
+    """The distinct words of each phrase of a list. (The helper is named by itself: its module holds functions that do not travel once used.)"""
+    return lists.map(lambda texts: [literal_unicode_tokens(t) for t in texts] if texts is not None else [])
 
 
 def parsed(files: DataFrame, value: str = "value", default: float = TEAM.purpose_threshold) -> DataFrame:
@@ -70,8 +72,10 @@ def merged(project: DataFrame, common: DataFrame, owner: str, default: float = T
 
 
 def with_words(purposes: DataFrame) -> DataFrame:
-    """Purposes with the words of their phrases and body, taken once a pool rather than once a record."""
-    return purposes.withColumns({"keyword_words": _phrases("keywords"), "excluded_words": _phrases("excluded_topics"), "intent_words": udfs.unicode_tokens(F.col("intent_body"))})
+    """Purposes with the words of their phrases and body, taken once a pool rather than once a record.
+
+    They are written, so that the optimiser sees how small they are and does not move all records of a pool into one task."""
+    return written(purposes).withColumns({"keyword_words": _phrases("keywords"), "excluded_words": _phrases("excluded_topics"), "intent_words": udfs.unicode_tokens(F.col("intent_body"))})
 
 
 def _all_of(phrase: Column, words: Column) -> Column:

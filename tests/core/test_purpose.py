@@ -68,3 +68,19 @@ def test_scores(spark):
     rows = spark.createDataFrame([(1, 0, "Poems of ui design", 10.0), (2, 0, "UI design", 10.0), (3, 0, "ui", 10.0), (4, 0, None, 10.0), (5, 9, "poems", 10.0), (6, 0, "poems", None)], "id long, pool long, content string, points double")
     got = {r.id: r.points for r in purpose.adjusted(rows, read(spark, FULL).drop("owner"), "points").collect()}
     assert got == {1: 3.0, 2: 12.0, 3: 10.0, 4: 10.0, 5: 10.0, 6: None}
+
+
+def test_purposes_after_other_word_functions(spark):
+    """Functions that were used before in the session must not travel with those of phrases; missing texts have no words."""
+    from pyspark import cloudpickle
+    from pyspark.sql import functions as F
+
+    from cairnlake.functions import udfs
+
+    texts = spark.createDataFrame([("b a",), (None,), ("",)] + [(f"x{i}",) for i in range(300)], "t string")
+    got = [r[0] for r in texts.coalesce(1).select(udfs.unicode_tokens(F.col("t"))).collect()]
+    assert got == [["a", "b"], [], []] + [[f"x{i}"] for i in range(300)]
+    cloudpickle.dumps(purpose._phrases.func)
+    pools = read(spark, FULL).selectExpr("'p' AS pool", "scope", "keywords", "excluded_topics", "intent_body", "threshold")
+    records = spark.createDataFrame([("UI design, 12", "p", 10.0), ("poems", "p", 10.0), ("poems", None, 10.0)], "content string, pool string, points double")
+    assert [r.points for r in purpose.adjusted(records, pools, "points").collect()] == pytest.approx([12.0, 3.0, 10.0])
