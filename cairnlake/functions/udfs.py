@@ -7,21 +7,26 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType
 
-
-@F.pandas_udf(ArrayType(StringType()))
-def unicode_tokens(texts: pd.Series) -> pd.Series:
-    """Distinct NFKC lower-case words, sorted."""
-    word = re.compile(r"\w+")
-    return texts.map(lambda t: sorted(set(word.findall(unicodedata.normalize("NFKC", t).lower()))) if t else [])
+#: Texts whose words are Python objects at once.
+SLICE = 128
 
 
-def literal_unicode_tokens(text: str) -> list[str]:
+def literal_unicode_tokens(text: str | None) -> list[str]:
     return sorted(set(re.findall(r"\w+", unicodedata.normalize("NFKC", text or "").lower())))
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def unicode_tokens(texts: pa.Array) -> pa.Array:
+    """Distinct NFKC lower-case words, sorted."""
+    kind = pa.list_(pa.string())
+    parts = [pa.array([literal_unicode_tokens(t) for t in texts.slice(i, SLICE).to_pylist()], kind) for i in range(0, len(texts), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 @F.pandas_udf(MapType(StringType(), StringType()))
 def yaml_fields(headers: pd.Series) -> pd.Series:
     """Top-level fields of a YAML header as strings; an invalid header has none."""
