@@ -51,12 +51,14 @@ def adjacency(edges: DataFrame, above: float = TOPICS.edge_above) -> DataFrame:
     return one_way.groupBy(F.least("from_id", "to_id").alias("u"), F.greatest("from_id", "to_id").alias("v")).agg(F.max("weight").alias("weight"))
 
 
-def vector_adjacency(vectors: DataFrame, above: float = TOPICS.edge_above, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 2048) -> DataFrame:
+def vector_adjacency(vectors: DataFrame, above: float = TOPICS.edge_above, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 16384) -> DataFrame:
     """Exact pairs (u, v, weight), u < v, with a cosine over the bound: blocks of rows against blocks of rows.
 
-    Every row goes to the block pairs of its block; a task holds two blocks and multiplies them as matrices."""
+    Every row goes to the block pairs of its block, at least eight blocks if there are rows enough; a task holds two blocks and multiplies them as
+    matrices, some rows at a time."""
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
-    blocks = max(1, -(-vectors.count() // block))
+    n = vectors.count()
+    blocks = max(1, -(-n // block), min(8, n // 1024))
     spread = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(F.col("b"), o).alias("x"), F.greatest(F.col("b"), o).alias("y")))
     dealt = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).select("id", "v", "b", F.explode(spread).alias("p")).select("id", "v", "b", "p.x", "p.y")
 
@@ -65,12 +67,17 @@ def vector_adjacency(vectors: DataFrame, above: float = TOPICS.edge_above, id_co
         left, right = pdf[pdf["b"] == x], pdf[pdf["b"] == y]
         if left.empty or right.empty:
             return pd.DataFrame({"u": [], "v": [], "weight": []})
-        unit = lambda t: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))(np.array(t["v"].tolist()))
-        sims = unit(left) @ unit(right).T
-        i, j = np.nonzero(sims > above)
-        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        keep = a < b if x == y else a != b
-        return pd.DataFrame({"u": np.minimum(a, b)[keep], "v": np.maximum(a, b)[keep], "weight": np.minimum(1.0, sims[i, j][keep])})
+        unit = lambda t: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))(np.stack(t["v"].to_numpy()))
+        first, second = unit(left), unit(right)
+        mine, theirs = left["id"].to_numpy(), right["id"].to_numpy()
+        found = []
+        for lo in range(0, len(first), 512):
+            sims = first[lo : lo + 512] @ second.T
+            i, j = np.nonzero(sims > above)
+            a, b = mine[lo + i], theirs[j]
+            keep = a < b if x == y else a != b
+            found.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], np.minimum(1.0, sims[i, j][keep])))
+        return pd.DataFrame(dict(zip(("u", "v", "weight"), map(np.concatenate, zip(*found)))))
 
     return dealt.groupBy("x", "y").applyInPandas(pairs, "u long, v long, weight double")
 
