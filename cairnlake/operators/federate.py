@@ -21,15 +21,8 @@ def supersede_conflicts(local: DataFrame, pool: DataFrame, threshold: float = 0.
 
 def alike(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(l, t, sim) of word sets. left: l, content; right: t, content."""
-    side = lambda df, k, n: df.select(F.col(k).cast("string").alias("id"), F.lit("").alias("grp"), F.array_sort(F.transform(text.word_set(F.coalesce("content", F.lit(""))), lambda w: F.xxhash64(w))).alias("toks"), F.lit(n).alias("side"))
-    both = side(left, "l", 0).unionByName(side(right, "t", 1)).where(F.size("toks") > 0).withColumn("h", F.sha2(F.to_json("toks"), 256))
-    # one row of the join for each set and side
-    reps = both.groupBy("side", "h").agg(F.min("id").alias("id"), F.first("toks").alias("toks"), F.first("grp").alias("grp")).withColumn("n", F.size("toks"))
-    pairs = simjoin.similar_pairs(reps.select("id", "grp", "n", "toks", "side"), threshold, sides=True)
-    key = reps.select("side", F.col("id").alias("rep"), "h").join(both.select("side", "h", "id"), ["side", "h"])
-    a = key.where("side = 0").select(F.col("rep").alias("a"), F.col("id").alias("l"))
-    b = key.where("side = 1").select(F.col("rep").alias("b"), F.col("id").alias("t"))
-    return pairs.join(a, "a").join(b, "b").select("l", "t", "sim")
+    side = lambda df, k: df.select(F.col(k).cast("string").alias("id"), simjoin.token_set(text.word_set(F.coalesce("content", F.lit(""))), None).alias("toks"))
+    return simjoin.between(side(left, "l"), side(right, "t"), threshold).select(F.col("a").alias("l"), F.col("b").alias("t"), "sim")
 
 
 def proposals(local: DataFrame, pool: DataFrame, pairs: DataFrame, ignored: DataFrame, similarity: float = 0.8, difference: float = 0.2) -> DataFrame:
