@@ -5,6 +5,7 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -482,6 +483,35 @@ def test_communities_do_not_depend_on_size(spark, monkeypatch):
     assert communities_of(spark, dirty) == want and 1 < len(set(want.values())) < len(want)
 
 
+def test_communities_over_lists_of_neighbours(spark, monkeypatch):
+    """Large components move over lists in many tasks, if their nodes are few enough, else by joins; both as over arrays."""
+    monkeypatch.setattr(graph, "CLASSES", 4)
+    rng = random.Random(4)
+    pairs = {(rng.randrange(60), 60 + rng.randrange(60)) for _ in range(300)} | {(0, 200 + i) for i in range(40)} | {(300 + i, 301 + i) for i in range(30)} | {(400, 401)}
+    edges = [(a, b, rng.choice([0.25, 0.5, 1.0])) for a, b in sorted(pairs)]
+    want = communities_of(spark, edges)
+    monkeypatch.setattr(graph, "WALK_EDGES", 20)
+    monkeypatch.setattr(graph, "NEIGHBOURS", 3)
+    monkeypatch.setattr(graph, "STARRED", 5)
+    used = []
+    for name in ("listed_moves", "joined_moves"):
+        monkeypatch.setattr(graph, name, lambda *a, f=getattr(graph, name), name=name: used.append(name) or f(*a))
+    assert communities_of(spark, edges) == want and used == ["listed_moves"]
+    monkeypatch.setattr(graph, "STATE_NODES", 100)
+    assert communities_of(spark, edges) == want and used == ["listed_moves", "joined_moves"]
+
+
+def test_stars_of_a_task():
+    rng = np.random.default_rng(3)
+    u, v = rng.integers(0, 400, 300), rng.integers(0, 400, 300)
+    low, tip = graph.stars(np.minimum(u, v), np.maximum(u, v))
+    comp = {x: x for x in [*u.tolist(), *v.tolist()]}
+    for _ in comp:
+        for a, b in zip(u.tolist(), v.tolist()):
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    assert dict(zip(tip.tolist(), low.tolist())) == {x: c for x, c in comp.items() if x != c}
+
+
 def test_two_large_cliques(spark):
     n = 500
     rows = spark.range(n).select(F.col("id").alias("a")).join(spark.range(n).select(F.col("id").alias("b")), F.col("a") < F.col("b"))
