@@ -65,3 +65,24 @@ def test_two_sides(spark, monkeypatch, small):
     want = {(i, j): jaccard(x, y) for i, x in enumerate(left) for j, y in enumerate(right) if jaccard(x, y) >= 0.4}
     assert got == pytest.approx(want) and len(want) > 100
     assert simjoin.between(df(left), df(right).limit(0), 0.4).count() == 0
+
+
+def test_conflicts_move_marks_of_texts_not_texts(spark):
+    """Pairs meet what a conflict needs of a text, so what is shuffled does not grow with the texts; counts need no pairs of copies."""
+    from cairnlake.operators import curate
+
+    head = "use the new cache for all build steps of this project"
+    rows = [(1, f"always {head}"), (2, f"never {head}"), (3, f"{head} always"), (4, f"{head} with react 17 or"), (5, f"{head} with react 18 or"), (6, "something else entirely")]
+    df = spark.createDataFrame([(i, t, "global") for i, t in rows], "id long, content string, scope string")
+    texts = dict(rows)
+    found = curate.conflicts(df, "id", 0.3, 0.95)
+    got = {(r.a, r.b): r.reason for r in found.collect()}
+    both = [(a, b, texts[a], texts[b]) for a in texts for b in texts if a < b < 6 and (a, b) != (1, 3)]
+    said = spark.createDataFrame(both, "a long, b long, x string, y string").withColumn("r", curate.contradiction(F.col("x"), F.col("y")))
+    assert got == {(r.a, r.b): r.r for r in said.collect() if r.r} and got[1, 2] == got[2, 3] == "opposing_pair" and got[4, 5] == "version_conflict"
+    assert "content" not in found._jdf.queryExecution().optimizedPlan().toString()
+    _, met = curate.consolidation(df, "id", 0.95, 0.99, 0.3, 0.9)
+    assert (1, 2, "contradiction") in {(r.a, r.b, r.kind) for r in met.collect()}
+    assert "content" not in met._jdf.queryExecution().optimizedPlan().toString()
+    pairs, members = simjoin.self_join(df, F.split("content", " "), 0.3, "id", "scope")
+    assert simjoin.counted(pairs, members).agg(F.sum("n")).first()[0] == simjoin.expand(pairs, members).count() > pairs.count()
