@@ -28,10 +28,13 @@ def derived_from(sources: DataFrame, above: float) -> DataFrame:
     """Edges both ways between ids whose sets of source keys have a Jaccard similarity over ``above``. sources: id, key."""
     rows = sources.distinct()
     sizes = rows.groupBy("id").agg(F.count("*").alias("n"))
-    r = rows.join(sizes, "id")
-    pairs = r.select("key", F.col("id").alias("from_id"), F.col("n").alias("a")).join(r.select("key", F.col("id").alias("to_id"), F.col("n").alias("b")), "key").where("from_id <> to_id")
-    got = pairs.groupBy("from_id", "to_id", "a", "b").agg(F.count("*").alias("both"))
-    return got.withColumn("weight", F.col("both") / (F.col("a") + F.col("b") - F.col("both"))).where(F.col("weight") > above).select("from_id", "to_id", "weight")
+    # each pair once and without sizes while it is counted: rows of the aggregation are as few and as short as can be
+    pairs = rows.select("key", F.col("id").alias("u")).join(rows.select("key", F.col("id").alias("v")), "key").where("u < v")
+    got = pairs.groupBy("u", "v").agg(F.count("*").alias("both"))
+    got = got.join(sizes.select(F.col("id").alias("u"), F.col("n").alias("a")), "u").join(sizes.select(F.col("id").alias("v"), F.col("n").alias("b")), "v")
+    got = got.withColumn("weight", F.col("both") / (F.col("a") + F.col("b") - F.col("both"))).where(F.col("weight") > above)
+    ends = F.explode(F.array(F.struct(F.col("u").alias("from_id"), F.col("v").alias("to_id")), F.struct(F.col("v").alias("from_id"), F.col("u").alias("to_id"))))
+    return got.select(ends.alias("e"), "weight").select("e.from_id", "e.to_id", "weight")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
