@@ -86,3 +86,28 @@ def test_conflicts_move_marks_of_texts_not_texts(spark):
     assert "content" not in met._jdf.queryExecution().optimizedPlan().toString()
     pairs, members = simjoin.self_join(df, F.split("content", " "), 0.3, "id", "scope")
     assert simjoin.counted(pairs, members).agg(F.sum("n")).first()[0] == simjoin.expand(pairs, members).count() > pairs.count()
+
+
+def test_anchor_mismatches_are_a_set_join(spark):
+    """Anchors of one popular file do not all meet; blank anchors, other files and other letter cases do not match."""
+    from cairnlake.operators import curate
+
+    rng = random.Random(8)
+    rows = [(i, "verified" if i % 2 else "stale", rng.choice(["f", "f", "g", ""]), " ".join(rng.sample("a b c d e A".split(), rng.randrange(5)))) for i in range(120)]
+    found = curate.anchor_mismatches(spark.createDataFrame([*rows, (500, "stale", "f", None)], "id long, verified_status string, file_path string, anchor_text string"))
+    near = lambda x, y: bool(x | y) and len(x & y) / len(x | y) >= 0.5
+    want = {(min(i, j), max(i, j)) for i, s, f, x in rows for j, t, g, y in rows if s == "verified" and t == "stale" and f == g != "" and near(set(x.split()), set(y.split()))}
+    assert {(r.a, r.b) for r in found.collect()} == want and want
+    assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_derived_edges_count_each_pair_once(spark):
+    from cairnlake.operators import graph
+
+    rng = random.Random(2)
+    sets = {i: {rng.randrange(12) for _ in range(rng.randrange(1, 7))} for i in range(40)}
+    edges = graph.derived_from(spark.createDataFrame([(i, k) for i, s in sets.items() for k in s] * 2, "id long, key long"), 0.3)
+    want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a != b and len(x & y) / len(x | y) > 0.3}
+    assert {(r.from_id, r.to_id): r.weight for r in edges.collect()} == pytest.approx(want)
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "(u#" in plan and " < v#" in plan
