@@ -5,8 +5,9 @@
 2. Words of little weight count as none, where an item keeps enough others. The benchmark's items are cut into passages
    about as long as themselves (WINDOWS), a third of that apart, and dealt into parts of PART items of a kind
    (items of light words, such as those that stand in many documents, apart from others). A randomised
-   singular value decomposition of a part's TF-IDF matrix (a random range, sharpened by power steps) gives RANK latent
-   directions at most. Directions that no passage of the part has cannot raise a cosine with one, so the
+   singular value decomposition of a part's TF-IDF matrix (a random range, sharpened by power steps, and the decomposition
+   of the rows in it) gives the leading latent directions: the fewest that hold ENERGY of the matrix, and RANK at
+   most. Directions that no passage of the part has cannot raise a cosine with one, so the
    corpus needs no directions of its own, and parts keep the directions few for large benchmarks.
 3. Every document is cut into passages of the same length and projected; benchmark passages with a cosine
    of COSINE or more are candidates. So are items of which RUN words in a row stand in the text, whatever they weigh.
@@ -39,6 +40,8 @@ BUCKETS = 1 << 18
 WINDOWS = ((32, 48), (12, 24), (0, 12))
 #: Items whose directions are found together, and the most directions of them.
 PART = RANK = 256
+#: Share of the squared singular values that the kept directions hold.
+ENERGY = 0.9
 #: So many of an item's words in a row make a candidate, whatever they weigh.
 RUN = 4
 #: Words whose IDF is below it (in more than a fifth of all documents) weigh nothing, if at least KEEP of each item's
@@ -180,13 +183,18 @@ def frequency_counter(vocabulary: np.ndarray, items: list[np.ndarray]):
     return run
 
 
-def latent_basis(rows: np.ndarray, rank: int, power: int = 3) -> np.ndarray:
-    """Leading right singular vectors of the rows: random range, power steps, orthonormalisation."""
+def latent_basis(rows: np.ndarray, rank: int, power: int = 3, energy: float = ENERGY) -> np.ndarray:
+    """Leading right singular vectors of the rows, as columns: random range, power steps, decomposition of the rows in that range.
+
+    As many as hold ``energy`` of the squared norm of all rows, ``rank`` at most."""
     rank = min(rank, *rows.shape)
     basis = np.linalg.qr(np.random.default_rng(17).standard_normal((rows.shape[1], rank)))[0]
     for _ in range(power):
         basis = np.linalg.qr(rows.T @ (rows @ basis))[0]
-    return basis
+    _, values, turned = np.linalg.svd(rows @ basis, full_matrices=False)
+    held = np.cumsum(values**2)
+    kept = 1 + int(np.searchsorted(held, energy * (rows**2).sum() * (1 - 1e-12)))
+    return basis @ turned[:kept].T
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> int:

@@ -360,6 +360,22 @@ def skewed(rng, n, words=4000):
     return [f"w{int(words ** rng.random())}x" for _ in range(n)]
 
 
+def test_latent_directions_are_reduced():
+    """The directions hold the leading singular vectors of the rows, and fewer than there are rows."""
+    rng = np.random.default_rng(5)
+    rows = np.abs(rng.standard_normal((60, 8)) @ rng.standard_normal((8, 300))) + 0.05 * rng.random((60, 300))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    basis = decontam.latent_basis(rows, 256)
+    values = np.linalg.svd(rows, compute_uv=False)
+    need = 1 + int((np.cumsum(values**2) < decontam.ENERGY * (values**2).sum()).sum())
+    assert basis.shape == (300, need) and need < 60
+    assert np.allclose(basis.T @ basis, np.eye(need)) and np.allclose(np.linalg.norm(rows @ basis, axis=0), values[:need])
+    hashes = [rng.integers(0, 400, 30).astype(np.uint64) for _ in range(50)]
+    vocabulary = np.unique(decontam.bucket(np.concatenate(hashes)))
+    items = decontam.Items(list(range(50)), hashes, vocabulary, np.full(len(vocabulary), 5.0), decontam.RANK, 24)
+    assert items.vectors.shape[1] < items.vectors.shape[0]
+
+
 def test_decontamination_with_a_large_benchmark(spark):
     """Short items are found although all words around them are words of other items: verbatim, and with a stranger after every third word."""
     rng = random.Random(3)
