@@ -42,6 +42,8 @@ BLOCK = 1024
 TEXT_BLOCK, SHINGLE_BLOCK = 512, 1 << 19
 #: Members of a key group whose pairs with its head are confirmed from one copy of the head's text.
 SALT = 512
+#: Edges of a graph that are one file of about a megabyte, read by one task; larger graphs are shuffled.
+FEW_EDGES = 1 << 16
 #: Least similarity for which MOST_ERRORS and MOST_DIGEST_ERRORS hold.
 LEAST_PERCENT = 80
 
@@ -302,22 +304,29 @@ def are_stars(edges: DataFrame) -> bool:
     return ends.groupBy("e.id").agg(F.sum("e.v").alias("tips"), F.min("e.v").alias("least")).where("tips > 1 or (tips = 1 and least = 0)").isEmpty()
 
 
-def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
+def sized(edges: DataFrame, few: int) -> DataFrame:
+    """Written edges, as one partition if there are few: their turns then need no shuffles, each of which costs the driver
+    as many tasks as there are shuffle partitions, however small the graph is."""
+    return edges.coalesce(1) if edges.count() <= few else edges
+
+
+def components(edges: DataFrame, most_rounds: int | None = None, few: int = FEW_EDGES) -> DataFrame:
     """(id, comp) for every id of edges (u, v): the smallest id reachable, by alternating star contraction until all are stars.
 
     With a limit of rounds, running out of it is an error."""
-    edges = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(), "edges")
+    edges = sized(materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(), "edges"), few)
     for done in count():
         if are_stars(edges):
             break
         if done == most_rounds:
             raise RuntimeError(f"components still change after {most_rounds} rounds")
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        turned = F.struct(F.col("v").alias("u"), F.col("u").alias("v"))
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), turned)).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         fresh = large.join(small, "a").select(F.col("m").alias("u"), F.explode(F.array("a", "b")).alias("v")).where("u < v").distinct()
-        after = materialize(fresh, "edges")
+        after = sized(materialize(fresh, "edges"), few)
         release(edges)
         edges = after
     out = materialize(edges.select(F.col("v").alias("id"), F.col("u").alias("comp")).unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("comp")).distinct()), "components")

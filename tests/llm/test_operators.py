@@ -360,6 +360,29 @@ def skewed(rng, n, words=4000):
     return [f"w{int(words ** rng.random())}x" for _ in range(n)]
 
 
+def test_few_edges_need_few_tasks(spark):
+    chain = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)]
+    edges = spark.createDataFrame(chain, "u long, v long")
+    found, tasks = {}, {}
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    for few in (neardup.FEW_EDGES, 0):
+        spark.sparkContext.setJobGroup(f"few-{few}", "components")
+        found[few] = sorted(map(tuple, neardup.components(edges, few=few).collect()))
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup(f"few-{few}") for s in tracker.getJobInfo(j).stageIds}
+        tasks[few] = sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+    spark.sparkContext.setJobGroup("", "")
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    want = [(i, 0) for i in range(41)] + [(i, 100) for i in range(100, 140)]
+    assert found == {neardup.FEW_EDGES: want, 0: want}
+    # the first distinct() is dealt out, later turns are not
+    assert tasks[neardup.FEW_EDGES] < tasks[0] / 3, tasks
+
+
 def test_latent_directions_are_reduced():
     """The directions hold the leading singular vectors of the rows, and fewer than there are rows."""
     rng = np.random.default_rng(5)
