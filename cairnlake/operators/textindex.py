@@ -23,6 +23,8 @@ from ..sources.scratch import written
 
 #: Records of a block; ranges of weight; blocks of each query that are scored to begin with; keys over which one query's rows are dealt.
 BLOCK, LEVELS, FIRST, SALTS = 256, 8, 4, 16
+#: Pairs of a query and a block whose hits one task adds up, so that its memory does not grow with the table.
+PAIRS = 64
 #: Rows of a small table (terms of all queries, kinds of blocks) that is broadcast; a larger one is joined.
 SMALL = 100_000
 RECORD = ("bullet_id", "content", "scope", "decay_weight", "created_at", "related_tools", "key_entities", "tags")
@@ -183,14 +185,23 @@ def bounds(wanted: DataFrame, path: str, now: Column, scope: str | None) -> Data
     return top.select("query_id", "block", (_raw(F.col("keyword_score"), F.col("most_weight"), F.col("latest"), boost, now) * (1 + 1e-12)).alias("bound"))
 
 
+def dealt_hits(wanted: DataFrame, chosen: DataFrame, extra: DataFrame, path: str) -> DataFrame:
+    """Hits (query_id, bullet_id, block, part, slot, weight, n) in the chosen blocks. Those of a query in a block meet in one task, about PAIRS of
+    such pairs in each: postings move before they are taken apart, and ``points`` needs no other shuffle."""
+    postings = postings_of(wanted, path)
+    met = wanted.join(chosen.select("query_id", "block"), "query_id").join(postings, ["block", "term"]).select("query_id", "ids", "block", "part", "slot", "weight", "n")
+    blocks = live(wanted.sparkSession, path).select("bullet_id", "block")
+    more = extra.join(blocks, "bullet_id").join(chosen.select("query_id", "block"), ["query_id", "block"], "left_semi").withColumn("ids", F.array("bullet_id"))
+    tasks = max(1, -(-chosen.count() // PAIRS))
+    dealt = met.unionByName(more.select(met.columns)).repartition(tasks, "query_id", "block")
+    return dealt.select("query_id", F.explode("ids").alias("bullet_id"), "block", "part", "slot", "weight", "n")
+
+
 def scored(wanted: DataFrame, chosen: DataFrame, extra: DataFrame, path: str, now: Column, scope: str | None) -> DataFrame:
     """(query_id, bullet_id, keyword_score, raw) of live records in the chosen blocks. extra: hits found elsewhere."""
     spark = wanted.sparkSession
-    postings = postings_of(wanted, path)
-    met = wanted.join(chosen.select("query_id", "block"), "query_id").join(postings, ["block", "term"])
-    hits = met.select("query_id", F.explode("ids").alias("bullet_id"), "block", "part", "slot", "weight", "n")
+    hits = dealt_hits(wanted, chosen, extra, path)
     docs = live(spark, path)
-    hits = hits.unionByName(extra.join(docs.select("bullet_id", "block"), "bullet_id").join(chosen.select("query_id", "block"), ["query_id", "block"], "left_semi"))
     rows = points(hits, ["query_id", "bullet_id", "block"]).join(docs, ["bullet_id", "block"])
     if scope:
         rows = rows.where(F.col("scope").isin(scope, "global"))
@@ -204,7 +215,7 @@ def chosen_blocks(wanted: DataFrame, extra: DataFrame, path: str, now: Column, s
     # a long run's hits raise a block's bound to the most that keywords give
     raised = extra.join(docs, "bullet_id").select("query_id", "block", (_raw(F.lit(RETRIEVAL.most_keyword_score), F.lit(1.0), now, F.lit(RETRIEVAL.scope_factor), now) * (1 + 1e-12)).alias("bound")).distinct()
     every = written(every.unionByName(raised).groupBy("query_id", "block").agg(F.max("bound").alias("bound")))
-    first = best(every, [F.desc("bound"), "block"], FIRST)
+    first = written(best(every, [F.desc("bound"), "block"], FIRST))
     tried = scored(wanted, first, extra, path, now, scope)
     kth = best(tried, [F.desc("raw"), "bullet_id"], k).where(F.col("rank") == k).select("query_id", F.col("raw").alias("least"))
     return every, written(every.join(kth, "query_id", "left").where("least is null or bound >= least").select("query_id", "block", "bound"))

@@ -91,3 +91,21 @@ def test_nothing_to_find(spark, tmp_path):
     assert textindex.search_table(queries, spark.createDataFrame([], ROW), path, at()).collect() == []
     textindex.build(spark.createDataFrame(records(1, 5), ROW), str(tmp_path / "other"))
     assert textindex.search_table(queries.limit(0), spark.createDataFrame(records(1, 5), ROW), str(tmp_path / "other"), at()).collect() == []
+
+
+def test_hits_of_a_query_in_a_block_stay_together(spark, tmp_path, monkeypatch):
+    """Tasks grow in number with the pairs of queries and blocks, not in size; adding up needs no other shuffle."""
+    monkeypatch.setattr(textindex, "BLOCK", 3)
+    monkeypatch.setattr(textindex, "PAIRS", 5)
+    path = str(tmp_path / "index")
+    df = spark.createDataFrame(records(1, 120), ROW)
+    textindex.build(df, path)
+    queries = spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, query string")
+    wanted, extra = textindex.query_terms(spark, path, queries), textindex.long_runs(queries, df, path)
+    chosen = textindex.bounds(wanted, path, at(), None).select("query_id", "block")
+    hits = textindex.dealt_hits(wanted, chosen, extra, path)
+    pairs = hits.select("query_id", "block", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(pairs) == len({(r.query_id, r.block) for r in pairs})
+    assert chosen.count() > 100 and max(sum(r.task == t for r in pairs) for t in {r.task for r in pairs}) <= 20
+    plan = textindex.points(hits, ["query_id", "bullet_id", "block"])._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan.split("Generate explode(ids")[1] and "Exchange" not in plan.split("Generate explode(ids")[0]
