@@ -64,6 +64,22 @@ def test_cosine_join_compares_few_pairs(spark, monkeypatch):
     assert cosjoin.cosine_pairs(df.limit(0), 0.5).collect() == []
 
 
+def test_cosines_of_a_task_need_bounded_memory():
+    """All pairs of a full task reach the threshold: scratch arrays stay far below a row of each side for every pair."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(6000, 64)) * 0.1 + np.eye(64)[0] * 3
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    tracemalloc.start()
+    found = sum(len(piece[0]) for piece in cosjoin.compared(v[:500], v, 0.5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 500 * 6000 and peak < 100e6  # every pair's rows at once would be 3 GB
+    few = [p for p in cosjoin.compared(v[:500], -v, 0.5)]
+    assert not sum(len(p[0]) for p in few)
+
+
 def mixed_rows(seed, n=120):
     """Near copies by words, by vector and by both; rows without one or the other."""
     rng = random.Random(seed)
