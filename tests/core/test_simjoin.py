@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,55 @@ def test_candidates_are_few(spark):
     assert simjoin.candidates(simjoin.heads(df, 0.5, ["id"]), 0.5).count() < 10
 
 
+def sides(rows, threshold):
+    """Blocks as a task holds them: rows in order of size, with the heads of their sets in one order of tokens, and the sets."""
+    rows = sorted(rows, key=len)
+    heads = [sorted(r)[: len(r) - int(np.ceil(threshold * len(r) - 1e-9)) + 1] for r in rows]
+    return {"n": np.array([len(r) for r in rows], np.int32), "head": np.array([t for h in heads for t in h], np.uint32), "first": np.append(0, np.cumsum([len(h) for h in heads]))}, rows
+
+
+@pytest.mark.parametrize("threshold", [0.15, 0.3, 0.5, 0.75, 0.9])
+def test_blocks_meet_in_both_directions(monkeypatch, threshold):
+    """Every pair at the threshold is found once, whichever row is the larger one, of two blocks and of one, in small pieces and large."""
+    rng = np.random.default_rng(4)
+
+    def drawn(n):
+        out = [set(rng.integers(0, 300, 1))]
+        while len(out) < n:
+            base = out[rng.integers(len(out))] if rng.random() < 0.7 else set()
+            out.append({t for t in base if rng.random() > 0.1} | set(rng.integers(0, 300, rng.choice([1, 3, 12, 60])) if rng.random() < 0.5 or not base else []) or {7})
+        return [set(map(int, s)) for s in out]
+
+    near = lambda x, y: len(x & y) / len(x | y) >= threshold
+    everything = lambda h, g: np.ones(len(h), bool)
+    all_rows = drawn(320)
+    (one, first), (two, second) = sides(all_rows[::2], threshold), sides(all_rows[1::2], threshold)
+    for size in (1 << 20, 40):
+        for name in ("LOOKED_UP", "GATHERED", "TESTED"):
+            monkeypatch.setattr(simjoin, name, size)
+        got = [(int(h), int(g)) for hs, gs in simjoin.met(one, two, False, threshold, everything) for h, g in zip(hs, gs)]
+        want = {(i, j) for i, x in enumerate(first) for j, y in enumerate(second) if near(x, y)}
+        assert len(set(got)) == len(got) and want <= set(got) and len(want) > 10
+        got = [(int(h), int(g)) for hs, gs in simjoin.met(one, one, True, threshold, everything) for h, g in zip(hs, gs)]
+        want = {(i, j) for j, y in enumerate(first) for i, x in enumerate(first[:j]) if near(x, y)}
+        assert len(set(got)) == len(got) and want <= set(got)
+
+
+def test_rows_that_share_nothing_cost_nothing(monkeypatch):
+    """Counting follows the tokens that meet, not the pairs of rows."""
+    cells, count = [0], np.bincount
+
+    def counted(*args, **kwargs):
+        out = count(*args, **kwargs)
+        cells[0] += len(out)
+        return out
+
+    monkeypatch.setattr(simjoin.np, "bincount", counted)
+    block, _ = sides([{k % 40, *range(1000 + 20 * k, 1020 + 20 * k)} for k in range(2000)], 0.9)
+    assert not sum(len(h) for h, _ in simjoin.met(block, block, True, 0.9, lambda h, g: np.ones(len(h), bool)))
+    assert cells[0] < 500_000  # pairs of rows: 2 million
+
+
 @pytest.mark.parametrize("small", [5000, 0])
 def test_two_sides(spark, monkeypatch, small):
     monkeypatch.setattr(simjoin, "SMALL_ROWS", small)
