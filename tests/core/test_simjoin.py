@@ -48,6 +48,24 @@ def test_blocks_give_all_pairs(spark, monkeypatch, threshold):
     assert all(set(rows[i].split()) == set(rows[k].split()) for i, k in rep.items()) and 7 not in rep
 
 
+@pytest.mark.parametrize("share", [0, 1 << 30])
+def test_a_large_cluster_is_many_tasks(spark, monkeypatch, share):
+    """Pairs of one cluster of near copies do not meet in one task; tokens numbered or not, all are found."""
+    for name, value in (("CLUSTER", 32), ("PAIRS", 2000), ("FEW", 100)):
+        monkeypatch.setattr(simjoin, name, value)
+    monkeypatch.setattr(simjoin, "NUMBERED", share)
+    r = random.Random(9)
+    rows = [" ".join([f"c{i}" for i in range(30)] + r.sample([f"x{i}" for i in range(90)], r.choice([2, 9, 20]))) for _ in range(240)] + texts(2, 60)
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, t string")
+    pairs, members = simjoin.self_join(df, F.filter(F.split("t", " "), lambda w: w != ""), 0.6, "id")
+    firsts = sorted({m.rep for m in members.collect()})
+    got = pairs.withColumn("task", F.spark_partition_id()).collect()
+    want = {(a, b): jaccard(rows[a], rows[b]) for a in firsts for b in firsts if a < b and jaccard(rows[a], rows[b]) >= 0.6}
+    assert len(got) == len(want) and {(p.a, p.b): p.sim for p in got} == pytest.approx(want)
+    tasks = [p.task for p in got if p.b < 240]
+    assert max(tasks.count(t) for t in set(tasks)) < len(tasks) / 3
+
+
 def test_candidates_are_few(spark):
     """Texts that share a third of their words, all frequent, are no candidates: they need no full sets."""
     r = random.Random(1)
