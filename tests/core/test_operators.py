@@ -164,6 +164,26 @@ def test_vector_blocks_agree(spark):
     assert a and a == {(r.u, r.v): round(r.weight, 9) for r in graph.vector_adjacency(v, 0.5, block=7).collect()}
 
 
+def test_communities_of_vectors_need_no_table_of_edges(spark, monkeypatch):
+    """Lists of neighbours come from the tasks that find the edges; communities are those of the edges."""
+    rng = random.Random(3)
+    middles = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(9)]
+    rows = [(7 * i, [x + rng.gauss(0, 0.5) for x in middles[i % 9]]) for i in range(260)] + [(5001, [0.0] * 6), (5002, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    pairs = lambda c: {(r.id, r.community) for r in c.collect()}
+    want = pairs(graph.louvain(graph.vector_adjacency(v, 0.6, block=64)))
+    assert pairs(graph.vector_communities(v, 0.6, block=64)) == want and len({c for _, c in want}) > 2
+    twice = v.unionByName(v.limit(5))
+    assert pairs(graph.vector_communities(twice, 0.6, block=64, few=0)) == pairs(graph.louvain(graph.vector_adjacency(twice, 0.6, block=64)))
+
+    def written(df, *_):
+        raise AssertionError("a table was written")
+
+    monkeypatch.setattr(graph, "written", written)
+    monkeypatch.setattr(graph, "PACKED", 500)
+    assert pairs(graph.vector_communities(v, 0.6, block=64, few=0)) == want
+
+
 def test_search_rules(spark):
     rows = [("1", "git rebase tips", "global", NOW, 1.0), ("2", "git rebase tips", "p", NOW, 1.0), ("3", "git", "q", NOW, 1.0), ("4", "git merge", "global", NOW - timedelta(30), 0.5), ("5", "nothing", "global", NOW, 1.0)]
     e = F.array().cast("array<string>")
