@@ -173,6 +173,10 @@ def test_communities_of_vectors_need_no_table_of_edges(spark, monkeypatch):
     pairs = lambda c: {(r.id, r.community) for r in c.collect()}
     want = pairs(graph.louvain(graph.vector_adjacency(v, 0.6, block=64)))
     assert pairs(graph.vector_communities(v, 0.6, block=64)) == want and len({c for _, c in want}) > 2
+    short = v.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    assert dict(graph.block_pairs(short, "vec_id", "embedding", 64).dtypes)["v"] == "array<float>"  # half as much to move
+    wide = short.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    assert graph.vector_adjacency(short, 0.6, block=64).exceptAll(graph.vector_adjacency(wide, 0.6, block=64)).count() == 0
     twice = v.unionByName(v.limit(5))
     assert pairs(graph.vector_communities(twice, 0.6, block=64, few=0)) == pairs(graph.louvain(graph.vector_adjacency(twice, 0.6, block=64)))
 
